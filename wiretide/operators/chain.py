@@ -20,7 +20,7 @@ A forced item is taken whatever came before it.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,18 +47,26 @@ def _next_items(u: np.ndarray, x: np.ndarray, forced: np.ndarray) -> np.ndarray:
     return following
 
 
-def _sorted_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    u = pdf["u"].to_numpy()
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    u, x = table["u"].to_numpy(), table["x"].to_numpy()
+    forced = table["forced"].to_numpy(zero_copy_only=False).astype(bool)
     order = np.argsort(u, kind="stable")
-    return u[order], pdf["x"].to_numpy()[order], pdf["forced"].to_numpy(dtype=bool)[order]
+    return u[order], x[order], forced[order]
 
 
 def _first_forced(forced: np.ndarray) -> int:
     return int(np.argmax(forced)) if forced.any() else len(forced)
 
 
-def _lift_span(pdf: pd.DataFrame, key: list[str], gap: int) -> pd.DataFrame:
-    u, x, forced = _sorted_arrays(pdf)
+def _result(table: pa.Table, key: list[str], columns: dict[str, np.ndarray]) -> pa.Table:
+    """``columns`` with the key of the group in front."""
+    n = len(columns["u"])
+    keys = {k: pa.repeat(table[k][0], n) for k in key}
+    return pa.table({**keys, **{name: pa.array(values) for name, values in columns.items()}})
+
+
+def _lift_span(table: pa.Table, key: list[str], gap: int) -> pa.Table:
+    u, x, forced = _arrays(table)
     n = len(u)
     jump = np.append(_next_items(u, x, forced), n)
     last = np.arange(n + 1)
@@ -69,32 +77,30 @@ def _lift_span(pdf: pd.DataFrame, key: list[str], gap: int) -> pd.DataFrame:
     must = _first_forced(forced)
     # A time still closed by an earlier span opens less than a gap into this one,
     # and nothing gets past the first forced item.
-    reachable = int(np.searchsorted(u, pdf["span"].iloc[0] + gap, side="left")) + 1
+    reachable = int(np.searchsorted(u, table["span"][0].as_py() + gap, side="left")) + 1
     entries = min(reachable, must, n)
     keep = np.zeros(n, dtype=bool)
     if entries:
         keep[:entries] = np.append(leave[1:entries] != leave[: entries - 1], True)
     if must < n:
         keep[must] = True
-    out = {k: pdf[k].iloc[0] for k in key}
-    return pd.DataFrame({**out, "u": u[keep], "x": leave[keep], "forced": forced[keep]})
+    return _result(table, key, {"u": u[keep], "x": leave[keep], "forced": forced[keep]})
 
 
-def _expand_span(pdf: pd.DataFrame, key: list[str]) -> pd.DataFrame:
-    is_entry = pdf["is_entry"].to_numpy(dtype=bool)
-    entries = pdf[is_entry].sort_values("u")
-    u, x, forced = _sorted_arrays(pdf[~is_entry])
+def _expand_span(table: pa.Table, key: list[str]) -> pa.Table:
+    is_entry = table["is_entry"].to_numpy(zero_copy_only=False).astype(bool)
+    entries, items = table.filter(pa.array(is_entry)), table.filter(pa.array(~is_entry))
+    u, x, forced = _arrays(items)
     following = _next_items(u, x, forced)
     taken, opened = [], []
     if len(entries):
-        opens = int(entries["opens"].iloc[0])
+        opens = entries["opens"][int(np.argmin(entries["u"].to_numpy()))].as_py()
         at = min(int(np.searchsorted(u, opens, side="left")), _first_forced(forced))
         while at < len(u):
             taken.append(at)
             opened.append(opens)
             opens, at = int(x[at]), int(following[at])
-    out = {k: pdf[k].iloc[0] for k in key}
-    return pd.DataFrame({**out, "u": u[taken], "opens": np.array(opened, dtype="int64")})
+    return _result(table, key, {"u": u[taken], "opens": np.array(opened, dtype="int64")})
 
 
 def _fold(items: DataFrame, key: list[str]) -> DataFrame:
@@ -117,7 +123,7 @@ def _fold(items: DataFrame, key: list[str]) -> DataFrame:
 def _lift(items: DataFrame, key: list[str], gap: int, length: int) -> DataFrame:
     spans = items.withColumn("span", slice_start(F.col("u"), length))
     schema = T.StructType([items.schema[k] for k in key] + [items.schema[c] for c in ("u", "x", "forced")])
-    return spans.groupBy(*key, "span").applyInPandas(lambda pdf: _lift_span(pdf, key, gap), schema)
+    return spans.groupBy(*key, "span").applyInArrow(lambda table: _lift_span(table, key, gap), schema)
 
 
 def _expand(items: DataFrame, entries: DataFrame, key: list[str], length: int) -> DataFrame:
@@ -127,7 +133,7 @@ def _expand(items: DataFrame, entries: DataFrame, key: list[str], length: int) -
     )
     spans = marked.withColumn("span", slice_start(F.col("u"), length))
     schema = T.StructType([items.schema[k] for k in key] + [marked.schema[c] for c in ("u", "opens")])
-    return spans.groupBy(*key, "span").applyInPandas(lambda pdf: _expand_span(pdf, key), schema)
+    return spans.groupBy(*key, "span").applyInArrow(lambda table: _expand_span(table, key), schema)
 
 
 def _sizes(items: DataFrame, key: list[str], length: int) -> tuple[int, int]:

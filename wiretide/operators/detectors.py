@@ -76,12 +76,17 @@ def detect_port_scan(
     ports = live.groupBy(F.col("_alert_seq").alias("seq")).agg(
         F.slice(F.array_sort(F.collect_set("dst_port")), 1, LISTED_PORTS).cast("array<string>").alias("items")
     )
+    return port_scan_alerts(fired.join(ports, "seq"), port_threshold, window_s)
+
+
+def port_scan_alerts(fired: DataFrame, port_threshold: int, window_s: float) -> DataFrame:
+    """Alerts from ``src_ip, ts_us, seq, observed, items``."""
     details = F.concat(
         F.col("observed").cast("string"),
         F.lit(f" distinct ports contacted within {window_s:.0f}s (threshold: {port_threshold}); recent ports: "),
         number_list(F.col("items")),
     )
-    return _alerts(fired.join(ports, "seq"), PORT_SCAN, details, port_threshold, items=F.col("items"))
+    return _alerts(fired, PORT_SCAN, details, port_threshold, items=F.col("items"))
 
 
 def detect_arp_spoof(packets: DataFrame, cooldown_s: float = 60.0, slice_s: float = 3600.0) -> DataFrame:
@@ -98,6 +103,11 @@ def detect_arp_spoof(packets: DataFrame, cooldown_s: float = 60.0, slice_s: floa
         _arrived_by(F.col("_bound_us"), F.col("_bound_seq"), F.col("ts_us"), F.col("seq"))
     )
     macs = known.groupBy("seq").agg(F.array_sort(F.collect_list("src_mac")).alias("items"))
+    return arp_spoof_alerts(fired.join(macs, "seq"))
+
+
+def arp_spoof_alerts(fired: DataFrame) -> DataFrame:
+    """Alerts from ``src_ip, ts_us, seq, observed, items``."""
     details = F.concat(
         F.lit("IP "),
         F.col("src_ip"),
@@ -106,7 +116,7 @@ def detect_arp_spoof(packets: DataFrame, cooldown_s: float = 60.0, slice_s: floa
         F.lit(" MAC addresses: "),
         quoted_list(F.col("items")),
     )
-    return _alerts(fired.join(macs, "seq"), ARP_SPOOF, details, 2, items=F.col("items"))
+    return _alerts(fired, ARP_SPOOF, details, 2, items=F.col("items"))
 
 
 def detect_syn_flood(
@@ -121,6 +131,11 @@ def detect_syn_flood(
     eligible = syn_packets(packets).select("src_ip", "ts_us", "seq")
     counted = sliding_count(eligible, "src_ip", window_s, slice_s)
     fired = cooldown(counted.filter(F.col("observed") >= syn_threshold), "src_ip", cooldown_us(cooldown_s))
+    return syn_flood_alerts(fired, syn_threshold, window_s)
+
+
+def syn_flood_alerts(fired: DataFrame, syn_threshold: int, window_s: float) -> DataFrame:
+    """Alerts from ``src_ip, ts_us, seq, observed``."""
     rate = F.col("observed").cast("double") / F.lit(float(window_s))
     details = F.concat(
         F.col("observed").cast("string"),
@@ -144,6 +159,13 @@ def detect_traffic_anomaly(
     """
     starts = window_starts(packets, window_s)
     windows = rolling_baseline(anchored_windows(packets, window_s, starts), baseline_windows)
+    return spike_alerts(packets, windows, window_s, multiplier, min_samples)
+
+
+def spike_alerts(
+    packets: DataFrame, windows: DataFrame, window_s: float, multiplier: float, min_samples: int
+) -> DataFrame:
+    """Alerts for the windows that exceed their baseline."""
     limit = F.lit(float(multiplier)) * F.col("baseline_avg")
     spikes = materialize(
         windows.filter(
