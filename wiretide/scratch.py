@@ -29,9 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder."""
+    return f"{scratch_dir(spark)}/wiretide-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and return a scan of it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/wiretide-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,12 +18,10 @@ TCP_FLAG_LETTERS = "FSRPAUECN"
 
 LINKTYPES = ("ethernet", "raw")
 
-_HEX = F.col("_hex")
-
 
 def _hex_at(offset: Column | int, n_bytes: int) -> Column:
     offset = F.lit(offset) if isinstance(offset, int) else offset
-    return F.substr(_HEX, offset * 2 + 1, F.lit(2 * n_bytes))
+    return F.substr(F.col("_hex"), offset * 2 + 1, F.lit(2 * n_bytes))
 
 
 def _int_at(offset: Column | int, n_bytes: int) -> Column:
@@ -54,7 +52,7 @@ def _link_layer(frames: DataFrame, linktype: str) -> DataFrame:
         "*", F.hex("frame").alias("_hex"), F.length("frame").alias("_size")
     )
     if linktype == "raw":
-        version = F.substr(_HEX, F.lit(1), F.lit(1))
+        version = F.substr(F.col("_hex"), F.lit(1), F.lit(1))
         kind = F.when(version == "4", F.lit(ETHERTYPE_IPV4)).when(version == "6", F.lit(ETHERTYPE_IPV6))
         return raw.select("*", F.lit(0).alias("_l3"), kind.alias("_type"))
     outer, inner = _hex_at(12, 2).isin(*VLAN_TAGS), _hex_at(16, 2).isin(*VLAN_TAGS)
@@ -89,7 +87,7 @@ def decode_frames(frames: DataFrame, frame_col: str = "frame", linktype: str = "
         F.when(size < F.greatest(l3, F.lit(1)), "short link header")
         .when(is_arp & ((size < l3 + 28) | (_hex_at(l3 + 4, 2) != "0604")), "bad ARP body")
         .when(
-            is_ipv4 & ((size < l3 + 20) | (F.substr(_HEX, l3 * 2 + 1, F.lit(1)) != "4") | (F.col("_ihl") < 20)),
+            is_ipv4 & ((size < l3 + 20) | (F.substr(F.col("_hex"), l3 * 2 + 1, F.lit(1)) != "4") | (F.col("_ihl") < 20)),
             "bad IPv4 header",
         )
     )
