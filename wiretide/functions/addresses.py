@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,61 +24,80 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(_IPV4), value)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ipv6_hex(ip: Column) -> Column:
     """An IPv6 text as 32 lower-case hex digits; NULL for any other text.
 
     Accepts ``::``, an embedded dotted quad at the end and a ``%scope`` suffix.
     """
     bare = F.lower(F.substring_index(ip, "%", 1))
-    tail = F.substring_index(bare, ":", -1)
-    quad = ipv4_number(tail)
-    head = F.substring(bare, F.lit(1), F.length(bare) - F.length(tail))
-    high, low = F.shiftright(quad, 16), F.pmod(quad, F.lit(65536).cast("bigint"))
-    hex_only = F.when(
-        F.contains(tail, F.lit(".")), F.concat(head, F.lower(F.hex(high)), F.lit(":"), F.lower(F.hex(low)))
-    ).otherwise(bare)
-
-    sides = F.split(hex_only, "::", -1)
-    n_sides = F.size(sides)
+    parsed = _let(_without_quad(bare), lambda text: _let(F.split(text, "::", -1), _expanded))
+    return F.when(F.contains(ip, F.lit(":")) & ip.rlike(_SCOPED), parsed)
+
+
+def _without_quad(text: Column) -> Column:
+    """Rewrites an embedded dotted quad as two hex groups."""
+    tail = F.substring_index(text, ":", -1)
+    head = F.substr(text, F.lit(1), F.length(text) - F.length(tail))
+
+    def rewritten(quad: Column) -> Column:
+        low = F.pmod(quad, F.lit(65536).cast("bigint"))
+        return F.concat(head, F.lower(F.hex(F.shiftright(quad, 16))), F.lit(":"), F.lower(F.hex(low)))
+
+    return F.when(F.contains(tail, F.lit(".")), _let(ipv4_number(tail), rewritten)).otherwise(text)
+
+
+def _expanded(sides: Column) -> Column:
+    """The digits of the parts left and right of ``::``, with zeros between them."""
     left = F.try_element_at(sides, F.lit(1))
     right = F.coalesce(F.try_element_at(sides, F.lit(2)), F.lit(""))
 
-    def groups(side: Column) -> Column:
-        return F.filter(F.split(side, ":", -1), lambda g: g != "")
+    def digits(side: Column) -> Column:
+        groups = F.filter(F.split(side, ":", -1), lambda g: g != "")
+        return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
 
-    def padded(side: Column) -> Column:
-        return F.array_join(F.transform(groups(side), lambda g: F.lpad(g, 4, "0")), "")
+    def joined(parts: Column) -> Column:
+        given = F.length(parts[0]) + F.length(parts[1])
+        fits = ((F.size(sides) == 1) & (given == 32)) | ((F.size(sides) == 2) & (given <= 28))
+        return F.when(fits, F.concat(F.rpad(parts[0], F.lit(32) - F.length(parts[1]), F.lit("0")), parts[1]))
 
-    count = F.size(groups(left)) + F.size(groups(right))
-    well_formed = (
-        ip.rlike(_SCOPED)
-        & left.rlike(_GROUPS)
-        & right.rlike(_GROUPS)
-        & (((n_sides == 1) & (count == 8)) | ((n_sides == 2) & (count <= 7)))
-    )
-    zeros = F.repeat(F.lit("0000"), F.greatest(8 - count, F.lit(0)))
-    return F.when(F.contains(ip, F.lit(":")) & well_formed, F.concat(padded(left), zeros, padded(right)))
+    well_formed = left.rlike(_GROUPS) & right.rlike(_GROUPS)
+    return F.when(well_formed, _let(F.array(digits(left), digits(right)), joined))
 
 
 def in_networks(ip: Column, entries: Iterable[str]) -> Column:
     """True if the address equals an entry or lies in its range; False for NULL or unparsable text.
 
     Entries are addresses or CIDR ranges; host bits are masked. An invalid entry
-    raises ``ValueError``. The two versions never match each other. IPv4 costs
-    one set lookup per prefix length in the list, however long the list is.
+    raises ``ValueError``. The two versions never match each other. A single
+    IPv4 address has one spelling only and is compared as text; ranges cost one
+    set lookup per prefix length in the list, however long the list is.
     """
     networks = [ipaddress.ip_network(entry, strict=False) for entry in entries]
     v4 = list(ipaddress.collapse_addresses(n for n in networks if n.version == 4))
     v6 = list(ipaddress.collapse_addresses(n for n in networks if n.version == 6))
     tests = []
-    number = ipv4_number(ip)
-    for mask in sorted({int(n.netmask) for n in v4}, reverse=True):
-        members = [int(n.network_address) for n in v4 if int(n.netmask) == mask]
-        tests.append(number.bitwiseAND(F.lit(mask).cast("bigint")).isin(members))
-    address = ipv6_hex(ip)
-    for network in v6:
-        low, high = int(network.network_address), int(network.broadcast_address)
-        tests.append(address.between(F.lit(f"{low:032x}"), F.lit(f"{high:032x}")))
-    if not tests:
-        return F.lit(False)
-    return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests]), F.lit(False))
+    single = [str(n.network_address) for n in v4 if n.prefixlen == 32]
+    if single:
+        tests.append(ip.isin(single))
+    masks = sorted({int(n.netmask) for n in v4 if n.prefixlen < 32}, reverse=True)
+    if masks:
+        members = {m: [int(n.network_address) for n in v4 if int(n.netmask) == m] for m in masks}
+        tests.append(
+            F.exists(
+                F.array(ipv4_number(ip)),
+                lambda n: _any([n.bitwiseAND(F.lit(m).cast("bigint")).isin(members[m]) for m in masks]),
+            )
+        )
+    if v6:
+        ranges = [(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in v6]
+        tests.append(F.exists(F.array(ipv6_hex(ip)), lambda h: _any([h.between(low, high) for low, high in ranges])))
+    return _any([F.coalesce(t, F.lit(False)) for t in tests]) if tests else F.lit(False)
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)

@@ -71,17 +71,22 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 DECODED = ["seq", "src_ip", "dst_ip", "src_mac", "dst_mac", "protocol", "src_port", "dst_port", "tcp_flags", "is_arp", "arp_op", "length"]
 
 
+def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table ``seq, ts, frame`` with one raw frame per event."""
+    return materialize(event_frames(spark, sf_dir))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, _ = split_malformed(decode_frames(event_frames(spark, sf_dir)))
+    good, _ = split_malformed(decode_frames(frame_table(spark, sf_dir)))
     return good.select(*DECODED)
 
 
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_filter(event_frames(spark, sf_dir)).select("seq", F.length("frame").alias("length"))
+    return capture_filter(frame_table(spark, sf_dir)).select("seq", F.length("frame").alias("length"))
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, bad = split_malformed(decode_frames(event_frames(spark, sf_dir)))
+    _, bad = split_malformed(decode_frames(frame_table(spark, sf_dir)))
     return bad.select("seq", F.length("frame").alias("length"), "decode_error")
 
 

@@ -68,39 +68,36 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     protocol, 93 IPv6, 94 VLAN tag, 95 cut transport header; 96 cuts any frame
     to 10 bytes and 97 to 30.
     """
-    packets = packet_fields(read_events(spark, sf_dir))
-    k, user = F.col("dst_port") - 1000, F.split("src_ip", "\\.")
+    rows = packet_fields(read_events(spark, sf_dir)).withColumn("k", F.col("dst_port") - 1000)
 
     def num(value: Column | int, n_bytes: int) -> Column:
         value = F.lit(value) if isinstance(value, int) else value
         return F.lpad(F.hex(value.cast("bigint")), 2 * n_bytes, "0")
 
-    source = F.concat(F.lit("0A00"), num(user[2], 1), num(user[3], 1))
-    mac = F.upper(F.regexp_replace("src_mac", ":", ""))
-    udp = F.col("protocol") == "UDP"
+    k, udp = F.col("k"), F.col("protocol") == "UDP"
+    user = F.split("src_ip", "\\.")
     flags = F.when(F.col("tcp_flags") == "SA", num(0x5012, 2)).otherwise(num(0x5002, 2))
     tcp_body = F.concat(num(12345, 2), num(F.col("dst_port"), 2), num(0, 8), flags, num(0, 6))
     udp_body = F.concat(num(53, 2), num(F.col("dst_port"), 2), num(8, 2), num(0, 2))
-    body = F.when(udp, udp_body).otherwise(tcp_body)
-    body = F.when(k == 95, F.substr(body, F.lit(1), F.lit(8))).otherwise(body)
+    rows = rows.withColumn("source", F.concat(F.lit("0A00"), num(user[2], 1), num(user[3], 1)))
+    rows = rows.withColumn("mac", F.upper(F.replace("src_mac", F.lit(":"))))
+    rows = rows.withColumn("body", F.when(udp, udp_body).otherwise(tcp_body))
+    rows = rows.withColumn("body", F.substr("body", F.lit(1), F.when(k == 95, 8).otherwise(F.length("body"))))
+
     proto = F.when(k == 92, num(1, 1)).when(udp, num(17, 1)).otherwise(num(6, 1))
     fragment = F.when(k.isin(90, 91), num(185, 2)).otherwise(num(0, 2))
-    total = num(F.lit(20) + F.length(body) / 2, 2)
-    ipv4 = F.concat(
-        F.lit("4500"), total, num(0, 2), fragment, num(64, 1), proto, num(0, 2), source, F.lit("0A000002"), body
+    total = num(F.lit(20) + F.length("body") / 2, 2)
+    header = [F.lit("4500"), total, num(0, 2), fragment, num(64, 1), proto, num(0, 2), F.col("source"), F.lit("0A000002")]
+    ipv4 = F.concat(F.when(k == 94, F.lit("810000640800")).otherwise(F.lit("0800")), *header, F.col("body"))
+    ipv6 = F.concat(F.lit("86DD60"), num(0, 39))
+    arp = F.concat(
+        F.lit("080600010800060400"), num(2, 1), F.col("mac"), F.col("source"), F.lit("CCCCCCCCCCCC"), F.lit("0A000002")
     )
-    ipv6 = F.concat(F.lit("60"), num(0, 39))
-    arp = F.concat(F.lit("00010800060400"), num(2, 1), mac, source, F.lit("CCCCCCCCCCCC"), F.lit("0A000002"))
     # The Ethernet source of ARP frames differs from the sender in the payload.
-    link = F.concat(F.lit("DDDDDDDDDDDD"), F.when(F.col("is_arp"), F.lit("EEEEEEEEEEEE")).otherwise(mac))
-    network = (
-        F.when(F.col("is_arp"), F.concat(F.lit("0806"), arp))
-        .when(k == 93, F.concat(F.lit("86DD"), ipv6))
-        .when(k == 94, F.concat(F.lit("81000064"), F.lit("0800"), ipv4))
-        .otherwise(F.concat(F.lit("0800"), ipv4))
-    )
-    whole = F.concat(link, network)
-    cut = F.when(k == 96, F.substr(whole, F.lit(1), F.lit(20))).when(k == 97, F.substr(whole, F.lit(1), F.lit(60)))
-    return packets.select(
-        "seq", (F.col("ts_us") / F.lit(1e6)).alias("ts"), F.unhex(F.coalesce(cut, whole)).alias("frame")
+    link = F.concat(F.lit("DDDDDDDDDDDD"), F.when(F.col("is_arp"), F.lit("EEEEEEEEEEEE")).otherwise(F.col("mac")))
+    network = F.when(F.col("is_arp"), arp).when(k == 93, ipv6).otherwise(ipv4)
+    rows = rows.withColumn("whole", F.concat(link, network))
+    kept = F.when(k == 96, 20).when(k == 97, 60).otherwise(F.length("whole"))
+    return rows.select(
+        "seq", (F.col("ts_us") / F.lit(1e6)).alias("ts"), F.unhex(F.substr("whole", F.lit(1), kept)).alias("frame")
     )

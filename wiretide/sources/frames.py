@@ -21,15 +21,20 @@ LINKTYPES = ("ethernet", "raw")
 
 def _hex_at(offset: Column | int, n_bytes: int) -> Column:
     offset = F.lit(offset) if isinstance(offset, int) else offset
-    return F.substr(F.col("_hex"), offset * 2 + 1, F.lit(2 * n_bytes))
+    return F.hex(F.substr(F.col("frame"), offset + 1, F.lit(n_bytes)))
 
 
 def _int_at(offset: Column | int, n_bytes: int) -> Column:
     return F.conv(_hex_at(offset, n_bytes), 16, 10).cast("int")
 
 
+def _high_nibble(offset: Column | int) -> Column:
+    return F.substr(_hex_at(offset, 1), F.lit(1), F.lit(1))
+
+
 def _mac_at(offset: Column | int) -> Column:
-    return F.lower(F.concat_ws(":", *[_hex_at(offset + i, 1) for i in range(6)]))
+    digits = F.lower(_hex_at(offset, 6))
+    return F.regexp_replace(digits, "(..)(?=.)", "$1:")
 
 
 def _ipv4_at(offset: Column | int) -> Column:
@@ -45,14 +50,12 @@ def _flag_letters(bits: Column) -> Column:
 
 
 def _link_layer(frames: DataFrame, linktype: str) -> DataFrame:
-    """Adds ``_hex``, ``_size``, the ethertype ``_type`` and the offset ``_l3`` of the network header."""
+    """Adds the ``_size``, the ethertype ``_type`` and the offset ``_l3`` of the network header."""
     if linktype not in LINKTYPES:
         raise ValueError(f"unknown linktype {linktype!r}; expected one of {list(LINKTYPES)}")
-    raw = frames.filter(F.col("frame").isNotNull()).select(
-        "*", F.hex("frame").alias("_hex"), F.length("frame").alias("_size")
-    )
+    raw = frames.filter(F.col("frame").isNotNull()).select("*", F.length("frame").alias("_size"))
     if linktype == "raw":
-        version = F.substr(F.col("_hex"), F.lit(1), F.lit(1))
+        version = _high_nibble(0)
         kind = F.when(version == "4", F.lit(ETHERTYPE_IPV4)).when(version == "6", F.lit(ETHERTYPE_IPV6))
         return raw.select("*", F.lit(0).alias("_l3"), kind.alias("_type"))
     outer, inner = _hex_at(12, 2).isin(*VLAN_TAGS), _hex_at(16, 2).isin(*VLAN_TAGS)
@@ -65,9 +68,8 @@ def capture_filter(frames: DataFrame, predicate: Column | None = None, linktype:
     if predicate is not None:
         return frames.filter(predicate)
     if linktype == "raw":
-        return frames.filter(F.substr(F.hex(F.substr(F.col("frame"), F.lit(1), F.lit(1))), F.lit(1), F.lit(1)) == "4")
-    ethertype = F.hex(F.substr(F.col("frame"), F.lit(13), F.lit(2)))
-    return frames.filter(ethertype.isin(ETHERTYPE_IPV4, ETHERTYPE_ARP))
+        return frames.filter(_high_nibble(0) == "4")
+    return frames.filter(_hex_at(12, 2).isin(ETHERTYPE_IPV4, ETHERTYPE_ARP))
 
 
 def decode_frames(frames: DataFrame, frame_col: str = "frame", linktype: str = "ethernet") -> DataFrame:
@@ -87,7 +89,7 @@ def decode_frames(frames: DataFrame, frame_col: str = "frame", linktype: str = "
         F.when(size < F.greatest(l3, F.lit(1)), "short link header")
         .when(is_arp & ((size < l3 + 28) | (_hex_at(l3 + 4, 2) != "0604")), "bad ARP body")
         .when(
-            is_ipv4 & ((size < l3 + 20) | (F.substr(F.col("_hex"), l3 * 2 + 1, F.lit(1)) != "4") | (F.col("_ihl") < 20)),
+            is_ipv4 & ((size < l3 + 20) | (_high_nibble(l3) != "4") | (F.col("_ihl") < 20)),
             "bad IPv4 header",
         )
     )
