@@ -1,0 +1,143 @@
+from __future__ import annotations
+
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from wiretide.functions.flags import is_syn
+from wiretide.schema import FRAME_SCHEMA
+from wiretide.sources.frames import capture_filter, decode_frames, split_malformed
+
+SRC, DST = "aaaaaaaaaaaa", "bbbbbbbbbbbb"
+
+
+def ether(kind, payload, src=SRC, dst=DST):
+    return bytes.fromhex(dst + src) + struct.pack("!H", kind) + payload
+
+
+def ip(proto, payload, src="10.0.0.1", dst="10.0.0.2", frag=0, total=None, options=b"", version=4, ihl=None):
+    ihl = 5 + len(options) // 4 if ihl is None else ihl
+    total = 20 + len(options) + len(payload) if total is None else total
+    head = struct.pack("!BBHHHBBH", version * 16 + ihl, 0, total, 0, frag, 64, proto, 0)
+    return head + bytes(int(x) for x in f"{src}.{dst}".split(".")) + options + payload
+
+
+def tcp(sport, dport, flags):
+    return struct.pack("!HHIIHHHH", sport, dport, 0, 0, 0x5000 | flags, 0, 0, 0)
+
+
+def udp(sport, dport):
+    return struct.pack("!HHHH", sport, dport, 8, 0)
+
+
+def arp(op=2, hlen=6):
+    return struct.pack("!HHBBH", 1, 0x0800, hlen, 4, op) + bytes.fromhex("cc" * 6 + "0a000001" + "dd" * 6 + "0a000002")
+
+
+def decode(spark, frames, linktype="ethernet"):
+    df = spark.createDataFrame([(i, 1000.0 + i, f) for i, f in enumerate(frames)], FRAME_SCHEMA)
+    good, bad = split_malformed(decode_frames(df, linktype=linktype))
+    return {r.seq: r for r in good.collect()}, {r.seq: r.decode_error for r in bad.collect()}
+
+
+def test_transport_fields(spark):
+    frames = [
+        ether(0x0800, ip(6, tcp(1234, 80, 0x02))),
+        ether(0x0800, ip(17, udp(53, 12345))),
+        ether(0x0800, ip(6, tcp(1234, 65535, 0x12))),
+        ether(0x0800, ip(6, tcp(1, 2, 0x1FF), options=b"\x01" * 8)),
+        ether(0x0800, ip(6, tcp(1, 2, 0))),
+        ether(0x0800, ip(1, b"ping")),
+    ]
+    rows, bad = decode(spark, frames)
+    assert bad == {}
+    got = [(r.protocol, r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.tcp_flags) for _, r in sorted(rows.items())]
+    a, b = "10.0.0.1", "10.0.0.2"
+    assert got == [
+        ("TCP", a, b, 1234, 80, "S"),
+        ("UDP", a, b, 53, 12345, None),
+        ("TCP", a, b, 1234, 65535, "SA"),
+        ("TCP", a, b, 1, 2, "FSRPAUECN"),
+        ("TCP", a, b, 1, 2, ""),
+        ("IP", a, b, None, None, None),
+    ]
+    assert rows[0].src_mac == "aa:aa:aa:aa:aa:aa" and rows[0].dst_mac == "bb:bb:bb:bb:bb:bb"
+    assert rows[0].length == len(frames[0]) and rows[0].is_arp is False and rows[0].ts_us == 1_000_000_000
+
+
+def test_arp_takes_payload_addresses(spark):
+    rows, bad = decode(spark, [ether(0x0806, arp(2)), ether(0x0806, arp(1) + b"\0" * 18)])
+    assert bad == {}
+    row = rows[0]
+    assert (row.protocol, row.is_arp, row.arp_op, rows[1].arp_op) == ("ARP", True, 2, 1)
+    assert (row.src_ip, row.dst_ip) == ("10.0.0.1", "10.0.0.2")
+    assert (row.src_mac, row.dst_mac) == ("cc:cc:cc:cc:cc:cc", "dd:dd:dd:dd:dd:dd")
+
+
+def test_fragments_padding_and_cut_headers(spark):
+    frames = [
+        ether(0x0800, ip(6, tcp(1, 2, 2), frag=185)),
+        ether(0x0800, ip(6, tcp(1, 2, 2), frag=0x2000)),  # first fragment, more to come
+        ether(0x0800, ip(6, tcp(1, 2, 2)[:12])),
+        ether(0x0800, ip(17, udp(1, 2)[:7])),
+        ether(0x0800, ip(6, b"", total=20) + b"\0" * 26),  # link padding is no header
+        ether(0x0800, ip(6, tcp(1, 2, 2), total=0)),  # length left to the hardware
+        ether(0x86DD, b"\x60" + b"\0" * 39),
+        ether(0x8100, struct.pack("!HH", 5, 0x0800) + ip(17, udp(7, 8))),
+        ether(0x88A8, struct.pack("!HHHH", 5, 0x8100, 6, 0x0806) + arp(1)),
+    ]
+    rows, bad = decode(spark, frames)
+    assert bad == {}
+    assert [rows[i].protocol for i in range(9)] == ["IP", "TCP", "IP", "IP", "IP", "TCP", None, "UDP", "ARP"]
+    assert rows[6].src_ip is None and rows[6].src_mac == "aa:aa:aa:aa:aa:aa"
+    assert rows[7].dst_port == 8
+
+
+def test_malformed_frames_are_set_aside(spark):
+    frames = [
+        b"",
+        b"\0" * 13,
+        ether(0x0806, arp()[:27]),
+        ether(0x0806, arp(hlen=8)),
+        ether(0x0800, ip(6, b"")[:19]),
+        ether(0x0800, ip(6, tcp(1, 2, 2), version=5)),
+        ether(0x0800, ip(6, tcp(1, 2, 2), ihl=4)),
+        ether(0x8100, b"\0"),
+        None,
+        ether(0x0800, ip(6, tcp(1, 2, 2))),
+    ]
+    rows, bad = decode(spark, frames)
+    assert sorted(rows) == [9]
+    assert bad == {
+        0: "short link header",
+        1: "short link header",
+        2: "bad ARP body",
+        3: "bad ARP body",
+        4: "bad IPv4 header",
+        5: "bad IPv4 header",
+        6: "bad IPv4 header",
+        7: "short link header",
+    }
+
+
+def test_raw_link(spark):
+    rows, bad = decode(spark, [ip(6, tcp(9, 10, 2)), b"\x60" + b"\0" * 39], linktype="raw")
+    assert bad == {} and rows[0].dst_port == 10 and rows[0].src_mac is None
+    assert rows[1].protocol is None
+    with pytest.raises(ValueError):
+        decode(spark, [], linktype="token ring")
+
+
+def test_capture_filter(spark):
+    frames = [ether(0x0800, b""), ether(0x0806, b""), ether(0x86DD, b""), ether(0x8100, b""), b"x"]
+    df = spark.createDataFrame([(i, 0.0, f) for i, f in enumerate(frames)], FRAME_SCHEMA)
+    assert sorted(r.seq for r in capture_filter(df).collect()) == [0, 1]
+    assert capture_filter(df, F.length("frame") == 1).count() == 1
+    raw = spark.createDataFrame([(0, 0.0, b"\x45"), (1, 0.0, b"\x60")], FRAME_SCHEMA)
+    assert [r.seq for r in capture_filter(raw, linktype="raw").collect()] == [0]
+
+
+def test_decoded_syn(spark):
+    df = spark.createDataFrame([(0, 0.0, ether(0x0800, ip(6, tcp(1, 2, 0x02))))], FRAME_SCHEMA)
+    assert decode_frames(df).select(is_syn(F.col("tcp_flags"))).first()[0]
