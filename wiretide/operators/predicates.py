@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flags import has_text, is_syn
+from ..functions.flags import syn_letters
 
 
 def port_scan_eligible(packets: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def arp_eligible(packets: DataFrame) -> DataFrame:
 
 def syn_packets(packets: DataFrame) -> DataFrame:
     """TCP connection attempts with a source."""
-    return packets.filter((F.col("protocol") == "TCP") & (F.col("src_ip") != "") & is_syn(F.col("tcp_flags")))
+    return packets.filter((F.col("protocol") == "TCP") & (F.col("src_ip") != "") & syn_letters(F.col("tcp_flags")))
 
 
 def filter_alerts(alerts: DataFrame, event_type: str | None = None, source_ip: str | None = None) -> DataFrame:
@@ -34,6 +34,3 @@ def filter_alerts(alerts: DataFrame, event_type: str | None = None, source_ip: s
     if source_ip:
         alerts = alerts.filter(F.col("source_ip") == source_ip)
     return alerts
-
-
-__all__ = ["arp_eligible", "filter_alerts", "has_text", "is_syn", "port_scan_eligible", "syn_packets"]
