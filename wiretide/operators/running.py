@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 _CARRY = "_is_carry"
 
 
-def with_carry(df: DataFrame, key: list[str], slice_col: str, delta: str, total_of: DataFrame | None = None) -> DataFrame:
+def with_carry(df: DataFrame, key: list[str], slice_col: str, delta: str) -> DataFrame:
     """``df`` plus one carry row per (key, slice) whose ``delta`` is the sum over all earlier slices.
 
     Carry rows have ``_is_carry`` true and NULL in all other columns.
     """
-    totals = (total_of if total_of is not None else df).groupBy(*key, slice_col).agg(F.sum(delta).alias(delta))
+    totals = df.groupBy(*key, slice_col).agg(F.sum(delta).alias(delta))
     # One row per slice of a key: bounded by the time span, not by the traffic.
     earlier = Window.partitionBy(*key).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumn(delta, F.coalesce(F.sum(delta).over(earlier), F.lit(0)).cast(df.schema[delta].dataType))
@@ -28,7 +28,7 @@ def with_carry(df: DataFrame, key: list[str], slice_col: str, delta: str, total_
 
 
 def running_sum(
-    df: DataFrame, key: list[str], slice_col: str, order: list[str], delta: str, out: str
+    df: DataFrame, key: list[str], slice_col: str, order: list[str | Column], delta: str, out: str
 ) -> DataFrame:
     """Adds ``out``, the sum of ``delta`` over the key's rows up to and including this one.
 

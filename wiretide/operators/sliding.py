@@ -10,12 +10,13 @@ where the second term is a growing frame (``UNBOUNDED PRECEDING`` up to
 ``ts - W - 1``). Spark extends growing frames in place, so the cost per row
 does not depend on how many rows the window holds, unlike a sliding frame.
 
-Layout. Time is cut into slices. With a window no longer than a slice each row
-also goes to the next slice if that slice can still see it; one shuffle on
-(key, slice) then makes every slice self-contained. With a longer window the
-expiries are sent to the slice where they fall due and the count at the start
-of the slice comes in as a carry row. Either way a hot key is spread over as
-many tasks as it has slices.
+Layout. Time is cut into slices, and one shuffle on (key, slice) brings each
+slice the rows it needs, so a hot key is spread over as many tasks as it has
+slices. A window no longer than a slice also sees rows of the slice before;
+those are sent to both. For a longer window that would copy too much. Then a
+distinct count gets one marker row per value that is still live when the slice
+starts, with its latest time, and a row count gets each expiry sent to the
+slice where it falls due, plus the count at the start of the slice.
 """
 
 from __future__ import annotations
@@ -48,29 +49,37 @@ def _own_rows(df: DataFrame, length: int) -> DataFrame:
     return df.filter(F.col(_SLICE) == slice_start(F.col("ts_us"), length)).drop(_SLICE)
 
 
-def _live_with_carry(df: DataFrame, key: list[str], window: int, length: int, out: str) -> DataFrame:
-    """Adds ``out`` = started so far - expired so far, from the 0/1 columns ``_start`` and ``_end``."""
+def _count_with_carry(df: DataFrame, key: list[str], window: int, length: int, out: str) -> DataFrame:
+    """Each row as an arrival and an expiry; the running sum of both is the live count."""
     ts = F.col("ts_us")
-    arrivals = df.select(
-        "*",
-        slice_start(ts, length).alias(_SLICE),
-        ts.alias("_at"),
-        F.lit(0).alias("_kind"),
-        F.col("_start").cast("bigint").alias("_delta"),
-    )
     due = ts + F.lit(window)
     # An expiry takes effect after the arrivals at the same instant: the frame is closed.
-    expiries = df.filter(F.col("_end") == 1).select(
-        *key,
-        "seq",
-        slice_start(due, length).alias(_SLICE),
-        due.alias("_at"),
-        F.lit(1).alias("_kind"),
-        F.lit(-1).cast("bigint").alias("_delta"),
+    changes = F.array(
+        F.struct(slice_start(ts, length).alias(_SLICE), ts.alias("_at"), F.lit(1).cast("bigint").alias("_delta")),
+        F.struct(slice_start(due, length).alias(_SLICE), due.alias("_at"), F.lit(-1).cast("bigint").alias("_delta")),
+    )
+    changed = df.select("*", F.inline(changes))
+    counted = running_sum(changed, key, _SLICE, ["_at", F.desc("_delta"), "seq"], "_delta", out)
+    return drop_carry(counted.filter(F.col("_delta") == 1)).drop(_SLICE, "_at", "_delta")
+
+
+def _with_live_values(df: DataFrame, key: list[str], value: str, window: int, length: int) -> DataFrame:
+    """Rows in their slice, plus per slice the latest earlier occurrence of each value still live at its start.
+
+    The aggregate behind the markers combines before its shuffle and has one row
+    per (key, value, slice).
+    """
+    rows = df.withColumn(_SLICE, slice_start(F.col("ts_us"), length))
+    latest = rows.groupBy(*key, value, _SLICE).agg(F.max("ts_us").alias("ts_us"))
+    by_slice = Window.partitionBy(*key, value).orderBy(_SLICE)
+    # A marker enters all later slices up to its expiry, or up to the next slice that has the value.
+    until = F.least(slice_start(F.col("ts_us") + F.lit(window), length), F.lead(_SLICE).over(by_slice))
+    first = F.col(_SLICE) + F.lit(length)
+    entered = latest.withColumn("_until", until).filter(F.col("_until") >= first)
+    markers = entered.select(
+        *key, value, "ts_us", F.explode(F.sequence(first, F.col("_until"), F.lit(length).cast("bigint"))).alias(_SLICE)
     )
-    changes = arrivals.unionByName(expiries, allowMissingColumns=True)
-    counted = running_sum(changes, key, _SLICE, ["_at", "_kind", "seq"], "_delta", out)
-    return drop_carry(counted.filter(F.col("_kind") == 0)).drop(_SLICE, "_at", "_kind", "_delta", "_start", "_end")
+    return rows.unionByName(markers, allowMissingColumns=True).repartition(*key, _SLICE)
 
 
 def sliding_count(
@@ -84,8 +93,7 @@ def sliding_count(
     keys, window = _keys(key), window_us(window_s)
     length = slice_length(window, slice_s)
     if window > length:
-        flagged = df.select("*", F.lit(1).alias("_start"), F.lit(1).alias("_end"))
-        return _live_with_carry(flagged, keys, window, length, out)
+        return _count_with_carry(df, keys, window, length, out)
     laid = _with_halo(df, keys, window, length)
     part = Window.partitionBy(*keys, _SLICE)
     expired = part.orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -(window + 1))
@@ -111,50 +119,20 @@ def sliding_distinct_count(
     keys, window = _keys(key), window_us(window_s)
     length = slice_length(window, slice_s)
     if window > length:
-        return _live_with_carry(_flag_lifetimes_sliced(df, keys, value, window, length), keys, window, length, out)
-    laid = _with_halo(df, keys, window, length)
+        laid = _with_live_values(df, keys, value, window, length)
+    else:
+        laid = _with_halo(df, keys, window, length)
+    ts, part = F.col("ts_us"), Window.partitionBy(*keys, _SLICE)
     occurrences = Window.partitionBy(*keys, _SLICE, value).orderBy("ts_us", "seq")
-    flagged = _lifetimes(laid, occurrences, window)
-    part = Window.partitionBy(*keys, _SLICE)
     arrived = part.orderBy("ts_us", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     expired = part.orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -(window + 1))
+    seen = laid.withColumn("_before", F.lag("ts_us").over(occurrences)).withColumn(
+        "_after", F.lead("ts_us").over(occurrences)
+    )
+    flagged = seen.withColumn(
+        "_start", F.coalesce((F.col("_before") < ts - F.lit(window)).cast("int"), F.lit(1))
+    ).withColumn("_end", F.coalesce((F.col("_after") > ts + F.lit(window)).cast("int"), F.lit(1)))
     counted = flagged.withColumn("_live", F.sum("_start").over(arrived)).withColumn(
         out, F.col("_live") - F.coalesce(F.sum("_end").over(expired), F.lit(0))
     )
-    return _own_rows(counted.drop("_live", "_start", "_end"), length)
-
-
-def _lifetimes(df: DataFrame, occurrences, window: int) -> DataFrame:
-    """Adds 0/1 ``_start`` and ``_end`` from the previous and next occurrence of the same value."""
-    ts = F.col("ts_us")
-    before = F.lag("ts_us").over(occurrences)
-    after = F.lead("ts_us").over(occurrences)
-    return (
-        df.withColumn("_before", before)
-        .withColumn("_after", after)
-        .withColumn("_start", F.coalesce((F.col("_before") < ts - F.lit(window)).cast("int"), F.lit(1)))
-        .withColumn("_end", F.coalesce((F.col("_after") > ts + F.lit(window)).cast("int"), F.lit(1)))
-        .drop("_before", "_after")
-    )
-
-
-def _flag_lifetimes_sliced(df: DataFrame, keys: list[str], value: str, window: int, length: int) -> DataFrame:
-    """``_lifetimes`` with one window partition per (key, value, slice).
-
-    The neighbours across a slice border come from an aggregate with one row
-    per (key, value, slice); they join the slice as marker rows.
-    """
-    rows = df.withColumn(_SLICE, slice_start(F.col("ts_us"), length)).withColumn("_kind", F.lit(1))
-    edges = rows.groupBy(*keys, value, _SLICE).agg(F.min("ts_us").alias("_first"), F.max("ts_us").alias("_last"))
-    by_slice = Window.partitionBy(*keys, value).orderBy(_SLICE)
-    edges = edges.withColumn("_earlier", F.lag("_last").over(by_slice)).withColumn(
-        "_later", F.lead("_first").over(by_slice)
-    )
-    neighbours = F.array(
-        F.struct(F.col("_earlier").alias("ts_us"), F.lit(0).alias("_kind")),
-        F.struct(F.col("_later").alias("ts_us"), F.lit(2).alias("_kind")),
-    )
-    markers = edges.select(*keys, value, _SLICE, F.inline(neighbours)).filter(F.col("ts_us").isNotNull())
-    everything = rows.unionByName(markers, allowMissingColumns=True).repartition(*keys, _SLICE)
-    occurrences = Window.partitionBy(*keys, _SLICE, value).orderBy("_kind", "ts_us", "seq")
-    return _lifetimes(everything, occurrences, window).filter(F.col("_kind") == 1).drop("_kind", _SLICE)
+    return _own_rows(counted.drop("_live", "_start", "_end", "_before", "_after"), length)

@@ -24,8 +24,8 @@ def _hex_at(offset: Column | int, n_bytes: int) -> Column:
     return F.hex(F.substr(F.col("frame"), offset + 1, F.lit(n_bytes)))
 
 
-def _int_at(offset: Column | int, n_bytes: int) -> Column:
-    return F.conv(_hex_at(offset, n_bytes), 16, 10).cast("int")
+def _number_at(offset: Column | int, n_bytes: int) -> Column:
+    return F.conv(_hex_at(offset, n_bytes), 16, 10).cast("bigint")
 
 
 def _high_nibble(offset: Column | int) -> Column:
@@ -33,20 +33,19 @@ def _high_nibble(offset: Column | int) -> Column:
 
 
 def _mac_at(offset: Column | int) -> Column:
-    digits = F.lower(_hex_at(offset, 6))
-    return F.regexp_replace(digits, "(..)(?=.)", "$1:")
+    return F.lower(F.concat_ws(":", *[_hex_at(offset + i, 1) for i in range(6)]))
 
 
-def _ipv4_at(offset: Column | int) -> Column:
-    return F.concat_ws(".", *[F.conv(_hex_at(offset + i, 1), 16, 10) for i in range(4)])
+def _dotted(number: Column) -> Column:
+    octets = [F.shiftright(number, shift).bitwiseAND(F.lit(255)).cast("string") for shift in (24, 16, 8, 0)]
+    return F.concat_ws(".", *octets)
 
 
 def _flag_letters(bits: Column) -> Column:
-    letters = [
-        F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(letter)).otherwise(F.lit(""))
-        for i, letter in enumerate(TCP_FLAG_LETTERS)
-    ]
-    return F.concat(*letters)
+    """A lookup in the letters of all 512 flag combinations."""
+    letters = ["".join(c for i, c in enumerate(TCP_FLAG_LETTERS) if bits >> i & 1) for bits in range(512)]
+    # Guarded, since element_at with a NULL index is taken to be non-null when the array is.
+    return F.when(bits.isNotNull(), F.element_at(F.array(*[F.lit(text) for text in letters]), bits.cast("int") + 1))
 
 
 def _link_layer(frames: DataFrame, linktype: str) -> DataFrame:
@@ -80,56 +79,76 @@ def decode_frames(frames: DataFrame, frame_col: str = "frame", linktype: str = "
     Ports need a first fragment and a complete transport header.
     """
     frames = frames.withColumnRenamed(frame_col, "frame") if frame_col != "frame" else frames
+    # One step per header, each adding columns the next ones read: every byte is parsed once.
     linked = _link_layer(frames, linktype)
     l3, size = F.col("_l3"), F.col("_size")
     is_arp, is_ipv4 = F.col("_type") == ETHERTYPE_ARP, F.col("_type") == ETHERTYPE_IPV4
-
-    header = linked.withColumn("_ihl", F.when(is_ipv4, _int_at(l3, 1).bitwiseAND(F.lit(15)) * 4))
+    network = linked.select(
+        "*",
+        # IPv4: version, header length, service, total length; fragment offset, time to live, protocol.
+        F.when(is_ipv4, _number_at(l3, 4)).alias("_head"),
+        # ARP: address lengths and operation.
+        F.when(is_ipv4, _number_at(l3 + 6, 4)).when(is_arp, _number_at(l3 + 4, 4)).alias("_mid"),
+        F.when(is_ipv4 | is_arp, _number_at(l3 + F.when(is_arp, 14).otherwise(12), 4)).alias("_src"),
+        F.when(is_ipv4 | is_arp, _number_at(l3 + F.when(is_arp, 24).otherwise(16), 4)).alias("_dst"),
+    )
+    head, mid = F.col("_head"), F.col("_mid")
+    header_length = F.shiftright(head, 24).bitwiseAND(F.lit(15)) * 4
     error = (
         F.when(size < F.greatest(l3, F.lit(1)), "short link header")
-        .when(is_arp & ((size < l3 + 28) | (_hex_at(l3 + 4, 2) != "0604")), "bad ARP body")
-        .when(
-            is_ipv4 & ((size < l3 + 20) | (_high_nibble(l3) != "4") | (F.col("_ihl") < 20)),
-            "bad IPv4 header",
-        )
+        .when(is_arp & ((size < l3 + 28) | (F.shiftright(mid, 16) != 0x0604)), "bad ARP body")
+        .when(is_ipv4 & ((size < l3 + 20) | (F.shiftright(head, 28) != 4) | (header_length < 20)), "bad IPv4 header")
     )
-    header = header.withColumn("decode_error", error)
-    sound = F.col("decode_error").isNull()
-    arp, ip = sound & F.coalesce(is_arp, F.lit(False)), sound & F.coalesce(is_ipv4, F.lit(False))
-
-    # The payload ends at the length the IPv4 header gives; the rest is link padding.
-    total, l4 = _int_at(l3 + 2, 2), l3 + F.col("_ihl")
-    end = F.when(total >= F.col("_ihl"), F.least(size, l3 + total)).otherwise(size)
-    first_fragment = _int_at(l3 + 6, 2).bitwiseAND(F.lit(0x1FFF)) == 0
-    proto = _int_at(l3 + 9, 1)
-    transport = (
-        F.when(~ip, None)
-        .when(first_fragment & (proto == PROTO_TCP) & (end >= l4 + 20), "TCP")
-        .when(first_fragment & (proto == PROTO_UDP) & (end >= l4 + 8), "UDP")
-        .otherwise("IP")
+    total = head.bitwiseAND(F.lit(0xFFFF))
+    first_fragment = mid.bitwiseAND(F.lit(0x1FFF0000)) == 0
+    checked = network.select(
+        "*",
+        error.alias("decode_error"),
+        (l3 + header_length).cast("int").alias("_l4"),
+        # The payload ends at the length the IPv4 header gives; the rest is link padding.
+        F.when(total >= header_length, F.least(size, l3 + total)).otherwise(size).alias("_end"),
+        F.when(is_ipv4 & first_fragment, mid.bitwiseAND(F.lit(0xFF))).alias("_proto"),
     )
-    header = header.withColumn("protocol", F.when(arp, "ARP").otherwise(transport))
-    has_ports = F.col("protocol").isin("TCP", "UDP")
-
-    link_mac = (lambda offset: F.when(size >= 14, _mac_at(offset))) if linktype == "ethernet" else (lambda _: F.lit(None))
-    decoded = header.select(
+    sound, l4, room = F.col("decode_error").isNull(), F.col("_l4"), F.col("_end") - F.col("_l4")
+    protocol = (
+        F.when(~sound, None)
+        .when(is_arp, "ARP")
+        .when((F.col("_proto") == PROTO_TCP) & (room >= 20), "TCP")
+        .when((F.col("_proto") == PROTO_UDP) & (room >= 8), "UDP")
+        .when(is_ipv4, "IP")
+    )
+    named = checked.select("*", protocol.alias("protocol"))
+    kind = F.col("protocol")
+    carried = named.select(
+        "*",
+        F.when(kind.isin("TCP", "UDP"), _number_at(l4, 4)).alias("_ports"),
+        F.when(kind == "TCP", _number_at(l4 + 12, 2).bitwiseAND(F.lit(0x1FF))).alias("_flags"),
+        F.coalesce(kind == "ARP", F.lit(False)).alias("is_arp"),
+    )
+    from_arp, ports = F.col("is_arp"), F.col("_ports")
+    if linktype == "ethernet":
+        has_macs = size >= 14
+        src_mac = F.when(has_macs, _mac_at(F.when(from_arp, l3 + 8).otherwise(6)))
+        dst_mac = F.when(has_macs, _mac_at(F.when(from_arp, l3 + 18).otherwise(0)))
+    else:
+        src_mac = dst_mac = F.lit(None).cast("string")
+    return carried.select(
         "seq",
         "ts",
-        F.when(arp, _ipv4_at(l3 + 14)).when(ip, _ipv4_at(l3 + 12)).alias("src_ip"),
-        F.when(arp, _ipv4_at(l3 + 24)).when(ip, _ipv4_at(l3 + 16)).alias("dst_ip"),
-        F.when(arp, _mac_at(l3 + 8)).otherwise(link_mac(6)).alias("src_mac"),
-        F.when(arp, _mac_at(l3 + 18)).otherwise(link_mac(0)).alias("dst_mac"),
+        F.when(kind.isNotNull(), _dotted(F.col("_src"))).alias("src_ip"),
+        F.when(kind.isNotNull(), _dotted(F.col("_dst"))).alias("dst_ip"),
+        src_mac.alias("src_mac"),
+        dst_mac.alias("dst_mac"),
         "protocol",
-        F.when(has_ports, _int_at(l4, 2)).alias("src_port"),
-        F.when(has_ports, _int_at(l4 + 2, 2)).alias("dst_port"),
-        F.when(F.col("protocol") == "TCP", _flag_letters(_int_at(l4 + 12, 2))).alias("tcp_flags"),
-        arp.alias("is_arp"),
-        F.when(arp, _int_at(l3 + 6, 2)).alias("arp_op"),
+        F.shiftright(ports, 16).cast("int").alias("src_port"),
+        ports.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("dst_port"),
+        _flag_letters(F.col("_flags")).alias("tcp_flags"),
+        "is_arp",
+        F.when(from_arp, mid.bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("arp_op"),
         size.alias("length"),
         "frame",
         "decode_error",
     )
-    return decoded
 
 
 def split_malformed(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
