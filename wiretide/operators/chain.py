@@ -21,15 +21,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timing import slice_start
 from ..scratch import materialize
 
-# Items of one key that a single fold handles, and gaps per span on each level.
+# Items of one key that a single fold handles; items of a span; and gaps per span on each level.
 FOLD_ROWS = 50_000
+SPAN_ROWS = 16_000_000
 SPAN_GAPS = 16
 
 _NEVER = -(2**62)
@@ -47,11 +48,15 @@ def _next_items(u: np.ndarray, x: np.ndarray, forced: np.ndarray) -> np.ndarray:
     return following
 
 
-def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    u, x = table["u"].to_numpy(), table["x"].to_numpy()
-    forced = table["forced"].to_numpy(zero_copy_only=False).astype(bool)
+def _arrays(table: pa.Table, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``u``, ``x`` and ``forced`` in the order of ``u``. The lowest level leaves out what follows from ``u``."""
+    u, names = table["u"].to_numpy(), table.column_names
     order = np.argsort(u, kind="stable")
-    return u[order], x[order], forced[order]
+    u = u[order]
+    x = table["x"].to_numpy()[order] if "x" in names else u + gap
+    if "forced" not in names:
+        return u, x, np.zeros(len(u), dtype=bool)
+    return u, x, table["forced"].to_numpy(zero_copy_only=False).astype(bool)[order]
 
 
 def _first_forced(forced: np.ndarray) -> int:
@@ -61,12 +66,12 @@ def _first_forced(forced: np.ndarray) -> int:
 def _result(table: pa.Table, key: list[str], columns: dict[str, np.ndarray]) -> pa.Table:
     """``columns`` with the key of the group in front."""
     n = len(columns["u"])
-    keys = {k: pa.repeat(table[k][0], n) for k in key}
+    keys = {k: pa.repeat(table[k][0], n) if n else table[k].slice(0, 0) for k in key}
     return pa.table({**keys, **{name: pa.array(values) for name, values in columns.items()}})
 
 
 def _lift_span(table: pa.Table, key: list[str], gap: int) -> pa.Table:
-    u, x, forced = _arrays(table)
+    u, x, forced = _arrays(table, gap)
     n = len(u)
     jump = np.append(_next_items(u, x, forced), n)
     last = np.arange(n + 1)
@@ -87,20 +92,20 @@ def _lift_span(table: pa.Table, key: list[str], gap: int) -> pa.Table:
     return _result(table, key, {"u": u[keep], "x": leave[keep], "forced": forced[keep]})
 
 
-def _expand_span(table: pa.Table, key: list[str]) -> pa.Table:
-    is_entry = table["is_entry"].to_numpy(zero_copy_only=False).astype(bool)
-    entries, items = table.filter(pa.array(is_entry)), table.filter(pa.array(~is_entry))
-    u, x, forced = _arrays(items)
-    following = _next_items(u, x, forced)
+def _expand_span(items: pa.Table, entries: pa.Table, key: list[str], gap: int) -> pa.Table:
+    """The chain through one span. A later entry, at a forced item, lies on the same chain."""
+    u, x, forced = _arrays(items, gap)
     taken, opened = [], []
-    if len(entries):
+    if len(u) and len(entries):
         opens = entries["opens"][int(np.argmin(entries["u"].to_numpy()))].as_py()
         at = min(int(np.searchsorted(u, opens, side="left")), _first_forced(forced))
+        following = _next_items(u, x, forced) if forced.any() else None
         while at < len(u):
             taken.append(at)
             opened.append(opens)
-            opens, at = int(x[at]), int(following[at])
-    return _result(table, key, {"u": u[taken], "opens": np.array(opened, dtype="int64")})
+            opens = int(x[at])
+            at = int(np.searchsorted(u, opens, side="left")) if following is None else int(following[at])
+    return _result(items, key, {"u": u[taken], "opens": np.array(opened, dtype="int64")})
 
 
 def _fold(items: DataFrame, key: list[str]) -> DataFrame:
@@ -120,28 +125,39 @@ def _fold(items: DataFrame, key: list[str]) -> DataFrame:
     return per_key.select(*key, F.inline(chain))
 
 
+def _in_spans(items: DataFrame, length: int) -> DataFrame:
+    return items.withColumn("span", slice_start(F.col("u"), length))
+
+
+def _key_schema(items: DataFrame, key: list[str], **columns: T.DataType) -> T.StructType:
+    return T.StructType([items.schema[k] for k in key] + [T.StructField(n, t) for n, t in columns.items()])
+
+
 def _lift(items: DataFrame, key: list[str], gap: int, length: int) -> DataFrame:
-    spans = items.withColumn("span", slice_start(F.col("u"), length))
-    schema = T.StructType([items.schema[k] for k in key] + [items.schema[c] for c in ("u", "x", "forced")])
-    return spans.groupBy(*key, "span").applyInArrow(lambda table: _lift_span(table, key, gap), schema)
+    schema = _key_schema(items, key, u=T.LongType(), x=T.LongType(), forced=T.BooleanType())
+    spans = _in_spans(items, length).groupBy(*key, "span")
+    return spans.applyInArrow(lambda table: _lift_span(table, key, gap), schema)
 
 
-def _expand(items: DataFrame, entries: DataFrame, key: list[str], length: int) -> DataFrame:
-    no_item = [F.lit(0).cast("bigint").alias("x"), F.lit(False).alias("forced")]
-    marked = items.select("*", F.lit(0).cast("bigint").alias("opens"), F.lit(False).alias("is_entry")).unionByName(
-        entries.select(*key, "u", *no_item, "opens", F.lit(True).alias("is_entry"))
-    )
-    spans = marked.withColumn("span", slice_start(F.col("u"), length))
-    schema = T.StructType([items.schema[k] for k in key] + [marked.schema[c] for c in ("u", "opens")])
-    return spans.groupBy(*key, "span").applyInArrow(lambda table: _expand_span(table, key), schema)
+def _expand(items: DataFrame, entries: DataFrame, key: list[str], gap: int, length: int) -> DataFrame:
+    schema = _key_schema(items, key, u=T.LongType(), opens=T.LongType())
+    spans = _in_spans(items, length).groupBy(*key, "span").cogroup(_in_spans(entries, length).groupBy(*key, "span"))
+    return spans.applyInArrow(lambda left, right: _expand_span(left, right, key, gap), schema)
 
 
-def _sizes(items: DataFrame, key: list[str], length: int) -> tuple[int, int]:
-    """The most items and the most spans that one key has."""
+def span_gaps_for(rows_per_gap: int, span_gaps: int = SPAN_GAPS) -> int:
+    """Gaps per span, fewer where the traffic is dense, so that a span stays near ``SPAN_ROWS``."""
+    return max(2, min(span_gaps, SPAN_ROWS // max(rows_per_gap, 1)))
+
+
+def _sizes(items: DataFrame, key: list[str], length: int) -> tuple[int, int, int]:
+    """The most items of one key, the most items of one span and the most spans of one key."""
     per_span = items.groupBy(*key, slice_start(F.col("u"), length).alias("span")).count()
-    per_key = per_span.groupBy(*key).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("spans"))
-    row = per_key.agg(F.max("n"), F.max("spans")).first()
-    return row[0] or 0, row[1] or 0
+    per_key = per_span.groupBy(*key).agg(
+        F.sum("count").alias("n"), F.max("count").alias("densest"), F.count(F.lit(1)).alias("spans")
+    )
+    row = per_key.agg(F.max("n"), F.max("densest"), F.max("spans")).first()
+    return tuple(value or 0 for value in row)
 
 
 def greedy_times(
@@ -154,17 +170,17 @@ def greedy_times(
 ) -> DataFrame:
     """Times taken by the greedy chain of each key, as rows ``key, u, opens``.
 
-    ``times`` has the key columns, ``u BIGINT`` (distinct per key) and
+    ``times`` has the key columns, ``u BIGINT`` and, if any time is forced,
     ``forced BOOLEAN``. A row with ``u < opens`` was taken only because it is
     forced. ``lift_first`` skips sizing the lowest level, for input that is
     known to be large and is better not written out.
     """
-    items = times.select(*key, "u", (F.col("u") + F.lit(gap_us)).alias("x"), "forced")
+    items = times
     levels: list[tuple[DataFrame, int]] = []
     length = gap_us
     while True:
         if levels or not lift_first:
-            longest, spans = _sizes(items, key, length)
+            longest, densest, spans = _sizes(items, key, length)
             if longest <= fold_rows:
                 break
             if levels and spans <= 1:
@@ -172,12 +188,17 @@ def greedy_times(
                 first = F.min(F.struct("u", "x", "forced")).alias("_first")
                 items = items.groupBy(*key).agg(first).select(*key, "_first.*")
                 break
-        length *= span_gaps
+            length *= span_gaps_for(densest, span_gaps)
+        else:
+            length *= span_gaps
         levels.append((items, length))
         items = materialize(_lift(items, key, gap_us, length))
+    if not levels:
+        forced = F.col("forced") if "forced" in items.columns else F.lit(False)
+        items = items.select(*key, "u", (F.col("u") + F.lit(gap_us)).alias("x"), forced.alias("forced"))
     chosen = _fold(items, key)
     for below, span in reversed(levels):
-        chosen = _expand(below, chosen, key, span)
+        chosen = _expand(below, chosen, key, gap_us, span)
     return chosen
 
 
@@ -203,12 +224,11 @@ def cooldown(
         return _fold_rows(rows, key, cooldown_us, must)
     long_keys = materialize(sizes.filter(F.col("_n") > fold_rows).select(key))
     short = _fold_rows(rows.join(long_keys, key, "left_anti"), key, cooldown_us, must)
-    return short.unionByName(
-        _chain_rows(rows.join(long_keys, key, "left_semi"), key, cooldown_us, must, fold_rows, span_gaps)
-    )
+    hot = rows.join(long_keys, key, "left_semi")
+    return short.unionByName(_chain_rows(hot, key, cooldown_us, must, fold_rows, span_gaps).select(*rows.columns))
 
 
-def _fold_rows(rows: DataFrame, key: str, gap: int, must) -> DataFrame:
+def _fold_rows(rows: DataFrame, key: str, gap: int, must: Column) -> DataFrame:
     """The cooldown as one native fold per key, for keys of a checked size."""
     rest = [c for c in rows.columns if c not in (key, "ts_us", "seq")]
     packed = rows.select(key, F.struct("ts_us", "seq", must.alias("_must"), *rest).alias("_row"))
@@ -234,18 +254,15 @@ def _fold_rows(rows: DataFrame, key: str, gap: int, must) -> DataFrame:
     return per_key.select(key, F.inline(fired)).select(*rows.columns)
 
 
-def _chain_rows(rows: DataFrame, key: str, gap: int, must, fold_rows: int, span_gaps: int) -> DataFrame:
+def _chain_rows(rows: DataFrame, key: str, gap: int, must: Column, fold_rows: int, span_gaps: int) -> DataFrame:
     """The cooldown for long keys: a chain over their distinct times, then back to the rows.
 
     At one time, the first row fires if the time is due; forced rows always fire.
     """
-    flagged = rows.withColumn("_must", must)
-    times = flagged.groupBy(key, F.col("ts_us").alias("u")).agg(
-        F.max("_must").alias("forced"), F.min("seq").alias("_head")
-    )
-    taken = materialize(greedy_times(times.drop("_head"), [key], gap, fold_rows=fold_rows, span_gaps=span_gaps))
-    due = taken.filter(F.col("u") >= F.col("opens")).select(key, F.col("u").alias("ts_us"), F.lit(True).alias("_due"))
-    first = F.min("seq").alias("_head")
-    heads = rows.join(due, [key, "ts_us"], "left_semi").groupBy(key, "ts_us").agg(first)
-    fired = flagged.join(heads, [key, "ts_us"], "left")
-    return fired.filter(F.col("_must") | (F.col("seq") == F.col("_head"))).select(*rows.columns)
+    any_forced = F.max(must).alias("forced")
+    times = materialize(rows.groupBy(key, F.col("ts_us").alias("u")).agg(any_forced, F.min("seq").alias("seq")))
+    chain = greedy_times(times.select(key, "u", "forced"), [key], gap, fold_rows=fold_rows, span_gaps=span_gaps)
+    taken = materialize(chain)
+    due = taken.filter(F.col("u") >= F.col("opens")).select(key, "u")
+    heads = materialize(times.join(due, [key, "u"], "left_semi").select(key, F.col("u").alias("ts_us"), "seq"))
+    return rows.filter(must).unionByName(rows.filter(~must).join(heads, [key, "ts_us", "seq"], "left_semi"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.flags import has_text
 from ..functions.timing import slice_start, window_us
 from ..scratch import materialize
-from .chain import SPAN_GAPS, greedy_times
+from .chain import SPAN_GAPS, SPAN_ROWS, greedy_times, span_gaps_for
 from .running import dense_index
 
 # Consecutive windows that one task numbers or averages over.
@@ -25,12 +25,13 @@ def window_starts(packets: DataFrame, window_s: float, key: list[str] | None = N
     """Start times ``key, window_start`` of all windows, in the scratch folder."""
     keys = key or []
     window = window_us(window_s)
-    # Distinct times: a span holds at most one row per microsecond, whatever the traffic.
-    times = packets.select(*keys, F.col("ts_us").alias("u")).distinct().withColumn("forced", F.lit(False))
-    chain_key = keys or ["_all"]
-    if not keys:
-        times = times.withColumn("_all", F.lit(0))
-    starts = greedy_times(times, chain_key, window, lift_first=True, span_gaps=span_gaps)
+    times = packets.select(*keys, F.col("ts_us").alias("u"))
+    densest = times.groupBy(*keys, slice_start(F.col("u"), window)).count().agg(F.max("count")).first()[0] or 0
+    gaps = span_gaps_for(densest, span_gaps)
+    if densest * gaps > SPAN_ROWS:
+        # A burst: then a span is bounded by its microseconds. Otherwise equal times do no harm and save a shuffle.
+        times = times.distinct()
+    starts = greedy_times(times, keys, window, lift_first=True, span_gaps=gaps)
     return materialize(starts.select(*keys, F.col("u").alias("window_start")))
 
 
