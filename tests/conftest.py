@@ -14,4 +14,4 @@ from wiretide.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, shuffle_partitions=4)
+    return local_session(4, shuffle_partitions=4, **{"spark.sql.dataFrameQueryContext.enabled": "false"})
