@@ -21,27 +21,20 @@ _CHUNK = 65_536
 _SPAN = "struct<start: bigint, end: bigint>"
 
 
-def window_starts(packets: DataFrame, window_s: float, key: list[str] | None = None, span_gaps: int = SPAN_GAPS) -> DataFrame:
-    """Start times ``key, window_start`` of all windows, in the scratch folder."""
-    keys = key or []
+def window_starts(packets: DataFrame, window_s: float, span_gaps: int = SPAN_GAPS) -> DataFrame:
+    """Start times ``window_start`` of all windows, in the scratch folder."""
     window = window_us(window_s)
-    times = packets.select(*keys, F.col("ts_us").alias("u"))
-    densest = times.groupBy(*keys, slice_start(F.col("u"), window)).count().agg(F.max("count")).first()[0] or 0
+    times = packets.select(F.col("ts_us").alias("u"))
+    densest = times.groupBy(slice_start(F.col("u"), window)).count().agg(F.max("count")).first()[0] or 0
     gaps = span_gaps_for(densest, span_gaps)
     if densest * gaps > SPAN_ROWS:
         # A burst: then a span is bounded by its microseconds. Otherwise equal times do no harm and save a shuffle.
         times = times.distinct()
-    starts = greedy_times(times, keys, window, lift_first=True, span_gaps=gaps)
-    return materialize(starts.select(*keys, F.col("u").alias("window_start")))
+    starts = greedy_times(times, [], window, lift_first=True, span_gaps=gaps)
+    return materialize(starts.select(F.col("u").alias("window_start")))
 
 
-def assign_windows(
-    packets: DataFrame,
-    starts: DataFrame,
-    window_s: float,
-    key: list[str] | None = None,
-    close: str | None = None,
-) -> DataFrame:
+def assign_windows(packets: DataFrame, starts: DataFrame, window_s: float, close: str | None = None) -> DataFrame:
     """Adds ``window_start`` to each packet by an equi-join on time slices of the window's length.
 
     Starts are at least ``W`` apart, so a slice of length ``W`` holds at most
@@ -49,7 +42,6 @@ def assign_windows(
     starts must be given, or a selection with the column ``close``, the time of
     the packet that closed the window; packets outside the selection are dropped.
     """
-    keys = key or []
     window = window_us(window_s)
     own = slice_start(F.col("window_start"), window)
     end = F.col(close) if close else F.lit(None).cast("bigint")
@@ -58,9 +50,9 @@ def assign_windows(
         F.struct(own.alias("_slice"), span.alias("_own"), F.lit(None).cast(_SPAN).alias("_prior")),
         F.struct((own + F.lit(window)).alias("_slice"), F.lit(None).cast(_SPAN).alias("_own"), span.alias("_prior")),
     )
-    lookup = starts.select(*keys, F.inline(slots)).groupBy(*keys, "_slice")
+    lookup = starts.select(F.inline(slots)).groupBy("_slice")
     lookup = lookup.agg(F.max("_own").alias("_own"), F.max("_prior").alias("_prior"))
-    placed = packets.withColumn("_slice", slice_start(F.col("ts_us"), window)).join(lookup, [*keys, "_slice"])
+    placed = packets.withColumn("_slice", slice_start(F.col("ts_us"), window)).join(lookup, "_slice")
     chosen = F.when(F.col("ts_us") >= F.col("_own.start"), F.col("_own")).otherwise(F.col("_prior"))
     placed = placed.withColumn("_span", chosen).drop("_slice", "_own", "_prior")
     if close:
@@ -77,8 +69,11 @@ def anchored_windows(packets: DataFrame, window_s: float, starts: DataFrame | No
     """
     starts = window_starts(packets, window_s) if starts is None else starts
     members = assign_windows(packets.select("ts_us", "seq"), starts, window_s)
-    counted = members.groupBy("window_start").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("ts_us", "seq"))["seq"].alias("first_seq")
+    # One row per window, read several times below; the packets are read once.
+    counted = materialize(
+        members.groupBy("window_start").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("ts_us", "seq"))["seq"].alias("first_seq")
+        )
     )
     chunk = slice_start(F.col("window_start"), _CHUNK * window_us(window_s))
     numbered = dense_index(counted, ["window_start"], chunk, "window_id")

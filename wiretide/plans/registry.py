@@ -27,6 +27,7 @@ from ..operators.windows import (
     window_starts,
 )
 from ..scratch import materialize, scratch_path
+from ..session import STATE_STORE
 from ..sources.events import DETECTOR_SETTINGS, event_frames, event_packets
 from ..sources.frames import capture_filter, decode_frames, split_malformed
 from ..sources.packets import load_packets
@@ -179,6 +180,15 @@ def _in_batches(rows: DataFrame, n_files: int = 3) -> str:
     return path
 
 
+def _stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for a replay: keyed state needs RocksDB, and one state store per shuffle partition."""
+    own = spark.newSession()
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return own
+
+
 def _stream_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _in_batches(event_packets(spark, sf_dir))
     return load_packets(spark, path, streaming=True, maxFilesPerTrigger="1")
@@ -186,7 +196,7 @@ def _stream_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replay(spark: SparkSession, sf_dir: str, detector: str, **params) -> DataFrame:
     path = scratch_path(spark)
-    alerts = stream_detect(_stream_input(spark, sf_dir), detector, **params)
+    alerts = stream_detect(_stream_input(_stream_session(spark), sf_dir), detector, **params)
     start_alert_sink(alerts, f"{path}/log", f"{path}/checkpoint", available_now=True).awaitTermination()
     return _view(store.read_alerts(spark, f"{path}/log"))
 
@@ -210,7 +220,7 @@ def stream_syn_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_traffic_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark)
     stream = TrafficAnomalyStream(f"{path}/log", f"{path}/state", *_anomaly_settings())
-    stream.start(_stream_input(spark, sf_dir), f"{path}/checkpoint", available_now=True).awaitTermination()
+    stream.start(_stream_input(_stream_session(spark), sf_dir), f"{path}/checkpoint", available_now=True).awaitTermination()
     return _view(store.read_alerts(spark, f"{path}/log"))
 
 

@@ -35,20 +35,23 @@ def as_packets(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     if not have & {"ts", "ts_us"}:
         raise ValueError("packets need a ts column (epoch seconds) or a ts_us column (epoch microseconds)")
-    if "seq" not in have:
-        if df.isStreaming:
-            raise ValueError("a packet stream needs a seq column")
-        df = df.withColumn("seq", F.monotonically_increasing_id())
+    if "seq" not in have and df.isStreaming:
+        raise ValueError("a packet stream needs a seq column")
     known = F.col("ts_us") if "ts_us" in have else F.round(F.col("ts") * F.lit(float(MICROS))).cast("bigint")
     known = F.coalesce(known, F.raise_error(F.lit("packet without a time")).cast("bigint"))
-    df = df.withColumn("ts_us", known)
-    if "ts" not in have:
-        df = df.withColumn("ts", F.col("ts_us") / F.lit(float(MICROS)))
-    if "event_time" not in have:
-        df = df.withColumn("event_time", F.timestamp_micros("ts_us"))
+    columns = {
+        "seq": F.col("seq").cast("bigint") if "seq" in have else F.monotonically_increasing_id(),
+        "ts": F.col("ts").cast("double") if "ts" in have else known / F.lit(float(MICROS)),
+        "ts_us": known,
+        "event_time": F.col("event_time") if "event_time" in have else F.timestamp_micros(known),
+    }
     for field in PACKET_FIELDS:
-        if field.name not in have and field.name != "ts":
-            df = df.withColumn(field.name, F.lit(_DEFAULTS.get(field.name)).cast(field.dataType))
-        elif df.schema[field.name].dataType != field.dataType:
-            df = df.withColumn(field.name, F.col(field.name).cast(field.dataType))
-    return df.select(*PACKET_COLUMNS)
+        if field.name == "ts":
+            continue
+        if field.name not in have:
+            columns[field.name] = F.lit(_DEFAULTS.get(field.name)).cast(field.dataType)
+        elif df.schema[field.name].dataType == field.dataType:
+            columns[field.name] = F.col(field.name)
+        else:
+            columns[field.name] = F.col(field.name).cast(field.dataType)
+    return df.select(*[columns[name].alias(name) for name in PACKET_COLUMNS])
