@@ -15,6 +15,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, **conf:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .config("spark.driver.memory", "12g")

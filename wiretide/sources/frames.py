@@ -45,7 +45,8 @@ def _flag_letters(bits: Column) -> Column:
     """A lookup in the letters of all 512 flag combinations."""
     letters = ["".join(c for i, c in enumerate(TCP_FLAG_LETTERS) if bits >> i & 1) for bits in range(512)]
     # Guarded, since element_at with a NULL index is taken to be non-null when the array is.
-    return F.when(bits.isNotNull(), F.element_at(F.array(*[F.lit(text) for text in letters]), bits.cast("int") + 1))
+    table = F.split(F.lit(",".join(letters)), ",")  # a constant
+    return F.when(bits.isNotNull(), F.element_at(table, bits.cast("int") + 1))
 
 
 def _link_layer(frames: DataFrame, linktype: str) -> DataFrame:
@@ -101,14 +102,15 @@ def decode_frames(frames: DataFrame, frame_col: str = "frame", linktype: str = "
     )
     total = head.bitwiseAND(F.lit(0xFFFF))
     first_fragment = mid.bitwiseAND(F.lit(0x1FFF0000)) == 0
-    checked = network.select(
-        "*",
+    outcome = F.struct(
         error.alias("decode_error"),
         (l3 + header_length).cast("int").alias("_l4"),
         # The payload ends at the length the IPv4 header gives; the rest is link padding.
         F.when(total >= header_length, F.least(size, l3 + total)).otherwise(size).alias("_end"),
         F.when(is_ipv4 & first_fragment, mid.bitwiseAND(F.lit(0xFF))).alias("_proto"),
     )
+    # As a generated row, so that a filter on the outcome is not pushed below the parsing and does it all again.
+    checked = network.select("*", F.inline(F.array(outcome)))
     sound, l4, room = F.col("decode_error").isNull(), F.col("_l4"), F.col("_end") - F.col("_l4")
     protocol = (
         F.when(~sound, None)
