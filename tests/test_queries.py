@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from wiretide.plans.oracle import ORACLE
+from wiretide.plans.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -22,10 +24,11 @@ def tables():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     df = entry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
