@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_remainder, table
+from .lang_id import fit_languages, identify
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .token_counts import count_tokens
 from .url_filter import filter_urls
 
@@ -20,14 +23,30 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    found = identify(docs, fit_languages(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE = {
