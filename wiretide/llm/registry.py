@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_remainder, table
+from .fingerprints import fingerprint_documents
 from .lang_id import fit_languages, identify
+from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .token_counts import count_tokens
@@ -19,6 +21,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
@@ -41,15 +47,50 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "repetitions", "taken")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
     "op8_language_id": op8_language_id,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE = {
+    "op9_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, ''), '20')) AS key
+            FROM documents),
+        sources AS (
+            SELECT source, sum(size)::DOUBLE AS s,
+                   [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w
+            FROM sized GROUP BY source),
+        ordered AS (
+            SELECT *, row_number() OVER (ORDER BY s / w, source NULLS LAST) AS k FROM sources),
+        levels AS (
+            SELECT a.source, a.s, a.w, a.k,
+                   (1.5 * (SELECT sum(s) FROM sources) - 2 * coalesce(sum(b.s) FILTER (b.k < a.k), 0))
+                       / sum(b.w) FILTER (b.k >= a.k) AS level
+            FROM ordered a, ordered b GROUP BY ALL),
+        opened AS (SELECT min_by(level, k) AS level FROM levels WHERE level * w <= 2 * s),
+        targets AS (
+            SELECT source, s, least(2 * s, coalesce(opened.level * w, 2 * s)) AS target FROM levels, opened),
+        placed AS (
+            SELECT d.doc_id, d.size, t.s, t.target, CASE WHEN t.s > 0 THEN t.target / t.s ELSE 0 END AS epochs,
+                   sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)
+                       - d.size / 2 AS middle
+            FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+        taken AS (
+            SELECT *, (floor(epochs) + CASE WHEN middle < (epochs - floor(epochs)) * s AND size > 0 THEN 1 ELSE 0 END)::BIGINT AS repetitions
+            FROM placed)
+        SELECT doc_id, size, s::BIGINT AS source_size, target, repetitions, size * repetitions AS taken FROM taken""",
     "op1_url_filter": r"""
         WITH parts AS (
             SELECT page_id,
