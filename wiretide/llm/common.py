@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +41,18 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, judge_of_task: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows whose text is kept, with all columns. ``judge_of_task`` makes, once per task, a function from texts to decisions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = None
+        for batch in batches:
+            judge = judge or judge_of_task()
+            yield batch.filter(pa.array(judge(batch.column("text").to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _arrow_schema(schema: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(),

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keep_rows
+
 #: Documents per language that the model is fitted on, in the order of a hash of the id, and words drawn from each.
 FIT_DOCS, FIT_WORDS = 1_500, 64
-#: A language needs this share of the fitted documents' total at most; more languages than this are an error.
+#: More languages than this are an error.
 MAX_LANGUAGES = 400
 BUCKETS, DIM, EPOCHS, RATE, BATCH = 1 << 16, 16, 4, 2.0, 64
 KEPT_BACK = 0.2
@@ -177,7 +179,6 @@ def calibrate(model: LanguageModel, means: np.ndarray, truth: np.ndarray) -> Non
 
 def fit_languages(docs: DataFrame, train: Column, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> LanguageModel:
     """From the documents for which ``train`` holds and whose lang is not null; the driver gets drawn words only."""
-    spark = docs.sparkSession
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     narrow = docs.where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     chosen = (
@@ -202,7 +203,6 @@ def fit_languages(docs: DataFrame, train: Column, fit_docs: int = FIT_DOCS, fit_
     languages = narrow.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if languages > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    del spark
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "lang", F.coalesce("text", F.lit("")).alias("t"))
     # At most fit_docs narrow rows for each of at most MAX_LANGUAGES languages are broadcast.
     rows = texts.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "t")
@@ -236,3 +236,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` whose language isn't rejected, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge_of_task():
+        scorer = Scorer(shared.value)
+        return lambda texts: [not scorer.predict(t)[2] for t in texts]
+
+    return keep_rows(docs, judge_of_task)

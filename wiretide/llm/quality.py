@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_rows
+
 #: Labelled rows that the trees are fitted on, taken in the order of a hash of the id.
 FIT_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, SHRINK, LEAST_WEIGHT = 60, 4, 64, 0.15, 1.0, 2.0
@@ -196,3 +198,19 @@ def score_quality(docs: DataFrame, model: Trees, accept: float = ACCEPT) -> Data
     return rows.mapInArrow(run, "id long, score double").select(
         F.col("id").alias("doc_id"), "score", (F.col("score") >= accept).cast("int").alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, model: Trees, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs`` that the model accepts, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge_of_task():
+        groups = group_matrix()
+
+        def judge(texts: list) -> list[bool]:
+            stats = [statistics((t or "").encode(), groups) for t in texts]
+            return (shared.value.score(np.array(stats).reshape(-1, N_STATS)) >= accept).tolist()
+
+        return judge
+
+    return keep_rows(docs, judge_of_task)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import id_remainder, table
 from .embedding_dedup import near_duplicates
 from .fingerprints import fingerprint_documents
+from .jaccard_join import jaccard_groups
 from .lang_id import fit_languages, identify
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -45,6 +46,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 5) == 0
@@ -63,6 +68,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
 }
