@@ -10,6 +10,7 @@ from .embedding_dedup import near_duplicates
 from .fingerprints import fingerprint_documents
 from .jaccard_join import jaccard_groups
 from .lang_id import fit_languages, identify
+from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
@@ -61,6 +62,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "repetitions", "taken")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) != 2)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -71,6 +76,7 @@ QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE = {
