@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import random
+from pathlib import Path
+
+import duckdb
+import pytest
+from helpers import awkward, documents, sentence, words
+
+import __spark_entry__ as entry
+from wiretide.llm.mixing import mix_sources, repeat_documents
+
+
+def water_filling(sizes, share=1.5, cap=2, weights=(3, 1, 2)):
+    """Clamp, reshare the excess by weight, again until none is above its cap."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    budget, open_, target = share * sum(sizes.values()), set(names), {}
+    while open_:
+        level = budget / sum(weight[s] for s in open_)
+        above = {s for s in open_ if level * weight[s] > cap * sizes[s]}
+        if not above:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: cap * sizes[s] for s in above}
+        budget -= sum(cap * sizes[s] for s in above)
+        open_ -= above
+    return target
+
+
+def check(docs):
+    rows = docs.collect()
+    got = mix_sources(docs).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + len(words(r.text))
+    targets = water_filling(sizes)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.size == len(words(r.text)) and r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(targets[r.source])
+        assert r.taken == r.size * r.repetitions and 0 <= r.repetitions <= 2
+    for source, target in targets.items():
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - target) <= max(r.size for r in own) / 2 + 1e-6
+    repeated = repeat_documents(docs)
+    assert repeated.columns == docs.columns
+    assert repeated.count() == sum(r.repetitions for r in got)
+    assert sorted(map(repr, got)) == sorted(map(repr, mix_sources(docs).collect()))
+
+
+def test_awkward_rows(spark):
+    check(awkward(spark))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_sources(spark, seed):
+    rng = random.Random(seed)
+    names = [None, "", "a", "b", "é", "Z", "zz", "\U0001f600", "￿"][: rng.randrange(1, 10)]
+    weights = [rng.choice([1, 5, 40]) for _ in names]
+    rows = [(k, sentence(rng, rng.choice([0, 1, 5, 60])), "en", rng.choices(names, weights)[0]) for k in range(120)]
+    check(documents(spark, rows))
+
+
+def test_empty(spark):
+    docs = awkward(spark).limit(0)
+    assert mix_sources(docs).count() == 0 and repeat_documents(docs).count() == 0
+
+
+def test_all_texts_empty(spark):
+    got = mix_sources(documents(spark, [(1, None, "en", "a"), (2, "", "en", "b")])).collect()
+    assert [(r.target, r.taken) for r in got] == [(0, 0), (0, 0)]
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & {"op1_url_filter", "op9_mixing"}))
+def test_query_against_sql(spark, name):
+    sf_dir = "/root/testdata/sf0.01"
+    if not Path(sf_dir).exists():
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = entry.queries()[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    result = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr([r[names.index(c)] for c in columns]) for r in result.fetchall())
