@@ -19,7 +19,7 @@ from wiretide.plans.engine import (
 )
 from wiretide.plans.params import DEFAULTS, settings
 from wiretide.schema import ALERT_SCHEMA
-from wiretide.sources.packets import as_packets, load_packets
+from wiretide.sources.packets import as_packets, load_packets, timed
 
 ONE_PORT = {"port_scan": {"port_threshold": 1}}
 
@@ -132,7 +132,7 @@ def test_packet_sources(spark, tmp_path):
     bare = as_packets(spark.createDataFrame([(1.5,)], "ts double")).first()
     assert bare.ts_us == 1_500_000 and bare.is_arp is False and bare.length == 0 and bare.src_ip is None
     with pytest.raises(Exception, match="without a time"):
-        as_packets(spark.createDataFrame([(None,)], "ts double")).collect()
+        timed(as_packets(spark.createDataFrame([(None,)], "ts double"))).collect()
 
 
 def alert(seq, source="10.0.0.1", kind="PORT_SCAN", ts_us=1_000_000):

@@ -11,14 +11,20 @@ may hold most of the rows, so long histories are reduced level by level:
   the chain leaves it. The chain always enters a span within ``gap`` of its
   start, or at the first item after that. So a level shrinks by about the ratio
   of span to gap, and entries with the same exit collapse into one.
-* Once a key is short, a fold over its items picks the true entries, and
+* Once a key is short, one pass over its items picks the true entries, and
   ``expand`` walks each span from its known entry, all spans in parallel.
 
 A forced item is taken whatever came before it.
+
+A long key with few gaps in its history needs none of that: each step of its
+chain is the minimum of the times from where it opens, a combining aggregate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +34,9 @@ from pyspark.sql import types as T
 from ..functions.timing import slice_start
 from ..scratch import materialize
 
-# Items of one key that a single fold handles; items of a span; and gaps per span on each level.
+# Items of one key that a single pass handles; steps that are taken one by one; items of a span; gaps per span on each level.
 FOLD_ROWS = 50_000
+FEW_STEPS = 48
 SPAN_ROWS = 16_000_000
 SPAN_GAPS = 16
 
@@ -98,31 +105,75 @@ def _expand_span(items: pa.Table, entries: pa.Table, key: list[str], gap: int) -
     taken, opened = [], []
     if len(u) and len(entries):
         opens = entries["opens"][int(np.argmin(entries["u"].to_numpy()))].as_py()
-        at = min(int(np.searchsorted(u, opens, side="left")), _first_forced(forced))
-        following = _next_items(u, x, forced) if forced.any() else None
-        while at < len(u):
-            taken.append(at)
-            opened.append(opens)
-            opens = int(x[at])
-            at = int(np.searchsorted(u, opens, side="left")) if following is None else int(following[at])
+        taken, opened, _ = chain(u, x, np.flatnonzero(forced), opens)
     return _result(items, key, {"u": u[taken], "opens": np.array(opened, dtype="int64")})
 
 
+def chain(u: np.ndarray, x: np.ndarray, must: np.ndarray, opens: int) -> tuple[list[int], list[int], int]:
+    """Positions taken, when each was open, and the time from which the next may be taken. ``must``: forced positions."""
+    taken, opened, at = [], [], 0
+    while True:
+        due = at + int(np.searchsorted(u[at:], opens, side="left"))
+        later = int(np.searchsorted(must, at, side="left"))
+        if later < len(must):
+            due = min(due, int(must[later]))
+        if due >= len(u):
+            return taken, opened, opens
+        taken.append(due)
+        opened.append(opens)
+        opens, at = int(x[due]), due + 1
+
+
+def _walk(
+    batches: Iterator[pa.RecordBatch], key: list[str], arrays: Callable[[pa.RecordBatch], tuple]
+) -> Iterator[tuple[pa.RecordBatch, list[int], list[int]]]:
+    """The chain over batches sorted by key and time: each batch, the positions taken, and when they were open.
+
+    ``arrays`` gives a batch's times, next times and forced flags. Only the state of the last key is held.
+    """
+    last, opens = None, _NEVER
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        u, x, forced = arrays(batch)
+        new = np.zeros(n, dtype=bool)
+        for k in key:
+            codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        must = np.flatnonzero(forced)
+        taken, opened = [], []
+        for a, b in zip(starts, [*starts[1:], n], strict=True):
+            own = [batch.column(k)[a].as_py() for k in key]
+            if own != last:
+                last, opens = own, _NEVER
+            inside = must[np.searchsorted(must, a) : np.searchsorted(must, b)] - a
+            at, since, opens = chain(u[a:b], x[a:b], inside, opens)
+            taken += [a + i for i in at]
+            opened += since
+        yield batch, taken, opened
+
+
+def _dealt(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """Whole keys in one partition each, sorted; without a key, all rows in one."""
+    dealt = rows.repartition(*key) if key else rows.repartition(1)
+    return dealt.sortWithinPartitions(*key, *order)
+
+
 def _fold(items: DataFrame, key: list[str]) -> DataFrame:
     """The chain over short keys: rows ``key, u, opens`` where ``opens`` is the earliest time allowed there."""
-    taken = T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("opens", T.LongType())]))
-    empty = F.struct(F.lit(_NEVER).cast("bigint").alias("opens"), F.array().cast(taken).alias("taken"))
 
-    def step(state, item):
-        take = item["forced"] | (item["u"] >= state["opens"])
-        entry = F.struct(item["u"].alias("u"), state["opens"].alias("opens"))
-        after = F.struct(item["x"].alias("opens"), F.concat(state["taken"], F.array(entry)).alias("taken"))
-        return F.when(take, after).otherwise(state)
+    def arrays(batch: pa.RecordBatch) -> tuple:
+        return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "x", "forced"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, taken, opened in _walk(batches, key, arrays):
+            out = batch.select([*key, "u"]).take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(opened, pa.int64())], names=[*key, "u", "opens"])
 
-    ordered = F.array_sort(F.collect_list(F.struct("u", "x", "forced")))
-    per_key = items.groupBy(*key).agg(ordered.alias("_items"))
-    chain = F.aggregate("_items", empty, step, lambda state: state["taken"])
-    return per_key.select(*key, F.inline(chain))
+    schema = _key_schema(items, key, u=T.LongType(), opens=T.LongType())
+    return _dealt(items.select(*key, "u", "x", "forced"), key, "u", "x").mapInArrow(run, schema)
 
 
 def _in_spans(items: DataFrame, length: int) -> DataFrame:
@@ -229,29 +280,29 @@ def cooldown(
 
 
 def _fold_rows(rows: DataFrame, key: str, gap: int, must: Column) -> DataFrame:
-    """The cooldown as one native fold per key, for keys of a checked size."""
-    rest = [c for c in rows.columns if c not in (key, "ts_us", "seq")]
-    packed = rows.select(key, F.struct("ts_us", "seq", must.alias("_must"), *rest).alias("_row"))
-    row_type = packed.schema["_row"].dataType
-    empty = F.struct(F.lit(_NEVER).cast("bigint").alias("opens"), F.array().cast(T.ArrayType(row_type)).alias("fired"))
-
-    def step(state, row):
-        fires = row["_must"] | (row["ts_us"] >= state["opens"])
-        after = F.struct(
-            (row["ts_us"] + F.lit(gap)).alias("opens"), F.concat(state["fired"], F.array(row)).alias("fired")
-        )
-        return F.when(fires, after).otherwise(state)
-
-    by_arrival = lambda a, b: (  # noqa: E731 - the payload columns need not be orderable
-        F.when(a["ts_us"] < b["ts_us"], -1)
-        .when(a["ts_us"] > b["ts_us"], 1)
-        .when(a["seq"] < b["seq"], -1)
-        .when(a["seq"] > b["seq"], 1)
-        .otherwise(0)
-    )
-    per_key = packed.groupBy(key).agg(F.array_sort(F.collect_list("_row"), by_arrival).alias("_rows"))
-    fired = F.aggregate("_rows", empty, step, lambda state: state["fired"])
-    return per_key.select(key, F.inline(fired)).select(*rows.columns)
+    """The cooldown as one pass over sorted rows, for keys of a checked size."""
+
+    def arrays(batch: pa.RecordBatch) -> tuple:
+        u = batch.column("ts_us").to_numpy(zero_copy_only=False)
+        return u, u + gap, batch.column("_must").to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, taken, _ in _walk(batches, [key], arrays):
+            yield batch.drop_columns(["_must"]).take(pa.array(taken, pa.int64()))
+
+    return _dealt(rows.withColumn("_must", must), [key], "ts_us", "seq").mapInArrow(run, rows.schema)
+
+
+def _few_steps(times: DataFrame, key: str, gap: int, steps: int) -> DataFrame:
+    """The chain of each key without forced times, one step after the other: rows ``key, u, opens``."""
+    taken = []
+    now = materialize(times.groupBy(key).agg(F.min("u").alias("u")))
+    for _ in range(steps):
+        taken.append(now.withColumn("opens", F.lit(_NEVER)))
+        opens = now.select(F.col(key).alias("_key"), (F.col("u") + F.lit(gap)).alias("_opens"))
+        later = times.join(opens, F.col(key).eqNullSafe(F.col("_key")) & (F.col("u") >= F.col("_opens")))
+        now = materialize(later.groupBy(key).agg(F.min("u").alias("u")))
+    return reduce(DataFrame.unionByName, taken)
 
 
 def _chain_rows(rows: DataFrame, key: str, gap: int, must: Column, fold_rows: int, span_gaps: int) -> DataFrame:
@@ -261,8 +312,14 @@ def _chain_rows(rows: DataFrame, key: str, gap: int, must: Column, fold_rows: in
     """
     any_forced = F.max(must).alias("forced")
     times = materialize(rows.groupBy(key, F.col("ts_us").alias("u")).agg(any_forced, F.min("seq").alias("seq")))
-    chain = greedy_times(times.select(key, "u", "forced"), [key], gap, fold_rows=fold_rows, span_gaps=span_gaps)
-    taken = materialize(chain)
+    extent = times.groupBy(key).agg((F.max("u") - F.min("u")).alias("_extent"), F.max("forced").alias("_forced"))
+    longest, any_forced = extent.agg(F.max("_extent"), F.max("_forced")).first()
+    steps = (longest or 0) // gap + 1
+    if steps <= FEW_STEPS and not any_forced:
+        taken = _few_steps(times.select(key, "u"), key, gap, steps)
+    else:
+        found = greedy_times(times.select(key, "u", "forced"), [key], gap, fold_rows=fold_rows, span_gaps=span_gaps)
+        taken = materialize(found)
     due = taken.filter(F.col("u") >= F.col("opens")).select(key, "u")
     heads = materialize(times.join(due, [key, "u"], "left_semi").select(key, F.col("u").alias("ts_us"), "seq"))
     return rows.filter(must).unionByName(rows.filter(~must).join(heads, [key, "ts_us", "seq"], "left_semi"))

@@ -9,14 +9,17 @@ from ..functions.text import number_list, one_decimal, quoted_list
 from ..functions.timing import cooldown_us, slice_start, window_us
 from ..schema import ALERT_COLUMNS, ARP_SPOOF, PORT_SCAN, SYN_FLOOD, TRAFFIC_ANOMALY
 from ..scratch import materialize
+from ..sources.packets import timed
 from .chain import cooldown
 from .distinct import cumulative_distinct, first_arrivals
 from .predicates import arp_eligible, port_scan_eligible, syn_packets
 from .sliding import sliding_count, sliding_distinct_count
 from .windows import anchored_windows, assign_windows, rolling_baseline, top_source_per_window, window_starts
 
-# Fixed value: how many ports the text of a port-scan alert lists.
+# Fixed value: how many ports the text of a port-scan alert lists. The column ``items`` has them all.
 LISTED_PORTS = 20
+# What tells packets apart.
+IDENTITY = ["src_ip", "ts_us", "seq"]
 
 
 def _alerts(
@@ -55,28 +58,34 @@ def detect_port_scan(
 ) -> DataFrame:
     """Sources that reach ``port_threshold`` distinct destination ports within the window."""
     window = window_us(window_s)
-    eligible = port_scan_eligible(packets).select("src_ip", "dst_port", "ts_us", "seq")
-    counted = sliding_distinct_count(eligible, "src_ip", "dst_port", window_s, slice_s)
+    eligible = port_scan_eligible(timed(packets)).select("src_ip", "dst_port", "ts_us", "seq")
+
+    # The first and the last packet to each port in each slice of the window's length: a combining aggregate.
+    seen = materialize(
+        eligible.groupBy("src_ip", slice_start(F.col("ts_us"), window).alias("_slice"), "dst_port").agg(
+            F.min(F.struct("ts_us", "seq")).alias("_first"), F.max("ts_us").alias("_last")
+        )
+    )
+    # A window touches two adjacent slices, so a source whose slices hold too few ports can't alert.
+    ports = seen.groupBy("src_ip", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    two = ports.unionByName(ports.withColumn("_slice", F.col("_slice") + F.lit(window))).groupBy("src_ip", "_slice")
+    suspects = two.agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= port_threshold).select("src_ip").distinct()
+    watched = eligible.join(materialize(suspects), "src_ip", "left_semi")
+
+    counted = sliding_distinct_count(watched, "src_ip", "dst_port", window_s, slice_s)
     over = counted.filter(F.col("observed") >= port_threshold).select("src_ip", "ts_us", "seq", "observed")
     fired = materialize(cooldown(over, "src_ip", cooldown_us(cooldown_s)))
 
-    # The live ports of the few alerts: an equi-join on slices of the window's length.
-    first, last = slice_start(F.col("ts_us") - F.lit(window), window), slice_start(F.col("ts_us"), window)
-    reach = fired.select(
-        F.col("src_ip"),
-        F.col("ts_us").alias("_alert_us"),
-        F.col("seq").alias("_alert_seq"),
-        F.explode(F.array(first, last)).alias("_slice"),
-    )
-    near = eligible.withColumn("_slice", slice_start(F.col("ts_us"), window)).join(reach, ["src_ip", "_slice"])
+    # The live ports of the alerts: those with a packet late enough in the slice before, or early enough in the alert's own.
+    own = slice_start(F.col("ts_us"), window)
+    reach = fired.select("src_ip", "ts_us", "seq", F.explode(F.array(own - F.lit(window), own)).alias("_slice"))
+    near = seen.join(reach, ["src_ip", "_slice"])
     live = near.filter(
-        (F.col("ts_us") >= F.col("_alert_us") - F.lit(window))
-        & _arrived_by(F.col("ts_us"), F.col("seq"), F.col("_alert_us"), F.col("_alert_seq"))
+        (F.col("_last") >= F.col("ts_us") - F.lit(window))
+        & _arrived_by(F.col("_first.ts_us"), F.col("_first.seq"), F.col("ts_us"), F.col("seq"))
     )
-    ports = live.groupBy(F.col("_alert_seq").alias("seq")).agg(
-        F.slice(F.array_sort(F.collect_set("dst_port")), 1, LISTED_PORTS).cast("array<string>").alias("items")
-    )
-    return port_scan_alerts(fired.join(ports, "seq"), port_threshold, window_s)
+    items = F.array_sort(F.collect_set("dst_port")).cast("array<string>").alias("items")
+    return port_scan_alerts(fired.join(live.groupBy(*IDENTITY).agg(items), IDENTITY), port_threshold, window_s)
 
 
 def port_scan_alerts(fired: DataFrame, port_threshold: int, window_s: float) -> DataFrame:
@@ -84,26 +93,28 @@ def port_scan_alerts(fired: DataFrame, port_threshold: int, window_s: float) ->
     details = F.concat(
         F.col("observed").cast("string"),
         F.lit(f" distinct ports contacted within {window_s:.0f}s (threshold: {port_threshold}); recent ports: "),
-        number_list(F.col("items")),
+        number_list(F.slice("items", 1, LISTED_PORTS)),
     )
     return _alerts(fired, PORT_SCAN, details, port_threshold, items=F.col("items"))
 
 
 def detect_arp_spoof(packets: DataFrame, cooldown_s: float = 60.0, slice_s: float = 3600.0) -> DataFrame:
     """Addresses bound to two or more MACs; a MAC not seen before alerts at once."""
-    eligible = arp_eligible(packets).select("src_ip", "src_mac", "ts_us", "seq")
-    counted = cumulative_distinct(eligible, "src_ip", "src_mac", slice_s)
-    over = counted.filter(F.col("observed") >= 2).drop("src_mac")
-    fired = materialize(cooldown(over, "src_ip", cooldown_us(cooldown_s), forced="first_seen"))
-
-    bindings = first_arrivals(eligible, "src_ip", "src_mac").select(
-        "src_ip", "src_mac", F.col("ts_us").alias("_bound_us"), F.col("seq").alias("_bound_seq")
+    eligible = arp_eligible(timed(packets)).select("src_ip", "src_mac", "ts_us", "seq")
+    firsts = materialize(first_arrivals(eligible, "src_ip", "src_mac"))
+    # Only addresses with two MACs at some time can alert.
+    order = F.struct("ts_us", "seq", "src_mac")
+    bound = firsts.groupBy("src_ip").agg(F.array_sort(F.collect_list(order)).alias("_bound")).filter(F.size("_bound") >= 2)
+    bound = materialize(bound)
+    suspects = bound.select("src_ip")
+    counted = cumulative_distinct(
+        eligible.join(suspects, "src_ip", "left_semi"), "src_ip", "src_mac", slice_s, firsts=firsts.join(suspects, "src_ip", "left_semi")
     )
-    known = fired.join(bindings, "src_ip").filter(
-        _arrived_by(F.col("_bound_us"), F.col("_bound_seq"), F.col("ts_us"), F.col("seq"))
-    )
-    macs = known.groupBy("seq").agg(F.array_sort(F.collect_list("src_mac")).alias("items"))
-    return arp_spoof_alerts(fired.join(macs, "seq"))
+    over = counted.filter(F.col("observed") >= 2).drop("src_mac")
+    fired = cooldown(over, "src_ip", cooldown_us(cooldown_s), forced="first_seen")
+    # The MACs so far are the first ``observed`` in the order in which they were bound.
+    so_far = F.slice("_bound", F.lit(1), F.col("observed").cast("int"))["src_mac"]
+    return arp_spoof_alerts(fired.join(bound, "src_ip").withColumn("items", F.array_sort(so_far)))
 
 
 def arp_spoof_alerts(fired: DataFrame) -> DataFrame:
@@ -128,7 +139,7 @@ def detect_syn_flood(
 ) -> DataFrame:
     """Sources that send ``syn_threshold`` connection attempts within the window."""
     window_us(window_s)
-    eligible = syn_packets(packets).select("src_ip", "ts_us", "seq")
+    eligible = syn_packets(timed(packets)).select("src_ip", "ts_us", "seq")
     counted = sliding_count(eligible, "src_ip", window_s, slice_s)
     fired = cooldown(counted.filter(F.col("observed") >= syn_threshold), "src_ip", cooldown_us(cooldown_s))
     return syn_flood_alerts(fired, syn_threshold, window_s)
@@ -157,6 +168,7 @@ def detect_traffic_anomaly(
 
     The alert carries the time and ``seq`` of the packet that closed the window.
     """
+    packets = timed(packets)
     starts = window_starts(packets, window_s)
     windows = rolling_baseline(anchored_windows(packets, window_s, starts), baseline_windows)
     return spike_alerts(packets, windows, window_s, multiplier, min_samples)

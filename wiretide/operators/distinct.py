@@ -24,17 +24,20 @@ def cumulative_distinct(
     slice_s: float = 3600.0,
     out: str = "observed",
     first_seen: str = "first_seen",
+    firsts: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the running number of distinct values of the key and a flag on the first row of each value.
 
     First arrivals come from a combining aggregate. Each joins its slice as a
     marker row just before the packet itself, so neither a hot key nor a hot
-    (key, value) pair has to fit in one task.
+    (key, value) pair has to fit in one task. ``firsts`` gives the first arrivals
+    where they are already known.
     """
     length = window_us(slice_s, "slice_s")
     start = slice_start(F.col("ts_us"), length).alias(_SLICE)
     marker = F.col("_kind") == 0
-    markers = first_arrivals(df, key, value).select(
+    firsts = first_arrivals(df, key, value) if firsts is None else firsts
+    markers = firsts.select(
         "*", start, F.lit(0).alias("_kind"), F.lit(1).cast("bigint").alias("_new")
     )
     rows = df.select("*", start, F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_new"))

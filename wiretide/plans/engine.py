@@ -24,6 +24,7 @@ from ..operators.running import dense_index
 from ..operators.whitelist import exclude_whitelisted
 from ..schema import ALERT_SCHEMA
 from ..scratch import materialize
+from ..sources.packets import timed
 from .params import settings
 
 logger = logging.getLogger("wiretide")
@@ -43,6 +44,11 @@ _REGISTRY: dict[str, Detector] = {
     ),
 }
 
+_BUILT_IN = dict(_REGISTRY)
+
+# All that the built-in detectors use.
+WATCHED_COLUMNS = ["seq", "ts_us", "src_ip", "src_mac", "protocol", "dst_port", "tcp_flags", "is_arp"]
+
 
 def register_detector(name: str, detector: Detector) -> None:
     """Adds a detector after the existing ones; an existing name is replaced in place."""
@@ -100,14 +106,16 @@ def detect_all(
 ) -> DataFrame:
     """Alerts of all selected detectors, with ``detector_ordinal``.
 
-    Whitelisted packets enter no detector. The detectors only share the scan;
-    their intermediate jobs are independent and run side by side.
+    Whitelisted packets enter no detector. If only the built-in detectors run, the columns they use are written to the scratch
+    folder first, so the packets themselves are read once. The detectors' intermediate jobs are independent and run side by side.
     """
     sections = _sections(params)
     names = select_detectors(params, enabled)
     watched = exclude_whitelisted(packets, list(whitelist) or sections["whitelist"])
     if not names:
         return _no_alerts(packets.sparkSession)
+    if all(_REGISTRY[name] is _BUILT_IN.get(name) for name in names):
+        watched = materialize(timed(watched).select(*WATCHED_COLUMNS))
     with ThreadPoolExecutor(max_workers=len(names)) as pool:
         build = inheritable_thread_target(packets.sparkSession)(_build)
         parts = list(pool.map(lambda name: build(name, watched, sections), names))

@@ -1,7 +1,17 @@
-"""The alert log: an append-only table, and the queries on it."""
+"""The alert log: an append-only table, and the queries on it.
+
+Each batch of each writer has a directory of its own, so no writer touches another one's alerts. Ids are reserved in the
+folder ``_ids``: entry n, created only if nobody else has, says whose range it is and where the next one starts. An append
+looks at the last entry and at none of the alerts.
+"""
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.timing import iso_utc
 from ..operators.predicates import filter_alerts
 from ..schema import ALERT_SCHEMA, EVENT_TYPES
+from ..scratch import materialize
 from .engine import assign_ids
 
 # Rows returned by default and at most, and the four known types in display order.
@@ -17,10 +28,14 @@ DEFAULT_LIMIT = 100
 MAX_LIMIT = 1000
 CARD_TYPES = EVENT_TYPES
 
+# Tenths of a second to wait for a reservation that another writer is making.
+_PATIENCE = 100
+
 LOG_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
         *ALERT_SCHEMA.fields,
+        T.StructField("writer", T.StringType()),
         T.StructField("batch_id", T.LongType()),
         T.StructField("event_date", T.DateType()),
     ]
@@ -37,21 +52,101 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LOG_SCHEMA)
 
 
-def append_alerts(alerts: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Numbers the alerts after the ones in the log and appends them, partitioned by batch and date.
+def append_alerts(alerts: DataFrame, path: str, batch_id: int | None = None, writer: str | None = None) -> None:
+    """Numbers the alerts after all that were appended before and appends them, partitioned by writer, batch and date.
 
-    Writing the same ``batch_id`` again replaces that batch, so a replayed
-    streaming batch leaves no duplicates and gets the same ids.
+    Writing the same ``batch_id`` of the same ``writer`` again replaces just that, with the same ids, so a replayed
+    streaming batch leaves no duplicates. Without a ``batch_id`` each call is a writer of its own. A failure between reserving ids and
+    writing leaves a gap in the ids, and never a repeated one.
     """
-    log = read_alerts(alerts.sparkSession, path)
-    last = log if batch_id is None else log.filter(F.col("batch_id") < batch_id)
-    last_id, last_batch = last.agg(F.max("id"), F.max("batch_id")).first()
     if batch_id is None:
-        batch_id = -1 if last_batch is None else last_batch
-        batch_id += 1
-    numbered = assign_ids(alerts, (last_id or 0) + 1).select("id", *ALERT_SCHEMA.names)
+        if writer is not None:
+            raise ValueError("a named writer needs batch numbers")
+        writer, batch_id = uuid.uuid4().hex, 0
+    writer = writer or "batch"
+    alerts = materialize(alerts)
+    n = alerts.count()
+    if not n:
+        return
+    ids = _Ids(alerts.sparkSession, path)
+    numbered = assign_ids(alerts, ids.reserve(writer, batch_id, n)).select("id", *ALERT_SCHEMA.names)
     dated = numbered.withColumn("event_date", F.date_add(F.lit("1970-01-01").cast("date"), _utc_day()))
-    dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch_id={batch_id}")
+    dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/writer={writer}/batch_id={batch_id}")
+
+
+class _Ids:
+    """Reserved ranges of ids. Creating a file only if it isn't there is atomic on HDFS and local disks."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.jvm = spark.sparkContext._jvm
+        self.root = f"{path}/_ids"
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path("").getFileSystem(hadoop)
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _read(self, name: str) -> dict | None:
+        if not self.fs.exists(self._path(name)):
+            return None
+        for _ in range(_PATIENCE):
+            stream = self.fs.open(self._path(name))
+            try:
+                text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if text:
+                return json.loads(text)
+            time.sleep(0.1)  # another writer has made the file and not yet filled it
+        raise RuntimeError(f"{self.root}/{name} is empty: its writer failed in between; delete it if none is running")
+
+    def _create(self, name: str, entry: dict) -> bool:
+        """Whether this call made the file."""
+        try:
+            stream = self.fs.create(self._path(name), False)
+        except Py4JJavaError:
+            if self.fs.exists(self._path(name)):
+                return False
+            raise
+        stream.write(bytearray(json.dumps(entry).encode()))
+        stream.close()
+        return True
+
+    def _last(self) -> int:
+        """Number of the last entry, -1 without any; entries have no gaps, so it is found in a few steps."""
+        there = lambda k: self.fs.exists(self._path(f"{k:012d}"))
+        if not there(0):
+            return -1
+        low, high = 0, 1
+        while there(high):
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if there(middle) else (low, middle)
+        return low
+
+    def reserve(self, writer: str, batch_id: int, n: int) -> int:
+        """The first of ``n`` ids; the same as before for a batch that is written again."""
+        own = f"{writer}/{batch_id}"
+        known = self._read(own)
+        if known and known["n"] >= n:
+            return known["first"]
+        k = self._last()
+        while True:
+            last = self._read(f"{k:012d}") if k >= 0 else {"first": 1, "n": 0}
+            entry = {"writer": writer, "batch_id": batch_id, "first": last["first"] + last["n"], "n": n}
+            k += 1
+            if self._create(f"{k:012d}", entry):
+                break
+        if known:
+            self.fs.delete(self._path(own), False)
+        self._create(own, entry)
+        return entry["first"]
+
+
+def stream_writer(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream of this checkpoint: the same after a restart, another for a new checkpoint."""
+    return json.loads("".join(r.value for r in spark.read.text(f"{checkpoint}/metadata").collect()))["id"]
 
 
 def _utc_day() -> Column:

@@ -13,24 +13,44 @@ FORMATS = ("parquet", "orc", "json", "csv")
 
 _DEFAULTS = {"is_arp": False, "length": 0}
 
+# Places for packets of one microsecond in a made-up arrival number, which lasts until the year 2255.
+_TIES = 1024
+
 
 def load_packets(
-    spark: SparkSession, path: str, fmt: str = "parquet", streaming: bool = False, **options: str
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    streaming: bool = False,
+    between: tuple[int, int] | None = None,
+    **options: str,
 ) -> DataFrame:
-    """Packet records from files. Streams need a ``seq`` column, since only the writer knows the arrival order."""
+    """Packet records from files, with the table's partition columns.
+
+    ``between`` (from, to: epoch microseconds, the second excluded) is compared with the table's own time column, so
+    that it reaches the scan. Streams need a ``seq`` column, since only the writer knows the arrival order.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; expected one of {list(FORMATS)}")
     reader = (spark.readStream if streaming else spark.read).format(fmt).options(**options)
     if streaming or fmt in ("json", "csv"):
         reader = reader.schema(T.StructType([T.StructField("seq", T.LongType()), *PACKET_FIELDS.fields]))
-    return as_packets(reader.load(path))
+    rows = reader.load(path)
+    if between is None:
+        return as_packets(rows)
+    low, high = between
+    if "ts_us" not in rows.columns:
+        # Times are rounded to microseconds: one to each side, and the exact comparison after it.
+        rows = rows.filter((F.col("ts") >= F.lit((low - 1) / MICROS)) & (F.col("ts") <= F.lit((high + 1) / MICROS)))
+    return as_packets(rows).filter((F.col("ts_us") >= F.lit(low)) & (F.col("ts_us") < F.lit(high)))
 
 
 def as_packets(df: DataFrame) -> DataFrame:
     """Brings a table with at least ``ts`` (epoch seconds) or ``ts_us`` to the packet schema.
 
-    Missing columns get their defaults. A row without a time fails the query.
-    Existing columns pass unchanged, so filters on them still reach the scan.
+    Missing columns get their defaults, existing ones pass unchanged, so filters on them still reach the scan, and further columns
+    are kept. Detection fails on a row without a time (``timed``). A table without ``seq`` gets one that follows the time; packets of
+    one microsecond are in the order of a hash of the row, whatever the file layout.
     """
     have = set(df.columns)
     if not have & {"ts", "ts_us"}:
@@ -38,9 +58,9 @@ def as_packets(df: DataFrame) -> DataFrame:
     if "seq" not in have and df.isStreaming:
         raise ValueError("a packet stream needs a seq column")
     known = F.col("ts_us") if "ts_us" in have else F.round(F.col("ts") * F.lit(float(MICROS))).cast("bigint")
-    known = F.coalesce(known, F.raise_error(F.lit("packet without a time")).cast("bigint"))
+    by_time = known * F.lit(_TIES) + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(_TIES))
     columns = {
-        "seq": F.col("seq").cast("bigint") if "seq" in have else F.monotonically_increasing_id(),
+        "seq": F.col("seq").cast("bigint") if "seq" in have else by_time,
         "ts": F.col("ts").cast("double") if "ts" in have else known / F.lit(float(MICROS)),
         "ts_us": known,
         "event_time": F.col("event_time") if "event_time" in have else F.timestamp_micros(known),
@@ -54,4 +74,10 @@ def as_packets(df: DataFrame) -> DataFrame:
             columns[field.name] = F.col(field.name)
         else:
             columns[field.name] = F.col(field.name).cast(field.dataType)
-    return df.select(*[columns[name].alias(name) for name in PACKET_COLUMNS])
+    further = [F.col(f"`{c}`") for c in df.columns if c not in PACKET_COLUMNS]
+    return df.select(*[columns[name].alias(name) for name in PACKET_COLUMNS], *further)
+
+
+def timed(packets: DataFrame) -> DataFrame:
+    """The same packets; a row without a time fails the query. A condition of its own, so time filters still reach the scan."""
+    return packets.filter(F.when(F.col("ts_us").isNull(), F.raise_error(F.lit("packet without a time")).cast("boolean")).otherwise(True))

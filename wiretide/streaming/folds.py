@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..operators.chain import chain
+
 
 def fired_positions(
     ts: np.ndarray, opens: int, gap: int, forced: np.ndarray | None = None
@@ -13,17 +15,8 @@ def fired_positions(
     ``ts`` is in arrival order and not decreasing.
     """
     must = np.flatnonzero(forced) if forced is not None else np.empty(0, dtype="int64")
-    fired: list[int] = []
-    at = 0
-    while True:
-        due = int(np.searchsorted(ts[at:], opens, side="left")) + at
-        later = int(np.searchsorted(must, at, side="left"))
-        if later < len(must):
-            due = min(due, int(must[later]))
-        if due >= len(ts):
-            return fired, opens
-        fired.append(due)
-        opens, at = int(ts[due]) + gap, due + 1
+    fired, _, opens = chain(ts, ts + gap, must, opens)
+    return fired, opens
 
 
 def live_counts(ts: np.ndarray, window: int) -> np.ndarray:
