@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
+from brute import packet, packets_df
 from pyspark.sql import functions as F
+from test_detectors import random_packets
 
+from wiretide.operators import chain, detectors, windows
 from wiretide.operators.predicates import port_scan_eligible, syn_packets
 from wiretide.operators.sliding import sliding_count, sliding_distinct_count
 from wiretide.operators.whitelist import exclude_whitelisted
-from wiretide.plans.store import recent_events, read_alerts
+from wiretide.plans import engine
+from wiretide.plans.store import read_alerts, recent_events
 from wiretide.schema import ALERT_SCHEMA
-from wiretide.sources.packets import load_packets
+from wiretide.scratch import materialize
+from wiretide.sources.packets import load_packets, timed
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +49,96 @@ def test_filters_and_columns_reach_the_scan(packets):
     assert "In(protocol, [TCP,UDP])" in text and "IsNotNull(dst_port)" in text
 
 
+def test_time_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "packets")
+    rows = spark.range(100).select(
+        F.col("id").alias("seq"), (F.col("id") * 1_000_000).alias("ts_us"), F.lit("10.0.0.1").alias("src_ip"), (F.col("id") % 3).alias("day")
+    )
+    rows.write.partitionBy("day").parquet(path)
+    got = load_packets(spark, path, between=(10_000_000, 20_000_000)).filter("day = 1")
+    text = plan(timed(got).select("seq"))
+    assert "GreaterThanOrEqual(ts_us,10000000)" in text and "LessThan(ts_us,20000000)" in text
+    assert "(day" in text.split("PartitionFilters")[1].splitlines()[0]
+    assert sorted(r.seq for r in got.collect()) == [10, 13, 16, 19]
+    seconds = str(tmp_path / "seconds")
+    rows.withColumn("ts", F.col("ts_us") / 1e6).drop("ts_us").write.parquet(seconds)
+    got = load_packets(spark, seconds, between=(10_000_000, 20_000_000))
+    assert "GreaterThanOrEqual(ts," in plan(got) and sorted(r.seq for r in got.collect()) == list(range(10, 20))
+
+
+def test_made_up_arrival_numbers_follow_the_time(spark, tmp_path):
+    """Whatever the file layout: an early small file after a late large one."""
+    path = str(tmp_path / "packets")
+    rows = spark.range(1000).select((F.col("id") * 1000).alias("ts_us"), F.lit("10.0.0.1").alias("src_ip"))
+    rows.filter("ts_us >= 5000").repartition(7).write.parquet(path)
+    rows.filter("ts_us < 5000").coalesce(1).write.mode("append").parquet(path)
+    ordered = [r.ts_us for r in load_packets(spark, path).orderBy("seq").collect()]
+    assert ordered == sorted(ordered) and len(ordered) == 1000
+
+
+def test_detectors_read_the_packets_once(spark, tmp_path, monkeypatch):
+    """All intermediate tables of a run: only one of them is made from the packets."""
+    path = str(tmp_path / "packets")
+    packets_df(spark, random_packets(5)).drop("ts_us", "event_time").write.parquet(path)
+    made = []
+
+    def counting(df):
+        made.append(any(path in f for f in df.inputFiles()))
+        return materialize(df)
+
+    for module in (engine, detectors, chain, windows):
+        monkeypatch.setattr(module, "materialize", counting)
+    alerts = engine.detect_all(load_packets(spark, path), {"dos": {"syn_threshold": 2}})
+    made.append(any(path in f for f in alerts.inputFiles()))
+    assert sum(made) == 1 and len(made) > 5
+
+
+def test_sources_that_cannot_alert_enter_no_window(spark, monkeypatch):
+    rows = [packet(i, src_ip=f"s{i % 50}", dst_port=i) for i in range(500)]
+    rows += [packet(1000 + i, src_ip="scanner", dst_port=i) for i in range(12)]
+    seen = []
+    count = detectors.sliding_distinct_count
+    monkeypatch.setattr(detectors, "sliding_distinct_count", lambda df, *a: seen.append(df) or count(df, *a))
+    alerts = detectors.detect_port_scan(packets_df(spark, rows), 8, 20, 30)
+    assert [r.source_ip for r in alerts.collect()] == ["scanner"]
+    assert {r.src_ip for r in seen[0].collect()} == {"scanner"}
+
+
+def test_equal_arrival_numbers_of_two_sources(spark):
+    """Sources are told apart even where their arrival numbers are the same."""
+    df = packets_df(spark, [packet(1 + i / 10, src_ip=s, dst_port=p + i, src_mac=f"{s}{i}") for i in range(3) for s, p in (("a", 100), ("b", 500))])
+    df = df.withColumn("seq", F.floor(F.col("seq") / 2))
+    got = detectors.detect_port_scan(df, 3, 10, 30).collect()
+    assert {r.source_ip: r["items"] for r in got} == {"a": ["100", "101", "102"], "b": ["500", "501", "502"]}
+    spoofs = detectors.detect_arp_spoof(df.withColumn("is_arp", F.lit(True)), 60).collect()
+    assert sorted((r.source_ip, r["items"]) for r in spoofs) == [
+        (s, [f"{s}{k}" for k in range(n)]) for s in "ab" for n in (2, 3)
+    ]
+
+
+def test_a_key_whose_rows_all_fire(spark):
+    """The pass over a key is linear: 40,000 rows that all fire take seconds at most."""
+    df = spark.range(40_000).select(F.lit("k").alias("src_ip"), (F.col("id") * 10).alias("ts_us"), F.col("id").alias("seq"))
+    assert chain.cooldown(df, "src_ip", 1).count() == 40_000
+    started = time.perf_counter()
+    assert chain.cooldown(df, "src_ip", 1).count() == 40_000
+    assert time.perf_counter() - started < 8
+
+
+def test_a_hot_key_with_few_gaps_is_never_grouped(spark, monkeypatch):
+    """A long gap over a short history: each step is a combining aggregate, and no Python group holds the key."""
+    for name in ("_lift_span", "_expand_span", "_fold"):
+        monkeypatch.setattr(chain, name, None)
+    df = spark.range(200_000).select(F.lit("k").alias("src_ip"), (F.col("id") * 13).alias("ts_us"), F.col("id").alias("seq"))
+    got = chain.cooldown(df, "src_ip", 600_000, fold_rows=1000).orderBy("seq").collect()
+    times, opens = [], 0
+    for t in range(0, 200_000 * 13, 13):
+        if t >= opens:
+            times.append(t)
+            opens = t + 600_000
+    assert [r.ts_us for r in got] == times and len(times) == 5
+
+
 @pytest.mark.parametrize("kernel", ["count", "distinct"])
 def test_short_windows_take_one_shuffle_and_no_python(packets, kernel):
     rows = packets.select("src_ip", "dst_port", "ts_us", "seq")
@@ -67,6 +164,6 @@ def test_windows_are_partitioned_by_key_and_slice(packets, slice_s):
 
 def test_recent_events_keep_only_the_top_rows(spark, tmp_path):
     df = spark.createDataFrame([], ALERT_SCHEMA).withColumn("id", F.lit(1).cast("bigint"))
-    df.write.parquet(str(tmp_path / "log" / "batch_id=0" / "event_date=2024-01-01"))
+    df.write.parquet(str(tmp_path / "log" / "writer=w" / "batch_id=0" / "event_date=2024-01-01"))
     text = plan(recent_events(read_alerts(spark, str(tmp_path / "log"))))
     assert "TakeOrderedAndProject" in text

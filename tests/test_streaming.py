@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pandas as pd
 import pytest
 from brute import debounce, packet, packets_df
+from pyspark.sql import functions as F
 from test_detectors import random_packets
 from test_kernels import stream
 
@@ -14,10 +18,12 @@ from wiretide.operators.detectors import (
     detect_syn_flood,
     detect_traffic_anomaly,
 )
-from wiretide.plans.store import read_alerts
+from wiretide.plans.engine import assign_ids, detect_all
+from wiretide.plans.store import append_alerts, read_alerts
 from wiretide.sources.packets import load_packets
-from wiretide.streaming.folds import fired_positions, live_counts, live_distinct_counts
-from wiretide.streaming.streams import TrafficAnomalyStream, start_alert_sink, stream_detect
+from wiretide.streaming.folds import arrival_counts, arrival_distinct, fired_positions, live_counts, live_distinct_counts
+from wiretide.streaming.processors import ArpSpoofProcessor
+from wiretide.streaming.streams import TrafficAnomalyStream, start_alert_sink, start_detect_all, stream_detect
 
 COLUMNS = ["seq", "ts_us", "source_ip", "event_type", "observed", "details"]
 
@@ -83,15 +89,193 @@ def test_late_packets_are_dropped_only_with_a_watermark(spark, tmp_path):
     def flood(at):
         return [packet(at + i / 10) for i in range(4)]
 
-    # The third file is far behind the first two.
-    df = packets_df(spark, flood(1000) + flood(5000) + [packet(100 + i / 10, src_ip="late") for i in range(4)])
+    # The third file is far behind the first two; the last one lets the watermark pass the others.
+    late = [packet(100 + i / 10, src_ip="late") for i in range(4)]
+    df = packets_df(spark, flood(1000) + flood(5000) + late + [packet(9000, src_ip="last")])
     path = str(tmp_path / "packets")
-    write_files(df, path, [4, 8])
+    write_files(df, path, [4, 8, 12])
     params = {"syn_threshold": 3, "window_s": 5, "cooldown_s": 30}
     kept = replay(spark, path, tmp_path / "all", "dos", **params)
     assert sorted(r.source_ip for r in kept.collect()) == ["10.0.0.1", "10.0.0.1", "late"]
-    cut = replay(spark, path, tmp_path / "cut", "dos", watermark="1 minute", **params)
-    assert [r.source_ip for r in cut.collect()] == ["10.0.0.1", "10.0.0.1"]
+    stream = load_packets(spark, path, streaming=True, maxFilesPerTrigger="1")
+    alerts = stream_detect(stream, "dos", watermark="1 minute", **params)
+    query = start_alert_sink(alerts, f"{tmp_path}/cut/log", f"{tmp_path}/cut/checkpoint", available_now=True)
+    query.awaitTermination()
+    assert [r.source_ip for r in read_alerts(spark, f"{tmp_path}/cut/log").collect()] == ["10.0.0.1", "10.0.0.1"]
+    dropped = [s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert sum(dropped) == 4
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """Packets of the same sources that arrive up to 8 s late, and one far behind them all."""
+    rng = random.Random(8)
+    rows = [r for r in random_packets(33) if r["src_ip"]]
+    df = packets_df(spark, [*rows, packet(rows[-1]["ts"] + 1000, src_ip="last", is_arp=True)])
+    path = str(tmp_path_factory.mktemp("late"))
+    order = sorted(range(len(rows)), key=lambda i: rows[i]["ts"] + rng.uniform(0, 8))
+    batch_of = {seq: k * 4 // len(rows) for k, seq in enumerate(order)} | {len(rows): 3}
+    place = F.element_at(F.create_map(*[F.lit(x) for pair in batch_of.items() for x in pair]), F.col("seq"))
+    for k in range(4):
+        df.filter(place == k).drop("ts_us", "event_time").coalesce(1).write.mode("append").parquet(path)
+    return df.filter("src_ip <> 'last'"), path
+
+
+@pytest.mark.parametrize("detector", ["port_scan", "dos", "arp_spoof"])
+def test_packets_within_the_watermark_may_come_in_any_order(spark, shuffled, tmp_path, detector):
+    df, path = shuffled
+    batch, params = {
+        "port_scan": (detect_port_scan(df, 4, 4, 6), {"port_threshold": 4, "window_s": 4, "cooldown_s": 6}),
+        "dos": (detect_syn_flood(df, 2, 3, 5), {"syn_threshold": 2, "window_s": 3, "cooldown_s": 5}),
+        "arp_spoof": (detect_arp_spoof(df, 20), {"cooldown_s": 20}),
+    }[detector]
+    expected = rows_of(batch)
+    assert rows_of(replay(spark, path, tmp_path, detector, watermark="8 seconds", **params)) == expected
+    assert len(expected) > 3
+
+
+def test_late_packets_and_traffic_windows(spark, shuffled, tmp_path):
+    df, path = shuffled
+    expected = rows_of(detect_traffic_anomaly(df, 5, 4, 1.5, 2))
+    stream = TrafficAnomalyStream(f"{tmp_path}/log", f"{tmp_path}/state", 5, 4, 1.5, 2, lateness_s=8)
+    packets = load_packets(spark, path, streaming=True, maxFilesPerTrigger="1")
+    stream.start(packets, f"{tmp_path}/checkpoint", available_now=True).awaitTermination()
+    assert rows_of(read_alerts(spark, f"{tmp_path}/log")) == expected and len(expected) > 2
+    assert stream.late(spark, 3) == 0
+
+
+def one_by_one_windows(rows, window):
+    """(start, packets) of each window, as packets come."""
+    out = []
+    for t in rows:
+        if not out or t - out[-1][0] >= window:
+            out.append([t, 0])
+        out[-1][1] += 1
+    return out
+
+
+def test_a_late_packet_moves_no_window(spark, tmp_path):
+    """Without a lateness, windows are those of the packets one after the other, whatever their times."""
+    rng = random.Random(3)
+    times = [1000 + i * 0.7 - rng.choice([0, 0, 0, 4, 15]) for i in range(90)] + [1100 + i / 100 for i in range(60)] + [1200]
+    rows = [packet(t) for t in times]
+    df = packets_df(spark, rows)
+    windows = one_by_one_windows([round(t * 1e6) for t in times], 10_000_000)
+    stream = TrafficAnomalyStream(f"{tmp_path}/log", f"{tmp_path}/state", 10, 4, 1.5, 2)
+    found = []
+    cuts = [0, 13, 40, 41, 100, len(rows)]
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        part = df.filter((F.col("seq") >= a) & (F.col("seq") < b)).select("seq", "ts_us", "src_ip")
+        found += stream.alerts(part, k).collect()
+    expected = []
+    for i in range(2, len(windows) - 1):
+        before = [n for _, n in windows[max(0, i - 4) : i]]
+        if windows[i][1] > 1.5 * sum(before) / len(before):
+            expected.append((windows[i + 1][0], windows[i][1]))
+    assert [(r.ts_us, r.observed) for r in found] == expected and expected
+
+
+def test_dropped_packets_are_counted(spark, tmp_path):
+    df = packets_df(spark, [packet(100), packet(200), packet(150), packet(198), packet(300)]).select("seq", "ts_us", "src_ip")
+    stream = TrafficAnomalyStream(f"{tmp_path}/log", f"{tmp_path}/state", 10, 4, 1.5, 2, lateness_s=5)
+    stream.alerts(df.filter("seq < 2"), 0)
+    stream.alerts(df.filter("seq >= 2"), 1)
+    assert stream.late(spark, 1) == 1
+
+
+def test_one_log_for_all(spark, source, tmp_path):
+    """All detectors in one stream: the alerts of the batch run, numbered by (arrival, detector)."""
+    df, path = source
+    params = {
+        "port_scan": {"port_threshold": 4, "time_window": 4, "cooldown": 6},
+        "arp_spoof": {"cooldown": 20},
+        "dos": {"syn_threshold": 2, "time_window": 3, "cooldown": 5},
+        "traffic_anomaly": {"window_seconds": 5, "baseline_windows": 4, "multiplier": 1.5, "min_baseline_samples": 2},
+    }
+    expected = assign_ids(detect_all(df, params, whitelist=["10.0.0.2"]))
+    packets = load_packets(spark, path, streaming=True, maxFilesPerTrigger="1")
+    log = f"{tmp_path}/log"
+    args = (log, f"{tmp_path}/checkpoint", f"{tmp_path}/state", params)
+    start_detect_all(packets, *args, whitelist=["10.0.0.2"], available_now=True).awaitTermination()
+    view = lambda x: sorted(tuple(r) for r in x.select("id", *COLUMNS).collect())
+    assert view(read_alerts(spark, log)) == view(expected) and len(view(expected)) > 10
+
+
+def test_writers_leave_each_other_s_alerts(spark, source, tmp_path):
+    """A batch run, two streams, and a stream that begins again, on one log."""
+    df, path = source
+    log = f"{tmp_path}/log"
+    batch = detect_syn_flood(df, 2, 3, 5).withColumn("detector_ordinal", F.lit(0))
+    append_alerts(batch, log)
+    expected = rows_of(batch)
+    for k, (detector, params) in enumerate(
+        [("dos", {"syn_threshold": 2, "window_s": 3, "cooldown_s": 5}), ("arp_spoof", {"cooldown_s": 20}), ("arp_spoof", {"cooldown_s": 20})]
+    ):
+        packets = load_packets(spark, path, streaming=True, maxFilesPerTrigger="1")
+        alerts = stream_detect(packets, detector, **params)
+        start_alert_sink(alerts, log, f"{tmp_path}/checkpoint{k}", available_now=True).awaitTermination()
+        expected = sorted(expected + rows_of(detect_syn_flood(df, 2, 3, 5) if detector == "dos" else detect_arp_spoof(df, 20)))
+        assert rows_of(read_alerts(spark, log)) == expected
+    assert sorted(r.id for r in read_alerts(spark, log).collect()) == list(range(1, len(expected) + 1))
+
+
+def test_forgotten_addresses_are_not_counted():
+    """The count is that of the MACs that are left."""
+    macs = {}
+
+    class Map:
+        def keys(self):
+            return [(m,) for m in macs]
+
+        def updateValue(self, key, value):  # noqa: N802
+            macs[key[0]] = value
+
+    class Value:
+        def exists(self):
+            return False
+
+        def update(self, value):
+            pass
+
+    processor = ArpSpoofProcessor(0, ttl_ms=1000)
+    processor.macs, processor.state = Map(), Value()
+    rows = lambda *m: pd.DataFrame({"ts_us": range(len(m)), "seq": range(len(m)), "src_mac": m})
+    first = list(processor.fold("ip", rows("a", "b")))
+    assert first[0]["observed"].tolist() == [2]
+    macs.clear()
+    assert list(processor.fold("ip", rows("c"))) == []
+    again = list(processor.fold("ip", rows("c", "d")))
+    assert again[0]["observed"].tolist() == [2] and again[0]["items"].tolist() == [["c", "d"]]
+
+
+def test_folds_in_the_order_of_arrival():
+    """Late rows, one after the other: what is before the window goes from the front, an expired port stays out."""
+    rng = random.Random(6)
+    for _ in range(200):
+        ts = np.array([100 + 2 * i - rng.choice([0, 0, 5, 30]) for i in range(30)])
+        port = np.array([rng.randrange(6) for _ in ts])
+        times, ports, counts, distinct = [], {}, [], []
+        for t, p in zip(ts.tolist(), port.tolist(), strict=True):
+            times.append(t)
+            while times[0] < t - 9:
+                times.pop(0)
+            counts.append(len(times))
+            ports[p] = t
+            ports = {q: s for q, s in ports.items() if s >= t - 9}
+            distinct.append(dict(ports))
+        cut = rng.randrange(30)
+        first, held = arrival_counts([], ts[:cut], 9)
+        second, held = arrival_counts(held, ts[cut:], 9)
+        assert first + second == counts and held == times
+        seen = {}
+        assert [dict(x) for x in arrival_distinct(seen, ts, port, 9)] == distinct and seen == ports
+        forced = np.array([rng.random() < 0.1 for _ in ts])
+        fired, opens = [], -(2**62)
+        for i, t in enumerate(ts.tolist()):
+            if forced[i] or t >= opens:
+                fired.append(i)
+                opens = t + 7
+        assert fired_positions(ts, -(2**62), 7, forced) == (fired, opens)
 
 
 def test_streams_need_arrival_numbers(spark, source):

@@ -175,9 +175,9 @@ def detect_traffic_anomaly(
 
 
 def spike_alerts(
-    packets: DataFrame, windows: DataFrame, window_s: float, multiplier: float, min_samples: int
+    packets: DataFrame, windows: DataFrame, window_s: float, multiplier: float, min_samples: int, weight: str | None = None
 ) -> DataFrame:
-    """Alerts for the windows that exceed their baseline."""
+    """Alerts for the windows that exceed their baseline. A row counts as ``weight`` packets, or as one."""
     limit = F.lit(float(multiplier)) * F.col("baseline_avg")
     spikes = materialize(
         windows.filter(
@@ -189,9 +189,9 @@ def spike_alerts(
     )
     # Sources are ranked in the spikes only: the start table of the spikes places just their packets.
     placed = assign_windows(
-        packets.select("ts_us", "seq", "src_ip"), spikes.select("window_start", "close_us"), window_s, close="close_us"
+        packets.select("ts_us", "seq", "src_ip", *([weight] if weight else [])), spikes.select("window_start", "close_us"), window_s, close="close_us"
     )
-    top = top_source_per_window(placed)
+    top = top_source_per_window(placed, weight=weight)
     fired = spikes.join(top, "window_start").select(
         F.col("close_seq").alias("seq"),
         F.col("close_us").alias("ts_us"),

@@ -60,19 +60,22 @@ def assign_windows(packets: DataFrame, starts: DataFrame, window_s: float, close
     return placed.withColumn("window_start", F.col("_span.start")).drop("_span")
 
 
-def anchored_windows(packets: DataFrame, window_s: float, starts: DataFrame | None = None) -> DataFrame:
-    """One row per window, the last open one included.
+def anchored_windows(
+    packets: DataFrame, window_s: float, starts: DataFrame | None = None, weight: str | None = None
+) -> DataFrame:
+    """One row per window, the last open one included. A row counts as ``weight`` packets, or as one.
 
     Columns: ``window_id`` (0, 1, ...), ``window_start``, ``n``, ``first_seq``
     and, NULL for the open window, ``close_us`` and ``close_seq`` of the packet
     that closed it.
     """
     starts = window_starts(packets, window_s) if starts is None else starts
-    members = assign_windows(packets.select("ts_us", "seq"), starts, window_s)
+    number = F.col(weight) if weight else F.lit(1).cast("bigint")
+    members = assign_windows(packets.select("ts_us", "seq", number.alias("_weight")), starts, window_s)
     # One row per window, read several times below; the packets are read once.
     counted = materialize(
         members.groupBy("window_start").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("ts_us", "seq"))["seq"].alias("first_seq")
+            F.sum("_weight").alias("n"), F.min(F.struct("ts_us", "seq"))["seq"].alias("first_seq")
         )
     )
     chunk = slice_start(F.col("window_start"), _CHUNK * window_us(window_s))
@@ -111,7 +114,7 @@ def rolling_baseline(windows: DataFrame, baseline_windows: int = 6) -> DataFrame
     return _neighbours(windows, baseline_windows, trailing)
 
 
-def top_source_per_window(members: DataFrame, window: str = "window_start") -> DataFrame:
+def top_source_per_window(members: DataFrame, window: str = "window_start", weight: str | None = None) -> DataFrame:
     """``window, top_ip, top_count``: most packets, then first seen; ``unknown`` and 0 without any source.
 
     Takes packets with their window. Counting per source combines before the
@@ -119,7 +122,8 @@ def top_source_per_window(members: DataFrame, window: str = "window_start") -> D
     is never collected.
     """
     arrival = F.min(F.struct("ts_us", "seq"))
-    per_source = members.groupBy(window, "src_ip").agg(F.count(F.lit(1)).alias("_n"), arrival.alias("_first"))
+    number = F.sum(weight) if weight else F.count(F.lit(1))
+    per_source = members.groupBy(window, "src_ip").agg(number.alias("_n"), arrival.alias("_first"))
     rank = F.struct(
         F.col("_n"), (-F.col("_first.ts_us")).alias("_ts"), (-F.col("_first.seq")).alias("_seq"), F.col("src_ip").alias("_ip")
     )

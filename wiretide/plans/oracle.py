@@ -11,6 +11,8 @@ SHORT_WINDOW = 6 * 3600 * 1_000_000
 COOLDOWN = 604_800 * 1_000_000
 ARP_COOLDOWN = 432_000 * 1_000_000
 ANOMALY_WINDOW = 900 * 1_000_000
+# Ten days of the given events.
+RANGE = (1_704_844_800_000_000, 1_705_708_800_000_000)
 
 PACKETS = r"""
 packets AS MATERIALIZED (
@@ -307,4 +309,12 @@ ORACLE: dict[str, str] = {
     "stream_arp_spoof": _sql(_arp_spoof(), f"SELECT {VIEW} FROM arp_alerts"),
     "stream_syn_flood": _sql(_syn_flood(), f"SELECT {VIEW} FROM syn_alerts"),
     "stream_traffic_anomaly": _sql(_traffic_anomaly(), f"SELECT {VIEW} FROM anomaly_alerts"),
+    "stream_port_scan_late": _sql(_port_scan(), f"SELECT {VIEW} FROM scan_alerts"),
+    "stream_arp_spoof_late": _sql(_arp_spoof(), f"SELECT {VIEW} FROM arp_alerts"),
+    "stream_syn_flood_late": _sql(_syn_flood(), f"SELECT {VIEW} FROM syn_alerts"),
+    "stream_traffic_anomaly_late": _sql(_traffic_anomaly(), f"SELECT {VIEW} FROM anomaly_alerts"),
+    "stream_detect_all": _sql(
+        _all(), f"SELECT row_number() OVER (ORDER BY seq, detector_ordinal) AS id, {VIEW} FROM alerts"
+    ),
+    "packets_in_range": _sql("", f"SELECT seq, ts_us, src_ip FROM packets WHERE ts_us >= {RANGE[0]} AND ts_us < {RANGE[1]}"),
 }

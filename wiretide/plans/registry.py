@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timing import iso_utc
@@ -31,7 +31,7 @@ from ..session import STATE_STORE
 from ..sources.events import DETECTOR_SETTINGS, event_frames, event_packets
 from ..sources.frames import capture_filter, decode_frames, split_malformed
 from ..sources.packets import load_packets
-from ..streaming.streams import TrafficAnomalyStream, start_alert_sink, stream_detect
+from ..streaming.streams import TrafficAnomalyStream, start_alert_sink, start_detect_all, stream_detect
 from . import store
 from .engine import (
     assign_ids,
@@ -50,6 +50,9 @@ FLOOD = DETECTOR_SETTINGS["dos"]
 ANOMALY = DETECTOR_SETTINGS["traffic_anomaly"]
 TRUSTED = ["10.0.0.3", "10.0.0.8/30", "2001:db8::/32"]
 SHORT_WINDOW_S = 6 * 3600
+LATENESS_S = DAY
+# Ten days of the given events, in microseconds.
+RANGE = (1_704_844_800_000_000, 1_705_708_800_000_000)
 
 # Alerts are compared on numbers and text; the alert time as microseconds and as ISO text.
 ALERT_VIEW = ["seq", "ts_us", "source_ip", "event_type", "observed", "details"]
@@ -169,14 +172,15 @@ def _log_view(log: DataFrame) -> DataFrame:
     return log.select("id", *ALERT_VIEW)
 
 
-def _in_batches(rows: DataFrame, n_files: int = 3) -> str:
-    """All rows in ``n_files`` files by arrival, one streaming micro-batch each."""
-    spark, path = rows.sparkSession, scratch_path(rows.sparkSession)
-    rows = materialize(rows)
-    last = rows.agg(F.max("seq")).first()[0]
-    part = F.floor(F.col("seq") * n_files / F.lit(last + 1))
-    for i in range(n_files):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+BATCHES, FILES = 3, 4
+
+
+def _in_batches(rows: DataFrame, part: Column) -> str:
+    """Files in ``BATCHES`` groups of ``FILES``, one group per micro-batch, dealt by ``part`` (0, 1, ...)."""
+    path = scratch_path(rows.sparkSession)
+    rows = materialize(rows.withColumn("_part", part))
+    for i in range(BATCHES):
+        rows.filter(F.col("_part") == i).drop("_part").repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -189,41 +193,81 @@ def _stream_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    return load_packets(spark, path, streaming=True, maxFilesPerTrigger=str(FILES))
+
+
 def _stream_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _in_batches(event_packets(spark, sf_dir))
-    return load_packets(spark, path, streaming=True, maxFilesPerTrigger="1")
+    """All packets in the order of arrival."""
+    rows = event_packets(spark, sf_dir)
+    last = rows.agg(F.max("seq")).first()[0]
+    return _stream(spark, _in_batches(rows, F.floor(F.col("seq") * BATCHES / F.lit(last + 1))))
 
 
-def _replay(spark: SparkSession, sf_dir: str, detector: str, **params) -> DataFrame:
+def _late_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All packets, up to ``LATENESS_S`` late; one more far behind the others lets the watermark pass them all."""
+    rows = event_packets(spark, sf_dir)
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    delay = F.pmod(F.xxhash64("seq"), F.lit(LATENESS_S * 1_000_000))
+    part = F.floor((F.col("ts_us") + delay - F.lit(low)) * BATCHES / F.lit(high - low + LATENESS_S * 1_000_000 + 1))
+    after = F.lit(high + 2 * LATENESS_S * 1_000_000)
+    last = {"seq": F.col("seq") + 1, "ts_us": after, "ts": after / F.lit(1e6), "event_time": F.timestamp_micros(after), "src_ip": F.lit("0.0.0.1")}
+    flags = {"protocol": F.lit("TCP"), "dst_port": F.lit(1), "tcp_flags": F.lit("S"), "is_arp": F.lit(True), "src_mac": F.lit("m")}
+    closing = rows.orderBy(F.desc("seq")).limit(1).withColumns({**last, **flags})
+    dealt = rows.withColumn("_at", part).unionByName(closing.withColumn("_at", F.lit(BATCHES - 1).cast("bigint")))
+    return _stream(spark, _in_batches(dealt, F.col("_at")))
+
+
+def _replay(spark: SparkSession, sf_dir: str, detector: str, late: bool = False, **params) -> DataFrame:
     path = scratch_path(spark)
-    alerts = stream_detect(_stream_input(_stream_session(spark), sf_dir), detector, **params)
+    own = _stream_session(spark)
+    if late:
+        alerts = stream_detect(_late_input(own, sf_dir), detector, watermark=f"{LATENESS_S} seconds", **params)
+    else:
+        alerts = stream_detect(_stream_input(own, sf_dir), detector, **params)
     start_alert_sink(alerts, f"{path}/log", f"{path}/checkpoint", available_now=True).awaitTermination()
     return _view(store.read_alerts(spark, f"{path}/log"))
 
 
-def stream_port_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_port_scan(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
     return _replay(
-        spark, sf_dir, "port_scan", port_threshold=SCAN["port_threshold"], window_s=SCAN["time_window"], cooldown_s=SCAN["cooldown"]
+        spark, sf_dir, "port_scan", late, port_threshold=SCAN["port_threshold"], window_s=SCAN["time_window"], cooldown_s=SCAN["cooldown"]
     )
 
 
-def stream_arp_spoof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replay(spark, sf_dir, "arp_spoof", cooldown_s=DETECTOR_SETTINGS["arp_spoof"]["cooldown"])
+def stream_arp_spoof(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
+    return _replay(spark, sf_dir, "arp_spoof", late, cooldown_s=DETECTOR_SETTINGS["arp_spoof"]["cooldown"])
 
 
-def stream_syn_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_syn_flood(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
     return _replay(
-        spark, sf_dir, "dos", syn_threshold=FLOOD["syn_threshold"], window_s=FLOOD["time_window"], cooldown_s=FLOOD["cooldown"]
+        spark, sf_dir, "dos", late, syn_threshold=FLOOD["syn_threshold"], window_s=FLOOD["time_window"], cooldown_s=FLOOD["cooldown"]
     )
 
 
-def stream_traffic_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark)
-    stream = TrafficAnomalyStream(f"{path}/log", f"{path}/state", *_anomaly_settings())
-    stream.start(_stream_input(_stream_session(spark), sf_dir), f"{path}/checkpoint", available_now=True).awaitTermination()
+def stream_traffic_anomaly(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
+    path, own = scratch_path(spark), _stream_session(spark)
+    stream = TrafficAnomalyStream(f"{path}/log", f"{path}/state", *_anomaly_settings(), lateness_s=LATENESS_S if late else None)
+    rows = _late_input(own, sf_dir) if late else _stream_input(own, sf_dir)
+    stream.start(rows, f"{path}/checkpoint", available_now=True).awaitTermination()
     return _view(store.read_alerts(spark, f"{path}/log"))
 
 
+def stream_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark)
+    rows = _stream_input(_stream_session(spark), sf_dir)
+    start_detect_all(
+        rows, f"{path}/log", f"{path}/checkpoint", f"{path}/state", DETECTOR_SETTINGS, available_now=True
+    ).awaitTermination()
+    return _log_view(store.read_alerts(spark, f"{path}/log"))
+
+
+def packets_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark)
+    event_packets(spark, sf_dir).write.parquet(path)
+    return load_packets(spark, path, between=RANGE).select("seq", "ts_us", "src_ip")
+
+
 def _counted(spark: SparkSession, sf_dir: str, window_s: int) -> DataFrame:
     syn = syn_packets(event_packets(spark, sf_dir)).select("src_ip", "ts_us", "seq")
     return sliding_count(syn, "src_ip", window_s)
@@ -301,4 +345,10 @@ QUERIES: dict[str, Query] = {
     "stream_arp_spoof": stream_arp_spoof,
     "stream_syn_flood": stream_syn_flood,
     "stream_traffic_anomaly": stream_traffic_anomaly,
+    "stream_port_scan_late": lambda s, d: stream_port_scan(s, d, late=True),
+    "stream_arp_spoof_late": lambda s, d: stream_arp_spoof(s, d, late=True),
+    "stream_syn_flood_late": lambda s, d: stream_syn_flood(s, d, late=True),
+    "stream_traffic_anomaly_late": lambda s, d: stream_traffic_anomaly(s, d, late=True),
+    "stream_detect_all": stream_detect_all,
+    "packets_in_range": packets_in_range,
 }

@@ -1,8 +1,8 @@
 """Keyed streaming detectors on ``transformWithStateInPandas``.
 
-Each source keeps only what its window still needs. A micro-batch is sorted by
-``(ts_us, seq)`` per source and folded with numpy, so one batch of a busy source
-costs a few array passes and one state update.
+Each source keeps only what its window still needs. Without a watermark, rows count when they arrive, in the order of their arrival
+numbers. With one, rows are held back until the watermark has passed them and then folded in the order of time, so the
+alerts are those of the batch operators on the rows that weren't too late.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .folds import fired_positions, live_counts, live_distinct_counts
+from .folds import arrival_counts, arrival_distinct, fired_positions, in_time_order, live_counts, live_distinct_counts
 
 _NEVER = -(2**62)
-LISTED_PORTS = 20
 
 FIRED_SCHEMA = T.StructType(
     [
@@ -30,10 +29,6 @@ FIRED_SCHEMA = T.StructType(
 )
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(["ts_us", "seq"], kind="stable", ignore_index=True)
-
-
 def _fired(source: str, batch: pd.DataFrame, at: list[int], observed, items) -> pd.DataFrame:
     hit = batch.iloc[at]
     return pd.DataFrame(
@@ -47,98 +42,155 @@ def _fired(source: str, batch: pd.DataFrame, at: list[int], observed, items) ->
     )
 
 
-class SynFloodProcessor(StatefulProcessor):
+class PerSourceProcessor(StatefulProcessor):
+    """Brings a source's rows into order for ``fold``, which yields what fires. ``value`` names the column that is counted."""
+
+    value: str | None = None
+    event_time = False
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        if self.event_time:
+            self.held = handle.getListState("held", "ts_us bigint, seq bigint, value string")
+        self.open_state(handle)
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def fold(self, source: str, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows))
+        if not self.event_time:
+            yield from self.fold(key[0], batch.sort_values("seq", kind="stable", ignore_index=True))
+            return
+        values = batch[self.value].astype(str).tolist() if self.value else [None] * len(batch)
+        self.held.appendList(list(zip(batch["ts_us"].tolist(), batch["seq"].tolist(), values, strict=True)))
+        self._wake(batch["ts_us"].min())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.held.get(), key=lambda r: (r[0], r[1]))
+        due = [r for r in held if r[0] < passed]
+        rest = held[len(due) :]
+        self.held.clear()
+        if rest:
+            self.held.put(rest)
+            self._wake(rest[0][0])
+        if due:
+            batch = pd.DataFrame(due, columns=["ts_us", "seq", self.value or "value"])
+            yield from self.fold(key[0], batch)
+
+    def _wake(self, ts_us: int) -> None:
+        """A timer for when the watermark has passed this time."""
+        self.handle.registerTimer(int(ts_us) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+class SynFloodProcessor(PerSourceProcessor):
     """State: the times still in the window and the end of the cooldown."""
 
     def __init__(self, threshold: int, window: int, gap: int) -> None:
         self.threshold, self.window, self.gap = threshold, window, gap
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("recent", "times array<bigint>, opens bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def fold(self, source: str, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         times, opens = self.state.get() if self.state.exists() else ([], _NEVER)
-        batch = _in_order(rows)
-        ts = np.concatenate([np.asarray(times, dtype="int64"), batch["ts_us"].to_numpy()])
-        observed = live_counts(ts, self.window)[len(times) :]
+        new = batch["ts_us"].to_numpy()
+        ts = np.concatenate([np.asarray(times, dtype="int64"), new])
+        if in_time_order(ts):
+            observed = live_counts(ts, self.window)[len(times) :]
+            times = ts[ts >= ts[-1] - self.window].tolist()
+        else:
+            observed, times = arrival_counts(times, new, self.window)
+            observed = np.asarray(observed)
         over = np.flatnonzero(observed >= self.threshold)
-        hits, opens = fired_positions(batch["ts_us"].to_numpy()[over], opens, self.gap)
-        self.state.update((ts[ts >= ts[-1] - self.window].tolist(), opens))
+        hits, opens = fired_positions(new[over], opens, self.gap)
+        self.state.update((times, opens))
         at = over[hits].tolist()
         if at:
-            yield _fired(key[0], batch, at, observed[at], [None] * len(at))
+            yield _fired(source, batch, at, observed[at], [None] * len(at))
 
-    def close(self) -> None:
-        pass
 
-
-class PortScanProcessor(StatefulProcessor):
+class PortScanProcessor(PerSourceProcessor):
     """State: the live ports with their latest time, and the end of the cooldown."""
 
+    value = "dst_port"
+
     def __init__(self, threshold: int, window: int, gap: int) -> None:
         self.threshold, self.window, self.gap = threshold, window, gap
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("recent", "ports array<int>, seen array<bigint>, opens bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def fold(self, source: str, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         ports, seen, opens = self.state.get() if self.state.exists() else ([], [], _NEVER)
-        batch = _in_order(rows)
-        old = len(ports)
-        ts = np.concatenate([np.asarray(seen, dtype="int64"), batch["ts_us"].to_numpy()])
-        port = np.concatenate([np.asarray(ports, dtype="int64"), batch["dst_port"].to_numpy(dtype="int64")])
+        new, new_port = batch["ts_us"].to_numpy(), batch["dst_port"].to_numpy(dtype="int64")
+        ts = np.concatenate([np.asarray(seen, dtype="int64"), new])
+        if in_time_order(ts):
+            port = np.concatenate([np.asarray(ports, dtype="int64"), new_port])
+            at, observed, items, opens = self._in_order(ts, port, len(ports), opens)
+            latest = pd.Series(ts, index=port).groupby(level=0).max()
+            latest = latest[latest >= ts[-1] - self.window].to_dict()
+        else:
+            latest = dict(zip(ports, seen, strict=True))
+            at, observed, items = [], [], []
+            for i, live in enumerate(arrival_distinct(latest, new, new_port, self.window)):
+                if len(live) >= self.threshold and new[i] >= opens:
+                    at.append(i)
+                    observed.append(len(live))
+                    items.append([str(p) for p in sorted(live)])
+                    opens = int(new[i]) + self.gap
+        latest = sorted(latest.items(), key=lambda x: x[1])
+        self.state.update(([int(p) for p, _ in latest], [int(t) for _, t in latest], opens))
+        if at:
+            yield _fired(source, batch, at, observed, items)
+
+    def _in_order(self, ts: np.ndarray, port: np.ndarray, old: int, opens: int):
         observed = live_distinct_counts(ts, port, self.window)[old:]
         over = np.flatnonzero(observed >= self.threshold)
-        hits, opens = fired_positions(batch["ts_us"].to_numpy()[over], opens, self.gap)
+        hits, opens = fired_positions(ts[old:][over], opens, self.gap)
         at = over[hits].tolist()
+        items = []
+        for i in at:
+            first = int(np.searchsorted(ts, ts[old + i] - self.window, side="left"))
+            items.append([str(p) for p in np.unique(port[first : old + i + 1])])
+        return at, observed[at], items, opens
 
-        latest = pd.Series(ts, index=port).groupby(level=0).max().sort_values(kind="stable")
-        latest = latest[latest >= ts[-1] - self.window]
-        self.state.update((latest.index.tolist(), latest.tolist(), opens))
-        if at:
-            items = [self._live_ports(ts[: old + i + 1], port[: old + i + 1]) for i in at]
-            yield _fired(key[0], batch, at, observed[at], items)
 
-    def _live_ports(self, ts: np.ndarray, port: np.ndarray) -> list[str]:
-        first = int(np.searchsorted(ts, ts[-1] - self.window, side="left"))
-        return [str(p) for p in np.unique(port[first:])[:LISTED_PORTS]]
+class ArpSpoofProcessor(PerSourceProcessor):
+    """State: the MACs bound to the address and the end of the cooldown.
 
-    def close(self) -> None:
-        pass
+    With ``ttl_ms`` a MAC is forgotten that long after it was bound; the count is always that of the MACs that are left.
+    """
 
-
-class ArpSpoofProcessor(StatefulProcessor):
-    """State: all MACs ever bound to the address, their number and the end of the cooldown."""
+    value = "src_mac"
 
     def __init__(self, gap: int, ttl_ms: int | None = None) -> None:
         self.gap, self.ttl_ms = gap, ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.macs = handle.getMapState("macs", "mac string", "ts_us bigint", self.ttl_ms)
-        self.state = handle.getValueState("bound", "n bigint, opens bigint", self.ttl_ms)
+        self.state = handle.getValueState("cooldown", "opens bigint", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known, opens = self.state.get() if self.state.exists() else (0, _NEVER)
-        batch = _in_order(rows)
+    def fold(self, source: str, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        opens = self.state.get()[0] if self.state.exists() else _NEVER
+        before = {m for (m,) in self.macs.keys()}
         ts, mac = batch["ts_us"].to_numpy(), batch["src_mac"]
-        new = ~mac.duplicated().to_numpy()
-        for i in np.flatnonzero(new):
-            if known and self.macs.containsKey((mac[i],)):
-                new[i] = False
-        observed = known + np.cumsum(new)
+        new = ~mac.duplicated().to_numpy() & ~mac.isin(before).to_numpy()
+        observed = len(before) + np.cumsum(new)
         over = np.flatnonzero(observed >= 2)
         hits, opens = fired_positions(ts[over], opens, self.gap, new[over])
         at = over[hits].tolist()
-
-        before = sorted(m for (m,) in self.macs.keys()) if at and known else []
         for i in np.flatnonzero(new):
             self.macs.updateValue((mac[i],), (int(ts[i]),))
-        if new.any() or at:
-            self.state.update((int(observed[-1]), opens))
         if at:
+            self.state.update((opens,))
             added = mac.where(pd.Series(new))
             items = [sorted([*before, *added[: i + 1].dropna()]) for i in at]
-            yield _fired(key[0], batch, at, observed[at], items)
-
-    def close(self) -> None:
-        pass
+            yield _fired(source, batch, at, observed[at], items)

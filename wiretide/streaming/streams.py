@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..functions.timing import cooldown_us, window_us
+from ..functions.timing import cooldown_us, slice_start, window_us
 from ..operators.detectors import (
     arp_spoof_alerts,
     port_scan_alerts,
@@ -18,7 +20,10 @@ from ..operators.detectors import (
 from ..operators.predicates import arp_eligible, port_scan_eligible, syn_packets
 from ..operators.whitelist import exclude_whitelisted
 from ..operators.windows import anchored_windows, assign_windows, rolling_baseline, window_starts
-from ..plans.store import append_alerts
+from ..plans.engine import detector_names, select_detectors
+from ..plans.params import settings
+from ..plans.store import append_alerts, stream_writer
+from ..schema import ALERT_SCHEMA
 from ..scratch import materialize
 from .processors import FIRED_SCHEMA, ArpSpoofProcessor, PortScanProcessor, SynFloodProcessor
 
@@ -29,7 +34,8 @@ def stream_detect(packets: DataFrame, detector: str, watermark: str | None = Non
     """A stream of alerts from a stream of packets, for the detectors that are keyed by source.
 
     Parameters are those of the batch detectors. With ``watermark`` (such as
-    ``"1 minute"``) packets later than that are dropped; without it every packet counts.
+    ``"1 minute"``) packets are held back that long and folded in the order of time; later ones are dropped, and Spark reports
+    how many. Without it every packet counts when it arrives.
     """
     time_mode = "None"
     time: list[str] = []
@@ -58,6 +64,7 @@ def stream_detect(packets: DataFrame, detector: str, watermark: str | None = Non
 
 
 def _fold_per_source(rows: DataFrame, processor: StatefulProcessor, time_mode: str) -> DataFrame:
+    processor.event_time = time_mode == "EventTime"
     return rows.groupBy("src_ip").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=FIRED_SCHEMA, outputMode="Append", timeMode=time_mode
     )
@@ -67,7 +74,8 @@ def start_alert_sink(alerts: DataFrame, path: str, checkpoint: str, available_no
     """Appends a stream of alerts to the log at ``path``; a replayed batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_alerts(batch.withColumn("detector_ordinal", F.lit(0)), path, batch_id)
+        writer = stream_writer(batch.sparkSession, checkpoint)
+        append_alerts(batch.withColumn("detector_ordinal", F.lit(0)), path, batch_id, writer)
 
     return _start(alerts, write, checkpoint, available_now)
 
@@ -77,14 +85,21 @@ def _start(stream: DataFrame, write, checkpoint: str, available_now: bool) -> St
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+_CARRIED = "src_ip string, ts_us bigint, seq bigint, weight bigint"
+# Packets of one chunk of arrival numbers are brought into order in one task.
+_ARRIVAL_CHUNK = 1 << 20
+
+
 class TrafficAnomalyStream:
     """Traffic anomalies over a stream, with the batch operators on each micro-batch.
 
     The window chain is global, so a keyed stateful operator would send the
-    whole stream through one task. Instead each batch is joined by the packets
-    of the window left open before it and by the sizes of the last closed
-    windows. That carry is a small table in the state folder, one per batch, so
-    a replayed batch starts from the same carry.
+    whole stream through one task. Instead each batch is joined by what the window left open before it holds (per source,
+    the number of packets and the first one) and by the sizes of the last closed windows. That carry is a small table in the
+    state folder; the last two batches' are kept, so a replayed batch starts from the same carry.
+
+    Without ``lateness_s`` a late packet counts in the window that is open when it arrives and moves no window. With it, packets are
+    held back that long and taken in the order of time; later ones are dropped, and ``late`` counts them.
     """
 
     def __init__(
@@ -96,39 +111,91 @@ class TrafficAnomalyStream:
         multiplier: float = 3.0,
         min_samples: int = 3,
         whitelist: Iterable[str] = (),
+        lateness_s: float | None = None,
     ) -> None:
         self.path, self.state_path = path, state_path
         self.window_s, self.baseline_windows = window_s, baseline_windows
         self.multiplier, self.min_samples = multiplier, min_samples
         self.whitelist = list(whitelist)
+        self.lateness = None if lateness_s is None else cooldown_us(lateness_s)
 
     def start(self, packets: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         rows = exclude_whitelisted(packets, self.whitelist).select("seq", "ts_us", "src_ip")
-        return _start(rows, self.process, checkpoint, available_now)
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            alerts = self.alerts(batch, batch_id).withColumn("detector_ordinal", F.lit(0))
+            append_alerts(alerts, self.path, batch_id, stream_writer(batch.sparkSession, checkpoint))
+
+        return _start(rows, write, checkpoint, available_now)
+
+    def late(self, spark: SparkSession, batch_id: int) -> int:
+        """Packets dropped up to this batch, one of the last two."""
+        return self._marks(spark, batch_id)[1]
+
+    def _folder(self, batch_id: int) -> str:
+        return f"{self.state_path}/batch={batch_id}"
+
+    def _marks(self, spark: SparkSession, batch_id: int) -> tuple[int | None, int]:
+        """The time up to which packets were taken, and how many were dropped."""
+        if batch_id < 0:
+            return None, 0
+        return tuple(spark.read.schema("taken_us bigint, late bigint").parquet(f"{self._folder(batch_id)}/marks").first())
+
+    def alerts(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The alerts of one micro-batch (seq, ts_us, src_ip); saves what the next one needs."""
         spark = batch.sparkSession
-        packets, history = batch, None
+        before, here = self._folder(batch_id - 1), self._folder(batch_id)
+        taken_us, late = self._marks(spark, batch_id - 1)
+        rows = materialize(batch.select("src_ip", "ts_us", "seq", F.lit(1).cast("bigint").alias("weight")))
+        if self.lateness is None:
+            rows = self._by_arrival(rows, taken_us)
+            taken_us = rows.agg(F.greatest(F.max("ts_us"), F.lit(taken_us).cast("bigint"))).first()[0]
+        else:
+            if taken_us is not None:
+                late += rows.filter(F.col("ts_us") < taken_us).count()
+                rows = rows.filter(F.col("ts_us") >= taken_us)
+            newest = rows.agg(F.max("ts_us")).first()[0]
+            if batch_id > 0:
+                rows = spark.read.schema(_CARRIED).parquet(f"{before}/held").unionByName(rows)
+            if newest is not None:
+                taken_us = max(newest - self.lateness, taken_us if taken_us is not None else newest - self.lateness)
+            up_to = F.lit(taken_us if taken_us is not None else 0)
+            rows.filter(F.col("ts_us") >= up_to).write.mode("overwrite").parquet(f"{here}/held")
+            rows = rows.filter(F.col("ts_us") < up_to)
+        history = None
         if batch_id > 0:
-            before = f"{self.state_path}/batch={batch_id - 1}"
-            packets = spark.read.schema(batch.schema).parquet(f"{before}/open").unionByName(batch)
+            rows = spark.read.schema(_CARRIED).parquet(f"{before}/open").unionByName(rows)
             history = spark.read.schema("window_id bigint, n bigint").parquet(f"{before}/closed")
-        packets = materialize(packets)
-        starts = window_starts(packets, self.window_s)
-        windows = materialize(anchored_windows(packets, self.window_s, starts))
+        rows = materialize(rows)
+        starts = window_starts(rows, self.window_s)
+        windows = materialize(anchored_windows(rows, self.window_s, starts, "weight"))
         sizes = windows if history is None else windows.unionByName(history, allowMissingColumns=True)
         judged = rolling_baseline(sizes, self.baseline_windows).filter(F.col("window_id") >= 0)
-        alerts = spike_alerts(packets, judged, self.window_s, self.multiplier, self.min_samples)
-        append_alerts(alerts.withColumn("detector_ordinal", F.lit(0)), self.path, batch_id)
-        self._save(packets, starts, windows, history, batch_id)
-
-    def _save(self, packets, starts, windows, history, batch_id: int) -> None:
-        """The packets of the open window, and the last closed windows renumbered to end at -1."""
-        here = f"{self.state_path}/batch={batch_id}"
-        latest = F.max("window_start").alias("window_start")
-        open_window = starts.agg(latest)
-        members = assign_windows(packets, starts, self.window_s).join(F.broadcast(open_window), "window_start")
-        members.select(*packets.columns).write.mode("overwrite").parquet(f"{here}/open")
+        alerts = materialize(spike_alerts(rows, judged, self.window_s, self.multiplier, self.min_samples, "weight"))
+        self._save(rows, starts, windows, history, batch_id)
+        marks = spark.createDataFrame([(taken_us, late)], "taken_us bigint, late bigint")
+        marks.coalesce(1).write.mode("overwrite").parquet(f"{here}/marks")
+        self._forget(spark, batch_id - 2)
+        return alerts
+
+    def _by_arrival(self, rows: DataFrame, taken_us: int | None) -> DataFrame:
+        """Times as they count in the order of arrival: none is before one that came earlier."""
+        chunk = slice_start(F.col("seq"), _ARRIVAL_CHUNK).alias("_chunk")
+        at = Window.partitionBy("_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+        floors = rows.groupBy(chunk).agg(F.max("ts_us").alias("_max")).withColumn("_floor", F.max("_max").over(earlier))
+        placed = rows.withColumn("_chunk", chunk).join(floors.select("_chunk", "_floor"), "_chunk")
+        raised = F.greatest(F.max("ts_us").over(at), F.col("_floor"), F.lit(taken_us).cast("bigint"))
+        return placed.withColumn("ts_us", raised).drop("_chunk", "_floor")
+
+    def _save(self, rows, starts, windows, history, batch_id: int) -> None:
+        """What the open window holds, and the last closed windows renumbered to end at -1."""
+        here = self._folder(batch_id)
+        open_window = starts.agg(F.max("window_start").alias("window_start"))
+        members = assign_windows(rows, starts, self.window_s).join(F.broadcast(open_window), "window_start")
+        first = F.min(F.struct("ts_us", "seq")).alias("first")
+        carried = members.groupBy("src_ip").agg(first, F.sum("weight").alias("weight"))
+        carried.select("src_ip", "first.ts_us", "first.seq", "weight").write.mode("overwrite").parquet(f"{here}/open")
         closed = windows.filter(F.col("close_us").isNotNull()).select("window_id", "n")
         if history is not None:
             closed = closed.unionByName(history)
@@ -136,3 +203,63 @@ class TrafficAnomalyStream:
         last = closed.orderBy(F.desc("window_id")).limit(self.baseline_windows)
         renumbered = last.select((-F.row_number().over(newest_first)).cast("bigint").alias("window_id"), "n")
         renumbered.write.mode("overwrite").parquet(f"{here}/closed")
+
+    def _forget(self, spark: SparkSession, batch_id: int) -> None:
+        if batch_id >= 0:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._folder(batch_id))
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def start_detect_all(
+    packets: DataFrame,
+    path: str,
+    checkpoint: str,
+    state_path: str,
+    params: Mapping[str, Any] | None = None,
+    enabled: Iterable[str] | str | None = None,
+    whitelist: Iterable[str] = (),
+    available_now: bool = False,
+) -> StreamingQuery:
+    """All selected built-in detectors over one stream into one log, as ``detect_all`` on a table.
+
+    The keyed detectors' alerts and the packets for the traffic windows arrive in the same micro-batch, whose alerts are
+    appended together, numbered by (arrival, detector). Whitelisted packets enter no detector.
+    """
+    names = select_detectors(params, enabled)
+    unknown = [n for n in names if n not in (*KEYED_DETECTORS, "traffic_anomaly")]
+    if unknown:
+        raise ValueError(f"no streaming form of {unknown}")
+    chosen = settings(params)
+    watched = exclude_whitelisted(packets, list(whitelist) or chosen["whitelist"])
+    keyed = {
+        "port_scan": {"port_threshold": "port_threshold", "window_s": "time_window", "cooldown_s": "cooldown"},
+        "arp_spoof": {"cooldown_s": "cooldown"},
+        "dos": {"syn_threshold": "syn_threshold", "window_s": "time_window", "cooldown_s": "cooldown"},
+    }
+    alert_type = ALERT_SCHEMA.simpleString()
+    row_type = "struct<seq: bigint, ts_us: bigint, src_ip: string>"
+    parts = []
+    for name in names:
+        ordinal = F.lit(detector_names().index(name)).alias("detector_ordinal")
+        if name == "traffic_anomaly":
+            row = F.struct("seq", "ts_us", "src_ip").cast(row_type)
+            parts.append(watched.select(F.lit(None).cast(alert_type).alias("alert"), row.alias("packet"), ordinal))
+            continue
+        found = stream_detect(watched, name, **{k: chosen[name][v] for k, v in keyed[name].items()})
+        alert = F.struct(*ALERT_SCHEMA.names).cast(alert_type).alias("alert")
+        parts.append(found.select(alert, F.lit(None).cast(row_type).alias("packet"), ordinal))
+    p = chosen["traffic_anomaly"]
+    traffic = TrafficAnomalyStream(
+        path, state_path, p["window_seconds"], p["baseline_windows"], p["multiplier"], p["min_baseline_samples"]
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = materialize(batch)
+        alerts = batch.filter("alert IS NOT NULL").select("alert.*", "detector_ordinal")
+        if "traffic_anomaly" in names:
+            spikes = traffic.alerts(batch.filter("packet IS NOT NULL").select("packet.*"), batch_id)
+            ordinal = F.lit(detector_names().index("traffic_anomaly"))
+            alerts = alerts.unionByName(spikes.withColumn("detector_ordinal", ordinal))
+        append_alerts(alerts, path, batch_id, stream_writer(batch.sparkSession, checkpoint))
+
+    return _start(reduce(DataFrame.unionByName, parts), write, checkpoint, available_now)
