@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 
+#: Bits of the array that thins out rows before a join (8 MB), and of one piece of it.
+FILTER_BITS = 1 << 26
+_PIECE = 1 << 15
+
 
 def in_cells(members: DataFrame, n_blocks: Column, member: Column) -> DataFrame:
     """Deals each group's members into blocks and the blocks into cells of two, with columns block, low and high.
@@ -25,6 +29,22 @@ def in_cells(members: DataFrame, n_blocks: Column, member: Column) -> DataFrame:
     return others.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "n_blocks")
 
 
+def perhaps_among(rows: DataFrame, row_id: Column, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose id may be among the ids (column id): all that are, and few others as long as ``bits`` is well above their number.
+
+    A bit array of fixed size, in pieces of 4 KB, is broadcast, so wide rows needn't be shuffled to a join that drops them.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    pieces = ids.select(place(F.col("id")).alias("p")).groupBy((F.col("p") / _PIECE).cast("int").alias("piece"))
+    pieces = pieces.agg(F.bitmap_construct_agg(F.col("p") % _PIECE).alias("bitmap"))
+    at = rows.withColumn("_place", place(row_id))
+    joined = at.join(F.broadcast(pieces), (F.col("_place") / _PIECE).cast("int") == F.col("piece"))
+    bit = F.col("_place") % _PIECE
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    masks = F.array(*[F.lit(1 << k) for k in range(8)])
+    return joined.where(byte.bitwiseAND(F.get(masks, (bit % 8).cast("int"))) > 0).select(*rows.columns)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """The groups of equal ``key`` columns, from batches that are sorted by them."""
     carry = None

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .groups import connected_components, in_cells, smallest_reachable, sorted_groups
+from .groups import connected_components, in_cells, perhaps_among, smallest_reachable, sorted_groups
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Hash functions of a signature at most; more rows in a band mean fewer false candidates.
@@ -157,7 +157,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     weight = F.greatest(F.col("size"), F.lit(LEAST_WEIGHT))
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).alias("n_blocks"))
     members = in_cells(sized.join(blocks, "cluster"), F.col("n_blocks"), F.col("id"))
-    texts = named.withColumnRenamed("id", "doc")
+    texts = perhaps_among(named, F.col("id"), sized.select("id")).withColumnRenamed("id", "doc")
     same = (F.col("id") == F.col("doc")) & (members["h1"] == texts["h1"]) & (members["h2"] == texts["h2"])
     cells = members.join(texts, same).select(*CELL, "id", "mult", "block", members["h1"].alias("h1"), members["h2"].alias("h2"), "t")
     order = [*CELL, "id", "h1", "h2"]
