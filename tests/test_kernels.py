@@ -4,8 +4,10 @@ import random
 
 import brute
 import pytest
+from brute import windowed
 from pyspark.sql import functions as F
 
+from wiretide.functions import timing
 from wiretide.operators.chain import cooldown, greedy_times
 from wiretide.operators.distinct import cumulative_distinct
 from wiretide.operators.running import dense_index
@@ -161,3 +163,23 @@ def test_anchored_windows(spark, seed):
         names = [r["src_ip"] for r in m if r["src_ip"]]
         best = min(set(names), key=lambda x: (-names.count(x), names.index(x))) if names else "unknown"
         assert top[s] == (best, names.count(best))
+
+
+def test_slices_follow_the_density(spark, monkeypatch):
+    """One source with 90 % of a day: no (key, slice) above the bound, and the counts stay."""
+    monkeypatch.setattr(timing, "SLICE_ROWS", 300)
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.9 else "cold", rng.randrange(86_400) * 1_000_000 + k, k, rng.randrange(40)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "src_ip string, ts_us long, seq long, v long")
+    for hours in (6, 72):
+        length = timing.dense_slice(df, ["src_ip"], timing.slice_length(hours * 3_600_000_000, None))
+        per_slice = df.groupBy("src_ip", timing.slice_start(F.col("ts_us"), length)).count()
+        assert per_slice.agg(F.max("count")).first()[0] <= 300
+        keyed = [{"src_ip": k, "ts_us": t, "v": v, "seq": s} for k, t, s, v in sorted(rows, key=lambda r: (r[1], r[2]))]
+        some = rng.sample(range(len(keyed)), 150)
+        window = hours * 3_600_000_000
+        counts = {r.seq: r.observed for r in sliding_count(df, "src_ip", hours * 3600).collect()}
+        distinct = {r.seq: r.observed for r in sliding_distinct_count(df, "src_ip", "v", hours * 3600).collect()}
+        for i in some:
+            live = windowed(keyed, i, "src_ip", window)
+            assert counts[keyed[i]["seq"]] == len(live) and distinct[keyed[i]["seq"]] == len({r["v"] for r in live})

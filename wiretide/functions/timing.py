@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
@@ -38,6 +38,25 @@ def slice_length(window: int, slice_s: float | None) -> int:
     return min(max(4 * window, 60 * MICROS), DAY_US)
 
 
+# Rows of one key that a slice should hold at most, and the shortest slice.
+SLICE_ROWS = 2_000_000
+SHORTEST_US = 1000
+
+
+def dense_slice(df: DataFrame, keys: list[str], length: int, most: int | None = None) -> int:
+    """``length``, or a shorter slice in which no key of ``df`` has more than ``most`` rows, from counts of the rows.
+
+    Counting combines before its shuffle. A key with more rows than that in the shortest slice keeps it.
+    """
+    most = most or SLICE_ROWS
+    while True:
+        per_slice = df.groupBy(*keys, slice_start(F.col("ts_us"), length)).agg(F.count(F.lit(1)).alias("_n"))
+        densest = per_slice.agg(F.max("_n")).first()[0] or 0
+        if densest <= most or length <= SHORTEST_US:
+            return length
+        length = max(length * most // (2 * densest), SHORTEST_US)
+
+
 def iso_utc(ts_us: Column) -> Column:
     """ISO-8601 text in UTC; the fraction is left out when it is zero."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ts_us / F.lit(DAY_US)).cast("int"))

@@ -98,7 +98,7 @@ def port_scan_alerts(fired: DataFrame, port_threshold: int, window_s: float) ->
     return _alerts(fired, PORT_SCAN, details, port_threshold, items=F.col("items"))
 
 
-def detect_arp_spoof(packets: DataFrame, cooldown_s: float = 60.0, slice_s: float = 3600.0) -> DataFrame:
+def detect_arp_spoof(packets: DataFrame, cooldown_s: float = 60.0, slice_s: float | None = None) -> DataFrame:
     """Addresses bound to two or more MACs; a MAC not seen before alerts at once."""
     eligible = arp_eligible(timed(packets)).select("src_ip", "src_mac", "ts_us", "seq")
     firsts = materialize(first_arrivals(eligible, "src_ip", "src_mac"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timing import slice_start, window_us
+from ..functions.timing import dense_slice, slice_start, window_us
 from .running import drop_carry, running_sum
 
+HOUR_US = 3_600_000_000
 _SLICE = "_slice"
 
 
@@ -21,7 +22,7 @@ def cumulative_distinct(
     df: DataFrame,
     key: str,
     value: str,
-    slice_s: float = 3600.0,
+    slice_s: float | None = None,
     out: str = "observed",
     first_seen: str = "first_seen",
     firsts: DataFrame | None = None,
@@ -31,9 +32,9 @@ def cumulative_distinct(
     First arrivals come from a combining aggregate. Each joins its slice as a
     marker row just before the packet itself, so neither a hot key nor a hot
     (key, value) pair has to fit in one task. ``firsts`` gives the first arrivals
-    where they are already known.
+    where they are already known. A slice is an hour, or less where a key is dense.
     """
-    length = window_us(slice_s, "slice_s")
+    length = window_us(slice_s, "slice_s") if slice_s is not None else dense_slice(df, [key], HOUR_US)
     start = slice_start(F.col("ts_us"), length).alias(_SLICE)
     marker = F.col("_kind") == 0
     firsts = first_arrivals(df, key, value) if firsts is None else firsts

@@ -10,7 +10,7 @@ where the second term is a growing frame (``UNBOUNDED PRECEDING`` up to
 ``ts - W - 1``). Spark extends growing frames in place, so the cost per row
 does not depend on how many rows the window holds, unlike a sliding frame.
 
-Layout. Time is cut into slices, and one shuffle on (key, slice) brings each
+Layout. Time is cut into slices, shorter ones where a key is dense, and one shuffle on (key, slice) brings each
 slice the rows it needs, so a hot key is spread over as many tasks as it has
 slices. A window no longer than a slice also sees rows of the slice before;
 those are sent to both. For a longer window that would copy too much. Then a
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timing import slice_length, slice_start, window_us
+from ..functions.timing import dense_slice, slice_length, slice_start, window_us
 from .running import drop_carry, running_sum
 
 _SLICE = "_slice"
@@ -92,6 +92,8 @@ def sliding_count(
     """Adds ``out``: the key's rows in ``[ts_us - W, ts_us]`` that arrived up to this one."""
     keys, window = _keys(key), window_us(window_s)
     length = slice_length(window, slice_s)
+    if slice_s is None:
+        length = dense_slice(df, keys, length)
     if window > length:
         return _count_with_carry(df, keys, window, length, out)
     laid = _with_halo(df, keys, window, length)
@@ -118,6 +120,8 @@ def sliding_distinct_count(
     """
     keys, window = _keys(key), window_us(window_s)
     length = slice_length(window, slice_s)
+    if slice_s is None:
+        length = dense_slice(df, keys, length)
     if window > length:
         laid = _with_live_values(df, keys, value, window, length)
     else:

@@ -9,19 +9,24 @@ strategy (broadcast or shuffle) from a measured size.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPE = threading.local()
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set here only for a local master that has none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
+    """The session's checkpoint folder, or the one named by ``spark.checkpoint.dir``; set here only for a local master without either."""
     java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if java_dir.isDefined():
         return java_dir.get().rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="wiretide-")
@@ -29,9 +34,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _prefix(spark: SparkSession) -> str:
+    return f"wiretide-{spark.sparkContext.applicationId}-"
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A fresh path in the shared folder."""
-    return f"{scratch_dir(spark)}/wiretide-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{_prefix(spark)}{uuid.uuid4().hex}"
+    made = getattr(_SCOPE, "made", None)
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -39,3 +52,30 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediate tables that this thread made inside; nothing may read them later."""
+    outer, _SCOPE.made = getattr(_SCOPE, "made", None), []
+    try:
+        yield
+    finally:
+        made, _SCOPE.made = _SCOPE.made, outer
+        for path in made:
+            _delete(spark, path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application, for when its results have been written."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(root):
+        for status in files.listStatus(root):
+            if status.getPath().getName().startswith(_prefix(spark)):
+                files.delete(status.getPath(), True)

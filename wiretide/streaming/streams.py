@@ -24,7 +24,7 @@ from ..plans.engine import detector_names, select_detectors
 from ..plans.params import settings
 from ..plans.store import append_alerts, stream_writer
 from ..schema import ALERT_SCHEMA
-from ..scratch import materialize
+from ..scratch import materialize, scratch_scope
 from .processors import FIRED_SCHEMA, ArpSpoofProcessor, PortScanProcessor, SynFloodProcessor
 
 KEYED_DETECTORS = ("port_scan", "arp_spoof", "dos")
@@ -81,7 +81,11 @@ def start_alert_sink(alerts: DataFrame, path: str, checkpoint: str, available_no
 
 
 def _start(stream: DataFrame, write, checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    def write_and_clear(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            write(batch, batch_id)
+
+    writer = stream.writeStream.foreachBatch(write_and_clear).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
