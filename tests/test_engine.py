@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import json
+import threading
+from pathlib import Path
 
 import pytest
 from brute import packet, packets_df
 from pyspark.sql import functions as F
 
+from wiretide import scratch
 from wiretide.operators.detectors import detect_port_scan
 from wiretide.plans import store
 from wiretide.plans.engine import (
@@ -199,3 +202,36 @@ def test_request_limit():
     for bad in (-1, "-5"):
         with pytest.raises(ValueError):
             store.request_limit(bad)
+
+
+def test_scratch_tables_go(spark):
+    """A scope takes its own tables with it, and the application can drop all of its."""
+    rows = spark.range(3)
+    kept = scratch.materialize(rows)
+    with scratch.scratch_scope(spark):
+        inside = scratch.materialize(rows).inputFiles()
+    folder = Path(scratch.scratch_dir(spark).removeprefix("file:"))
+    names = {p.name for p in folder.iterdir()}
+    assert Path(kept.inputFiles()[0]).parent.name in names and Path(inside[0]).parent.name not in names
+    own = spark.newSession()
+    assert scratch.scratch_dir(own) == scratch.scratch_dir(spark)
+
+
+def test_ids_of_concurrent_writers(spark, tmp_path):
+    """Every alert has an id of its own, whoever appends at the same time."""
+    path = str(tmp_path / "log")
+    writers = [threading.Thread(target=log_of, args=(spark, path, *[[alert(10 * i + j)] for j in range(3)])) for i in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(r.id for r in store.read_alerts(spark, path).collect()) == list(range(1, 13))
+
+
+def test_an_append_reads_no_old_alerts(spark, tmp_path):
+    """The log's files can be gone: the next ids are known all the same."""
+    path = tmp_path / "log"
+    log_of(spark, path, [alert(5), alert(6)], [alert(7)])
+    for folder in path.glob("writer=*"):
+        folder.rename(tmp_path / folder.name)
+    assert [r.id for r in log_of(spark, path, [alert(8)]).collect()] == [4]

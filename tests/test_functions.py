@@ -11,6 +11,8 @@ from wiretide.functions.addresses import in_networks, ipv4_number, ipv6_hex
 from wiretide.functions.flags import is_syn
 from wiretide.functions.text import number_list, one_decimal, quoted_list
 from wiretide.functions.timing import iso_utc
+from wiretide.operators import whitelist
+from wiretide.operators.whitelist import exclude_whitelisted
 
 ADDRESSES = [
     None, "", "10.0.0.1", "10.0.0.01", "10.0.0.256", "1.2.3", "1.2.3.4.5", " 10.0.0.1", "10.0.0.1\n", "255.255.255.255",
@@ -46,6 +48,7 @@ def test_parsing_agrees_with_the_standard_library(spark):
         ["::/0"],
         ["2001:db8::/32", "::1", "10.0.0.0/8"],
         ["::ffff:0:0/96", "fe80::/10"],
+        ["2001:db8::/33", "2001:db8:8000::/35", "64:ff9b::a00:0/106", "::/1"],
     ],
 )
 def test_networks(spark, entries):
@@ -58,6 +61,20 @@ def test_networks(spark, entries):
         assert row.hit == (address is not None and any(address in n for n in networks)), row.a
 
 
+@pytest.mark.parametrize("extra", [["10.0.0.0/8", "2001:db8::/35"], ["::/0"], ["0.0.0.0/0", "192.168.1.77"]])
+def test_long_lists_are_joined(spark, monkeypatch, extra):
+    """The same rows stay as with the list in the plan."""
+    rng = random.Random(9)
+    entries = [f"{rng.randrange(256)}.{rng.randrange(256)}.0.0/{rng.randrange(9, 33)}" for _ in range(300)] + extra
+    sources = [a for a in ADDRESSES] + [f"{rng.randrange(256)}.{rng.randrange(256)}.0.{rng.randrange(4)}" for _ in range(600)]
+    df = spark.createDataFrame([(a, i) for i, a in enumerate(sources + sources[:50])], "src_ip string, seq int")
+    short = sorted(r.seq for r in exclude_whitelisted(df, entries).collect())
+    monkeypatch.setattr(whitelist, "LISTED_IN_PLAN", 10)
+    joined = exclude_whitelisted(df, entries)
+    assert sorted(r.seq for r in joined.collect()) == short and set(joined.columns) == set(df.columns)
+    assert 0 < len(short) < df.count()
+
+
 def test_bad_entry_raises(spark):
     with pytest.raises(ValueError):
         in_networks(F.col("a"), ["10.0.0.0/33"])

@@ -41,4 +41,4 @@ def test_query(spark, tables, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 135
+    assert entry.entry(spark).count() == 134

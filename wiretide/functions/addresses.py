@@ -75,7 +75,8 @@ def in_networks(ip: Column, entries: Iterable[str]) -> Column:
     Entries are addresses or CIDR ranges; host bits are masked. An invalid entry
     raises ``ValueError``. The two versions never match each other. A single
     IPv4 address has one spelling only and is compared as text; ranges cost one
-    set lookup per prefix length in the list, however long the list is.
+    set lookup per prefix length in the list (in steps of four bits for IPv6), however
+    long the list is.
     """
     networks = [ipaddress.ip_network(entry, strict=False) for entry in entries]
     v4 = list(ipaddress.collapse_addresses(n for n in networks if n.version == 4))
@@ -94,10 +95,25 @@ def in_networks(ip: Column, entries: Iterable[str]) -> Column:
             )
         )
     if v6:
-        ranges = [(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in v6]
-        tests.append(F.exists(F.array(ipv6_hex(ip)), lambda h: _any([h.between(low, high) for low, high in ranges])))
+        prefixes = hex_prefixes(v6)
+        tests.append(
+            F.exists(
+                F.array(ipv6_hex(ip)),
+                lambda h: _any([F.substring(h, 1, n).isin(members) for n, members in prefixes.items()]),
+            )
+        )
     return _any([F.coalesce(t, F.lit(False)) for t in tests]) if tests else F.lit(False)
 
 
+def hex_prefixes(networks: Iterable[ipaddress.IPv6Network]) -> dict[int, list[str]]:
+    """The ranges as prefixes of the address in 32 hexadecimal digits, by their length."""
+    found: dict[int, list[str]] = {}
+    for network in networks:
+        digits = -(-network.prefixlen // 4)
+        for part in network.subnets(new_prefix=4 * digits):
+            found.setdefault(digits, []).append(f"{int(part.network_address):032x}"[:digits])
+    return found
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.addresses import in_networks
+from ..functions.addresses import hex_prefixes, in_networks, ipv4_number, ipv6_hex
+
+# Longer lists are joined and not written into the plan.
+LISTED_IN_PLAN = 2000
 
 
 def exclude_whitelisted(packets: DataFrame, entries: Iterable[str], col: str = "src_ip") -> DataFrame:
     """Drops packets whose address is in the list. NULL and unparsable addresses stay."""
     entries = list(entries)
-    return packets.filter(~in_networks(F.col(col), entries)) if entries else packets
+    if not entries:
+        return packets
+    if len(entries) > LISTED_IN_PLAN and not packets.isStreaming:
+        return packets.join(_listed(packets, entries, col), col, "left_anti")
+    return packets.filter(~in_networks(F.col(col), entries))
+
+
+def _listed(packets: DataFrame, entries: list[str], col: str) -> DataFrame:
+    """The addresses of the packets that are in the list: each distinct one is looked up once per prefix length."""
+    networks = [ipaddress.ip_network(entry, strict=False) for entry in entries]
+    v4 = list(ipaddress.collapse_addresses(n for n in networks if n.version == 4))
+    v6 = hex_prefixes(ipaddress.collapse_addresses(n for n in networks if n.version == 6))
+    rows = [(f"4/{n.prefixlen}", str(int(n.network_address))) for n in v4]
+    rows += [(f"6/{digits}", prefix) for digits, prefixes in v6.items() for prefix in prefixes]
+    addresses = packets.select(col).distinct().select(col, ipv4_number(F.col(col)).alias("_v4"), ipv6_hex(F.col(col)).alias("_v6"))
+    masks = {f"4/{n.prefixlen}": int(n.netmask) for n in v4}
+    places = [
+        F.struct(F.lit(kind).alias("_kind"), F.col("_v4").bitwiseAND(F.lit(mask).cast("bigint")).cast("string").alias("_key"))
+        for kind, mask in masks.items()
+    ]
+    places += [F.struct(F.lit(f"6/{n}").alias("_kind"), F.substring("_v6", 1, n).alias("_key")) for n in v6]
+    listed = packets.sparkSession.createDataFrame(rows, "_kind string, _key string")
+    looked_up = addresses.select(col, F.inline(F.array(*places)))
+    return looked_up.join(listed, ["_kind", "_key"], "left_semi").select(col).distinct()

@@ -17,7 +17,11 @@ RANGE = (1_704_844_800_000_000, 1_705_708_800_000_000)
 PACKETS = r"""
 packets AS MATERIALIZED (
   SELECT event_id AS seq, epoch_us(ts) AS ts_us, user_id,
-         '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS src_ip,
+         '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS plain_ip,
+         CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 101 = 1 THEN ''
+              WHEN event_id % 101 = 2 AND event_type = 'signup' THEN '0.0.0.0'
+              WHEN event_id % 101 = 3 THEN '2001:db8::5' WHEN event_id % 101 = 4 THEN '2001:DB9:0::5'
+              ELSE '10.0.' || (user_id // 256) || '.' || (user_id % 256) END AS src_ip,
          CASE WHEN event_type = 'signup' THEN 'aa:aa:aa:aa:aa:0' || (k % 3) ELSE 'bb:bb:bb:bb:bb:bb' END AS src_mac,
          CASE event_type WHEN 'view' THEN 'UDP' WHEN 'signup' THEN 'ARP' ELSE 'TCP' END AS protocol,
          k, 1000 + k AS dst_port,
@@ -26,8 +30,11 @@ packets AS MATERIALIZED (
   FROM (SELECT *, CAST(regexp_extract(props, '\d+') AS INTEGER) AS k FROM events)
 )"""
 
-# Sources of the whitelist 10.0.0.3 and 10.0.0.8/30.
-TRUSTED = "(src_ip = '10.0.0.3' OR src_ip IN ('10.0.0.8', '10.0.0.9', '10.0.0.10', '10.0.0.11'))"
+# Sources of the whitelist 10.0.0.3, 10.0.0.8/30 and 2001:db8::/32.
+TRUSTED = "coalesce(src_ip IN ('10.0.0.3', '10.0.0.8', '10.0.0.9', '10.0.0.10', '10.0.0.11', '2001:db8::5'), false)"
+SCAN_ROW = "protocol IN ('TCP', 'UDP') AND src_ip <> ''"
+SYN_ROW = "protocol = 'TCP' AND tcp_flags = 'S' AND src_ip <> ''"
+ARP_ROW = "is_arp AND src_ip <> '' AND src_ip <> '0.0.0.0'"
 
 
 def _iso(ts_us: str) -> str:
@@ -69,7 +76,7 @@ def _frame(window: int) -> str:
 
 def _port_scan(source: str = "packets", p: str = "") -> str:
     return f"""
-{p}scan_rows AS MATERIALIZED (SELECT seq, ts_us, src_ip, dst_port FROM {source} WHERE protocol IN ('TCP', 'UDP')),
+{p}scan_rows AS MATERIALIZED (SELECT seq, ts_us, src_ip, dst_port FROM {source} WHERE {SCAN_ROW}),
 {p}scan_over AS MATERIALIZED (
   SELECT * FROM (SELECT seq, ts_us, src_ip, count(DISTINCT dst_port) OVER ({_frame(WINDOW_3D)}) AS observed FROM {p}scan_rows)
   WHERE observed >= 8
@@ -88,7 +95,7 @@ def _arp_spoof(source: str = "packets", p: str = "") -> str:
     return f"""
 {p}arp_rows AS MATERIALIZED (
   SELECT seq, ts_us, src_ip, src_mac, row_number() OVER (PARTITION BY src_ip, src_mac ORDER BY ts_us, seq) = 1 AS first_seen
-  FROM {source} WHERE is_arp
+  FROM {source} WHERE {ARP_ROW}
 ),
 {p}arp_counted AS MATERIALIZED (
   SELECT *, CAST(sum(CAST(first_seen AS INTEGER)) OVER (PARTITION BY src_ip ORDER BY ts_us, seq) AS BIGINT) AS observed FROM {p}arp_rows
@@ -106,7 +113,7 @@ def _arp_spoof(source: str = "packets", p: str = "") -> str:
 
 def _syn_flood(source: str = "packets", p: str = "") -> str:
     return f"""
-{p}syn_rows AS MATERIALIZED (SELECT seq, ts_us, src_ip FROM {source} WHERE protocol = 'TCP' AND tcp_flags = 'S'),
+{p}syn_rows AS MATERIALIZED (SELECT seq, ts_us, src_ip FROM {source} WHERE {SYN_ROW}),
 {p}syn_over AS MATERIALIZED (
   SELECT * FROM (SELECT *, count(*) OVER ({_frame(WINDOW_3D)}) AS observed FROM {p}syn_rows) WHERE observed >= 6
 ),
@@ -144,11 +151,12 @@ def _windows(source: str = "packets", p: str = "") -> str:
   FROM {p}windows WINDOW w AS (ORDER BY window_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)
 ),
 {p}tops AS MATERIALIZED (
-  SELECT window_start, src_ip AS top_ip, top_count FROM (
+  SELECT w.window_start, coalesce(t.src_ip, 'unknown') AS top_ip, coalesce(t.top_count, 0) AS top_count
+  FROM {p}windows w LEFT JOIN (
     SELECT window_start, src_ip, count(*) AS top_count,
            row_number() OVER (PARTITION BY window_start ORDER BY count(*) DESC, min(ts_us), min(seq)) AS place
-    FROM {p}members GROUP BY window_start, src_ip)
-  WHERE place = 1
+    FROM {p}members WHERE src_ip <> '' GROUP BY window_start, src_ip) t
+  ON t.window_start = w.window_start AND t.place = 1
 )"""
 
 
@@ -211,7 +219,7 @@ ORACLE: dict[str, str] = {
     ),
     "decode_frames": _sql(
         FRAMES,
-        """SELECT seq, CASE WHEN NOT is_ipv6 THEN src_ip END AS src_ip, CASE WHEN NOT is_ipv6 THEN '10.0.0.2' END AS dst_ip,
+        """SELECT seq, CASE WHEN NOT is_ipv6 THEN plain_ip END AS src_ip, CASE WHEN NOT is_ipv6 THEN '10.0.0.2' END AS dst_ip,
                   src_mac, CASE WHEN is_arp THEN 'cc:cc:cc:cc:cc:cc' ELSE 'dd:dd:dd:dd:dd:dd' END AS dst_mac,
                   CASE WHEN is_arp THEN 'ARP' WHEN is_ipv6 THEN NULL WHEN has_ports THEN protocol ELSE 'IP' END AS protocol,
                   CASE WHEN has_ports THEN CASE protocol WHEN 'UDP' THEN 53 ELSE 12345 END END AS src_port,
@@ -229,25 +237,25 @@ ORACLE: dict[str, str] = {
                   CASE WHEN k = 96 THEN 'short link header' WHEN is_arp THEN 'bad ARP body' ELSE 'bad IPv4 header' END AS decode_error
            FROM decoded WHERE k IN (96, 97)""",
     ),
-    "syn_packets": _sql("", "SELECT seq, src_ip, tcp_flags FROM packets WHERE protocol = 'TCP' AND tcp_flags = 'S'"),
-    "port_scan_eligible": _sql("", "SELECT seq, src_ip, protocol, dst_port FROM packets WHERE protocol IN ('TCP', 'UDP')"),
-    "arp_eligible": _sql("", "SELECT seq, src_ip, src_mac FROM packets WHERE is_arp"),
+    "syn_packets": _sql("", f"SELECT seq, src_ip, tcp_flags FROM packets WHERE {SYN_ROW}"),
+    "port_scan_eligible": _sql("", f"SELECT seq, src_ip, protocol, dst_port FROM packets WHERE {SCAN_ROW}"),
+    "arp_eligible": _sql("", f"SELECT seq, src_ip, src_mac FROM packets WHERE {ARP_ROW}"),
     "whitelist_filter": _sql("", f"SELECT seq, src_ip FROM packets WHERE NOT {TRUSTED}"),
     "sliding_syn_count": _sql(
         "",
-        f"SELECT seq, src_ip, ts_us, count(*) OVER ({_frame(SHORT_WINDOW)}) AS observed FROM packets WHERE protocol = 'TCP' AND tcp_flags = 'S'",
+        f"SELECT seq, src_ip, ts_us, count(*) OVER ({_frame(SHORT_WINDOW)}) AS observed FROM packets WHERE {SYN_ROW}",
     ),
     "sliding_syn_count_3d": _sql(
         "",
-        f"SELECT seq, src_ip, ts_us, count(*) OVER ({_frame(WINDOW_3D)}) AS observed FROM packets WHERE protocol = 'TCP' AND tcp_flags = 'S'",
+        f"SELECT seq, src_ip, ts_us, count(*) OVER ({_frame(WINDOW_3D)}) AS observed FROM packets WHERE {SYN_ROW}",
     ),
     "sliding_distinct_ports": _sql(
         "",
-        f"SELECT seq, src_ip, ts_us, count(DISTINCT dst_port) OVER ({_frame(SHORT_WINDOW)}) AS observed FROM packets WHERE protocol IN ('TCP', 'UDP')",
+        f"SELECT seq, src_ip, ts_us, count(DISTINCT dst_port) OVER ({_frame(SHORT_WINDOW)}) AS observed FROM packets WHERE {SCAN_ROW}",
     ),
     "sliding_distinct_ports_3d": _sql(
         "",
-        f"SELECT seq, src_ip, ts_us, count(DISTINCT dst_port) OVER ({_frame(WINDOW_3D)}) AS observed FROM packets WHERE protocol IN ('TCP', 'UDP')",
+        f"SELECT seq, src_ip, ts_us, count(DISTINCT dst_port) OVER ({_frame(WINDOW_3D)}) AS observed FROM packets WHERE {SCAN_ROW}",
     ),
     "arp_bindings": _sql(_arp_spoof(), "SELECT src_ip, src_mac, ts_us, seq, observed, first_seen FROM arp_counted"),
     "cooldown": _sql(_syn_flood(), "SELECT seq, src_ip, ts_us, observed FROM syn"),

@@ -35,17 +35,29 @@ def _micros(events: DataFrame) -> Column:
     return F.unix_micros("ts")
 
 
-def packet_fields(events: DataFrame) -> DataFrame:
-    """The packet columns an event carries; cheap to prune, since each is one expression."""
+def _address(user: Column) -> Column:
+    return F.concat(F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string"))
+
+
+def packet_fields(events: DataFrame, odd_sources: bool = True) -> DataFrame:
+    """The packet columns an event carries; cheap to prune, since each is one expression.
+
+    Some events have odd sources: none, an empty one, the unspecified address of ARP probes, two IPv6 addresses.
+    """
+    odd = F.col("event_id") % 101 if odd_sources else F.lit(-1)
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("int")
     user = F.col("user_id")
     return events.select(
         F.col("event_id").alias("seq"),
         _micros(events).alias("ts_us"),
-        F.concat(
-            F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string")
-        ).alias("src_ip"),
+        F.when(odd == 0, None)
+        .when(odd == 1, "")
+        .when((odd == 2) & (kind == "signup"), "0.0.0.0")
+        .when(odd == 3, "2001:db8::5")
+        .when(odd == 4, "2001:DB9:0::5")
+        .otherwise(_address(user))
+        .alias("src_ip"),
         F.when(kind == "signup", F.concat(F.lit("aa:aa:aa:aa:aa:0"), (k % 3).cast("string")))
         .otherwise("bb:bb:bb:bb:bb:bb")
         .alias("src_mac"),
@@ -68,7 +80,7 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     protocol, 93 IPv6, 94 VLAN tag, 95 cut transport header; 96 cuts any frame
     to 10 bytes and 97 to 30.
     """
-    rows = packet_fields(read_events(spark, sf_dir)).withColumn("k", F.col("dst_port") - 1000)
+    rows = packet_fields(read_events(spark, sf_dir), odd_sources=False).withColumn("k", F.col("dst_port") - 1000)
 
     def num(value: Column | int, n_bytes: int) -> Column:
         value = F.lit(value) if isinstance(value, int) else value
