@@ -1,13 +1,10 @@
 from __future__ import annotations
 
 import random
-from pathlib import Path
 
-import duckdb
 import pytest
 from helpers import awkward, documents, sentence, words
 
-import __spark_entry__ as entry
 from wiretide.llm.mixing import mix_sources, repeat_documents
 
 
@@ -70,19 +67,3 @@ def test_empty(spark):
 def test_all_texts_empty(spark):
     got = mix_sources(documents(spark, [(1, None, "en", "a"), (2, "", "en", "b")])).collect()
     assert [(r.target, r.taken) for r in got] == [(0, 0), (0, 0)]
-
-
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & {"op1_url_filter", "op9_mixing"}))
-def test_query_against_sql(spark, name):
-    sf_dir = "/root/testdata/sf0.01"
-    if not Path(sf_dir).exists():
-        pytest.skip("no test tables")
-    con = duckdb.connect()
-    for t in ("documents", "pages"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    df = entry.queries()[name](spark, sf_dir)
-    columns = sorted(df.columns)
-    result = con.execute(entry.oracle_sql()[name])
-    names = [d[0] for d in result.description]
-    assert sorted(names) == columns
-    assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr([r[names.index(c)] for c in columns]) for r in result.fetchall())

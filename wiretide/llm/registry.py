@@ -129,4 +129,42 @@ ORACLE = {
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op6_embedding_dedup": r"""
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b
+            ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach AS (
+            SELECT vec_id AS x, vec_id AS y FROM embeddings
+            UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.y AS component_id, e.vec_id = c.y AS kept
+        FROM embeddings e
+        JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) c ON c.x = e.vec_id
+        LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = e.vec_id""",
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        shared AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE c / (p.n + q.n - c) >= 0.8
+            UNION ALL
+            SELECT a.doc_id, b.doc_id FROM split a JOIN split b ON a.doc_id <> b.doc_id WHERE len(a.w) = 0 AND len(b.w) = 0),
+        reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM split
+            UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+        SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY d.t) AS copy_of, c.y AS group_id, coalesce(n.n, 0) AS n_links,
+               d.doc_id = c.y AS kept
+        FROM split d
+        JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) c ON c.x = d.doc_id
+        LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = d.doc_id""",
 }
