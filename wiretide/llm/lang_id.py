@@ -35,7 +35,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str) -> list[str]:
-    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    words = _LETTERS.findall(text.lower())
+    # Beyond ASCII the pattern lets through runs of numerals such as a superscript two.
+    return words if text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def subwords(word: str) -> list[int]:
@@ -82,17 +84,21 @@ class Scorer:
             return None
         if len(self.row) + len(words) > CACHED_WORDS:
             self.row.clear()
+        rows = list(map(self.row.get, words))
         total = np.zeros(self.sums.shape[1])
-        rows = []
-        for word in words:
-            k = self.row.get(word)
-            if k is None:
-                if len(word) > LONGEST_CACHED or len(self.row) >= CACHED_WORDS:
-                    total += self.vector(word)
-                    continue
-                k = self.row[word] = len(self.row)
-                self.sums[k] = self.vector(word)
-            rows.append(k)
+        if None in rows:
+            for i, k in enumerate(rows):
+                if k is None:
+                    k = self.row.get(words[i])
+                    if k is None:
+                        vector = self.vector(words[i])
+                        if len(words[i]) > LONGEST_CACHED or len(self.row) >= CACHED_WORDS:
+                            total += vector
+                            continue
+                        k = self.row[words[i]] = len(self.row)
+                        self.sums[k] = vector
+                    rows[i] = k
+            rows = [k for k in rows if k is not None]
         total += self.sums[rows].sum(axis=0)
         return total[:-1] / total[-1]
 
