@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, and calibrated rejection.
 
-A word's features are its character n-grams with word marks, and the word itself, hashed into buckets. A text's vector is the
+A word's features are its n-grams of bytes with word marks, and the word itself, hashed into buckets. A text's vector is the
 mean of its features' embeddings. The model is trained by stochastic gradient descent in numpy on a bounded
 sample of words; a part of the sample is kept back to fit the temperature and the rejection threshold. As mean and
 softmax layer are linear, tasks only add up one small vector per word.
@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows
+from .common import keep_rows, pieces
 
 #: Documents per language that the model is fitted on, in the order of a hash of the id, and words drawn from each.
 FIT_DOCS, FIT_WORDS = 1_500, 64
@@ -28,6 +30,8 @@ BUCKETS, DIM, EPOCHS, RATE, BATCH = 1 << 16, 16, 4, 2.0, 64
 KEPT_BACK = 0.2
 #: Share of the kept-back examples, rightly told, that the threshold may reject; and the highest threshold.
 LOST, HIGHEST = 0.001, 0.5
+#: Parts in which each language's documents are ranked first.
+SALTS = 64
 CACHED_WORDS = 300_000
 LONGEST_CACHED = 40
 UNDETERMINED = "und"
@@ -41,12 +45,12 @@ def letter_words(text: str) -> list[str]:
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of 1 to 4 characters of ``<word>`` and of the whole of it."""
-    marked = f"<{word}>"
+    """Buckets of the n-grams of 1 to 4 bytes of ``<word>`` in UTF-8 and of the whole of it."""
+    marked = f"<{word}>".encode()
     grams = [marked]
     for n in (1, 2, 3, 4):
         grams += [marked[i : i + n] for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in grams]
+    return [h & (BUCKETS - 1) for h in map(zlib.crc32, grams)]
 
 
 @dataclass
@@ -74,32 +78,31 @@ class Scorer:
         width = len(self.model.languages)
         self.sums = np.zeros((CACHED_WORDS, width + 1))
 
-    def vector(self, word: str) -> np.ndarray:
-        at = subwords(word)
-        return np.append(self.model.table[at].sum(axis=0), len(at))
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the logits, and its number of features."""
+        bags = list(map(subwords, words))
+        lengths = np.fromiter(map(len, bags), np.int64, len(bags))
+        flat = np.fromiter(chain.from_iterable(bags), np.int64, lengths.sum())
+        sums = np.add.reduceat(self.model.table[flat], np.append(0, lengths.cumsum()[:-1]), axis=0)
+        return np.column_stack([sums, lengths])
 
     def text_mean(self, text: str) -> np.ndarray | None:
         words = letter_words(text)
         if not words:
             return None
-        if len(self.row) + len(words) > CACHED_WORDS:
+        if len(self.row) >= CACHED_WORDS:
             self.row.clear()
         rows = list(map(self.row.get, words))
-        total = np.zeros(self.sums.shape[1])
-        if None in rows:
-            for i, k in enumerate(rows):
-                if k is None:
-                    k = self.row.get(words[i])
-                    if k is None:
-                        vector = self.vector(words[i])
-                        if len(words[i]) > LONGEST_CACHED or len(self.row) >= CACHED_WORDS:
-                            total += vector
-                            continue
-                        k = self.row[words[i]] = len(self.row)
-                        self.sums[k] = vector
-                    rows[i] = k
-            rows = [k for k in rows if k is not None]
-        total += self.sums[rows].sum(axis=0)
+        known = [k for k in rows if k is not None]
+        total = self.sums[known].sum(axis=0)
+        if len(known) < len(words):
+            missing = Counter(w for w, k in zip(words, rows, strict=True) if k is None)
+            vectors = self.vectors(list(missing))
+            total = total + np.fromiter(missing.values(), np.float64, len(missing)) @ vectors
+            for word, vector in zip(missing, vectors, strict=True):
+                if len(word) <= LONGEST_CACHED and len(self.row) < CACHED_WORDS:
+                    self.sums[len(self.row)] = vector
+                    self.row[word] = len(self.row)
         return total[:-1] / total[-1]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -185,18 +188,23 @@ def calibrate(model: LanguageModel, means: np.ndarray, truth: np.ndarray) -> Non
 
 def fit_languages(docs: DataFrame, train: Column, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> LanguageModel:
     """From the documents for which ``train`` holds and whose lang is not null; the driver gets drawn words only."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    # First within parts of a language, so that a language with most of the rows isn't ranked in one task.
+    salt = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(SALTS))
+    order = [F.xxhash64("id"), F.col("id")]
     narrow = docs.where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     chosen = (
         narrow.select(F.col("doc_id").cast("long").alias("id"), "lang")
-        .withColumn("rank", F.row_number().over(order))
+        .withColumn("salt", salt)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))
+        .where(F.col("rank") <= fit_docs)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
         .where(F.col("rank") <= fit_docs)
         .select("id", "lang")
         .distinct()
     )
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             drawn = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = letter_words(text)
@@ -227,7 +235,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
-        for batch in batches:
+        for batch in pieces(batches):
             scorer = scorer or Scorer(shared.value)
             found = [scorer.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
