@@ -27,13 +27,24 @@ def words_of(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+#: Rows that a task takes from a batch at a time, so that long texts don't add up in its memory.
+PIECE_ROWS = 256
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, in order."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(start, PIECE_ROWS)
+
+
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one record batch to a dict of columns (or None)."""
     names = [f.name for f in _arrow_schema(schema)]
     types = [f.type for f in _arrow_schema(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             if batch.num_rows:
                 out = fn(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names=names)
@@ -46,7 +57,7 @@ def keep_rows(docs: DataFrame, judge_of_task: Callable[[], Callable[[list], list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = None
-        for batch in batches:
+        for batch in pieces(batches):
             judge = judge or judge_of_task()
             yield batch.filter(pa.array(judge(batch.column("text").to_pylist()), pa.bool_()))
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
+from .common import pieces
 from .groups import connected_components, in_cells, perhaps_among, smallest_reachable, sorted_groups
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -25,7 +26,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 MAX_HASHES = 256
 #: Shingles in a block of a cluster; a text counts for at least LEAST_WEIGHT, which bounds the texts in a block.
 BLOCK_SHINGLES, LEAST_WEIGHT = 400_000, 400
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 SEED = 5
 CELL = ["cluster", "low", "high"]
 
@@ -135,7 +136,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         factors = np.random.default_rng(SEED).integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         hashes = WordHashes()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in pieces(batches):
                 sizes, keys = [], []
                 for t in batch.column(3).to_pylist():
                     s = shingle_set(t, hashes, n)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import scratch_path
+from .common import pieces
 
 #: Words that are contexts of their own, and shared contexts of the others; a chunk names twice as many candidates.
 CONTEXT_WORDS, CONTEXT_CLASSES = 2000, 256
@@ -372,7 +373,7 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         builder = ChunkBuilder(TaskContext.get().partitionId() << 32)
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, text, learn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 builder.add(doc_id, text, learn)
                 if builder.bytes >= chunk_bytes:

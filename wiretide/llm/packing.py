@@ -18,13 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 MODEL = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
 #: Open windows of one task (8 KB each at most); with more, they are all cut as at the end of the task.
 MAX_OPEN = 8192
 #: Chunks whose ids one worker keeps; results don't depend on it.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 200_000
 LONGEST_CACHED = 64
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -188,7 +190,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = None, Packer(TaskContext.get().partitionId() << 40)
-        for batch in batches:
+        for batch in pieces(batches):
             encoder = encoder or Encoder(path)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 packer.add(doc_id, np.concatenate([encoder.ids(text), end]))

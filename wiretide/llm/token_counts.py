@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 MODEL = "piece_bpe_32k.model"
 #: Pre-tokens whose counts one worker keeps besides the proven ones; results don't depend on it.
-CACHED_PRETOKENS = 400_000
+CACHED_PRETOKENS = 200_000
 LONGEST_CACHED = 64
 SPACE = "▁"
 _RUNS = re.compile(r" *[^ ]+| +$")
@@ -117,7 +119,7 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
-        for batch in batches:
+        for batch in pieces(batches):
             counter = counter or TokenCounter(path, proven.value)
             tokens = [counter(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
