@@ -121,3 +121,18 @@ def test_seating_against_one_by_one():
                 tables += plain.random() < opening / (opening + seated - discount * tables)
             total += tables
         assert got[k] == pytest.approx(total / 400, rel=0.08)
+
+
+def test_rare_words_are_contexts(spark):
+    """Each of 3,000 words has one follower, and all of them are as rare; pairs come in any order."""
+    rng = random.Random(4)
+    drawn = [k for k in range(3000) for _ in range(7)]
+    rng.shuffle(drawn)
+    texts = [" ".join(f"k{k} v{k}" for k in drawn[a : a + 30]) for a in range(0, len(drawn), 30)]
+    docs = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    train = id_remainder(F.col("doc_id"), 7) != 2
+    for chunk_bytes in (1 << 24, 60_000):
+        held = [r for r in lm_scores(docs, train, chunk_bytes=chunk_bytes).collect() if r.held_out]
+        per_pair = 2 * sum(r.score for r in held) / sum(r.n_tokens for r in held)
+        # One word of a pair in 3,000, the other known from it but for a few tenths.
+        assert per_pair > -math.log10(3000) - 0.6

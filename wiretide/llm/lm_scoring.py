@@ -1,24 +1,23 @@
 """Language-model scoring: a hierarchical Pitman-Yor model over words, seated by Gibbs sampling.
 
 Each context has a Chinese restaurant whose customers are the words that follow it; all of them share one parent, the
-restaurant of words without a context, whose base is uniform over the known words and one for all unknown ones. A
-word is its own context if it is among the most frequent ones; other words share the context of their last two bytes, and the
-start of a text is a context. Discounts come from how many words were seen once and twice.
+restaurant of words without a context, whose base is uniform over the known words and one for all unknown ones. Every
+word is a context of its own, and so is the start of a text. Discounts come from how many words were seen once and twice.
 
 How it runs: texts become chunks (local vocabulary and token numbers), written once. A chunk sends what it needs (its distinct pairs of
 context and word, with their training counts) to the buckets of its words. A bucket holds all customers of its words, so
-it can seat them in all restaurants and in the parent by itself; it needs the others only for the numbers of tables per context, a short
-vector. It sends each chunk the averages over the samples for the pairs it asked for, and the chunk scores its texts. Work and
-traffic grow with the distinct pairs per chunk; no task, and not the driver, holds the vocabulary.
+it can seat them in all restaurants and in the parent by itself; it needs the others only for the numbers of tables of the contexts it
+has, which are added up per context in shards of their own (``added_up``). It sends each chunk the averages over the samples for the
+pairs it asked for, and the chunk scores its texts. Work and traffic grow with the distinct pairs per chunk; no task, and not the
+driver, holds the vocabulary or the contexts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 from ..scratch import scratch_path
 from .common import pieces
 
-#: Words that are contexts of their own, and shared contexts of the others; a chunk names twice as many candidates.
-CONTEXT_WORDS, CONTEXT_CLASSES = 2000, 256
+#: Keys, among the hashes of words, of the context of all words that a model doesn't name, and of the start of a text.
+OTHERS, START = 0, 1
 #: Bytes of text in a chunk, and buckets at most (else as many as chunks).
 CHUNK_BYTES, MAX_BUCKETS = 16 << 20, 20_000
 STRENGTH = 1.0
@@ -40,10 +39,12 @@ ONE_BY_ONE = 64
 SEED = 3
 END = b""
 
-CHUNKS = "chunk long, n_docs int, doc_ids binary, lengths binary, train binary, tokens binary, hashes binary, classes binary, top_hash array<bigint>, top_count array<bigint>"
-REQUESTS = "bucket int, chunk long, n_words int, words binary, per_word binary, contexts binary, counts binary"
-BUCKETS = "bucket int, per_word binary, contexts binary, counts binary, chunks binary, n_words binary, n_pairs binary, word_at binary, pair_at binary, sums array<bigint>"
-REPLIES = "chunk long, bucket int, word_counts binary, parent binary, seated binary, sums array<double>"
+CHUNKS = "chunk long, n_docs int, doc_ids binary, lengths binary, train binary, tokens binary, hashes binary"
+REQUESTS = "bucket int, chunk long, n_words int, words binary, per_word binary, keys binary, contexts binary, counts binary"
+BUCKETS = "bucket int, keys binary, tables binary, customers binary, per_word binary, contexts binary, counts binary, chunks binary, n_words binary, n_pairs binary, word_at binary, pair_at binary, sums array<bigint>"
+REPLIES = "chunk long, bucket int, word_counts binary, parent binary, seated binary, keys binary, tables binary, customers binary, sums array<double>"
+PARTS = "asker long, shard int, keys binary, tables binary, customers binary"
+TOTALS = "asker long, shard int, tables binary, customers binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -73,7 +74,7 @@ def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What every task needs besides its own bucket or chunk: the contexts and the totals, all of bounded size."""
+    """What a task needs besides its own bucket or chunk: the totals, and of the contexts those of the bucket or chunk."""
 
     context_hashes: np.ndarray  # ascending
     n_buckets: int
@@ -88,7 +89,11 @@ class Model:
 
     @property
     def n_contexts(self) -> int:
-        return len(self.context_hashes) + CONTEXT_CLASSES + 1
+        return len(self.context_hashes) + 2
+
+    @property
+    def keys(self) -> np.ndarray:
+        return np.append(self.context_hashes, [OTHERS, START]).astype(np.int64)
 
     @property
     def uniform(self) -> float:
@@ -119,10 +124,9 @@ class ChunkBuilder:
         tokens = np.concatenate(self.tokens)
         vocabulary = list(self.ids)
         hashes = np.fromiter(map(word_hash, vocabulary), np.int64, len(vocabulary))
-        classes = np.fromiter((zlib.crc32(w[-2:]) % CONTEXT_CLASSES for w in vocabulary), np.uint8, len(vocabulary))
         counts = np.bincount(tokens[np.repeat(np.array(self.train), lengths)], minlength=len(vocabulary))
         counts[0] = 0
-        top = np.lexsort((hashes, -counts))[: 2 * CONTEXT_WORDS]
+        top = np.lexsort((hashes, -counts))
         top = top[counts[top] > 0]
         out = {
             "chunk": self.chunk,
@@ -133,9 +137,7 @@ class ChunkBuilder:
             "train": np.array(self.train, bool).tobytes(),
             "tokens": packed(tokens),
             "hashes": hashes.tobytes(),
-            "classes": packed(classes),
             "top_hash": hashes[top].tolist(),
-            "top_count": counts[top].tolist(),
         }
         self.chunk += 1
         self.start()
@@ -156,7 +158,7 @@ class Chunk:
         rank[order] = np.arange(len(order))
         self.hashes, self.buckets = hashes[order], buckets[order]
         n_own = len(model.context_hashes)
-        contexts = n_own + unpacked(row["classes"], np.uint8).astype(np.int64)
+        contexts = np.full(len(hashes), n_own)
         if n_own:
             at = np.minimum(np.searchsorted(model.context_hashes, hashes), n_own - 1)
             contexts = np.where(model.context_hashes[at] == hashes, at, contexts)
@@ -183,7 +185,7 @@ class Chunk:
                 "n_words": words.stop - words.start,
                 "words": self.hashes[words].tobytes(),
                 "per_word": packed(per_word[words]),
-                "contexts": packed(self.pair_context[pairs].astype(np.uint16)),
+                "contexts": packed(self.pair_context[pairs].astype(np.int32)),
                 "counts": packed(counts[pairs]),
             }
 
@@ -210,7 +212,7 @@ def merge_bucket(requests: list[dict], n_contexts: int) -> dict:
     """All chunks' pairs of one bucket, added up, and where each chunk's words and pairs are among them."""
     n_words = np.array([r["n_words"] for r in requests], np.int64)
     per_word = [unpacked(r["per_word"], np.int32) for r in requests]
-    contexts = [unpacked(r["contexts"], np.uint16) for r in requests]
+    contexts = [unpacked(r["contexts"], np.int32) for r in requests]
     n_pairs = np.array([len(c) for c in contexts], np.int64)
     words, word_at = np.unique(np.concatenate([np.frombuffer(r["words"], np.int64) for r in requests]), return_inverse=True)
     code = np.repeat(word_at, np.concatenate(per_word)).astype(np.int64) * n_contexts + np.concatenate(contexts)
@@ -227,7 +229,7 @@ def merge_bucket(requests: list[dict], n_contexts: int) -> dict:
     return {
         "bucket": requests[0]["bucket"],
         "per_word": packed(np.bincount(pair_word, minlength=len(words)).astype(np.int32)),
-        "contexts": packed(pair_context.astype(np.uint16)),
+        "contexts": packed(pair_context.astype(np.int32)),
         "counts": packed(counts),
         "chunks": np.array([r["chunk"] for r in requests], np.int64).tobytes(),
         "n_words": n_words.tobytes(),
@@ -238,6 +240,67 @@ def merge_bucket(requests: list[dict], n_contexts: int) -> dict:
     }
 
 
+def own_model(row: dict, model: Model) -> Model:
+    """The model of one chunk: all its words are contexts."""
+    return replace(model, context_hashes=np.unique(np.frombuffer(row["hashes"], np.int64)))
+
+
+def with_keys(request: dict, model: Model) -> dict:
+    """The same request, with the contexts counted among those it has, which are known by their keys elsewhere."""
+    used, at = np.unique(unpacked(request["contexts"], np.int32), return_inverse=True)
+    return {**request, "keys": model.keys[used].tobytes(), "contexts": packed(at.astype(np.int32))}
+
+
+def merge_by_keys(requests: list[dict]) -> dict:
+    """``merge_bucket`` for requests that have their own contexts each; tables and customers are of the bucket's contexts."""
+    each = [np.frombuffer(r["keys"], np.int64) for r in requests]
+    keys = np.unique(np.concatenate(each))
+    same = [packed(np.searchsorted(keys, own)[unpacked(r["contexts"], np.int32)].astype(np.int32)) for own, r in zip(each, requests, strict=True)]
+    n = len(keys)
+    merged = merge_bucket([{**r, "contexts": c} for r, c in zip(requests, same, strict=True)], n)
+    tables, customers = (np.array(merged["sums"][a : a + n], np.float64) for a in (0, n))
+    return {**merged, "keys": keys.tobytes(), "tables": packed(tables), "customers": packed(customers), "sums": [*merged["sums"][2 * n :], int(tables.sum())]}
+
+
+def in_shards(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys by shard, the shards there are, and where each starts in that order (and the end)."""
+    shards = bucket_of(keys, n_shards)
+    order = np.argsort(shards, kind="stable")
+    present, first = np.unique(shards[order], return_index=True)
+    return order, present, np.append(first, len(keys))
+
+
+def to_shards(asker: int, keys: np.ndarray, tables: np.ndarray, customers: np.ndarray, n_shards: int) -> list[dict]:
+    order, present, cut = in_shards(keys, n_shards)
+    at = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return [
+        {"asker": asker, "shard": shard, "keys": keys[i].tobytes(), "tables": packed(tables[i]), "customers": packed(customers[i])}
+        for shard, i in zip(present.tolist(), at, strict=True)
+    ]
+
+
+def add_shard(parts: list[dict]) -> list[dict]:
+    """For each asker, the sums over all askers of its keys."""
+    each = [np.frombuffer(p["keys"], np.int64) for p in parts]
+    _, at = np.unique(np.concatenate(each), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([unpacked(p[c], np.float64) for p in parts])) for c in ("tables", "customers")]
+    cut = np.append(0, np.cumsum([len(k) for k in each]))
+    return [
+        {"asker": p["asker"], "shard": p["shard"], "tables": packed(sums[0][at[a:b]]), "customers": packed(sums[1][at[a:b]])}
+        for p, a, b in zip(parts, cut[:-1], cut[1:], strict=True)
+    ]
+
+
+def from_shards(replies: list[dict], keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and customers of ``keys``, over all buckets."""
+    order, _, _ = in_shards(keys, n_shards)
+    replies = sorted(replies, key=lambda r: r["shard"])
+    out = np.zeros((2, len(keys)))
+    for k, column in enumerate(("tables", "customers")):
+        out[k, order] = np.concatenate([unpacked(r[column], np.float64) for r in replies])
+    return out[0], out[1]
+
+
 def seat(customers: np.ndarray, strength: np.ndarray, per_table: np.ndarray, discount: float, rng) -> np.ndarray:
     """Numbers of tables after seating each dish's customers anew, one after the other.
 
@@ -271,9 +334,9 @@ def sample_bucket(row: dict, model: Model, sweeps: int, burn_in: int) -> Iterato
     """
     per_word = unpacked(row["per_word"], np.int32)
     word = np.repeat(np.arange(len(per_word)), per_word)
-    context = unpacked(row["contexts"], np.uint16).astype(np.int64)
+    context = unpacked(row["contexts"], np.int32).astype(np.int64)
     counts = unpacked(row["counts"], np.int64)
-    n, n_words, d, d0 = model.n_contexts, len(per_word), model.discount, model.parent_discount
+    n, n_words, d, d0 = len(model.tables), len(per_word), model.discount, model.parent_discount
     rng = np.random.default_rng([SEED, row["bucket"]])
     tables = np.minimum(counts, 1).astype(np.float64)
     many = np.flatnonzero(counts > 1)
@@ -364,7 +427,9 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
     table. Without training rows every token is unknown, and its probability is 1.
     """
     spark: SparkSession = docs.sparkSession
-    chunk_schema, request_schema, bucket_schema, reply_schema, score_schema = map(_schema, (CHUNKS, REQUESTS, BUCKETS, REPLIES, SCORES))
+    chunk_schema, request_schema, bucket_schema, reply_schema, part_schema, total_schema, score_schema = map(
+        _schema, (CHUNKS, REQUESTS, BUCKETS, REPLIES, PARTS, TOTALS, SCORES)
+    )
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"),
         F.coalesce("text", F.lit("")).cast("binary").alias("t"),
@@ -382,59 +447,84 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
             yield _batch([builder.finish()], chunk_schema)
 
     chunks = _written(rows.mapInArrow(cut, CHUNKS))
-    frequent = (
-        chunks.select(F.explode(F.arrays_zip("top_hash", "top_count")).alias("x"))
-        .groupBy(F.col("x.top_hash").alias("hash"))
-        .agg(F.sum("x.top_count").alias("n"))
-        .orderBy(F.desc("n"), "hash")
-        .limit(CONTEXT_WORDS)
-        .collect()
-    )
     n_buckets = max(1, min(MAX_BUCKETS, chunks.select("chunk").count()))
-    model = Model(np.sort(np.array([r.hash for r in frequent], np.int64)), n_buckets)
-    own = chunks.drop("top_hash", "top_count", "doc_ids", "n_docs")
+    model = Model(np.zeros(0, np.int64), n_buckets)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _batch(list(Chunk(row, model).requests(row["chunk"], model)), request_schema)
+                own = own_model(row, model)
+                yield _batch([with_keys(r, own) for r in Chunk(row, own).requests(row["chunk"], own)], request_schema)
 
     def merge(group: pa.Table) -> pa.Table:
         requests = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-        return pa.Table.from_batches([_batch([merge_bucket(requests, model.n_contexts)], bucket_schema)])
+        return pa.Table.from_batches([_batch([merge_by_keys(requests)], bucket_schema)])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                tables, customers = (unpacked(row[c], np.float64) for c in ("tables", "customers"))
+                yield _batch(to_shards(row["bucket"], np.frombuffer(row["keys"], np.int64), tables, customers, n_buckets), part_schema)
+
+    def send_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A chunk only asks; its number is below 0, where no bucket is.
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = own_model(row, model).keys
+                nothing = np.zeros(len(keys))
+                yield _batch(to_shards(-1 - row["chunk"], keys, nothing, nothing, n_buckets), part_schema)
 
+    def add(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_batch(add_shard(sorted(group.to_pylist(), key=lambda r: r["asker"])), total_schema)])
+
+    def added_up(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("shard").applyInArrow(add, TOTALS)
+
+    of_contexts = ["bucket", "keys", "tables", "customers"]
+    own = chunks.drop("doc_ids", "n_docs")
     buckets = _written(own.mapInArrow(ask, REQUESTS).groupBy("bucket").applyInArrow(merge, BUCKETS))
     first = _by_position(buckets)
     if len(first):
-        n = model.n_contexts
-        model.tables, model.customers = first[:n], first[n : 2 * n]
-        model.tokens, model.words = int(first[2 * n]), int(first[2 * n + 1])
-        once, twice, once0, twice0 = first[2 * n + 2 :]
+        model.tokens, model.words = int(first[0]), int(first[1])
+        once, twice, once0, twice0 = first[2:6]
         # Bounded away from 0 and 1, where a restaurant has no tables to add or no seats to share.
         model.discount = float(np.clip(once / max(1, once + 2 * twice), 0.05, 0.95))
         model.parent_discount = float(np.clip(once0 / max(1, once0 + 2 * twice0), 0.05, 0.95))
-        model.parent_customers, model.parent_tables = float(model.tables.sum()), float(model.words)
+        # One table per pair, so as many customers of the parent as words in contexts.
+        model.parent_customers, model.parent_tables = float(first[6]), float(model.words)
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for reply in sample_bucket(row, model, sweeps, burn_in):
-                    yield _batch([reply], reply_schema)
-
-    replies = _written(buckets.drop("sums").mapInArrow(sample, REPLIES))
-    last = _by_position(replies.where("chunk IS NULL"))
-    final = Model(**{**model.__dict__})
+    def sample(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        keys = np.frombuffer(row["keys"], np.int64)
+        tables, customers = from_shards(right.to_pylist(), keys, n_buckets)
+        *replies, last = sample_bucket(row, replace(model, tables=tables, customers=customers), sweeps, burn_in)
+        sampled = np.array(last["sums"][: len(keys)])
+        last = {**last, "keys": row["keys"], "tables": packed(sampled), "customers": row["customers"], "sums": last["sums"][len(keys) :]}
+        return pa.Table.from_batches([_batch([*replies, last], reply_schema)])
+
+    totals = added_up(buckets.select(of_contexts).mapInArrow(send, PARTS))
+    sampled = buckets.drop("sums", "tables").groupBy("bucket").cogroup(totals.groupBy(F.col("asker").cast("int").alias("bucket")))
+    replies = _written(sampled.applyInArrow(sample, REPLIES))
+    sums = replies.where("chunk IS NULL")
+    last = _by_position(sums)
+    final = replace(model)
     if len(last):
-        final.tables, final.parent_customers, final.parent_tables = last[:-2], float(last[-2]), float(last[-1])
+        final.parent_customers, final.parent_tables = float(last[0]), float(last[1])
+    parts = sums.select(of_contexts).mapInArrow(send, PARTS).union(chunks.select("chunk", "hashes").mapInArrow(send_chunk, PARTS))
+    told = added_up(parts).where("asker < 0")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        chunk = Chunk(row, final)
-        found = chunk.scores(sorted(right.to_pylist(), key=lambda r: r["bucket"]), final)
+        row, right = left.to_pylist()[0], right.to_pylist()
+        mine = own_model(row, final)
+        mine.tables, mine.customers = from_shards([r for r in right if r["bucket"] is None], mine.keys, n_buckets)
+        chunk = Chunk(row, mine)
+        found = chunk.scores(sorted((r for r in right if r["bucket"] is not None), key=lambda r: r["bucket"]), mine)
         ids = [int.from_bytes(row["doc_ids"][a + 1 : a + 9], "little", signed=True) if row["doc_ids"][a] else None for a in range(0, 9 * row["n_docs"], 9)]
-        columns = {"doc_id": ids, "held_out": ~chunk.train, "n_tokens": chunk.lengths, "train_tokens": np.full(len(ids), final.tokens), **found}
+        columns = {"doc_id": ids, "held_out": ~chunk.train, "n_tokens": chunk.lengths, "train_tokens": np.full(len(ids), mine.tokens), **found}
         return pa.table([pa.array(columns[f.name], f.type) for f in score_schema], schema=score_schema)
 
-    asked = replies.where("chunk IS NOT NULL").drop("sums")
-    scored = chunks.drop("top_hash", "top_count").groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(score, SCORES)
+    told = told.select((-1 - F.col("asker")).alias("chunk"), "shard", "tables", "customers")
+    asked = replies.where("chunk IS NOT NULL").select("chunk", "bucket", "word_counts", "parent", "seated")
+    answers = asked.unionByName(told, allowMissingColumns=True)
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORES)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
