@@ -10,6 +10,7 @@ import pytest
 from helpers import awkward, documents
 from pyspark.sql import functions as F
 
+from wiretide.llm import lm_scoring
 from wiretide.llm.common import id_remainder
 from wiretide.llm.lm_scoring import END, STRENGTH, Chunk, ChunkBuilder, Model, lm_scores, merge_bucket, sample_bucket, seat
 
@@ -136,3 +137,36 @@ def test_rare_words_are_contexts(spark):
         per_pair = 2 * sum(r.score for r in held) / sum(r.n_tokens for r in held)
         # One word of a pair in 3,000, the other known from it but for a few tenths.
         assert per_pair > -math.log10(3000) - 0.6
+
+
+def test_sweeps_see_all_buckets(spark, monkeypatch):
+    """Texts of words seen once, and of ten words over and over: each sweep starts from totals over all buckets."""
+    rng = random.Random(6)
+    new = iter(range(10**9))
+    common = lambda k: f"c{(k + rng.choice([1, 1, 1, 1, 2, 3, rng.randrange(10)])) % 10}"
+
+    def text(k):
+        if k % 2:
+            return " ".join(f"n{next(new)}" for _ in range(60))
+        out = [rng.randrange(10)]
+        while len(out) < 60:
+            out.append(int(common(out[-1])[1:]))
+        return " ".join(f"c{c}" for c in out)
+
+    docs = documents(spark, [(k, text(k), "en", "s") for k in range(600)])
+    train = id_remainder(F.col("doc_id"), 7) != 2
+    written, plain = [], lm_scoring._written
+    monkeypatch.setattr(lm_scoring, "_written", lambda df: written.append(plain(df)) or written[-1])
+    # The totals over all buckets that each sweep after the first starts from.
+    seen, by_position = [], lm_scoring._by_position
+    monkeypatch.setattr(lm_scoring, "_by_position", lambda df: seen.append(by_position(df)) or seen[-1])
+
+    def tables(chunk_bytes):
+        lm_scores(docs, train, chunk_bytes=chunk_bytes)
+        return sum(r.sums[-2] for r in written[-1].where("chunk IS NULL").collect())
+
+    one = tables(1 << 24)
+    many = tables(8_000)
+    assert many == pytest.approx(one, rel=0.003)
+    after_sweeps = [x[0] for x in seen[-lm_scoring.SWEEPS : -1]]
+    assert len(seen) == 2 * (lm_scoring.SWEEPS + 1) and all(x == pytest.approx(many, rel=0.02) for x in after_sweeps)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import scratch_path
+from ..scratch import _delete, scratch_path
 from .common import pieces
 
 #: Keys, among the hashes of words, of the context of all words that a model doesn't name, and of the start of a text.
@@ -43,6 +43,8 @@ CHUNKS = "chunk long, n_docs int, doc_ids binary, lengths binary, train binary,
 REQUESTS = "bucket int, chunk long, n_words int, words binary, per_word binary, keys binary, contexts binary, counts binary"
 BUCKETS = "bucket int, keys binary, tables binary, customers binary, per_word binary, contexts binary, counts binary, chunks binary, n_words binary, n_pairs binary, word_at binary, pair_at binary, sums array<bigint>"
 REPLIES = "chunk long, bucket int, word_counts binary, parent binary, seated binary, keys binary, tables binary, customers binary, sums array<double>"
+STATES = "bucket int, keys binary, tables binary, pair_tables binary, parent_tables binary, seated binary, from_parent binary, in_parent binary, sums array<double>"
+SEATING = ["pair_tables", "parent_tables", "seated", "from_parent", "in_parent"]
 PARTS = "asker long, shard int, keys binary, tables binary, customers binary"
 TOTALS = "asker long, shard int, tables binary, customers binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -291,14 +293,14 @@ def add_shard(parts: list[dict]) -> list[dict]:
     ]
 
 
-def from_shards(replies: list[dict], keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
+def from_shards(replies: list[dict], keys: np.ndarray, n_shards: int, columns: tuple[str, ...] = ("tables", "customers")) -> np.ndarray:
     """Tables and customers of ``keys``, over all buckets."""
     order, _, _ = in_shards(keys, n_shards)
     replies = sorted(replies, key=lambda r: r["shard"])
-    out = np.zeros((2, len(keys)))
-    for k, column in enumerate(("tables", "customers")):
+    out = np.zeros((len(columns), len(keys)))
+    for k, column in enumerate(columns):
         out[k, order] = np.concatenate([unpacked(r[column], np.float64) for r in replies])
-    return out[0], out[1]
+    return out
 
 
 def seat(customers: np.ndarray, strength: np.ndarray, per_table: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -326,64 +328,101 @@ def seat(customers: np.ndarray, strength: np.ndarray, per_table: np.ndarray, dis
         seated += step
 
 
-def sample_bucket(row: dict, model: Model, sweeps: int, burn_in: int) -> Iterator[dict]:
-    """Gibbs sweeps over one bucket's words; the replies to its chunks, then the bucket's share of the totals.
+class Seating:
+    """Gibbs sweeps over one bucket's words: the tables of its pairs and, in the parent, of its words.
 
-    A sweep takes the customers of one word out of one restaurant and seats them anew, given all else. The tables of other
-    buckets' words count as they are after the first round (one per pair).
+    A sweep takes the customers of one word out of one restaurant and seats them anew, given all else: the tables of all words, of
+    other buckets too, as they were at the end of the sweep before. ``state`` is what a later task goes on from.
     """
-    per_word = unpacked(row["per_word"], np.int32)
-    word = np.repeat(np.arange(len(per_word)), per_word)
-    context = unpacked(row["contexts"], np.int32).astype(np.int64)
-    counts = unpacked(row["counts"], np.int64)
-    n, n_words, d, d0 = len(model.tables), len(per_word), model.discount, model.parent_discount
-    rng = np.random.default_rng([SEED, row["bucket"]])
-    tables = np.minimum(counts, 1).astype(np.float64)
-    many = np.flatnonzero(counts > 1)
-    many = many[np.argsort(-counts[many], kind="stable")]
-    of_context = lambda: np.bincount(context, tables, n)
-    others = model.tables - of_context()
-    parent_customers = np.bincount(word, tables, n_words)
-    parent_tables = np.minimum(parent_customers, 1)
-    other_customers, other_tables = model.parent_customers - parent_customers.sum(), model.parent_tables - parent_tables.sum()
-    seated, from_parent, in_parent = np.zeros(len(tables)), np.zeros(n_words), np.zeros(n_words)
-    for sweep in range(sweeps):
-        total0, all0 = other_customers + parent_customers.sum(), other_tables + parent_tables.sum()
-        w, k, own = word[many], context[many], tables[many]
-        rest = np.maximum(parent_customers[w] - own - d0 * np.minimum(parent_tables[w], parent_customers[w] - own), 0)
-        p0 = (rest + (STRENGTH + d0 * all0) * model.uniform) / (STRENGTH + total0 - own)
-        elsewhere = (others + of_context())[k] - own
-        tables[many] = seat(counts[many], (STRENGTH + d * elsewhere) * p0, d * p0, d, rng)
-        parent_customers = np.bincount(word, tables, n_words)
-        order = np.argsort(-parent_customers, kind="stable")
-        elsewhere = (all0 - parent_tables)[order]
-        full = np.full(n_words, model.uniform)
-        parent_tables = np.empty(n_words)
-        parent_tables[order] = seat(parent_customers[order].astype(np.int64), (STRENGTH + d0 * elsewhere) * model.uniform, d0 * full, d0, rng)
-        if sweep >= burn_in:
-            seated += tables
-            from_parent += parent_customers
-            in_parent += parent_tables
-    kept = sweeps - burn_in
-    seated, from_parent, in_parent = seated / kept, from_parent / kept, in_parent / kept
-    numerators = (counts - d * seated).astype(np.float32)
-    parent_numerators = (from_parent - d0 * in_parent).astype(np.float32)
-    word_counts = np.bincount(word, counts, n_words).astype(np.int64)
-    word_cut = np.append(0, np.frombuffer(row["n_words"], np.int64).cumsum())
-    pair_cut = np.append(0, np.frombuffer(row["n_pairs"], np.int64).cumsum())
-    word_at, pair_at = unpacked(row["word_at"], np.int32), unpacked(row["pair_at"], np.int32)
-    for j, chunk in enumerate(np.frombuffer(row["chunks"], np.int64).tolist()):
-        words, pairs = word_at[word_cut[j] : word_cut[j + 1]].cumsum(), pair_at[pair_cut[j] : pair_cut[j + 1]].cumsum()
-        yield {
-            "chunk": chunk,
-            "bucket": row["bucket"],
-            "word_counts": packed(word_counts[words]),
-            "parent": parent_numerators[words].tobytes(),
-            "seated": numerators[pairs].tobytes(),
-            "sums": None,
+
+    def __init__(self, row: dict, n_contexts: int, state: dict | None = None):
+        per_word = unpacked(row["per_word"], np.int32)
+        self.bucket, self.n_contexts, self.n_words = row["bucket"], n_contexts, len(per_word)
+        self.word = np.repeat(np.arange(len(per_word)), per_word)
+        self.context = unpacked(row["contexts"], np.int32).astype(np.int64)
+        self.counts = unpacked(row["counts"], np.int64)
+        many = np.flatnonzero(self.counts > 1)
+        self.many = many[np.argsort(-self.counts[many], kind="stable")]
+        self.tables = np.minimum(self.counts, 1).astype(np.float64)
+        self.seated = np.zeros(len(self.tables))
+        if state:
+            self.tables[self.many] = unpacked(state["pair_tables"], np.int32)
+        self.parent_customers = np.bincount(self.word, self.tables, self.n_words)
+        self.parent_tables = np.minimum(self.parent_customers, 1)
+        self.from_parent, self.in_parent = np.zeros(self.n_words), np.zeros(self.n_words)
+        if state:
+            self.parent_tables = unpacked(state["parent_tables"], np.int32).astype(np.float64)
+            self.seated, self.from_parent, self.in_parent = (unpacked(state[c], np.int32).astype(np.float64) for c in ("seated", "from_parent", "in_parent"))
+
+    def state(self) -> dict:
+        columns = {
+            "pair_tables": self.tables[self.many],
+            "parent_tables": self.parent_tables,
+            "seated": self.seated,
+            "from_parent": self.from_parent,
+            "in_parent": self.in_parent,
         }
-    sums = [*np.bincount(context, seated, n).tolist(), float(from_parent.sum()), float(in_parent.sum())]
-    yield {"chunk": None, "bucket": row["bucket"], "word_counts": None, "parent": None, "seated": None, "sums": sums}
+        return {name: packed(values.astype(np.int32)) for name, values in columns.items()}
+
+    def of_context(self) -> np.ndarray:
+        return np.bincount(self.context, self.tables, self.n_contexts)
+
+    def sweep(self, number: int, model: Model, keep: bool) -> None:
+        """``model`` has the totals over all buckets as they are now."""
+        d, d0, many = model.discount, model.parent_discount, self.many
+        rng = np.random.default_rng([SEED, self.bucket, number])
+        w, k, own = self.word[many], self.context[many], self.tables[many]
+        rest = np.maximum(self.parent_customers[w] - own - d0 * np.minimum(self.parent_tables[w], self.parent_customers[w] - own), 0)
+        p0 = (rest + (STRENGTH + d0 * model.parent_tables) * model.uniform) / (STRENGTH + model.parent_customers - own)
+        self.tables[many] = seat(self.counts[many], (STRENGTH + d * (model.tables[k] - own)) * p0, d * p0, d, rng)
+        self.parent_customers = np.bincount(self.word, self.tables, self.n_words)
+        order = np.argsort(-self.parent_customers, kind="stable")
+        elsewhere = (model.parent_tables - self.parent_tables)[order]
+        full = np.full(self.n_words, model.uniform)
+        self.parent_tables = np.empty(self.n_words)
+        self.parent_tables[order] = seat(
+            self.parent_customers[order].astype(np.int64), (STRENGTH + d0 * elsewhere) * model.uniform, d0 * full, d0, rng
+        )
+        if keep:
+            self.seated += self.tables
+            self.from_parent += self.parent_customers
+            self.in_parent += self.parent_tables
+
+    def replies(self, row: dict, model: Model, kept: int) -> Iterator[dict]:
+        """The averages over the samples that its chunks asked for, then the bucket's share of the totals."""
+        seated, from_parent, in_parent = self.seated / kept, self.from_parent / kept, self.in_parent / kept
+        numerators = (self.counts - model.discount * seated).astype(np.float32)
+        parent_numerators = (from_parent - model.parent_discount * in_parent).astype(np.float32)
+        word_counts = np.bincount(self.word, self.counts, self.n_words).astype(np.int64)
+        word_cut = np.append(0, np.frombuffer(row["n_words"], np.int64).cumsum())
+        pair_cut = np.append(0, np.frombuffer(row["n_pairs"], np.int64).cumsum())
+        word_at, pair_at = unpacked(row["word_at"], np.int32), unpacked(row["pair_at"], np.int32)
+        for j, chunk in enumerate(np.frombuffer(row["chunks"], np.int64).tolist()):
+            words, pairs = word_at[word_cut[j] : word_cut[j + 1]].cumsum(), pair_at[pair_cut[j] : pair_cut[j + 1]].cumsum()
+            yield {
+                "chunk": chunk,
+                "bucket": self.bucket,
+                "word_counts": packed(word_counts[words]),
+                "parent": parent_numerators[words].tobytes(),
+                "seated": numerators[pairs].tobytes(),
+                "sums": None,
+            }
+        sums = [*np.bincount(self.context, seated, self.n_contexts).tolist(), float(from_parent.sum()), float(in_parent.sum())]
+        yield {"chunk": None, "bucket": self.bucket, "word_counts": None, "parent": None, "seated": None, "sums": sums}
+
+
+def sample_bucket(row: dict, model: Model, sweeps: int, burn_in: int) -> Iterator[dict]:
+    """All sweeps of the only bucket there is, whose own totals are those over all buckets; then its replies."""
+    seating, now = Seating(row, len(model.tables)), model
+    for number in range(sweeps):
+        seating.sweep(number, now, number >= burn_in)
+        now = replace(
+            now,
+            tables=seating.of_context(),
+            parent_customers=float(seating.parent_customers.sum()),
+            parent_tables=float(seating.parent_tables.sum()),
+        )
+    yield from seating.replies(row, model, sweeps - burn_in)
 
 
 def _schema(spec: str) -> pa.Schema:
@@ -410,6 +449,12 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _drop(df: DataFrame) -> None:
+    """Deletes the files of a table that was written here and isn't read any more."""
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
 def _by_position(df: DataFrame) -> np.ndarray:
     """The element-wise sum of the column ``sums``; as many rows as elements come to the driver."""
     rows = df.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
@@ -427,8 +472,8 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
     table. Without training rows every token is unknown, and its probability is 1.
     """
     spark: SparkSession = docs.sparkSession
-    chunk_schema, request_schema, bucket_schema, reply_schema, part_schema, total_schema, score_schema = map(
-        _schema, (CHUNKS, REQUESTS, BUCKETS, REPLIES, PARTS, TOTALS, SCORES)
+    chunk_schema, request_schema, bucket_schema, state_schema, reply_schema, part_schema, total_schema, score_schema = map(
+        _schema, (CHUNKS, REQUESTS, BUCKETS, STATES, REPLIES, PARTS, TOTALS, SCORES)
     )
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"),
@@ -463,7 +508,9 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tables, customers = (unpacked(row[c], np.float64) for c in ("tables", "customers"))
+                tables = unpacked(row["tables"], np.float64)
+                # Customers never change; between sweeps nobody asks for them.
+                customers = unpacked(row["customers"], np.float64) if "customers" in row else np.zeros(len(tables))
                 yield _batch(to_shards(row["bucket"], np.frombuffer(row["keys"], np.int64), tables, customers, n_buckets), part_schema)
 
     def send_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,18 +540,62 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
         # One table per pair, so as many customers of the parent as words in contexts.
         model.parent_customers, model.parent_tables = float(first[6]), float(model.words)
 
-    def sample(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
+    def seating_of(group: pa.Table, model: Model) -> tuple[dict, Seating, Model]:
+        """A bucket, its seating after the last sweep, and the model with the totals that are then."""
+        rows = group.to_pylist()
+        row = next(r for r in rows if r["counts"] is not None)
         keys = np.frombuffer(row["keys"], np.int64)
-        tables, customers = from_shards(right.to_pylist(), keys, n_buckets)
-        *replies, last = sample_bucket(row, replace(model, tables=tables, customers=customers), sweeps, burn_in)
-        sampled = np.array(last["sums"][: len(keys)])
-        last = {**last, "keys": row["keys"], "tables": packed(sampled), "customers": row["customers"], "sums": last["sums"][len(keys) :]}
-        return pa.Table.from_batches([_batch([*replies, last], reply_schema)])
-
-    totals = added_up(buckets.select(of_contexts).mapInArrow(send, PARTS))
-    sampled = buckets.drop("sums", "tables").groupBy("bucket").cogroup(totals.groupBy(F.col("asker").cast("int").alias("bucket")))
-    replies = _written(sampled.applyInArrow(sample, REPLIES))
+        state = next((r for r in rows if r["pair_tables"] is not None), None)
+        tables = from_shards([r for r in rows if r["shard"] is not None], keys, n_buckets, ("tables",))[0]
+        return row, Seating(row, len(keys), state), replace(model, tables=tables)
+
+    def sweeper(number: int, model: Model):
+        def sweep(group: pa.Table) -> pa.Table:
+            row, seating, now = seating_of(group, model)
+            seating.sweep(number, now, number >= burn_in)
+            sums = [float(seating.parent_customers.sum()), float(seating.parent_tables.sum())]
+            state = {"bucket": row["bucket"], "keys": row["keys"], "tables": packed(seating.of_context()), "sums": sums, **seating.state()}
+            return pa.Table.from_batches([_batch([state], state_schema)])
+
+        return sweep
+
+    def last_sweeper(number: int, model: Model):
+        def sweep(group: pa.Table) -> pa.Table:
+            row, seating, now = seating_of(group, model)
+            seating.sweep(number, now, number >= burn_in)
+            *replies, last = seating.replies(row, model, sweeps - burn_in)
+            n = seating.n_contexts
+            last = {**last, "keys": row["keys"], "tables": packed(np.array(last["sums"][:n])), "customers": row["customers"], "sums": last["sums"][n:]}
+            return pa.Table.from_batches([_batch([*replies, last], reply_schema)])
+
+        return sweep
+
+    # Each sweep starts from the totals over all buckets after the one before.
+    to_sweep = ["bucket", "keys", "per_word", "contexts", "counts"]
+    to_reply = [*to_sweep, "customers", "chunks", "n_words", "n_pairs", "word_at", "pair_at"]
+    states = buckets.select("bucket", "keys", "tables", *[F.lit(None).cast("binary").alias(c) for c in SEATING])
+    for number in range(sweeps):
+        is_last = number == sweeps - 1
+        totals = added_up(states.select("bucket", "keys", "tables").mapInArrow(send, PARTS))
+        rows = buckets.select(to_reply if is_last else to_sweep)
+        if number:
+            rows = rows.unionByName(states.select("bucket", *SEATING), allowMissingColumns=True)
+        else:
+            rows = rows.withColumns({c: F.lit(None).cast("binary") for c in SEATING})
+        told = totals.select(F.col("asker").cast("int").alias("bucket"), "shard", "tables", "customers")
+        groups = rows.unionByName(told if is_last else told.drop("customers"), allowMissingColumns=True).groupBy("bucket")
+        if is_last:
+            replies = _written(groups.applyInArrow(last_sweeper(number, model), REPLIES))
+        else:
+            before, states = states, _written(groups.applyInArrow(sweeper(number, model), STATES))
+            if number:
+                _drop(before)
+            after = _by_position(states)
+            if len(after):
+                model = replace(model, parent_customers=float(after[0]), parent_tables=float(after[1]))
+    if sweeps > 1:
+        _drop(states)
+    _drop(buckets)
     sums = replies.where("chunk IS NULL")
     last = _by_position(sums)
     final = replace(model)
