@@ -188,3 +188,14 @@ def test_recall(spark):
         rows += [(2 * k, x.tolist(), 1), (2 * k + 1, (c * x + np.sqrt(1 - c * c) * y).tolist(), 1)]
     found = near_duplicates(vector_table(spark, rows)).where("n_links > 0").count()
     assert found >= 0.97 * 600
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated rows, an id with two texts, and rows without an id: one row of each group stays, and none goes without one."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(12)) for x in "abcd")
+    rows = [(1, a), (1, a), (5, b), (5, b), (7, c), (8, c), (None, d), (None, d), (None, c)]
+    left = one_of_each_group(documents(spark, [(k, t, "en", "s") for k, t in rows])).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([(1, a), (5, b), (7, c), (None, d)], key=repr)
+    # The texts of one id are one group: (5, b) doesn't stay beside (1, a), whose text id 5 has too.
+    left = one_of_each_group(documents(spark, [(k, t, "en", "s") for k, t in [(1, a), (5, a), (5, b), (9, b)]])).collect()
+    assert [(r.doc_id, r.text) for r in left] == [(1, a)]

@@ -197,6 +197,29 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is their group's, once per id, with the columns of ``docs``; and those with a null id."""
-    gone = jaccard_groups(docs, **settings).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each group of ``docs``, with the columns of ``docs``.
+
+    Groups are those of texts: rows of one text are one class, linked texts are one group, and so are the texts of one id. Rows
+    with a null id are classes by their texts like the others. A group keeps a row of the text with its smallest id (ids that
+    aren't null first).
+    """
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    hashed = docs.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(1), text))
+    # Each text once, under a number of its own, so that no two texts are taken for one document.
+    numbered = materialize(hashed.withColumn("_class", F.col("_h1").bitwiseXOR(F.col("_h2"))))
+    doc_id = F.col("doc_id").cast("long")
+    classes = materialize(numbered.groupBy("_h1", "_h2", "_class").agg(F.min(doc_id).alias("_id")))
+    texts = numbered.select("_h1", "_h2", F.col("_class").alias("doc_id"), "text").dropDuplicates(["_h1", "_h2"]).select("doc_id", "text")
+    alike = jaccard_groups(texts, **settings).select(F.col("doc_id").alias("a"), F.col("group_id").alias("b"))
+    ids = numbered.where(doc_id.isNotNull()).select("_class", doc_id.alias("_id")).distinct()
+    least = ids.groupBy("_id").agg(F.min("_class").alias("b"), F.count("*").alias("_n")).where("_n > 1")
+    same_id = ids.join(least, "_id").select(F.col("_class").alias("a"), "b")
+    groups = connected_components(alike.union(same_id))
+    grouped = classes.join(groups, F.col("_class") == F.col("node"), "left")
+    grouped = grouped.withColumn("_group", F.coalesce("component", "_class"))
+    # The class with the smallest id; the number decides among classes without an id.
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_class"), F.col("_h1"), F.col("_h2"))
+    chosen = grouped.groupBy("_group").agg(F.min(order).alias("_first")).select("_first._h1", "_first._h2", F.col("_first._id").alias("_id"))
+    at = (numbered["_h1"] == chosen["_h1"]) & (numbered["_h2"] == chosen["_h2"]) & doc_id.eqNullSafe(chosen["_id"])
+    rows = numbered.join(chosen, at, "left_semi")
+    return rows.dropDuplicates(["_h1", "_h2"]).select(*docs.columns)
