@@ -183,3 +183,12 @@ def test_slices_follow_the_density(spark, monkeypatch):
         for i in some:
             live = windowed(keyed, i, "src_ip", window)
             assert counts[keyed[i]["seq"]] == len(live) and distinct[keyed[i]["seq"]] == len({r["v"] for r in live})
+
+
+def test_cooldown_fires_one_of_repeated_rows(spark):
+    """Equal rows of one time, for short keys in one pass and for long keys by the chain of times."""
+    rows = [("a", t, t) for t in (0, 0, 0, 5, 5, 10, 10, 12, 20) for _ in range(3)]
+    df = spark.createDataFrame(rows, "src_ip string, ts_us long, seq long")
+    for fold_rows in (50_000, 4):
+        fired = cooldown(df, "src_ip", 10, fold_rows=fold_rows).collect()
+        assert sorted(r.ts_us for r in fired) == [0, 10, 20]

@@ -322,4 +322,6 @@ def _chain_rows(rows: DataFrame, key: str, gap: int, must: Column, fold_rows: in
         taken = materialize(found)
     due = taken.filter(F.col("u") >= F.col("opens")).select(key, "u")
     heads = materialize(times.join(due, [key, "u"], "left_semi").select(key, F.col("u").alias("ts_us"), "seq"))
-    return rows.filter(must).unionByName(rows.filter(~must).join(heads, [key, "ts_us", "seq"], "left_semi"))
+    # Repeated rows share the head's time and seq; one of them fires, as in the pass over sorted rows.
+    at_head = rows.filter(~must).join(heads, [key, "ts_us", "seq"], "left_semi").dropDuplicates([key, "ts_us", "seq"])
+    return rows.filter(must).unionByName(at_head)
