@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .token_counts import count_tokens
+from .token_files import rewrite_and_digest
 from .url_filter import filter_urls
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -66,6 +67,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) != 2)
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite_and_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_token_files": op12_token_files,
 }
 
 ORACLE = {
