@@ -30,7 +30,7 @@ def test_query_against_sql(spark, name):
 
 
 def test_names():
-    assert [int(n.split("_")[0][2:]) for n in QUERIES] == [*range(1, 11), 12]
+    assert [int(n.split("_")[0][2:]) for n in QUERIES] == [*range(1, 11), 12, 13]
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 

@@ -13,6 +13,7 @@ from .lang_id import fit_languages, identify
 from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .packing import pack_documents
+from .periodic_runs import periodic_runs, run_digests, with_repeated_tails
 from .quality import fit_quality, score_quality
 from .token_counts import count_tokens
 from .token_files import rewrite_and_digest
@@ -71,6 +72,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite_and_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
     "op12_token_files": op12_token_files,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
@@ -115,6 +121,44 @@ ORACLE = {
             SELECT *, (floor(epochs) + CASE WHEN middle < (epochs - floor(epochs)) * s AND size > 0 THEN 1 ELSE 0 END)::BIGINT AS repetitions
             FROM placed)
         SELECT doc_id, size, s::BIGINT AS source_size, target, repetitions, size * repetitions AS taken FROM taken""",
+    "op13_periodic_runs": r"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   xor(list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT for c in string_split(coalesce(doc_id::VARCHAR, 'null'), '')],
+                       lambda acc, x: list_reduce([xor(acc, x)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                                                  lambda b, z: xor(b >> 1, (b & 1) * 3988292384))), 4294967295) AS h
+            FROM documents),
+        placed AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS a, (h // 10) % 8 AS k FROM split),
+        texts AS (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                THEN [w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + k)) END + 1] for i in range(n)]
+                ELSE w END AS w
+            FROM placed),
+        words AS MATERIALIZED (
+            SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM texts WHERE n > 0),
+        alike AS (
+            SELECT a.doc_id, a.i, b.i - a.i AS q FROM words a JOIN words b
+            ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND (b.i - a.i) * 3 <= a.n),
+        steps AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM alike),
+        stretched AS (
+            SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM steps GROUP BY doc_id, q, island
+            HAVING count(*) + q >= greatest(24, 3 * q)),
+        runs AS MATERIALIZED (
+            SELECT doc_id, start, length, min(q) AS period FROM stretched GROUP BY doc_id, start, length),
+        listed AS (
+            SELECT doc_id, count(*) AS n_runs,
+                   string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+            FROM runs GROUP BY doc_id),
+        best AS (
+            SELECT * FROM runs QUALIFY row_number() OVER (
+                PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+        left_over AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words w
+            WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length)
+            GROUP BY doc_id)
+        SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM texts t LEFT JOIN listed USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
     "op1_url_filter": r"""
         WITH parts AS (
             SELECT page_id,
