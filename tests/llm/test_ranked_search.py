@@ -1,0 +1,112 @@
+"""Ranked search against the scores written out: ties, blocks of items, many shards, odd rows."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers import LONG, awkward, documents, sentence
+
+from wiretide.llm import ranked_search as rs
+
+
+def split(text):
+    found = re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or "")
+    return ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in found]
+
+
+def ranked(docs, items, top=50):
+    """(item_id, rank, doc_id, score), written out."""
+    bags = [(i, Counter(split(t))) for i, t in docs]
+    sizes = [sum(b.values()) for _, b in bags]
+    many, total = sum(n > 0 for n in sizes), sum(sizes)
+    out = []
+    for item, text in items:
+        scored = []
+        for (doc, bag), n in zip(bags, sizes, strict=True):
+            score = 0
+            for t in set(split(text)) & set(bag):
+                df = sum(t in b for _, b in bags)
+                w = math.floor(1000 * math.log((2 * many + 2) / (2 * df + 1)))
+                m = 100 - 50 + 50 * n * many // total
+                score += w * (1000000000 * bag[t] // (1000 * bag[t] + 20 * m))
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        scored.sort(key=lambda r: r[:3])
+        out += [(item, k, r[3], -r[0]) for k, r in enumerate(scored[:top], 1)]
+    return out
+
+
+def key(rows):
+    return sorted(tuple(map(str, r)) for r in rows)
+
+
+def corpus(rng, n):
+    rows = [(k, sentence(rng, rng.randrange(1, 30), 60)) for k in range(n)]
+    # Copies and near copies tie.
+    return rows + [(n + k, rows[k % 7][1]) for k in range(40)] + [(2 * n + k, rows[3][1].upper() + " ,.;") for k in range(40)]
+
+
+@pytest.mark.parametrize("top,first", [(50, 256), (5, 1), (1, 3)])
+def test_search(spark, monkeypatch, top, first):
+    rng = random.Random(top)
+    docs = corpus(rng, 300)
+    items = [(k, sentence(rng, rng.randrange(1, 12), 70)) for k in range(30)] + [(3, docs[3][1]), (99, "nowhere"), (98, None), (None, docs[5][1])]
+    monkeypatch.setattr(rs, "FIRST_READ", first)
+    monkeypatch.setattr(rs, "SHARD_DOCS", 100)
+    monkeypatch.setattr(rs, "BLOCK_ITEMS", 11)
+    monkeypatch.setattr("wiretide.llm.common.PIECE_ROWS", 32)
+    found = rs.ranked_search(documents(spark, [(*d, "en", "a") for d in docs]), spark.createDataFrame(items, "item_id long, text string"), top)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    assert key(found.collect()) == key(ranked(docs, items, top))
+
+
+def test_awkward_rows(spark):
+    docs = [(r.doc_id, r.text) for r in awkward(spark).collect()]
+    items = [(1, "ONE two"), (2, "ab"), (3, "日本語 é"), (4, ""), (5, "12 s endoftext"), (6, LONG), (7, "no id here")]
+    table = spark.createDataFrame([(*i, "x", 4) for i in items], "item_id long, text string, doc_id string, rank int")
+    assert key(rs.ranked_search(awkward(spark), table).collect()) == key(ranked(docs, items))
+    assert rs.ranked_search(documents(spark, []), table).collect() == []
+    assert rs.ranked_search(awkward(spark), table.limit(0)).collect() == []
+
+
+def test_shard_stops_before_the_end_of_its_lists(monkeypatch):
+    """The bounds end the reading early, and what is returned has exact scores."""
+    rng = np.random.default_rng(1)
+    n = 20_000
+    lengths = np.full(n, 100)
+    tf = np.where(np.arange(n) < 60, 40 + np.arange(n) % 7, rng.integers(1, 3, n))
+    counts = np.full(n, 2)
+    index = rs.ShardIndex(lengths, counts, np.tile([1, 2], n), np.repeat(tf, 2), n, 100 * n)
+    read = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, slice):
+                read.append(at.stop - at.start)
+            return super().__getitem__(at)
+
+    index.doc = index.doc.view(Watched)
+    at, score = index.best({1: 7, 2: 3}, 10)
+    assert sum(read) < n / 5
+    gain = 1_000_000_000 * tf // (1000 * tf + 20 * 100)
+    exact = 10 * gain
+    tenth = np.sort(exact)[-10]
+    assert sorted(at.tolist()) == np.flatnonzero(exact >= tenth).tolist()
+    assert (score == exact[np.asarray(at)]).all()
+
+
+def test_long_documents_do_not_overflow():
+    n = np.array([3, 10**9, 2 * 10**9])
+    norms = rs.length_norm(n, 10**10, 10**12)
+    assert norms.tolist() == [50 + 50 * int(x) * 10**10 // 10**12 for x in n]
+    assert rs.length_norm(np.array([7, 9]), 4, 30).tolist() == [50 + 50 * 7 * 4 // 30, 50 + 50 * 9 * 4 // 30]
+
+
+def test_terms():
+    text = "It's 3D-Ünï\x85code 日本 A_b\x7fC\x00d"
+    assert [t.decode() for t in rs.terms(text)] == split(text)

@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .periodic_runs import periodic_runs, run_digests, with_repeated_tails
 from .quality import fit_quality, score_quality
+from .ranked_search import ranked_search
 from .token_counts import count_tokens
 from .token_files import rewrite_and_digest
 from .url_filter import filter_urls
@@ -68,6 +69,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) != 2)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite_and_digest(table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_ranked_search": op11_ranked_search,
     "op12_token_files": op12_token_files,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -121,6 +127,31 @@ ORACLE = {
             SELECT *, (floor(epochs) + CASE WHEN middle < (epochs - floor(epochs)) * s AND size > 0 THEN 1 ELSE 0 END)::BIGINT AS repetitions
             FROM placed)
         SELECT doc_id, size, s::BIGINT AS source_size, target, repetitions, size * repetitions AS taken FROM taken""",
+    "op11_ranked_search": r"""
+        WITH folded AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        sizes AS (SELECT count(*) AS documents, sum(len(t))::BIGINT AS total FROM folded WHERE len(t) > 0),
+        hits AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM folded)
+            WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM hits, sizes GROUP BY term, documents),
+        scored AS (
+            SELECT item_id, doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // total))))::BIGINT AS score
+            FROM asked JOIN hits USING (term) JOIN weights USING (term), sizes GROUP BY item_id, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
     "op13_periodic_runs": r"""
         WITH split AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
