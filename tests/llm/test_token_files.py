@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wiretide.llm.re_pair import LEAST, Shard, compress, expand, frequent_pairs, replace, write_shard
-from wiretide.llm.token_files import ChunkEncoder, read_stretch, read_tokens, rewrite_and_digest, token_digests, token_shards, write_token_files
+from wiretide.llm.token_files import Encoder, prove_ranks, read_stretch, read_tokens, rewrite_and_digest, token_digests, token_shards, write_token_files
 from wiretide.scratch import scratch_path
 
 
@@ -74,26 +75,39 @@ def test_no_frequent_pair_is_left_and_repeats_get_short():
 
 @pytest.fixture(scope="module")
 def encoder():
-    return ChunkEncoder(None)
+    return Encoder(None)
 
 
 def test_ids_equal_the_librarys(encoder):
     rng = random.Random(3)
-    parts = [" ", "  ", "\n", "\t", " ", "'s", "'re", "a", "B", " b", "é", "日", "1", "２", "!", "\x85", "\xa0", "<|endoftext|>", "'", "\x1c", "́"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)]
-    assert encoder.cutting
-    assert [i.tolist() for i in encoder.encode(texts)] == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
-    # The second time from the cache.
-    assert [i.tolist() for i in encoder.encode(texts[:500])] == [e.ids for e in encoder.library.encode_batch(texts[:500], add_special_tokens=False)]
-
-
-def test_other_rules_are_not_proved(encoder):
-    rule = {"pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "model": {"type": "BPE"}}
-    assert ChunkEncoder.proved(rule)
-    assert not ChunkEncoder.proved(rule | {"normalizer": {"type": "NFC"}})
-    assert not ChunkEncoder.proved(rule | {"pre_tokenizer": None})
-    assert not ChunkEncoder.proved(rule | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}})
-    assert not ChunkEncoder.proved(rule | {"model": {"type": "Unigram"}})
+    parts = [" ", "  ", "\n", "\t", "\u2003", "'s", "'re", "a", "B", " b", "é", "日", "1", "２", "!", "\x85", "\xa0", "<|endoftext|>", "'", "\x1c", "\u0301"]
+    parts += ["\u180e", "\u200b", "\U0001fae0", "\ua7c2", "\U0001f600", "ß"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(6000)]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (500, 20_000)]
+    texts += ["".join(map(chr, rng.choices(range(0x3000), k=40))) for _ in range(2000)]
+    assert encoder.ranked is not None
+    assert [encoder.ids(t).tolist() for t in texts] == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ranks_need_their_proof(encoder):
+    settings = json.loads(encoder.library.to_str())
+    alone = lambda t: len(encoder.library.model.tokenize(t))
+    assert len(prove_ranks(settings, alone)) == 50_256
+    assert prove_ranks(settings | {"normalizer": {"type": "NFC"}}, alone) is None
+    assert prove_ranks(settings | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, alone) is None
+    assert prove_ranks(settings | {"pre_tokenizer": None}, alone) is None
+    assert prove_ranks(settings, lambda t: 2) is None
+    model = settings["model"]
+    assert prove_ranks(settings | {"model": model | {"merges": model["merges"][::-1]}}, alone) is None
+    assert prove_ranks(settings | {"model": model | {"type": "Unigram"}}, alone) is None
+
+
+def test_another_tokenizer_goes_to_the_library():
+    import public_tokenizers
+
+    other = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.ranked is None
+    assert other.ids("One two!").tolist() == other.library.encode("One two!", add_special_tokens=False).ids
 
 
 def expected(rows, library):

@@ -8,10 +8,9 @@ its number of ids, the ids before it in the range, and the shard's bytes, from w
 from __future__ import annotations
 
 import json
-import os
-import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,98 +20,81 @@ from pyspark.sql import functions as F
 
 from ..scratch import scratch_path
 from .common import pieces
+from .packing import byte_letters
 from .re_pair import Shard, write_shard
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
 #: Ids after which a shard is closed; documents aren't cut, so a longer document is a longer shard.
-SHARD_IDS = 1 << 20
-#: Chunks whose ids one worker keeps; results don't depend on it.
-CACHED_CHUNKS = 300_000
-LONGEST_CACHED = 64
-#: New chunks that the library gets at a time.
-LINE_CHUNKS = 2048
-
+SHARD_IDS = 1 << 18
 SHARD_SCHEMA = "part int, shard int, n_ids long, ids_before long, n_docs long, data binary"
-# A space that another character than white space follows; the rest of the text starts a new pre-token there.
-_CUT = re.compile(r" (?=\S)")
-_UNCUT = re.compile(r" (?!\S)")
+# The split of texts under the byte-level rule.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
+def prove_ranks(settings: dict, alone: Callable[[str], int]) -> dict[bytes, int] | None:
+    """The vocabulary by bytes, if merging by ranks of bytes gives the library's ids; None without proof.
 
-class ChunkEncoder:
+    The tokenizer must split by the byte-level rule and change no text, its ids must be the 256 bytes and then the merges in their
+    order, and each merged string must encode ``alone`` as one token. Then, wherever two neighbouring parts make up such a
+    string, they are the two that its merge names: what happens inside the string doesn't depend on what is around it, and ends
+    in that merge. So the lowest rank of the bytes is the first merge.
+    """
+    before, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    plain = not any(settings.get(k) for k in ("normalizer", "truncation", "padding")) and not any(
+        model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    )
+    if not (byte_level and plain and model.get("type") == "BPE"):
+        return None
+    byte_of = {letter: b for b, letter in byte_letters().items()}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    added = {t["content"] for t in settings.get("added_tokens") or []}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+    in_order = all(vocab.get(a + b) == 256 + k for k, (a, b) in enumerate(pairs))
+    whole = len(vocab) == 256 + len(pairs) and {t for t, i in vocab.items() if i < 256} == set(byte_of)
+    if not (in_order and whole and all(alone(a + b) == 1 for a, b in pairs)):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
+
+
+def steady(char: str) -> bool:
+    """Whether all versions of the character tables since 3.2 agree on what the split needs to know: letter, number, space or other."""
+    old, now = unicodedata.ucd_3_2_0.category(char), unicodedata.category(char)
+    return old != "Cn" and (old[0] in "LNZ" and old[0]) == (now[0] in "LNZ" and now[0])
+
+
+class Encoder:
     """Ids of whole texts, equal to the library's.
 
-    Under the byte-level rule a space before other characters always starts a pre-token, and pre-tokens are merged one by one.
-    So a text is cut at such spaces, and the chunks, each with its space, are encoded once per worker as long as they stay in a bounded
-    cache. ``proved`` reads from the tokenizer's own file that the rule holds; without it, and for texts that hold the
-    string of an added token, the library gets the text whole.
+    With ``prove_ranks`` texts are merged by ranks of bytes, which is several times as fast. Texts that hold the string of an
+    added token, or a character whose class changed between versions, and all texts without the proof go to the library.
     """
 
     def __init__(self, path: str | None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or public_tokenizers.path(MODEL))
         settings = json.loads(self.library.to_str())
         self.added = [t["content"] for t in settings.get("added_tokens") or []]
-        self.cutting = self.proved(settings)
-        self.known: dict[str, bytes] = {}
-        # Byte-level vocabularies write one letter for each byte.
-        self.id_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
-        for token, number in self.library.get_vocab().items():
-            self.id_bytes[number] = len(token)
-
-    @staticmethod
-    def proved(settings: dict) -> bool:
-        """The library changes, splits and merges texts by the byte-level rule alone."""
-        before, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
-        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        plain = not settings.get("normalizer") and not settings.get("truncation") and not settings.get("padding")
-        return bool(byte_level and plain and model.get("type") == "BPE" and not model.get("dropout"))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut, waiting = [], {}
-        known = self.known
-        for text in texts:
-            if not self.cutting or any(a in text for a in self.added):
-                cut.append(None)
-                continue
-            chunks = _CUT.split(text) if _UNCUT.search(text) else text.split(" ")
-            # The first chunk has no space before it; no other chunk starts with a line feed and a space.
-            chunks[0] = "\n " + chunks[0]
-            cut.append(chunks)
-            waiting.update(dict.fromkeys(c for c in chunks if c not in known))
-        fresh = self.fresh(list(waiting))
-        out = []
-        for text, chunks in zip(texts, cut, strict=True):
-            if chunks is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                found = [known[c] if c in known else fresh[c] for c in chunks]
-                out.append(np.frombuffer(b"".join(found), "<u4"))
-        if len(known) + len(fresh) > CACHED_CHUNKS:
-            known.clear()
-        known.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST_CACHED)
-        return out
-
-    def fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of new chunks, which go to the library laid end to end, as they stand in texts; lengths in bytes part the ids again."""
-        heads = [c for c in chunks if c.startswith("\n ")]
-        out = {}
-        if heads:
-            encoded = self.library.encode_batch_fast([c[2:] for c in heads], add_special_tokens=False)
-            out = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(heads, encoded, strict=True)}
-        rest = [c for c in chunks if c not in out]
-        for start in range(0, len(rest), LINE_CHUNKS):
-            line = rest[start : start + LINE_CHUNKS]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(line)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum([1 + len(c.encode()) for c in line])) + 1
-            data, low = ids.tobytes(), 0
-            for c, end in zip(line, ends.tolist(), strict=True):
-                out[c] = data[4 * low : 4 * end]
-                low = end
-        return out
+        ranks = prove_ranks(settings, lambda t: len(self.library.model.tokenize(t)))
+        self.ranked = None
+        if ranks:
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.steady: set[str] = set()
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranked and not any(a in text for a in self.added) and (text.isascii() or self.all_steady(text)):
+            return self.ranked.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def all_steady(self, text: str) -> bool:
+        new = set(text) - self.steady
+        self.steady.update(filter(steady, new))
+        return new <= self.steady
 
 
 class Writer:
@@ -166,10 +148,9 @@ def write_token_files(
         encoder, writer = None, Writer(TaskContext.get().partitionId(), shard_ids)
         end = np.array([end_id], np.uint32)
         for batch in pieces(batches):
-            encoder = encoder or ChunkEncoder(tokenizer)
-            found = encoder.encode(batch.column(1).to_pylist())
-            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
-                writer.add(doc_id, np.concatenate([ids, end]))
+            encoder = encoder or Encoder(tokenizer)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                writer.add(doc_id, np.concatenate([encoder.ids(text), end]))
                 if writer.size >= shard_ids:
                     yield writer.close()
         if writer.doc_ids:
