@@ -8,6 +8,7 @@ from brute import windowed
 from pyspark.sql import functions as F
 
 from wiretide.functions import timing
+from wiretide.operators import sliding
 from wiretide.operators.chain import cooldown, greedy_times
 from wiretide.operators.distinct import cumulative_distinct
 from wiretide.operators.running import dense_index
@@ -185,6 +186,34 @@ def test_slices_follow_the_density(spark, monkeypatch):
             assert counts[keyed[i]["seq"]] == len(live) and distinct[keyed[i]["seq"]] == len({r["v"] for r in live})
 
 
+@pytest.mark.parametrize("window_s", [600, 3 * 86_400])
+def test_a_burst_of_one_key_leaves_the_others_alone(spark, monkeypatch, window_s):
+    """One second of 20,000 packets and 100 quiet sources: these keep their slices, with two rows per packet at most."""
+    monkeypatch.setattr(timing, "SLICE_ROWS", 3000)
+    laid = []
+    count_live = sliding._count_live
+    monkeypatch.setattr(sliding, "_count_live", lambda rows, *a: laid.append(rows) or count_live(rows, *a))
+    base = 1_700_000_000 * MICROS
+    burst = spark.range(20_000).select(F.lit("hot").alias("src_ip"), (base + F.col("id") * 50).alias("ts_us"), "id", (F.col("id") % 500).alias("v"))
+    quiet = spark.range(300).select(
+        F.concat(F.lit("q"), F.col("id") % 100).alias("src_ip"), (base + F.col("id") * 1_234_567).alias("ts_us"), F.col("id") + 20_000, F.lit(1).alias("v")
+    )
+    later = spark.range(400).select(F.lit("hot").alias("src_ip"), (base + (F.col("id") + 1) * 777 * MICROS).alias("ts_us"), F.col("id") + 30_000, F.lit(3).alias("v"))
+    df = burst.union(quiet).union(later).toDF("src_ip", "ts_us", "seq", "v")
+    found = sliding_distinct_count(df, "src_ip", "v", window_s).groupBy("src_ip").agg(F.max("observed").alias("m"), F.count("*").alias("n")).collect()
+    assert {r.src_ip: (r.m, r.n) for r in found if r.src_ip == "hot"} == {"hot": (500, 20_400)}
+    assert sum(r.n for r in found) == 20_700
+    rows = {r.src_ip: r["count"] for r in laid[0].groupBy("src_ip").count().collect()}
+    assert all(n <= 2 * 3 for k, n in rows.items() if k != "hot")
+    # A marker per live value and slice of the burst, and none for slices that don't exist.
+    per_slice = laid[0].filter("src_ip = 'hot'").groupBy("_slice").agg(F.count(F.when(F.col("_own"), 1)).alias("own")).collect()
+    assert max(r.own for r in per_slice) <= 6000
+    assert rows["hot"] <= 20_400 + 500 * (len(per_slice) + 1)
+    counts = sliding_count(df, "src_ip", window_s).groupBy("src_ip").agg(F.max("observed").alias("m")).collect()
+    live_later = min(400, window_s // 777)
+    assert {r.m for r in counts if r.src_ip == "hot"} == {20_000 + live_later if window_s > 777 else 20_000}
+
+
 def test_cooldown_fires_one_of_repeated_rows(spark):
     """Equal rows of one time, for short keys in one pass and for long keys by the chain of times."""
     rows = [("a", t, t) for t in (0, 0, 0, 5, 5, 10, 10, 12, 20) for _ in range(3)]

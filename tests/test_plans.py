@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
-from brute import packet, packets_df
+from brute import packet, packets_df, windowed
 from pyspark.sql import functions as F
 from test_detectors import random_packets
 
-from wiretide.operators import chain, detectors, windows
+from wiretide.operators import chain, detectors, running, slices, windows
 from wiretide.operators.predicates import port_scan_eligible, syn_packets
 from wiretide.operators.sliding import sliding_count, sliding_distinct_count
 from wiretide.operators.whitelist import exclude_whitelisted
@@ -17,7 +18,7 @@ from wiretide.plans import engine
 from wiretide.plans.store import read_alerts, recent_events
 from wiretide.schema import ALERT_SCHEMA
 from wiretide.scratch import materialize
-from wiretide.sources.packets import load_packets, timed
+from wiretide.sources.packets import as_packets, load_packets, timed
 
 
 @pytest.fixture(scope="module")
@@ -66,14 +67,66 @@ def test_time_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(ts," in plan(got) and sorted(r.seq for r in got.collect()) == list(range(10, 20))
 
 
-def test_made_up_arrival_numbers_follow_the_time(spark, tmp_path):
-    """Whatever the file layout: an early small file after a late large one."""
+def test_arrival_numbers_of_a_table_without_them(spark, tmp_path):
+    """Dense, in the order of time, whatever the file layout: an early small file after a late large one, many packets of one time."""
     path = str(tmp_path / "packets")
-    rows = spark.range(1000).select((F.col("id") * 1000).alias("ts_us"), F.lit("10.0.0.1").alias("src_ip"))
-    rows.filter("ts_us >= 5000").repartition(7).write.parquet(path)
-    rows.filter("ts_us < 5000").coalesce(1).write.mode("append").parquet(path)
-    ordered = [r.ts_us for r in load_packets(spark, path).orderBy("seq").collect()]
-    assert ordered == sorted(ordered) and len(ordered) == 1000
+    rows = spark.range(1000).select((F.col("id") - F.col("id") % 50).alias("ts_us"), F.concat(F.lit("10.0.0."), F.col("id") % 9).alias("src_ip"))
+    rows = rows.unionByName(spark.range(400).select(F.lit(7000).cast("bigint").alias("ts_us"), F.lit("flood").alias("src_ip")))
+    rows.filter("ts_us >= 500").repartition(7).write.parquet(path)
+    rows.filter("ts_us < 500").coalesce(1).write.mode("append").parquet(path)
+    found = load_packets(spark, path).orderBy("seq").collect()
+    assert [r.seq for r in found] == list(range(1400))
+    assert [r.ts_us for r in found] == sorted(r.ts_us for r in found)
+    # Another layout gives every packet the same number.
+    other = str(tmp_path / "other")
+    rows.repartition(3, "src_ip").write.parquet(other)
+    assert [(r.ts_us, r.src_ip) for r in load_packets(spark, other).orderBy("seq").collect()] == [(r.ts_us, r.src_ip) for r in found]
+    some = load_packets(spark, path, between=(500, 600)).collect()
+    assert sorted(r.seq for r in some) == list(range(100)) and {r.ts_us for r in some} == {500, 550}
+
+
+def test_a_flood_of_equal_packets_is_numbered_in_many_tasks(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(running, "materialize", lambda df: tables.append(materialize(df)) or tables[-1])
+    rows = spark.range(40_000).select(F.lit(5).cast("bigint").alias("ts_us"), F.lit("a").alias("src_ip"), F.lit(80).alias("dst_port"))
+    numbered = as_packets(rows.repartition(6))
+    assert numbered.agg(F.countDistinct("seq"), F.max("seq")).first() == (40_000, 39_999)
+    sizes = [r["count"] for r in tables[0].groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 20_000
+
+
+def test_alerts_of_packets_without_arrival_numbers(spark):
+    """Whole seconds: every alert lists as many ports as it counts, and no two alerts share an identity."""
+    rng = random.Random(7)
+    rows = [(float(rng.randrange(60)), f"10.0.0.{rng.randrange(3)}", "TCP", rng.randrange(40), "S") for _ in range(3000)]
+    df = as_packets(spark.createDataFrame(rows, "ts double, src_ip string, protocol string, dst_port int, tcp_flags string"))
+    scans = detectors.detect_port_scan(df, 10, 5, 0).collect()
+    assert len(scans) > 2500 and all(r.observed == len(r["items"]) for r in scans)
+    floods = detectors.detect_syn_flood(df, 5, 5, 0).collect()
+    assert len(floods) > 2900 and len({(r.source_ip, r.ts_us, r.seq) for r in floods}) == len(floods)
+
+
+def test_live_ports_of_every_packet(spark):
+    """With no cooldown each packet over the threshold alerts: the lists are those written out."""
+    rng = random.Random(8)
+    rows = [packet(rng.randrange(400) / 4, src_ip=f"s{rng.randrange(2)}", dst_port=rng.randrange(30)) for _ in range(400)]
+    rows.sort(key=lambda r: r["ts"])
+    keyed = [{**r, "seq": i, "ts_us": round(r["ts"] * 1e6)} for i, r in enumerate(rows)]
+    expected = {i: sorted({r["dst_port"] for r in windowed(keyed, i, "src_ip", 6_000_000)}) for i in range(400)}
+    found = {r.seq: [int(p) for p in r["items"]] for r in detectors.detect_port_scan(packets_df(spark, rows), 4, 6, 0).collect()}
+    assert found == {i: ports for i, ports in expected.items() if len(ports) >= 4}
+
+
+def test_port_scan_takes_few_jobs(spark, tmp_path):
+    path = str(tmp_path / "packets")
+    packets_df(spark, random_packets(5)).drop("ts_us", "event_time").write.parquet(path)
+    rows = load_packets(spark, path)
+    spark.sparkContext.setJobGroup("port scan", "counted")
+    try:
+        assert detectors.detect_port_scan(rows, 4, 4, 6).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("port scan")) <= 14
 
 
 def test_detectors_read_the_packets_once(spark, tmp_path, monkeypatch):
@@ -86,7 +139,7 @@ def test_detectors_read_the_packets_once(spark, tmp_path, monkeypatch):
         made.append(any(path in f for f in df.inputFiles()))
         return materialize(df)
 
-    for module in (engine, detectors, chain, windows):
+    for module in (engine, detectors, chain, slices, windows):
         monkeypatch.setattr(module, "materialize", counting)
     alerts = engine.detect_all(load_packets(spark, path), {"dos": {"syn_threshold": 2}})
     made.append(any(path in f for f in alerts.inputFiles()))
@@ -98,7 +151,7 @@ def test_sources_that_cannot_alert_enter_no_window(spark, monkeypatch):
     rows += [packet(1000 + i, src_ip="scanner", dst_port=i) for i in range(12)]
     seen = []
     count = detectors.sliding_distinct_count
-    monkeypatch.setattr(detectors, "sliding_distinct_count", lambda df, *a: seen.append(df) or count(df, *a))
+    monkeypatch.setattr(detectors, "sliding_distinct_count", lambda df, *a, **k: seen.append(df) or count(df, *a, **k))
     alerts = detectors.detect_port_scan(packets_df(spark, rows), 8, 20, 30)
     assert [r.source_ip for r in alerts.collect()] == ["scanner"]
     assert {r.src_ip for r in seen[0].collect()} == {"scanner"}

@@ -22,20 +22,19 @@ def cooldown_us(seconds: float) -> int:
     return max(round(seconds * MICROS), 0)
 
 
-def slice_start(ts_us: Column, length_us: int) -> Column:
+def slice_start(ts_us: Column, length_us: int | Column) -> Column:
     """Start of the epoch-aligned time slice that holds ``ts_us``."""
-    return ts_us - F.pmod(ts_us, F.lit(length_us).cast("bigint"))
+    return ts_us - F.pmod(ts_us, (length_us if isinstance(length_us, Column) else F.lit(length_us)).cast("bigint"))
 
 
 def slice_length(window: int, slice_s: float | None) -> int:
-    """Slice length for a sliding window of ``window`` microseconds.
+    """Slice length for a sliding window of ``window`` microseconds: by default four windows, at least a minute.
 
-    By default four windows, at least a minute and at most a day: the part of
-    one key that a task handles is bounded by time, however hot the key is.
+    Where a key is dense, its slices get shorter (``operators.slices``).
     """
     if slice_s is not None:
         return window_us(slice_s, "slice_s")
-    return min(max(4 * window, 60 * MICROS), DAY_US)
+    return max(4 * window, 60 * MICROS)
 
 
 # Rows of one key that a slice should hold at most, and the shortest slice.

@@ -260,15 +260,18 @@ def cooldown(
     forced: str | None = None,
     fold_rows: int = FOLD_ROWS,
     span_gaps: int = SPAN_GAPS,
+    longest: int | None = None,
 ) -> DataFrame:
     """Rows of ``df`` that fire: at least the cooldown after the key's last fired row, or forced.
 
-    Rows are taken in the order ``ts_us, seq``. The boundary is inclusive. ``df``
-    is written out once, because its keys have to be sized before they are folded.
+    Rows are taken in the order ``ts_us, seq``. The boundary is inclusive. ``longest`` is a bound of any key's rows, where one is known; with
+    none, or a large one, ``df`` is written out, because its keys have to be sized before they are folded.
     """
     if cooldown_us == 0:
         return df
     must = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
+    if longest is not None and longest <= fold_rows:
+        return _fold_rows(df, key, cooldown_us, must)
     rows = materialize(df)
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     if rows.count() <= fold_rows or (sizes.agg(F.max("_n")).first()[0] or 0) <= fold_rows:

@@ -13,13 +13,12 @@ from ..sources.packets import timed
 from .chain import cooldown
 from .distinct import cumulative_distinct, first_arrivals
 from .predicates import arp_eligible, port_scan_eligible, syn_packets
+from .slices import crowded_keys
 from .sliding import sliding_count, sliding_distinct_count
 from .windows import anchored_windows, assign_windows, rolling_baseline, top_source_per_window, window_starts
 
 # Fixed value: how many ports the text of a port-scan alert lists. The column ``items`` has them all.
 LISTED_PORTS = 20
-# What tells packets apart.
-IDENTITY = ["src_ip", "ts_us", "seq"]
 
 
 def _alerts(
@@ -61,31 +60,40 @@ def detect_port_scan(
     eligible = port_scan_eligible(timed(packets)).select("src_ip", "dst_port", "ts_us", "seq")
 
     # The first and the last packet to each port in each slice of the window's length: a combining aggregate.
+    own = slice_start(F.col("ts_us"), window)
     seen = materialize(
-        eligible.groupBy("src_ip", slice_start(F.col("ts_us"), window).alias("_slice"), "dst_port").agg(
-            F.min(F.struct("ts_us", "seq")).alias("_first"), F.max("ts_us").alias("_last")
+        eligible.groupBy("src_ip", own.alias("_slice"), "dst_port").agg(
+            F.min(F.struct("ts_us", "seq")).alias("_first"), F.max("ts_us").alias("_last"), F.count(F.lit(1)).alias("_rows")
         )
     )
-    # A window touches two adjacent slices, so a source whose slices hold too few ports can't alert.
-    ports = seen.groupBy("src_ip", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    two = ports.unionByName(ports.withColumn("_slice", F.col("_slice") + F.lit(window))).groupBy("src_ip", "_slice")
-    suspects = two.agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= port_threshold).select("src_ip").distinct()
-    watched = eligible.join(materialize(suspects), "src_ip", "left_semi")
+    per_slice = seen.groupBy("src_ip", "_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_rows"))
+    suspects, longest = crowded_keys(per_slice, "src_ip", window, port_threshold)
+    watched = eligible.join(suspects, "src_ip", "left_semi")
 
-    counted = sliding_distinct_count(watched, "src_ip", "dst_port", window_s, slice_s)
+    counted = sliding_distinct_count(watched, "src_ip", "dst_port", window_s, slice_s, longest=longest)
     over = counted.filter(F.col("observed") >= port_threshold).select("src_ip", "ts_us", "seq", "observed")
-    fired = materialize(cooldown(over, "src_ip", cooldown_us(cooldown_s)))
+    fired = materialize(cooldown(over, "src_ip", cooldown_us(cooldown_s), longest=longest).withColumn("_slice", own))
+    return port_scan_alerts(_with_live_ports(fired, seen, window), port_threshold, window_s)
 
-    # The live ports of the alerts: those with a packet late enough in the slice before, or early enough in the alert's own.
-    own = slice_start(F.col("ts_us"), window)
-    reach = fired.select("src_ip", "ts_us", "seq", F.explode(F.array(own - F.lit(window), own)).alias("_slice"))
-    near = seen.join(reach, ["src_ip", "_slice"])
-    live = near.filter(
-        (F.col("_last") >= F.col("ts_us") - F.lit(window))
-        & _arrived_by(F.col("_first.ts_us"), F.col("_first.seq"), F.col("ts_us"), F.col("seq"))
-    )
-    items = F.array_sort(F.collect_set("dst_port")).cast("array<string>").alias("items")
-    return port_scan_alerts(fired.join(live.groupBy(*IDENTITY).agg(items), IDENTITY), port_threshold, window_s)
+
+def _with_live_ports(fired: DataFrame, seen: DataFrame, window: int) -> DataFrame:
+    """``fired`` (with its ``_slice``) and the live ports of each row as ``items``.
+
+    These are the ports met early enough in the row's own slice, and those met late enough in the slice before. A slice's ports are put
+    in one array (of 65,536 at most) and cut for each alert.
+    """
+    target = F.explode(F.array(F.struct(F.col("_slice").alias("to"), F.lit(True).alias("own")), F.struct((F.col("_slice") + F.lit(window)).alias("to"), F.lit(False).alias("own"))))
+    sent = seen.select("src_ip", "dst_port", "_first", "_last", target.alias("_t"))
+    sent = sent.select("src_ip", F.col("_t.to").alias("_slice"), F.col("_t.own").alias("_own"), "dst_port", "_first", "_last")
+    needed = sent.join(fired.select("src_ip", "_slice"), ["src_ip", "_slice"], "left_semi")
+    here = F.when(F.col("_own"), F.struct("_first", "dst_port"))
+    there = F.when(~F.col("_own"), F.struct("_last", "dst_port"))
+    ports = needed.groupBy("src_ip", "_slice").agg(F.collect_list(here).alias("_here"), F.collect_list(there).alias("_there"))
+    joined = fired.join(ports, ["src_ip", "_slice"])
+    early = F.filter("_here", lambda p: _arrived_by(p["_first"]["ts_us"], p["_first"]["seq"], F.col("ts_us"), F.col("seq")))
+    late = F.filter("_there", lambda p: p["_last"] >= F.col("ts_us") - F.lit(window))
+    live = F.array_sort(F.array_union(early["dst_port"], late["dst_port"])).cast("array<string>")
+    return joined.withColumn("items", live).drop("_slice", "_here", "_there")
 
 
 def port_scan_alerts(fired: DataFrame, port_threshold: int, window_s: float) -> DataFrame:
@@ -138,10 +146,13 @@ def detect_syn_flood(
     slice_s: float | None = None,
 ) -> DataFrame:
     """Sources that send ``syn_threshold`` connection attempts within the window."""
-    window_us(window_s)
+    window = window_us(window_s)
     eligible = syn_packets(timed(packets)).select("src_ip", "ts_us", "seq")
-    counted = sliding_count(eligible, "src_ip", window_s, slice_s)
-    fired = cooldown(counted.filter(F.col("observed") >= syn_threshold), "src_ip", cooldown_us(cooldown_s))
+    rows = F.count(F.lit(1))
+    per_slice = eligible.groupBy("src_ip", slice_start(F.col("ts_us"), window).alias("_slice")).agg(rows.alias("_n"), rows.alias("_rows"))
+    suspects, longest = crowded_keys(per_slice, "src_ip", window, syn_threshold)
+    counted = sliding_count(eligible.join(suspects, "src_ip", "left_semi"), "src_ip", window_s, slice_s, longest=longest)
+    fired = cooldown(counted.filter(F.col("observed") >= syn_threshold), "src_ip", cooldown_us(cooldown_s), longest=longest)
     return syn_flood_alerts(fired, syn_threshold, window_s)
 
 

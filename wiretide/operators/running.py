@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 _CARRY = "_is_carry"
 
 
@@ -51,3 +53,25 @@ def dense_index(df: DataFrame, order: list[str], chunk: Column, out: str, start:
     flagged = df.withColumn("_chunk", chunk).withColumn("_one", F.lit(1).cast("bigint"))
     numbered = drop_carry(running_sum(flagged, [], "_chunk", order, "_one", out))
     return numbered.withColumn(out, F.col(out) + F.lit(start - 1)).drop("_chunk", "_one")
+
+
+# Bits of a row's place inside its partition, as in ``monotonically_increasing_id``.
+_PLACE_BITS = 33
+
+
+def sorted_index(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: 0, 1, 2, ... in the order of the columns ``order``, which must tell rows apart; written to the scratch folder.
+
+    Rows are cut into ranges of the order and sorted within; a row's number is its place in its range plus the sizes of the ranges before, one
+    row each.
+    """
+    n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order)
+    # The number of the partition and the place in it; read back, rows may be dealt in any way.
+    placed = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", _PLACE_BITS), F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = placed.withColumn("_part", part).join(offsets, "_part").withColumn(out, F.col("_offset") + place)
+    return numbered.drop("_at", "_part", "_offset")

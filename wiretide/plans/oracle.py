@@ -11,6 +11,7 @@ SHORT_WINDOW = 6 * 3600 * 1_000_000
 COOLDOWN = 604_800 * 1_000_000
 ARP_COOLDOWN = 432_000 * 1_000_000
 ANOMALY_WINDOW = 900 * 1_000_000
+HOUR = 3_600 * 1_000_000
 # Ten days of the given events.
 RANGE = (1_704_844_800_000_000, 1_705_708_800_000_000)
 
@@ -324,5 +325,22 @@ ORACLE: dict[str, str] = {
     "stream_detect_all": _sql(
         _all(), f"SELECT row_number() OVER (ORDER BY seq, detector_ordinal) AS id, {VIEW} FROM alerts"
     ),
+    "arrival_numbers": _sql(
+        "",
+        f"""SELECT ts_us, n, first_seq, first_seq + n - 1 AS last_seq, n AS numbers FROM (
+              SELECT ts_us, n, CAST(sum(n) OVER (ORDER BY ts_us) - n AS BIGINT) AS first_seq FROM (
+                SELECT ts_us - ts_us % {HOUR} AS ts_us, count(*) AS n FROM packets GROUP BY 1))""",
+    ),
+    # At one time the counts only rise, so when a source alerts doesn't depend on the order of its packets of that time.
+    "unnumbered_port_scan": _sql(
+        f"""
+hourly AS (SELECT src_ip, dst_port, ts_us - ts_us % {HOUR} AS ts_us FROM packets WHERE {SCAN_ROW}),
+hourly_over AS MATERIALIZED (
+  SELECT DISTINCT src_ip, ts_us FROM (SELECT *, count(DISTINCT dst_port) OVER ({_frame(WINDOW_3D)}) AS observed FROM hourly)
+  WHERE observed >= 8
+),
+{_debounced("hourly_scan", "hourly_over", COOLDOWN)}""",
+        "SELECT src_ip AS source_ip, ts_us, true AS listed FROM hourly_scan",
+    ),
     "packets_in_range": _sql("", f"SELECT seq, ts_us, src_ip FROM packets WHERE ts_us >= {RANGE[0]} AND ts_us < {RANGE[1]}"),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timing import iso_utc
+from ..functions.timing import iso_utc, slice_start
 from ..operators.chain import cooldown
 from ..operators.detectors import (
     detect_arp_spoof,
@@ -15,7 +15,7 @@ from ..operators.detectors import (
     detect_syn_flood,
     detect_traffic_anomaly,
 )
-from ..operators.distinct import cumulative_distinct
+from ..operators.distinct import HOUR_US, cumulative_distinct
 from ..operators.predicates import arp_eligible, port_scan_eligible, syn_packets
 from ..operators.sliding import sliding_count, sliding_distinct_count
 from ..operators.whitelist import exclude_whitelisted
@@ -26,11 +26,12 @@ from ..operators.windows import (
     top_source_per_window,
     window_starts,
 )
+from ..schema import PACKET_COLUMNS
 from ..scratch import materialize, scratch_path
 from ..session import STATE_STORE
 from ..sources.events import DETECTOR_SETTINGS, event_frames, event_packets
 from ..sources.frames import capture_filter, decode_frames, split_malformed
-from ..sources.packets import load_packets
+from ..sources.packets import as_packets, load_packets
 from ..streaming.streams import TrafficAnomalyStream, start_alert_sink, start_detect_all, stream_detect
 from . import store
 from .engine import (
@@ -99,6 +100,25 @@ def syn_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding_count(syn, "src_ip", FLOOD["time_window"])
 
 
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All packets in whole hours and without arrival numbers, so that many share a time."""
+    rows = event_packets(spark, sf_dir).select(*[c for c in PACKET_COLUMNS if c not in ("seq", "ts", "event_time")])
+    return as_packets(rows.withColumn("ts_us", slice_start(F.col("ts_us"), HOUR_US)))
+
+
+def arrival_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = unnumbered(spark, sf_dir).groupBy("ts_us")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.countDistinct("seq").alias("numbers")
+    )
+
+
+def unnumbered_port_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each source alerts, and whether every alert lists as many ports as it counts."""
+    found = detect_port_scan(unnumbered(spark, sf_dir), SCAN["port_threshold"], SCAN["time_window"], SCAN["cooldown"])
+    return found.select("source_ip", "ts_us", (F.col("observed") == F.size("items")).alias("listed"))
+
+
 def port_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_port_scan(event_packets(spark, sf_dir), SCAN["port_threshold"], SCAN["time_window"], SCAN["cooldown"])
 
@@ -351,4 +371,6 @@ QUERIES: dict[str, Query] = {
     "stream_traffic_anomaly_late": lambda s, d: stream_traffic_anomaly(s, d, late=True),
     "stream_detect_all": stream_detect_all,
     "packets_in_range": packets_in_range,
+    "arrival_numbers": arrival_numbers,
+    "unnumbered_port_scan": unnumbered_port_scan,
 }

@@ -75,7 +75,7 @@ def append_alerts(alerts: DataFrame, path: str, batch_id: int | None = None, wri
 
 
 class _Ids:
-    """Reserved ranges of ids. Creating a file only if it isn't there is atomic on HDFS and local disks."""
+    """Reserved ranges of ids. Creating a file only if it isn't there is atomic on HDFS, and on local disks by the file's own call."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.jvm = spark.sparkContext._jvm
@@ -102,12 +102,20 @@ class _Ids:
 
     def _create(self, name: str, entry: dict) -> bool:
         """Whether this call made the file."""
-        try:
-            stream = self.fs.create(self._path(name), False)
-        except Py4JJavaError:
-            if self.fs.exists(self._path(name)):
+        path = self._path(name)
+        if self.fs.getScheme() == "file":
+            # Hadoop's local file system looks first and creates then, which two writers can do at once.
+            self.fs.mkdirs(path.getParent())
+            if not self.jvm.java.io.File(path.toUri().getPath()).createNewFile():
                 return False
-            raise
+            stream = self.fs.create(path, True)
+        else:
+            try:
+                stream = self.fs.create(path, False)
+            except Py4JJavaError:
+                if self.fs.exists(path):
+                    return False
+                raise
         stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
         return True

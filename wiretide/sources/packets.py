@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timing import MICROS
+from ..operators.running import sorted_index
 from ..schema import PACKET_COLUMNS, PACKET_FIELDS
 
 FORMATS = ("parquet", "orc", "json", "csv")
 
 _DEFAULTS = {"is_arp": False, "length": 0}
 
-# Places for packets of one microsecond in a made-up arrival number, which lasts until the year 2255.
-_TIES = 1024
-
 
 def load_packets(
     spark: SparkSession,
@@ -39,28 +37,46 @@ def load_packets(
     if between is None:
         return as_packets(rows)
     low, high = between
-    if "ts_us" not in rows.columns:
-        # Times are rounded to microseconds: one to each side, and the exact comparison after it.
-        rows = rows.filter((F.col("ts") >= F.lit((low - 1) / MICROS)) & (F.col("ts") <= F.lit((high + 1) / MICROS)))
-    return as_packets(rows).filter((F.col("ts_us") >= F.lit(low)) & (F.col("ts_us") < F.lit(high)))
+    if "ts_us" in rows.columns:
+        return as_packets(rows.filter((F.col("ts_us") >= F.lit(low)) & (F.col("ts_us") < F.lit(high))))
+    # Times are rounded to microseconds: one to each side, and the exact comparison after it.
+    near = (F.col("ts") >= F.lit((low - 1) / MICROS)) & (F.col("ts") <= F.lit((high + 1) / MICROS))
+    return as_packets(rows.filter(near & (_micros(rows) >= F.lit(low)) & (_micros(rows) < F.lit(high))))
+
+
+def _micros(df: DataFrame) -> Column:
+    return F.col("ts_us") if "ts_us" in df.columns else F.round(F.col("ts") * F.lit(float(MICROS))).cast("bigint")
+
+
+def number_arrivals(df: DataFrame) -> DataFrame:
+    """A table with ``ts`` or ``ts_us`` and a dense arrival number ``seq``: 0, 1, 2, ... in the order of time.
+
+    Rows of one time are in the order of a hash of the row, whatever the file layout; equal rows follow each other. Rows without
+    a time come first. The table is written to the scratch folder once, cut into ranges of (time, hash, place in the input), so neither a time with
+    a third of all rows nor a flood of equal rows ends up in one task.
+    """
+    if df.isStreaming:
+        raise ValueError("a packet stream needs a seq column")
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    keys = {"_time": _micros(df), "_hash": row_hash, "_place": F.monotonically_increasing_id()}
+    return sorted_index(df.withColumns(keys), list(keys), "seq").drop(*keys)
 
 
 def as_packets(df: DataFrame) -> DataFrame:
     """Brings a table with at least ``ts`` (epoch seconds) or ``ts_us`` to the packet schema.
 
     Missing columns get their defaults, existing ones pass unchanged, so filters on them still reach the scan, and further columns
-    are kept. Detection fails on a row without a time (``timed``). A table without ``seq`` gets one that follows the time; packets of
-    one microsecond are in the order of a hash of the row, whatever the file layout.
+    are kept. Detection fails on a row without a time (``timed``). A table without ``seq`` is numbered by ``number_arrivals``.
     """
     have = set(df.columns)
     if not have & {"ts", "ts_us"}:
         raise ValueError("packets need a ts column (epoch seconds) or a ts_us column (epoch microseconds)")
-    if "seq" not in have and df.isStreaming:
-        raise ValueError("a packet stream needs a seq column")
-    known = F.col("ts_us") if "ts_us" in have else F.round(F.col("ts") * F.lit(float(MICROS))).cast("bigint")
-    by_time = known * F.lit(_TIES) + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(_TIES))
+    further = [F.col(f"`{c}`") for c in df.columns if c not in PACKET_COLUMNS]
+    if "seq" not in have:
+        df = number_arrivals(df)
+    known = _micros(df)
     columns = {
-        "seq": F.col("seq").cast("bigint") if "seq" in have else by_time,
+        "seq": F.col("seq").cast("bigint"),
         "ts": F.col("ts").cast("double") if "ts" in have else known / F.lit(float(MICROS)),
         "ts_us": known,
         "event_time": F.col("event_time") if "event_time" in have else F.timestamp_micros(known),
@@ -74,7 +90,6 @@ def as_packets(df: DataFrame) -> DataFrame:
             columns[field.name] = F.col(field.name)
         else:
             columns[field.name] = F.col(field.name).cast(field.dataType)
-    further = [F.col(f"`{c}`") for c in df.columns if c not in PACKET_COLUMNS]
     return df.select(*[columns[name].alias(name) for name in PACKET_COLUMNS], *further)
 
 
