@@ -18,12 +18,24 @@ from wiretide.operators.detectors import (
     detect_syn_flood,
     detect_traffic_anomaly,
 )
-from wiretide.plans.engine import assign_ids, detect_all
+from wiretide.operators import sliding
+from wiretide.operators.detectors import syn_flood_alerts
+from wiretide.operators.whitelist import exclude_whitelisted
+from wiretide.plans.engine import assign_ids, detect_all, register_detector, unregister_detector
 from wiretide.plans.store import append_alerts, read_alerts
 from wiretide.sources.packets import load_packets
 from wiretide.streaming.folds import arrival_counts, arrival_distinct, fired_positions, live_counts, live_distinct_counts
+from wiretide.streaming.memory import StreamMemory
 from wiretide.streaming.processors import ArpSpoofProcessor
-from wiretide.streaming.streams import TrafficAnomalyStream, start_alert_sink, start_detect_all, stream_detect
+from wiretide.streaming.steps import port_scan_step, syn_flood_step
+from wiretide.streaming.streams import (
+    TrafficAnomalyStream,
+    start_alert_sink,
+    start_detect_all,
+    stream_detect,
+    stream_failures,
+    stream_summary,
+)
 
 COLUMNS = ["seq", "ts_us", "source_ip", "event_type", "observed", "details"]
 
@@ -278,6 +290,179 @@ def test_folds_in_the_order_of_arrival():
         assert fired_positions(ts, -(2**62), 7, forced) == (fired, opens)
 
 
+SETTINGS = {
+    "port_scan": {"port_threshold": 4, "time_window": 4, "cooldown": 6},
+    "dos": {"syn_threshold": 2, "time_window": 3, "cooldown": 5},
+}
+
+
+def run_all(spark, path, folder, **options):
+    packets = load_packets(spark, path, streaming=True, maxFilesPerTrigger="1")
+    start_detect_all(packets, f"{folder}/log", f"{folder}/checkpoint", f"{folder}/state", SETTINGS, available_now=True, **options).awaitTermination()
+    return read_alerts(spark, f"{folder}/log")
+
+
+def test_a_hot_source_is_spread(spark, tmp_path, monkeypatch):
+    """One source with 90 % of a micro-batch: its rows are counted in at least four tasks, and the alerts are those of the table."""
+    rng = random.Random(4)
+    rows = [packet(1000 + k / 2000, src_ip="hot" if rng.random() < 0.9 else f"q{rng.randrange(50)}", dst_port=rng.randrange(60)) for k in range(20_000)]
+    df = packets_df(spark, rows)
+    laid = []
+    count_live = sliding._count_live
+    monkeypatch.setattr(sliding, "_count_live", lambda rows, *a: laid.append(rows) or count_live(rows, *a))
+    memory = StreamMemory(spark, f"{tmp_path}/scan", 0, False)
+    found = rows_of(port_scan_step(df, {"port_threshold": 20, "time_window": 0.5, "cooldown": 1}, memory))
+    assert found == rows_of(detect_port_scan(df, 20, 0.5, 1)) and found
+    spread = laid[0].repartition(4, "src_ip", "_slice").filter("src_ip = 'hot' AND _own")
+    slices = [r["count"] for r in spread.groupBy("_slice").count().collect()]
+    assert sum(slices) > 17_000 and len(slices) >= 6 and max(slices) < 6000
+    assert spread.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_steps_in_the_order_of_arrival(spark, tmp_path):
+    """Late packets without a watermark: every micro-batch gives what one pass over the packets in the order of arrival gives."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(600):
+        source = f"s{k % 3}"
+        late = rng.choice([0, 0, 0, 2, 9]) if source != "s0" else 0
+        rows.append(packet(1000 + k / 8 - late, src_ip=source, dst_port=rng.randrange(8)))
+    df = packets_df(spark, rows)
+    steps = {"port_scan": port_scan_step, "dos": syn_flood_step}
+    p = {"port_threshold": 4, "syn_threshold": 9, "time_window": 4.0, "cooldown": 6.0}
+    found = {name: [] for name in steps}
+    for k, (a, b) in enumerate([(0, 90), (90, 91), (91, 340), (340, 600)]):
+        part = df.filter((F.col("seq") >= a) & (F.col("seq") < b))
+        for name, step in steps.items():
+            memory = StreamMemory(spark, f"{tmp_path}/{name}", k, False)
+            found[name] += [(r.source_ip, r.seq, r.observed, r["items"]) for r in step(part, p, memory).collect()]
+            memory.finish()
+    expected = {name: [] for name in steps}
+    for source in ("s0", "s1", "s2"):
+        times, ports, opens = [], {}, {name: 0 for name in steps}
+        for seq, r in enumerate(rows):
+            if r["src_ip"] != source:
+                continue
+            t = round(r["ts"] * 1e6)
+            times.append(t)
+            while times[0] < t - 4_000_000:
+                times.pop(0)
+            ports[r["dst_port"]] = t
+            ports = {q: s for q, s in ports.items() if s >= t - 4_000_000}
+            if len(times) >= 9 and t >= opens["dos"]:
+                opens["dos"] = t + 6_000_000
+                expected["dos"].append((source, seq, len(times), None))
+            if len(ports) >= 4 and t >= opens["port_scan"]:
+                opens["port_scan"] = t + 6_000_000
+                expected["port_scan"].append((source, seq, len(ports), [str(q) for q in sorted(ports)]))
+    for name in steps:
+        assert sorted(found[name], key=str) == sorted(expected[name], key=str) and len(expected[name]) > 10
+
+
+def test_a_step_run_again_gives_the_same(spark, tmp_path):
+    df = packets_df(spark, random_packets(21))
+    p = SETTINGS["dos"]
+    first = df.filter("seq < 200")
+    memory = StreamMemory(spark, f"{tmp_path}/dos", 0, False)
+    syn_flood_step(first, p, memory).collect()
+    memory.finish()
+    runs = []
+    for _ in range(2):
+        memory = StreamMemory(spark, f"{tmp_path}/dos", 1, False)
+        runs.append(rows_of(syn_flood_step(df.filter("seq >= 200"), p, memory)))
+        memory.finish()
+    assert runs[0] == runs[1] == [r for r in rows_of(detect_syn_flood(df, 2, 3, 5)) if r[0] >= 200]
+
+
+def test_a_failing_detector_leaves_the_others_and_catches_up(spark, source, tmp_path):
+    """A detector that fails in the second micro-batch gets its rows with the third; one that always fails never alerts."""
+    df, path = source
+    seen = []
+
+    def broken(packets, _settings, memory=None):
+        raise ValueError("never works")
+
+    def shaky(packets, _settings, memory):
+        seen.append(packets.count())
+        if memory.batch_id == 1:
+            raise ValueError("once")
+        return detect_traffic_anomaly(packets.limit(0)).unionByName(packets_as_alerts(packets))
+
+    def packets_as_alerts(packets):
+        return detect_syn_flood(packets.withColumns({"src_ip": F.col("seq").cast("string"), "protocol": F.lit("TCP"), "tcp_flags": F.lit("S")}), 1, 1, 0)
+
+    register_detector("broken", broken, stream=broken)
+    register_detector("shaky", lambda packets, _: packets_as_alerts(packets), stream=shaky)
+    try:
+        found = run_all(spark, path, tmp_path, enabled=["broken", "dos", "shaky"])
+    finally:
+        unregister_detector("broken")
+        unregister_detector("shaky")
+    everything = rows_of(found)
+    expected = rows_of(detect_syn_flood(df, 2, 3, 5))
+    assert [r for r in everything if r[2] in {e[2] for e in expected}] == expected
+    assert sorted(int(r[2]) for r in everything if r[2].isdigit()) == list(range(df.count()))
+    assert len(seen) == 4 and seen[2] > seen[1]
+    failed = sorted((r.detector, r.batch_id) for r in stream_failures(spark, f"{tmp_path}/state").collect())
+    assert failed == [("broken", k) for k in range(4)] + [("shaky", 1)]
+    assert stream_summary(spark, f"{tmp_path}/state").first() == (df.count(), len(everything), 0)
+
+
+def test_own_detectors_in_batch_and_stream(spark, source, tmp_path):
+    """A detector with tables of its own from micro-batch to micro-batch: the first packet of each source."""
+    df, path = source
+
+    def first_packets(packets, _settings):
+        first = packets.filter("src_ip <> ''").groupBy("src_ip").agg(F.min(F.struct("ts_us", "seq")).alias("f")).select("src_ip", "f.*")
+        return syn_flood_alerts(first.withColumn("observed", F.lit(1)), 1, 1)
+
+    def step(packets, settings, memory):
+        known = memory.read("known", "src_ip string")
+        new = packets.join(known, "src_ip", "left_anti")
+        memory.write("known", known.unionByName(new.select("src_ip").distinct()))
+        return first_packets(new, settings)
+
+    register_detector("first_packets", first_packets, stream=step)
+    try:
+        found = run_all(spark, path, tmp_path, enabled="first_packets")
+        assert rows_of(found) == rows_of(detect_all(df, enabled="first_packets")) and found.count() == 3
+    finally:
+        unregister_detector("first_packets")
+    register_detector("no_stream", first_packets)
+    try:
+        with pytest.raises(ValueError, match="no streaming form"):
+            run_all(spark, path, tmp_path / "none", enabled="no_stream")
+    finally:
+        unregister_detector("no_stream")
+
+
+def test_late_packets_of_a_stream_are_counted(spark, tmp_path):
+    """Held back, taken in the order of time, dropped when too late: for all detectors of a stream."""
+    rows = [packet(1000 + i / 10) for i in range(4)] + [packet(990.0)] + [packet(1003.0), packet(995.5), packet(1002.9)] + [packet(2000.0)]
+    df = packets_df(spark, rows)
+    path = str(tmp_path / "packets")
+    write_files(df, path, [4, 5, 8])
+    found = run_all(spark, path, tmp_path / "out", enabled=["dos"], lateness_s=5)
+    # 990 is older than 1000.3 - 5, 995.5 is not older than that.
+    in_time = [r for k, r in enumerate(rows) if k not in (4, 8)]
+    expected = detect_syn_flood(packets_df(spark, sorted(in_time, key=lambda r: r["ts"])), 2, 3, 5)
+    assert [(r.ts_us, r.observed) for r in found.orderBy("ts_us").collect()] == [(r.ts_us, r.observed) for r in expected.orderBy("ts_us").collect()]
+    assert stream_summary(spark, f"{tmp_path}/out/state").first() == (9, found.count(), 1)
+
+
+def test_long_whitelists_of_a_stream_are_joined(spark, source, tmp_path):
+    df, path = source
+    entries = [f"172.16.{i // 250}.{i % 250}" for i in range(2500)] + ["10.0.0.0/24", "2001:db8::/32"]
+    odd = packets_df(spark, [packet(k, src_ip=s) for k, s in enumerate(["10.0.0.7", "10.0.1.7", "172.16.3.3", "172.17.3.3", "2001:db8::1", "x", None])])
+    folder = str(tmp_path / "odd")
+    write_files(odd, folder, [3])
+    kept = exclude_whitelisted(load_packets(spark, folder, streaming=True), entries)
+    query = kept.select("seq").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True)
+    query.start(f"{tmp_path}/kept").awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [1, 3, 5, 6]
+    assert sorted(r.seq for r in exclude_whitelisted(odd, entries).collect()) == [1, 3, 5, 6]
+
+
 def test_streams_need_arrival_numbers(spark, source):
     _, path = source
     with pytest.raises(ValueError, match="not keyed"):

@@ -59,29 +59,31 @@ def detect_port_scan(
     window = window_us(window_s)
     eligible = port_scan_eligible(timed(packets)).select("src_ip", "dst_port", "ts_us", "seq")
 
-    # The first and the last packet to each port in each slice of the window's length: a combining aggregate.
-    own = slice_start(F.col("ts_us"), window)
-    seen = materialize(
-        eligible.groupBy("src_ip", own.alias("_slice"), "dst_port").agg(
-            F.min(F.struct("ts_us", "seq")).alias("_first"), F.max("ts_us").alias("_last"), F.count(F.lit(1)).alias("_rows")
-        )
-    )
+    seen = materialize(ports_by_slice(eligible, window))
     per_slice = seen.groupBy("src_ip", "_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_rows"))
     suspects, longest = crowded_keys(per_slice, "src_ip", window, port_threshold)
     watched = eligible.join(suspects, "src_ip", "left_semi")
 
     counted = sliding_distinct_count(watched, "src_ip", "dst_port", window_s, slice_s, longest=longest)
     over = counted.filter(F.col("observed") >= port_threshold).select("src_ip", "ts_us", "seq", "observed")
-    fired = materialize(cooldown(over, "src_ip", cooldown_us(cooldown_s), longest=longest).withColumn("_slice", own))
-    return port_scan_alerts(_with_live_ports(fired, seen, window), port_threshold, window_s)
+    fired = materialize(cooldown(over, "src_ip", cooldown_us(cooldown_s), longest=longest))
+    return port_scan_alerts(with_live_ports(fired, seen, window), port_threshold, window_s)
+
+
+def ports_by_slice(rows: DataFrame, window: int) -> DataFrame:
+    """The first and the last packet to each port in each slice of the window's length, and their number: a combining aggregate."""
+    own = slice_start(F.col("ts_us"), window)
+    first, last = F.min(F.struct("ts_us", "seq")).alias("_first"), F.max("ts_us").alias("_last")
+    return rows.groupBy("src_ip", own.alias("_slice"), "dst_port").agg(first, last, F.count(F.lit(1)).alias("_rows"))
 
 
-def _with_live_ports(fired: DataFrame, seen: DataFrame, window: int) -> DataFrame:
-    """``fired`` (with its ``_slice``) and the live ports of each row as ``items``.
+def with_live_ports(fired: DataFrame, seen: DataFrame, window: int) -> DataFrame:
+    """``fired`` and the live ports of each row as ``items``; ``seen`` is ``ports_by_slice``.
 
     These are the ports met early enough in the row's own slice, and those met late enough in the slice before. A slice's ports are put
     in one array (of 65,536 at most) and cut for each alert.
     """
+    fired = fired.withColumn("_slice", slice_start(F.col("ts_us"), window))
     target = F.explode(F.array(F.struct(F.col("_slice").alias("to"), F.lit(True).alias("own")), F.struct((F.col("_slice") + F.lit(window)).alias("to"), F.lit(False).alias("own"))))
     sent = seen.select("src_ip", "dst_port", "_first", "_last", target.alias("_t"))
     sent = sent.select("src_ip", F.col("_t.to").alias("_slice"), F.col("_t.own").alias("_own"), "dst_port", "_first", "_last")

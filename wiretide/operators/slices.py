@@ -58,7 +58,7 @@ def cut(rows: DataFrame, keys: list[str], at: str, length: int, most: int) -> Da
     time = F.col(at)
     broad = rows.withColumn(_BROAD, slice_start(time, length))
     counts = materialize(broad.groupBy(*keys, _BROAD).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most))
-    step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(length) * F.lit(most) / (F.col("_n") * 8)).cast("bigint"))
+    step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(float(length) * most / 8) / F.col("_n")).cast("bigint"))
     todo = counts.select(*keys, _BROAD, step.alias(_STEP))
     settled = None
     while True:
@@ -66,7 +66,7 @@ def cut(rows: DataFrame, keys: list[str], at: str, length: int, most: int) -> Da
         worst = pieces.groupBy(*keys, _BROAD).agg(F.max("_n").alias("_max"))
         again = worst.filter(F.col("_max") > most).select(*keys, _BROAD, "_max")
         finer = pieces.filter(F.col(_STEP) > 1).select(*keys, _BROAD, _STEP).distinct().join(again, [*keys, _BROAD])
-        shorter = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col(_STEP) * most / (F.col("_max") * 4)).cast("bigint"))
+        shorter = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col(_STEP) * (most / 4) / F.col("_max")).cast("bigint"))
         finer = materialize(finer.select(*keys, _BROAD, shorter.alias(_STEP)))
         kept = pieces.join(finer.select(*keys, _BROAD), [*keys, _BROAD], "left_anti")
         settled = kept if settled is None else settled.unionByName(kept)

@@ -92,10 +92,12 @@ def sliding_count(
     slice_s: float | None = None,
     out: str = "observed",
     longest: int | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Adds ``out``: the key's rows in ``[ts_us - W, ts_us]`` that arrived up to this one.
 
-    ``slice_s`` sets one slice length for all keys; ``longest`` is a bound of any key's rows, where one is known.
+    ``slice_s`` sets one slice length for all keys; ``longest`` is a bound of any key's rows, where one is known;
+    ``most`` is what a slice should hold at most.
     """
     keys, window = _keys(key), window_us(window_s)
     length = slice_length(window, slice_s)
@@ -103,7 +105,7 @@ def sliding_count(
         if window <= length:
             return _count_with_halo(df, keys, window, length, out)
         return _count_with_carry(_changes(df, window).withColumn(_SLICE, slice_start(F.col("_at"), length)), keys, out)
-    most = timing.SLICE_ROWS
+    most = most or timing.SLICE_ROWS
     dense = dense_keys(df, keys, length, most, longest)
     if dense is None:
         return _count_with_halo(df, keys, window, length, out)
@@ -130,11 +132,12 @@ def sliding_distinct_count(
     slice_s: float | None = None,
     out: str = "observed",
     longest: int | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Adds ``out``: distinct values of the key whose latest arrival lies in ``[ts_us - W, ts_us]``.
 
     A value comes alive when its previous occurrence has already expired and
-    goes when no later occurrence keeps it alive. ``slice_s`` and ``longest`` as for ``sliding_count``.
+    goes when no later occurrence keeps it alive. ``slice_s``, ``longest`` and ``most`` as for ``sliding_count``.
     """
     keys, window = _keys(key), window_us(window_s)
     length = slice_length(window, slice_s)
@@ -145,7 +148,7 @@ def sliding_distinct_count(
             rows = df.withColumn(_SLICE, slice_start(F.col("ts_us"), length))
             laid = _with_live_values(rows, keys, value, window, length + window)
         return _count_live(laid, keys, value, window, out)
-    most = timing.SLICE_ROWS
+    most = most or timing.SLICE_ROWS
     dense = dense_keys(df, keys, length, most, longest)
     if dense is None:
         return _count_live(_with_halo(df, keys, window, length), keys, value, window, out)

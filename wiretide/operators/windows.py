@@ -133,3 +133,14 @@ def top_source_per_window(members: DataFrame, window: str = "window_start", weig
         F.coalesce("_best._ip", F.lit("unknown")).alias("top_ip"),
         F.coalesce("_best._n", F.lit(0).cast("bigint")).alias("top_count"),
     )
+
+
+def aligned_windows(packets: DataFrame, window_s: float, watermark: str | None = None) -> DataFrame:
+    """``window_start, n``: packets per window of the epoch's grid, for tables and, with a ``watermark``, for streams.
+
+    Not what the detector does, whose windows start at the first packet. These need no chain: a stream keeps one number per
+    open window and gives each window once, when the watermark has passed it.
+    """
+    rows = packets.withWatermark("event_time", watermark) if watermark else packets
+    counted = rows.groupBy(F.window("event_time", f"{window_us(window_s)} microseconds")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.unix_micros("window.start").alias("window_start"), "n")

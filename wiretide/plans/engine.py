@@ -44,19 +44,36 @@ _REGISTRY: dict[str, Detector] = {
     ),
 }
 
-_BUILT_IN = dict(_REGISTRY)
+BUILT_IN = dict(_REGISTRY)
+
+# A stream form takes a micro-batch of packets, the settings section and a ``streaming.memory.StreamMemory`` and returns alerts.
+StreamForm = Callable[[DataFrame, Mapping[str, Any], Any], DataFrame]
+_STREAM_FORMS: dict[str, StreamForm] = {}
 
 # All that the built-in detectors use.
 WATCHED_COLUMNS = ["seq", "ts_us", "src_ip", "src_mac", "protocol", "dst_port", "tcp_flags", "is_arp"]
 
 
-def register_detector(name: str, detector: Detector) -> None:
-    """Adds a detector after the existing ones; an existing name is replaced in place."""
+def register_detector(name: str, detector: Detector, stream: StreamForm | None = None) -> None:
+    """Adds a detector after the existing ones; an existing name is replaced in place. ``stream`` is its form for micro-batches."""
     _REGISTRY[name] = detector
+    _STREAM_FORMS.pop(name, None)
+    if stream is not None:
+        _STREAM_FORMS[name] = stream
 
 
 def unregister_detector(name: str) -> None:
     _REGISTRY.pop(name, None)
+    _STREAM_FORMS.pop(name, None)
+
+
+def is_built_in(name: str) -> bool:
+    return name in BUILT_IN and _REGISTRY.get(name) is BUILT_IN[name]
+
+
+def stream_form(name: str) -> StreamForm | None:
+    """The form that a detector was registered with."""
+    return _STREAM_FORMS.get(name)
 
 
 def detector_names() -> list[str]:
@@ -87,7 +104,7 @@ def _no_alerts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ALERT_SCHEMA).withColumn("detector_ordinal", F.lit(0))
 
 
-def _sections(params: Mapping[str, Any] | None) -> dict[str, Any]:
+def all_sections(params: Mapping[str, Any] | None) -> dict[str, Any]:
     """Merged settings; sections of detectors registered by the user pass through."""
     extra = {k: v for k, v in (params or {}).items() if k in _REGISTRY}
     return {**extra, **settings(params)}
@@ -109,12 +126,12 @@ def detect_all(
     Whitelisted packets enter no detector. If only the built-in detectors run, the columns they use are written to the scratch
     folder first, so the packets themselves are read once. The detectors' intermediate jobs are independent and run side by side.
     """
-    sections = _sections(params)
+    sections = all_sections(params)
     names = select_detectors(params, enabled)
     watched = exclude_whitelisted(packets, list(whitelist) or sections["whitelist"])
     if not names:
         return _no_alerts(packets.sparkSession)
-    if all(_REGISTRY[name] is _BUILT_IN.get(name) for name in names):
+    if all(is_built_in(name) for name in names):
         watched = materialize(timed(watched).select(*WATCHED_COLUMNS))
     with ThreadPoolExecutor(max_workers=len(names)) as pool:
         build = inheritable_thread_target(packets.sparkSession)(_build)
@@ -141,7 +158,7 @@ def detect_isolated(
     Each detector runs as its own job and its alerts are written to the scratch
     folder, so a failure is seen here and not when the alerts are read.
     """
-    sections = _sections(params)
+    sections = all_sections(params)
     spark = packets.sparkSession
     watched = exclude_whitelisted(packets, list(whitelist) or sections["whitelist"])
     parts, statuses = [_no_alerts(spark)], []

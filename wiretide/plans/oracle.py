@@ -325,6 +325,19 @@ ORACLE: dict[str, str] = {
     "stream_detect_all": _sql(
         _all(), f"SELECT row_number() OVER (ORDER BY seq, detector_ordinal) AS id, {VIEW} FROM alerts"
     ),
+    "stream_summary": _sql(
+        f"watched AS MATERIALIZED (SELECT * FROM packets WHERE NOT {TRUSTED}),{_all('watched')}",
+        "SELECT (SELECT count(*) FROM packets) AS packets, (SELECT count(*) FROM alerts) AS alerts, 0::BIGINT AS late",
+    ),
+    # The replay has three micro-batches.
+    "stream_fault_isolation": _sql(
+        f"{_port_scan()},{_syn_flood()}",
+        """SELECT event_type, count(*) AS alerts, 3::BIGINT AS failures, 'broken' AS failed_detectors
+           FROM (SELECT event_type FROM scan_alerts UNION ALL SELECT event_type FROM syn_alerts) GROUP BY event_type""",
+    ),
+    "aligned_windows": _sql(
+        "", f"SELECT ts_us - ts_us % {SHORT_WINDOW} AS window_start, count(*) AS n FROM packets GROUP BY 1"
+    ),
     "arrival_numbers": _sql(
         "",
         f"""SELECT ts_us, n, first_seq, first_seq + n - 1 AS last_seq, n AS numbers FROM (

@@ -20,6 +20,7 @@ from ..operators.predicates import arp_eligible, port_scan_eligible, syn_packets
 from ..operators.sliding import sliding_count, sliding_distinct_count
 from ..operators.whitelist import exclude_whitelisted
 from ..operators.windows import (
+    aligned_windows,
     anchored_windows,
     assign_windows,
     rolling_baseline,
@@ -32,7 +33,14 @@ from ..session import STATE_STORE
 from ..sources.events import DETECTOR_SETTINGS, event_frames, event_packets
 from ..sources.frames import capture_filter, decode_frames, split_malformed
 from ..sources.packets import as_packets, load_packets
-from ..streaming.streams import TrafficAnomalyStream, start_alert_sink, start_detect_all, stream_detect
+from ..streaming.streams import (
+    TrafficAnomalyStream,
+    start_alert_sink,
+    start_detect_all,
+    stream_detect,
+    stream_failures,
+    stream_summary,
+)
 from . import store
 from .engine import (
     assign_ids,
@@ -153,7 +161,7 @@ def fault_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-detector status of a run in which one detector fails."""
 
     def broken(packets: DataFrame, _settings) -> DataFrame:
-        return detect_syn_flood(packets.withColumn("seq", F.raise_error(F.lit("broken")).cast("bigint")))
+        return detect_syn_flood(packets.withColumn("ts_us", F.raise_error(F.lit("broken")).cast("bigint")))
 
     register_detector("broken", broken)
     try:
@@ -249,10 +257,18 @@ def _replay(spark: SparkSession, sf_dir: str, detector: str, late: bool = False,
     return _view(store.read_alerts(spark, f"{path}/log"))
 
 
+def _run_stream(spark: SparkSession, sf_dir: str, late: bool = False, **options) -> str:
+    """A replay of all packets through ``start_detect_all``; returns the folder of its ``log`` and ``state``."""
+    path, own = scratch_path(spark), _stream_session(spark)
+    rows = _late_input(own, sf_dir) if late else _stream_input(own, sf_dir)
+    lateness = LATENESS_S if late else None
+    args = (f"{path}/log", f"{path}/checkpoint", f"{path}/state", DETECTOR_SETTINGS)
+    start_detect_all(rows, *args, available_now=True, lateness_s=lateness, **options).awaitTermination()
+    return path
+
+
 def stream_port_scan(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
-    return _replay(
-        spark, sf_dir, "port_scan", late, port_threshold=SCAN["port_threshold"], window_s=SCAN["time_window"], cooldown_s=SCAN["cooldown"]
-    )
+    return _view(store.read_alerts(spark, f"{_run_stream(spark, sf_dir, late, enabled='port_scan')}/log"))
 
 
 def stream_arp_spoof(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
@@ -260,9 +276,7 @@ def stream_arp_spoof(spark: SparkSession, sf_dir: str, late: bool = False) -> Da
 
 
 def stream_syn_flood(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
-    return _replay(
-        spark, sf_dir, "dos", late, syn_threshold=FLOOD["syn_threshold"], window_s=FLOOD["time_window"], cooldown_s=FLOOD["cooldown"]
-    )
+    return _view(store.read_alerts(spark, f"{_run_stream(spark, sf_dir, late, enabled='dos')}/log"))
 
 
 def stream_traffic_anomaly(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
@@ -274,12 +288,37 @@ def stream_traffic_anomaly(spark: SparkSession, sf_dir: str, late: bool = False)
 
 
 def stream_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark)
-    rows = _stream_input(_stream_session(spark), sf_dir)
-    start_detect_all(
-        rows, f"{path}/log", f"{path}/checkpoint", f"{path}/state", DETECTOR_SETTINGS, available_now=True
-    ).awaitTermination()
-    return _log_view(store.read_alerts(spark, f"{path}/log"))
+    return _log_view(store.read_alerts(spark, f"{_run_stream(spark, sf_dir)}/log"))
+
+
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_summary(spark, f"{_run_stream(spark, sf_dir, whitelist=TRUSTED)}/state")
+
+
+def stream_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of a stream in which one detector always fails, and the micro-batches in which it did."""
+
+    def broken(packets: DataFrame, _settings, _memory=None) -> DataFrame:
+        return detect_syn_flood(packets.withColumn("ts_us", F.raise_error(F.lit("broken")).cast("bigint")))
+
+    register_detector("broken", broken, stream=broken)
+    try:
+        path = _run_stream(spark, sf_dir, enabled=["port_scan", "broken", "dos"])
+    finally:
+        unregister_detector("broken")
+    failed = stream_failures(spark, f"{path}/state").agg(F.count(F.lit(1)).alias("failures"), F.max("detector").alias("failed_detectors"))
+    failures, names = failed.first()
+    by_type = store.read_alerts(spark, f"{path}/log").groupBy("event_type").agg(F.count(F.lit(1)).alias("alerts"))
+    return by_type.withColumn("failures", F.lit(failures).cast("bigint")).withColumn("failed_detectors", F.lit(names))
+
+
+def windows_of_the_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned windows of a stream; the packet that moves the watermark past the others is in none that is given."""
+    path, own = scratch_path(spark), _stream_session(spark)
+    counted = aligned_windows(_late_input(own, sf_dir), SHORT_WINDOW_S, f"{LATENESS_S} seconds")
+    sink = counted.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append")
+    sink.trigger(availableNow=True).start(f"{path}/windows").awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{path}/windows")
 
 
 def packets_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,6 +409,9 @@ QUERIES: dict[str, Query] = {
     "stream_syn_flood_late": lambda s, d: stream_syn_flood(s, d, late=True),
     "stream_traffic_anomaly_late": lambda s, d: stream_traffic_anomaly(s, d, late=True),
     "stream_detect_all": stream_detect_all,
+    "stream_summary": stream_totals,
+    "stream_fault_isolation": stream_isolation,
+    "aligned_windows": windows_of_the_grid,
     "packets_in_range": packets_in_range,
     "arrival_numbers": arrival_numbers,
     "unnumbered_port_scan": unnumbered_port_scan,

@@ -52,8 +52,8 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LOG_SCHEMA)
 
 
-def append_alerts(alerts: DataFrame, path: str, batch_id: int | None = None, writer: str | None = None) -> None:
-    """Numbers the alerts after all that were appended before and appends them, partitioned by writer, batch and date.
+def append_alerts(alerts: DataFrame, path: str, batch_id: int | None = None, writer: str | None = None) -> int:
+    """Numbers the alerts after all that were appended before and appends them, partitioned by writer, batch and date; returns their number.
 
     Writing the same ``batch_id`` of the same ``writer`` again replaces just that, with the same ids, so a replayed
     streaming batch leaves no duplicates. Without a ``batch_id`` each call is a writer of its own. A failure between reserving ids and
@@ -67,11 +67,12 @@ def append_alerts(alerts: DataFrame, path: str, batch_id: int | None = None, wri
     alerts = materialize(alerts)
     n = alerts.count()
     if not n:
-        return
+        return 0
     ids = _Ids(alerts.sparkSession, path)
     numbered = assign_ids(alerts, ids.reserve(writer, batch_id, n)).select("id", *ALERT_SCHEMA.names)
     dated = numbered.withColumn("event_date", F.date_add(F.lit("1970-01-01").cast("date"), _utc_day()))
     dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/writer={writer}/batch_id={batch_id}")
+    return n
 
 
 class _Ids:

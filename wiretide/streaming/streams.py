@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..functions.timing import cooldown_us, slice_start, window_us
+from ..functions.timing import cooldown_us, window_us
 from ..operators.detectors import (
     arp_spoof_alerts,
     port_scan_alerts,
-    spike_alerts,
     syn_flood_alerts,
 )
 from ..operators.predicates import arp_eligible, port_scan_eligible, syn_packets
 from ..operators.whitelist import exclude_whitelisted
-from ..operators.windows import anchored_windows, assign_windows, rolling_baseline, window_starts
-from ..plans.engine import detector_names, select_detectors
-from ..plans.params import settings
+from ..plans.engine import WATCHED_COLUMNS, all_sections, detector_names, is_built_in, select_detectors, stream_form
 from ..plans.store import append_alerts, stream_writer
-from ..schema import ALERT_SCHEMA
+from ..schema import ALERT_SCHEMA, PACKET_COLUMNS
 from ..scratch import materialize, scratch_scope
+from .memory import Folder, StreamMemory
 from .processors import FIRED_SCHEMA, ArpSpoofProcessor, PortScanProcessor, SynFloodProcessor
+from .steps import port_scan_step, syn_flood_step
+from .traffic import hold_back, traffic_step
+
+logger = logging.getLogger("wiretide")
 
 KEYED_DETECTORS = ("port_scan", "arp_spoof", "dos")
 
@@ -89,18 +92,8 @@ def _start(stream: DataFrame, write, checkpoint: str, available_now: bool) -> St
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-_CARRIED = "src_ip string, ts_us bigint, seq bigint, weight bigint"
-# Packets of one chunk of arrival numbers are brought into order in one task.
-_ARRIVAL_CHUNK = 1 << 20
-
-
 class TrafficAnomalyStream:
-    """Traffic anomalies over a stream, with the batch operators on each micro-batch.
-
-    The window chain is global, so a keyed stateful operator would send the
-    whole stream through one task. Instead each batch is joined by what the window left open before it holds (per source,
-    the number of packets and the first one) and by the sizes of the last closed windows. That carry is a small table in the
-    state folder; the last two batches' are kept, so a replayed batch starts from the same carry.
+    """Traffic anomalies over a stream, with the batch operators on each micro-batch (see ``traffic``).
 
     Without ``lateness_s`` a late packet counts in the window that is open when it arrives and moves no window. With it, packets are
     held back that long and taken in the order of time; later ones are dropped, and ``late`` counts them.
@@ -118,8 +111,12 @@ class TrafficAnomalyStream:
         lateness_s: float | None = None,
     ) -> None:
         self.path, self.state_path = path, state_path
-        self.window_s, self.baseline_windows = window_s, baseline_windows
-        self.multiplier, self.min_samples = multiplier, min_samples
+        self.settings = {
+            "window_seconds": window_s,
+            "baseline_windows": baseline_windows,
+            "multiplier": multiplier,
+            "min_baseline_samples": min_samples,
+        }
         self.whitelist = list(whitelist)
         self.lateness = None if lateness_s is None else cooldown_us(lateness_s)
 
@@ -133,85 +130,24 @@ class TrafficAnomalyStream:
         return _start(rows, write, checkpoint, available_now)
 
     def late(self, spark: SparkSession, batch_id: int) -> int:
-        """Packets dropped up to this batch, one of the last two."""
-        return self._marks(spark, batch_id)[1]
-
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.state_path}/batch={batch_id}"
-
-    def _marks(self, spark: SparkSession, batch_id: int) -> tuple[int | None, int]:
-        """The time up to which packets were taken, and how many were dropped."""
-        if batch_id < 0:
-            return None, 0
-        return tuple(spark.read.schema("taken_us bigint, late bigint").parquet(f"{self._folder(batch_id)}/marks").first())
+        """Packets dropped up to this batch."""
+        return StreamMemory(spark, self.state_path, batch_id + 1, True).read("marks", "taken_us bigint, late bigint").first().late
 
     def alerts(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """The alerts of one micro-batch (seq, ts_us, src_ip); saves what the next one needs."""
-        spark = batch.sparkSession
-        before, here = self._folder(batch_id - 1), self._folder(batch_id)
-        taken_us, late = self._marks(spark, batch_id - 1)
-        rows = materialize(batch.select("src_ip", "ts_us", "seq", F.lit(1).cast("bigint").alias("weight")))
-        if self.lateness is None:
-            rows = self._by_arrival(rows, taken_us)
-            taken_us = rows.agg(F.greatest(F.max("ts_us"), F.lit(taken_us).cast("bigint"))).first()[0]
-        else:
-            if taken_us is not None:
-                late += rows.filter(F.col("ts_us") < taken_us).count()
-                rows = rows.filter(F.col("ts_us") >= taken_us)
-            newest = rows.agg(F.max("ts_us")).first()[0]
-            if batch_id > 0:
-                rows = spark.read.schema(_CARRIED).parquet(f"{before}/held").unionByName(rows)
-            if newest is not None:
-                taken_us = max(newest - self.lateness, taken_us if taken_us is not None else newest - self.lateness)
-            up_to = F.lit(taken_us if taken_us is not None else 0)
-            rows.filter(F.col("ts_us") >= up_to).write.mode("overwrite").parquet(f"{here}/held")
-            rows = rows.filter(F.col("ts_us") < up_to)
-        history = None
-        if batch_id > 0:
-            rows = spark.read.schema(_CARRIED).parquet(f"{before}/open").unionByName(rows)
-            history = spark.read.schema("window_id bigint, n bigint").parquet(f"{before}/closed")
-        rows = materialize(rows)
-        starts = window_starts(rows, self.window_s)
-        windows = materialize(anchored_windows(rows, self.window_s, starts, "weight"))
-        sizes = windows if history is None else windows.unionByName(history, allowMissingColumns=True)
-        judged = rolling_baseline(sizes, self.baseline_windows).filter(F.col("window_id") >= 0)
-        alerts = materialize(spike_alerts(rows, judged, self.window_s, self.multiplier, self.min_samples, "weight"))
-        self._save(rows, starts, windows, history, batch_id)
-        marks = spark.createDataFrame([(taken_us, late)], "taken_us bigint, late bigint")
-        marks.coalesce(1).write.mode("overwrite").parquet(f"{here}/marks")
-        self._forget(spark, batch_id - 2)
+        memory = StreamMemory(batch.sparkSession, self.state_path, batch_id, self.lateness is not None)
+        if self.lateness is not None:
+            batch = hold_back(batch, self.lateness, memory)
+        alerts = traffic_step(batch, self.settings, memory)
+        memory.finish()
         return alerts
 
-    def _by_arrival(self, rows: DataFrame, taken_us: int | None) -> DataFrame:
-        """Times as they count in the order of arrival: none is before one that came earlier."""
-        chunk = slice_start(F.col("seq"), _ARRIVAL_CHUNK).alias("_chunk")
-        at = Window.partitionBy("_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
-        floors = rows.groupBy(chunk).agg(F.max("ts_us").alias("_max")).withColumn("_floor", F.max("_max").over(earlier))
-        placed = rows.withColumn("_chunk", chunk).join(floors.select("_chunk", "_floor"), "_chunk")
-        raised = F.greatest(F.max("ts_us").over(at), F.col("_floor"), F.lit(taken_us).cast("bigint"))
-        return placed.withColumn("ts_us", raised).drop("_chunk", "_floor")
-
-    def _save(self, rows, starts, windows, history, batch_id: int) -> None:
-        """What the open window holds, and the last closed windows renumbered to end at -1."""
-        here = self._folder(batch_id)
-        open_window = starts.agg(F.max("window_start").alias("window_start"))
-        members = assign_windows(rows, starts, self.window_s).join(F.broadcast(open_window), "window_start")
-        first = F.min(F.struct("ts_us", "seq")).alias("first")
-        carried = members.groupBy("src_ip").agg(first, F.sum("weight").alias("weight"))
-        carried.select("src_ip", "first.ts_us", "first.seq", "weight").write.mode("overwrite").parquet(f"{here}/open")
-        closed = windows.filter(F.col("close_us").isNotNull()).select("window_id", "n")
-        if history is not None:
-            closed = closed.unionByName(history)
-        newest_first = Window.orderBy(F.desc("window_id"))  # over at most ``baseline_windows`` rows
-        last = closed.orderBy(F.desc("window_id")).limit(self.baseline_windows)
-        renumbered = last.select((-F.row_number().over(newest_first)).cast("bigint").alias("window_id"), "n")
-        renumbered.write.mode("overwrite").parquet(f"{here}/closed")
-
-    def _forget(self, spark: SparkSession, batch_id: int) -> None:
-        if batch_id >= 0:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._folder(batch_id))
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+# Steps of the built-in detectors; the bindings of ARP are kept by a stateful operator of the stream.
+_STEPS = {"port_scan": port_scan_step, "dos": syn_flood_step, "traffic_anomaly": traffic_step}
+_TOTALS = "packets bigint, alerts bigint"
+_MARKS = "taken_us bigint, late bigint"
+_FAILURES = "batch_id bigint, detector string, error string"
 
 
 def start_detect_all(
@@ -223,47 +159,80 @@ def start_detect_all(
     enabled: Iterable[str] | str | None = None,
     whitelist: Iterable[str] = (),
     available_now: bool = False,
+    lateness_s: float | None = None,
 ) -> StreamingQuery:
-    """All selected built-in detectors over one stream into one log, as ``detect_all`` on a table.
+    """All selected detectors over one stream into one log, as ``detect_all`` on a table.
 
-    The keyed detectors' alerts and the packets for the traffic windows arrive in the same micro-batch, whose alerts are
-    appended together, numbered by (arrival, detector). Whitelisted packets enter no detector.
+    Each micro-batch goes to every detector in turn, and their alerts are appended together, numbered by (arrival, detector).
+    Whitelisted packets enter no detector. With ``lateness_s`` packets are held back that long and given on in the order of time; later ones are
+    dropped and counted. A detector that fails is logged; the others go on, and it gets the rows again with the next micro-batch.
+    ``stream_summary`` and ``stream_failures`` read what is written beside the state. Own detectors need a stream form
+    (``register_detector``).
     """
     names = select_detectors(params, enabled)
-    unknown = [n for n in names if n not in (*KEYED_DETECTORS, "traffic_anomaly")]
-    if unknown:
-        raise ValueError(f"no streaming form of {unknown}")
-    chosen = settings(params)
-    watched = exclude_whitelisted(packets, list(whitelist) or chosen["whitelist"])
-    keyed = {
-        "port_scan": {"port_threshold": "port_threshold", "window_s": "time_window", "cooldown_s": "cooldown"},
-        "arp_spoof": {"cooldown_s": "cooldown"},
-        "dos": {"syn_threshold": "syn_threshold", "window_s": "time_window", "cooldown_s": "cooldown"},
-    }
+    forms = {n: stream_form(n) or (_STEPS.get(n) if is_built_in(n) else None) for n in names}
+    stateful = "arp_spoof" in names and forms["arp_spoof"] is None and is_built_in("arp_spoof")
+    missing = [n for n in names if forms[n] is None and not (n == "arp_spoof" and stateful)]
+    if missing:
+        raise ValueError(f"no streaming form of {missing}")
+    sections = all_sections(params)
+    entries = list(whitelist) or sections["whitelist"]
+    columns = WATCHED_COLUMNS if all(forms[n] in (None, _STEPS.get(n)) for n in names) else PACKET_COLUMNS
     alert_type = ALERT_SCHEMA.simpleString()
-    row_type = "struct<seq: bigint, ts_us: bigint, src_ip: string>"
-    parts = []
-    for name in names:
-        ordinal = F.lit(detector_names().index(name)).alias("detector_ordinal")
-        if name == "traffic_anomaly":
-            row = F.struct("seq", "ts_us", "src_ip").cast(row_type)
-            parts.append(watched.select(F.lit(None).cast(alert_type).alias("alert"), row.alias("packet"), ordinal))
-            continue
-        found = stream_detect(watched, name, **{k: chosen[name][v] for k, v in keyed[name].items()})
+    row = F.struct(*columns)
+    row_type = packets.select(row.alias("packet")).schema["packet"].dataType.simpleString()
+    parts = [packets.select(F.lit(None).cast(alert_type).alias("alert"), row.cast(row_type).alias("packet"))]
+    if stateful:
+        watermark = None if lateness_s is None else f"{lateness_s} seconds"
+        found = stream_detect(exclude_whitelisted(packets, entries), "arp_spoof", watermark, cooldown_s=sections["arp_spoof"]["cooldown"])
         alert = F.struct(*ALERT_SCHEMA.names).cast(alert_type).alias("alert")
-        parts.append(found.select(alert, F.lit(None).cast(row_type).alias("packet"), ordinal))
-    p = chosen["traffic_anomaly"]
-    traffic = TrafficAnomalyStream(
-        path, state_path, p["window_seconds"], p["baseline_windows"], p["multiplier"], p["min_baseline_samples"]
-    )
+        parts.append(found.select(alert, F.lit(None).cast(row_type).alias("packet")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = materialize(batch)
-        alerts = batch.filter("alert IS NOT NULL").select("alert.*", "detector_ordinal")
-        if "traffic_anomaly" in names:
-            spikes = traffic.alerts(batch.filter("packet IS NOT NULL").select("packet.*"), batch_id)
-            ordinal = F.lit(detector_names().index("traffic_anomaly"))
-            alerts = alerts.unionByName(spikes.withColumn("detector_ordinal", ordinal))
-        append_alerts(alerts, path, batch_id, stream_writer(batch.sparkSession, checkpoint))
+        spark, batch = batch.sparkSession, materialize(batch)
+        ordinal = lambda name: F.lit(detector_names().index(name)).alias("detector_ordinal")
+        found = [batch.filter("alert IS NOT NULL").select("alert.*", ordinal("arp_spoof") if stateful else F.lit(0).alias("detector_ordinal"))]
+        rows = batch.filter("packet IS NOT NULL").select("packet.*")
+        memory = StreamMemory(spark, f"{state_path}/stream", batch_id, lateness_s is not None)
+        arrived = rows.count()
+        rows = exclude_whitelisted(rows, entries)
+        if lateness_s is not None:
+            rows = hold_back(rows, cooldown_us(lateness_s), memory)
+        rows, failures = materialize(rows), []
+        for name in names:
+            if forms[name] is None:
+                continue
+            own = StreamMemory(spark, f"{state_path}/{name}", batch_id, lateness_s is not None)
+            try:
+                alerts = forms[name](own.with_rows_set_aside(rows), sections.get(name, {}), own)
+                found.append(materialize(alerts.select(*ALERT_SCHEMA.names, ordinal(name))))
+                own.finish()
+            except Exception as error:  # any failure of one detector must leave the others running
+                logger.exception("detector %s failed in micro-batch %s", name, batch_id)
+                own.set_aside(rows)
+                failures.append((batch_id, name, f"{type(error).__name__}: {error}"))
+        raised = append_alerts(reduce(DataFrame.unionByName, found), path, batch_id, stream_writer(spark, checkpoint))
+        if failures:
+            table = spark.createDataFrame(failures, _FAILURES).drop("batch_id").coalesce(1)
+            table.write.mode("overwrite").parquet(f"{state_path}/failures/batch={batch_id}")
+        before = memory.read("totals", _TOTALS).first() or (0, 0)
+        memory.write("totals", spark.createDataFrame([(before[0] + arrived, before[1] + raised)], _TOTALS).coalesce(1))
+        memory.finish()
 
     return _start(reduce(DataFrame.unionByName, parts), write, checkpoint, available_now)
+
+
+def stream_summary(spark: SparkSession, state_path: str) -> DataFrame:
+    """One row for a stream of ``start_detect_all``: packets that arrived (whitelisted ones included), alerts raised, packets dropped as late."""
+    memory = StreamMemory(spark, f"{state_path}/stream", 1 << 62, True)
+    packets, alerts = memory.read("totals", _TOTALS).first() or (0, 0)
+    marks = memory.read("marks", _MARKS).first()
+    return spark.createDataFrame([(packets, alerts, marks.late if marks else 0)], "packets bigint, alerts bigint, late bigint")
+
+
+def stream_failures(spark: SparkSession, state_path: str) -> DataFrame:
+    """The micro-batches in which a detector failed: batch_id, detector, error."""
+    if not Folder(spark, f"{state_path}/failures").batches():
+        return spark.createDataFrame([], _FAILURES)
+    found = spark.read.schema("detector string, error string, batch bigint").parquet(f"{state_path}/failures")
+    return found.select(F.col("batch").alias("batch_id"), "detector", "error")
