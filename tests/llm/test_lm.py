@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wiretide.llm import lm_scoring
 from wiretide.llm.common import id_remainder
-from wiretide.llm.lm_scoring import END, STRENGTH, Chunk, ChunkBuilder, Model, lm_scores, merge_bucket, sample_bucket, seat
+from wiretide.llm.lm_scoring import END, STRENGTH, Chunk, ChunkBuilder, Model, far_ratio, lm_scores, merge_bucket, sampled, seat, stirling_ratios
 
 
 def tokens(text):
@@ -57,29 +57,133 @@ def test_empty_and_untrained(spark):
     assert all(r.score == 0 and r.base_score == 0 and r.n_known == 0 and r.held_out for r in rows)
 
 
-def test_shares_sum_to_one():
-    """One chunk and one bucket by hand: in each restaurant, what is seated and what escapes add up."""
-    rng = random.Random(1)
+def one_bucket(texts, train, n_contexts=None):
+    """A corpus as one chunk and one bucket: the chunk, the bucket's row, and the model with its first totals."""
     builder = ChunkBuilder(0)
-    for k in range(60):
-        builder.add(k, " ".join(rng.choices([f"w{j}" for j in range(12)], range(12, 0, -1), k=15)).encode(), k % 5 > 0)
+    for k, text in enumerate(texts):
+        builder.add(k, text.encode(), train(k))
     row = builder.finish()
-    model = Model(np.sort(np.array(row["top_hash"][:6], np.int64)), 1)
+    own = np.array(row["top_hash"][:n_contexts], np.int64) if n_contexts else np.frombuffer(row["hashes"], np.int64)
+    model = Model(np.unique(own), 1)
     chunk, n = Chunk(row, model), model.n_contexts
     merged = merge_bucket(list(chunk.requests(0, model)), n)
     sums = np.array(merged["sums"], float)
     model.tables, model.customers, model.tokens, model.words = sums[:n], sums[n : 2 * n], int(sums[2 * n]), int(sums[2 * n + 1])
     model.parent_customers, model.parent_tables = model.tables.sum(), float(model.words)
-    reply, last = sample_bucket(merged, model, 5, 2)
-    tables, customers0, tables0 = np.array(last["sums"][:n]), *last["sums"][n:]
-    seated, parent = np.frombuffer(reply["seated"], np.float32), np.frombuffer(reply["parent"], np.float32)
-    by_context = np.bincount(chunk.pair_context, seated, n)
-    assert by_context == pytest.approx(model.customers - model.discount * tables, abs=1e-3)
-    assert parent.sum() == pytest.approx(customers0 - model.parent_discount * tables0, rel=1e-5)
-    assert customers0 == pytest.approx(tables.sum()) and model.tokens == model.customers.sum() == 48 * 16
-    # So all known words and one unknown word have the parent's whole mass.
-    escape = (STRENGTH + model.parent_discount * tables0) * model.uniform * (model.words + 1)
-    assert (parent.sum() + escape) / (STRENGTH + customers0) == pytest.approx(1, rel=1e-5)
+    return chunk, merged, model
+
+
+def test_shares_sum_to_one():
+    """In each sample, what is seated and what escapes add up to one in each restaurant."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices([f"w{j}" for j in range(12)], range(12, 0, -1), k=15)) for _ in range(60)]
+    # Held-out texts ask for every word after every word.
+    texts += [" ".join(f"w{a} w{b}" for b in range(12)) for a in range(12)] + [f"w{a}" for a in range(12)] + ["w0 new", "new w0"]
+    chunk, merged, model = one_bucket(texts, lambda k: k < 60 and k % 5 > 0, n_contexts=6)
+    seating, last = sampled(merged, model, 5, 2)
+    assert model.tokens == model.customers.sum() == 48 * 16 and last.parent_customers == last.tables.sum()
+    chances = seating.chances(last)
+    totals = np.bincount(seating.context, chances, model.n_contexts)
+    asked = np.bincount(seating.context, minlength=model.n_contexts)
+    # The twelve words, the end and one unknown word.
+    full = asked == 14
+    assert full.sum() >= 1 and totals[full] == pytest.approx(1, abs=1e-9)
+    assert (totals < 1 + 1e-9).all() and (chances > 0).all()
+
+
+class PlainRestaurants:
+    """The same model with every customer at a table of its own record, taken out and seated again one at a time."""
+
+    def __init__(self, pairs, words, discount, parent_discount, seed):
+        self.rng, self.words, self.d, self.d0 = random.Random(seed), words, discount, parent_discount
+        self.tables = collections.defaultdict(list)  # (context, word): customers of each table
+        self.parent = collections.defaultdict(list)  # word: customers of each table of the parent
+        self.t, self.c = collections.Counter(), collections.Counter()
+        self.t0 = self.c0 = 0
+        self.pairs = list(pairs)
+        for context, word in self.pairs:
+            self.sit(context, word)
+
+    def below(self, word):
+        seated = sum(self.parent[word]) - self.d0 * len(self.parent[word])
+        return (seated + (STRENGTH + self.d0 * self.t0) / (self.words + 1)) / (STRENGTH + self.c0)
+
+    def chance(self, context, word):
+        at = self.tables[context, word]
+        escape = (STRENGTH + self.d * self.t[context]) * self.below(word)
+        return (sum(at) - self.d * len(at) + escape) / (STRENGTH + self.c[context])
+
+    def choose(self, tables, discount, opening):
+        x = self.rng.random() * (sum(tables) - discount * len(tables) + opening)
+        for k, n in enumerate(tables):
+            x -= n - discount
+            if x < 0:
+                return k
+        return len(tables)
+
+    def sit(self, context, word):
+        at = self.tables[context, word]
+        k = self.choose(at, self.d, (STRENGTH + self.d * self.t[context]) * self.below(word))
+        self.c[context] += 1
+        if k < len(at):
+            at[k] += 1
+            return
+        at.append(1)
+        self.t[context] += 1
+        up = self.parent[word]
+        k = self.choose(up, self.d0, (STRENGTH + self.d0 * self.t0) / (self.words + 1))
+        self.c0 += 1
+        if k < len(up):
+            up[k] += 1
+        else:
+            up.append(1)
+            self.t0 += 1
+
+    def leave(self, context, word):
+        at = self.tables[context, word]
+        k = self.rng.choices(range(len(at)), at)[0]
+        at[k] -= 1
+        self.c[context] -= 1
+        if at[k]:
+            return
+        del at[k]
+        self.t[context] -= 1
+        up = self.parent[word]
+        k = self.rng.choices(range(len(up)), up)[0]
+        up[k] -= 1
+        self.c0 -= 1
+        if not up[k]:
+            del up[k]
+            self.t0 -= 1
+
+    def sweep(self):
+        for context, word in self.pairs:
+            self.leave(context, word)
+            self.sit(context, word)
+
+
+def test_probabilities_against_a_plain_sampler():
+    """Mean probabilities of all pairs of a small corpus, and its score, against the sampler that seats one customer at a time."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{j}" for j in range(9)], [40, 20, 10, 8, 6, 4, 2, 1, 1], k=12)) for _ in range(40)]
+    chunk, merged, model = one_bucket(texts, lambda k: k % 7 != 2)
+    model.discount, model.parent_discount = 0.6, 0.4
+    seating, last = sampled(merged, model, 440, 40)
+    found = seating.chances(last)
+    train = np.repeat(chunk.train, chunk.lengths)
+    pairs = [(int(chunk.pair_context[p]), int(chunk.pair_word[p])) for p in chunk.token_pair[train]]
+    plain = PlainRestaurants(pairs, model.words, 0.6, 0.4, 1)
+    mean, tables, kept = np.zeros(len(found)), 0, 300
+    for number in range(kept + 40):
+        plain.sweep()
+        if number >= 40:
+            mean += [plain.chance(int(c), int(w)) / kept for c, w in zip(chunk.pair_context, chunk.pair_word, strict=True)]
+            tables += plain.c0 / kept
+    sampled_tables = seating.kept["kept_totals"].reshape(-1, 2)[:, 0].mean()
+    assert sampled_tables == pytest.approx(tables, rel=0.03)
+    scores = [np.log10(x)[chunk.token_pair].sum() for x in (found, mean)]
+    assert scores[0] == pytest.approx(scores[1], rel=0.002)
+    assert found == pytest.approx(mean, rel=0.08)
 
 
 def test_better_than_the_base_on_held_out_texts(spark):
@@ -107,21 +211,39 @@ def test_better_than_the_base_on_held_out_texts(spark):
     assert [r.score for r in found] == pytest.approx([whole[r.doc_id] for r in found], rel=0.02)
 
 
-def test_seating_against_one_by_one():
-    """Mean numbers of tables against a plain restaurant in which each customer is seated on its own."""
-    rng, plain = np.random.default_rng(1), random.Random(1)
-    sizes = np.array([300, 40, 5, 1])
-    strength, per_table, discount = np.full(4, 2.0), np.full(4, 0.6), 0.5
-    got = np.mean([seat(sizes, strength, per_table, discount, rng) for _ in range(400)], axis=0)
-    for k, n in enumerate(sizes):
-        total = 0
-        for _ in range(400):
-            tables = 1
-            for seated in range(1, n):
-                opening = 2.0 + 0.6 * tables
-                tables += plain.random() < opening / (opening + seated - discount * tables)
-            total += tables
-        assert got[k] == pytest.approx(total / 400, rel=0.08)
+def mean_tables(customers, strength, per_table, discount):
+    """Written out: the weights of all numbers of tables."""
+    weights = [0.0, 1.0]
+    for c in range(1, customers):
+        stay = [(c - discount * t) * w for t, w in enumerate(weights)] + [0.0]
+        weights = [a + b for a, b in zip(stay, [0.0, *weights], strict=True)]
+        top = max(weights)
+        weights = [w / top for w in weights]
+    for t in range(2, customers + 1):
+        weights[t] *= math.prod(strength + per_table * j for j in range(1, t))
+    return sum(t * w for t, w in enumerate(weights)) / sum(weights)
+
+
+@pytest.mark.parametrize(
+    "law", [(60, 5.0, 0.0, 0.8), (60, 2.0, 0.6, 0.5), (60, 0.05, 0.0, 0.7), (40, 5.0, 0.1, 0.3), (3, 1.0, 0.2, 0.5), (1, 1.0, 0.2, 0.5)]
+)
+def test_seating_has_the_law_of_its_customers(monkeypatch, law):
+    customers, strength, per_table, discount = law
+    n, rng = 20_000, np.random.default_rng(2)
+    draw = lambda: seat(np.full(n, customers), np.full(n, strength), np.full(n, per_table), discount, rng).mean()
+    expected = mean_tables(*law)
+    assert draw() == pytest.approx(expected, rel=0.01)
+    # By the saddle point, as for dishes of many customers.
+    monkeypatch.setattr(lm_scoring, "EXACT", 30)
+    assert draw() == pytest.approx(expected, rel=0.05)
+
+
+def test_ratios_of_many_customers():
+    for discount, error in ((0.3, 0.05), (0.5, 0.002), (0.8, 0.01)):
+        exact = stirling_ratios(discount, np.array([900]))[900]
+        t = np.arange(1, 900)
+        about = far_ratio(np.full(899, 900.0), t.astype(float), discount)
+        assert (np.abs(about / exact - 1)[:800] < error).all()
 
 
 def test_rare_words_are_contexts(spark):
@@ -155,18 +277,16 @@ def test_sweeps_see_all_buckets(spark, monkeypatch):
 
     docs = documents(spark, [(k, text(k), "en", "s") for k in range(600)])
     train = id_remainder(F.col("doc_id"), 7) != 2
-    written, plain = [], lm_scoring._written
-    monkeypatch.setattr(lm_scoring, "_written", lambda df: written.append(plain(df)) or written[-1])
     # The totals over all buckets that each sweep after the first starts from.
     seen, by_position = [], lm_scoring._by_position
     monkeypatch.setattr(lm_scoring, "_by_position", lambda df: seen.append(by_position(df)) or seen[-1])
 
     def tables(chunk_bytes):
         lm_scores(docs, train, chunk_bytes=chunk_bytes)
-        return sum(r.sums[-2] for r in written[-1].where("chunk IS NULL").collect())
+        return seen[-1][0]
 
     one = tables(1 << 24)
     many = tables(8_000)
     assert many == pytest.approx(one, rel=0.003)
-    after_sweeps = [x[0] for x in seen[-lm_scoring.SWEEPS : -1]]
+    after_sweeps = [x[0] for x in seen[-lm_scoring.SWEEPS :]]
     assert len(seen) == 2 * (lm_scoring.SWEEPS + 1) and all(x == pytest.approx(many, rel=0.02) for x in after_sweeps)
