@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from helpers import awkward, documents
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from wiretide.llm.common import id_remainder
-from wiretide.llm.lang_id import UNDETERMINED, Scorer, fit_languages, fit_model, identify, keep_identified
+from wiretide.llm import lang_id
+from wiretide.llm.lang_id import BUCKETS, UNDETERMINED, Scorer, fit_languages, fit_model, identify, keep_identified, letter_words
 from wiretide.llm.quality import DEPTH, fit_quality, fit_trees, group_matrix, keep_good, score_quality, statistics
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -129,8 +132,67 @@ def test_unlike_texts_are_rejected():
     draw = lambda p, n: ["".join(rng.choices(p, k=3)) for _ in range(n)]
     langs = ["aa", "bb"] * 150
     model = fit_model([draw(pieces[lang], 40) for lang in langs], langs)
-    assert not Scorer(model).predict(" ".join(draw(pieces["aa"], 10)))[2]
-    assert 0 < model.threshold <= 0.5
+    scorer = Scorer(model)
+    for n in (2, 5, 40):
+        kept = [not scorer.predict(" ".join(draw(pieces[lang], n)))[2] for lang in langs]
+        assert np.mean(kept) > 0.98
+    assert all(scorer.predict(" ".join(draw(["zo", "xu", "qy"], 30)))[2] for _ in range(50))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_languages_that_were_not_learnt_are_rejected():
+    """Each language left out in turn: its whole texts go, whole texts of the others stay, random letters go."""
+    rows = duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.1/documents.parquet' WHERE lang IS NOT NULL AND text IS NOT NULL ORDER BY doc_id").fetchall()
+    rng = random.Random(3)
+    by_lang = {}
+    for _, text, lang in rows:
+        words = letter_words(text)
+        if len(words) >= 20 and len(by_lang.setdefault(lang, [])) < 520:
+            by_lang[lang].append((text, rng.sample(words, min(64, len(words)))))
+    for out in by_lang:
+        known = [lang for lang in by_lang if lang != out]
+        model = fit_model([w for lang in known for _, w in by_lang[lang][:400]], [lang for lang in known for _ in by_lang[lang][:400]])
+        scorer = Scorer(model)
+        rejected = lambda texts: np.mean([scorer.predict(t)[2] for t in texts])
+        assert rejected([t for t, _ in by_lang[out][:150]]) > 0.8
+        assert rejected([t for lang in known for t, _ in by_lang[lang][400:]]) < 0.02
+        noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60)) for _ in range(100)]
+        assert rejected(noise) > 0.95
+
+
+def test_a_text_is_the_mean_of_its_features():
+    """Logits, probability and familiarity written out feature by feature."""
+    rng = random.Random(4)
+    letters = {"aa": "abcde", "bb": "cdefgé"}
+    draw = lambda lang, n: ["".join(rng.choices(letters[lang], k=rng.randint(1, 9))) for _ in range(n)]
+    langs = ["aa", "bb"] * 60
+    model = fit_model([draw(lang, 30) for lang in langs], langs)
+    for lang in langs[:10]:
+        words = draw(lang, 25) + ["é" * 60]
+        features = []
+        for w in words:
+            marked = f"<{w}>".encode()
+            grams = [marked] + [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
+            features += [zlib.crc32(g) % BUCKETS for g in grams]
+        logits = [sum(model.table[f][k] for f in features) / len(features) + model.bias[k] for k in range(2)]
+        e = [math.exp(x / model.temperature) for x in logits]
+        best = max(range(2), key=lambda k: e[k])
+        told, score, rejected = Scorer(model).predict(" ".join(words).upper())
+        assert (told, score) == (model.languages[best], pytest.approx(e[best] / sum(e)))
+        familiarity = sum(model.familiar[f][best] for f in features) / len(features)
+        assert rejected == (familiarity < model.threshold - model.short / math.sqrt(len(features)))
+
+
+def test_many_languages_and_long_words(spark, monkeypatch):
+    """More languages than are learnt: the most frequent are, and nothing fails. A long run of letters is drawn from anywhere in it."""
+    monkeypatch.setattr("wiretide.llm.lang_id.FIT_LANGUAGES", 5)
+    rows = [(k, f"word{'abcdefghij'[k % 10]} text", f"l{k % 10 if k < 100 else k % 3}", "s") for k in range(200)]
+    model = fit_languages(documents(spark, rows), F.lit(True))
+    assert model.languages == ["l0", "l1", "l2", "l3", "l4"]
+    rng = np.random.default_rng(1)
+    word = "".join(chr(0x4E00 + k) for k in range(300))
+    starts = {word.index(lang_id._stretch(word, rng)) for _ in range(60)}
+    assert len(starts) > 30 and max(starts) > 200 and lang_id._stretch("short", rng) == "short"
 
 
 def test_documents_helper(spark):
