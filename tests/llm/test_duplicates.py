@@ -199,3 +199,12 @@ def test_one_row_of_each_group(spark):
     # The texts of one id are one group: (5, b) doesn't stay beside (1, a), whose text id 5 has too.
     left = one_of_each_group(documents(spark, [(k, t, "en", "s") for k, t in [(1, a), (5, a), (5, b), (9, b)]])).collect()
     assert [(r.doc_id, r.text) for r in left] == [(1, a)]
+
+
+def test_one_of_each_group_keeps_columns_of_any_name(spark):
+    """Input columns named like those made inside come back as they were."""
+    rows = [(k, sentence(random.Random(k // 3), 30), 7, "x", 3.5, k) for k in range(12)] + [(None, None, 8, "y", 0.5, 99), (50, "", 9, "z", 1.5, 98)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 long, class string, id double, group long").withColumnRenamed("group", "_h1")
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[6], rows[9], rows[13]], key=str)

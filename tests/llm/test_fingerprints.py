@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import pytest
 import xxhash
 from helpers import awkward, documents, sentence, shingles, words
 from pyspark.sql import functions as F
@@ -43,6 +44,15 @@ def likeness(a, b):
     return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
 
 
+def number(own):
+    return float(len(own)) if len(own) < K else (K - 1) / ((own[-1] + 2.0**63) / 2.0**64)
+
+
+def kept_share(a, b):
+    both = sorted(set(a) | set(b))[:K]
+    return min(1.0, likeness(a, b) * number(both) / number(a)) if a else 1.0
+
+
 def check(docs):
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, (r.text or "").encode()))
     expected = []
@@ -52,8 +62,10 @@ def check(docs):
         edited = text[: len(text) - cut] + after[:cut]
         a, b, c = (hashes(t)[:K] for t in (text, edited, after))
         sha = hashlib.sha256(edited.encode()).hexdigest()
-        expected.append((r.doc_id, len(text), sha, written(a), written(b), likeness(a, b), likeness(a, c)))
-    assert sorted(map(tuple, fingerprint_documents(docs).collect()), key=repr) == sorted(expected, key=repr)
+        expected.append((r.doc_id, len(text), sha, written(a), written(b), likeness(a, b), likeness(a, c), number(a), kept_share(a, b)))
+    found, expected = sorted(map(tuple, fingerprint_documents(docs).collect()), key=repr), sorted(expected, key=repr)
+    assert [r[:7] for r in found] == [r[:7] for r in expected]
+    assert [x for r in found for x in r[7:]] == pytest.approx([x for r in expected for x in r[7:]])
 
 
 def test_awkward_rows(spark):

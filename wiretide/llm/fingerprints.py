@@ -90,7 +90,7 @@ def with_next(base: DataFrame, prepare: Callable[[DataFrame], DataFrame], id_col
 
     ``prepare`` makes the ``lead`` columns row by row.
     After the last row comes the first. Rows are cut into parts of the order at estimated quantiles, so rows are shuffled once and
-    no task sorts more than a part; only each part's first row goes beyond it. Null ids come first; equal ids
+    no task sorts more than a part; a copy of each part's first row is put behind the part before. Null ids come first; equal ids
     are ordered by the first of the ``lead`` columns.
     """
     spark = base.sparkSession
@@ -99,27 +99,29 @@ def with_next(base: DataFrame, prepare: Callable[[DataFrame], DataFrame], id_col
     cuts = base.agg(F.percentile_approx(id_col, [i / n_parts for i in range(1, n_parts)], 20 * n_parts)).first()[0] or []
     part = F.when(F.col(id_col).isNull(), 0).otherwise(order_part(F.col(id_col), sorted(set(cuts))))
     value = F.struct(*lead)
-    placed = prepare(base).withColumn("part", part)
-    inside = Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), lead[0])
-    led = placed.withColumn("inside", F.lead(value).over(inside))
-    # First ids, then their rows: one row per part, but for equal ids.
+    placed = prepare(base).withColumn("part", part).withColumn("copy", F.lit(False))
+    # The first id of each part and the part before it in the ring: a row of numbers for each part.
     rank = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("value"))
     first_ids = base.select(rank.alias("f"), part.alias("part")).groupBy("part").agg(F.min("f").alias("f"))
-    first_ids = first_ids.select("part", F.col("f.value").alias("first_id"))
-    same = base[id_col].eqNullSafe(first_ids["first_id"])
-    firsts = prepare(base.join(F.broadcast(first_ids), same)).groupBy("part").agg(F.min_by(value, lead[0]).alias("first"))
     ring = Window.orderBy("part")
-    overall = F.first("first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ends = firsts.withColumn("after", F.coalesce(F.lead("first").over(ring), overall)).select("part", "after")
-    joined = led.join(F.broadcast(ends), "part").withColumn("next", F.coalesce("inside", "after"))
-    return joined.drop("part", "inside", "after")
+    last = F.max("part").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.coalesce(F.lag("part").over(ring), last)
+    first_ids = first_ids.select(before.alias("before"), F.col("f.value").alias("first_id"))
+    same = base[id_col].eqNullSafe(first_ids["first_id"])
+    heads = prepare(base.join(F.broadcast(first_ids), same)).groupBy("before").agg(F.min_by(value, lead[0]).alias("v"))
+    copies = heads.select(F.col("before").alias("part"), F.lit(True).alias("copy"), "v.*")
+    inside = Window.partitionBy("part").orderBy("copy", F.col(id_col).asc_nulls_first(), lead[0])
+    led = placed.unionByName(copies, allowMissingColumns=True).withColumn("next", F.lead(value).over(inside))
+    return led.where("NOT copy").drop("part", "copy")
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
-    """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, kept_share.
+
+    ``n_shingles`` estimates the number of the text's distinct shingles, ``kept_share`` the share of them that the edited text has too.
 
     The edited text has the last quarter of the characters replaced by as many first ones of the next document, in ascending
-    order of doc_id. Null texts are empty; the fingerprint of an empty text is the empty string, and two of them are alike (1). A table of
+    order of doc_id. Null texts are empty, and texts are taken whole, however long; the fingerprint of an empty text is the empty string, and two of them are alike (1). A table of
     one row follows itself. Repeated rows follow each other; other columns are ignored; an empty table gives an empty table.
     """
     text = F.coalesce("text", F.lit(""))
@@ -144,4 +146,6 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
         as_text(F.col("other")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("other"), k).alias("near_edited"),
         resemblance(F.col("own"), F.col("after"), k).alias("near_next"),
+        distinct_shingles(F.col("own"), k).alias("n_shingles"),
+        containment(F.col("own"), F.col("other"), k).alias("kept_share"),
     )

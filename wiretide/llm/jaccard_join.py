@@ -197,29 +197,33 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
-    """One row of each group of ``docs``, with the columns of ``docs``.
+    """One row of each group of ``docs``, with the columns of ``docs``, whatever their names.
 
     Groups are those of texts: rows of one text are one class, linked texts are one group, and so are the texts of one id. Rows
-    with a null id are classes by their texts like the others. A group keeps a row of the text with its smallest id (ids that
-    aren't null first).
+    with a null id are classes by their texts like the others. Null and empty texts are one text, and texts without words are alike. A group
+    keeps a row of the text with its smallest id (ids that aren't null first); of repeated rows one stays. Texts are compared whole, however
+    long; an empty table gives an empty table.
     """
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    hashed = docs.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(1), text))
+    # Input columns go by their place, so that none can be taken for a column made here.
+    own = docs.toDF(*[f"in_{i}" for i in range(len(docs.columns))])
+    at = {c: F.col(f"in_{i}") for i, c in enumerate(docs.columns)}
+    text = F.coalesce(at["text"], F.lit("")).cast("binary")
+    doc_id = at["doc_id"].cast("long")
+    hashed = own.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text), "id": doc_id, "t": text.cast("string")})
     # Each text once, under a number of its own, so that no two texts are taken for one document.
-    numbered = materialize(hashed.withColumn("_class", F.col("_h1").bitwiseXOR(F.col("_h2"))))
-    doc_id = F.col("doc_id").cast("long")
-    classes = materialize(numbered.groupBy("_h1", "_h2", "_class").agg(F.min(doc_id).alias("_id")))
-    texts = numbered.select("_h1", "_h2", F.col("_class").alias("doc_id"), "text").dropDuplicates(["_h1", "_h2"]).select("doc_id", "text")
+    numbered = materialize(hashed.withColumn("class", F.col("h1").bitwiseXOR(F.col("h2"))))
+    classes = materialize(numbered.groupBy("h1", "h2", "class").agg(F.min("id").alias("id")))
+    texts = numbered.select("h1", "h2", F.col("class").alias("doc_id"), F.col("t").alias("text")).dropDuplicates(["h1", "h2"]).select("doc_id", "text")
     alike = jaccard_groups(texts, **settings).select(F.col("doc_id").alias("a"), F.col("group_id").alias("b"))
-    ids = numbered.where(doc_id.isNotNull()).select("_class", doc_id.alias("_id")).distinct()
-    least = ids.groupBy("_id").agg(F.min("_class").alias("b"), F.count("*").alias("_n")).where("_n > 1")
-    same_id = ids.join(least, "_id").select(F.col("_class").alias("a"), "b")
+    ids = numbered.where("id IS NOT NULL").select("class", "id").distinct()
+    least = ids.groupBy("id").agg(F.min("class").alias("b"), F.count("*").alias("n")).where("n > 1")
+    same_id = ids.join(least, "id").select(F.col("class").alias("a"), "b")
     groups = connected_components(alike.union(same_id))
-    grouped = classes.join(groups, F.col("_class") == F.col("node"), "left")
-    grouped = grouped.withColumn("_group", F.coalesce("component", "_class"))
+    grouped = classes.join(groups, F.col("class") == F.col("node"), "left")
+    grouped = grouped.withColumn("group", F.coalesce("component", "class"))
     # The class with the smallest id; the number decides among classes without an id.
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_class"), F.col("_h1"), F.col("_h2"))
-    chosen = grouped.groupBy("_group").agg(F.min(order).alias("_first")).select("_first._h1", "_first._h2", F.col("_first._id").alias("_id"))
-    at = (numbered["_h1"] == chosen["_h1"]) & (numbered["_h2"] == chosen["_h2"]) & doc_id.eqNullSafe(chosen["_id"])
-    rows = numbered.join(chosen, at, "left_semi")
-    return rows.dropDuplicates(["_h1", "_h2"]).select(*docs.columns)
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("class"), F.col("h1"), F.col("h2"))
+    chosen = grouped.groupBy("group").agg(F.min(order).alias("first")).select("first.h1", "first.h2", "first.id")
+    same = (numbered["h1"] == chosen["h1"]) & (numbered["h2"] == chosen["h2"]) & numbered["id"].eqNullSafe(chosen["id"])
+    rows = numbered.join(chosen, same, "left_semi").dropDuplicates(["h1", "h2"])
+    return rows.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -98,7 +98,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
 
 
 def repeat_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """The mix itself: each input row as often as it is taken, with the input's columns."""
+    """The mix itself: each input row as often as it is taken, with the input's columns, whatever their names.
+
+    Null and empty texts have no words, so they come in the whole repetitions only; texts are counted whole, however long; repeated rows are
+    separate documents, and rows that tie in the random order are told apart by id and size; an empty table gives an empty table.
+    """
     mixed = _mix(docs, weights, share, cap, seed).where("repetitions > 0")
     copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repetitions").cast("int"))))
     return copies.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -201,7 +201,11 @@ def score_quality(docs: DataFrame, model: Trees, accept: float = ACCEPT) -> Data
 
 
 def keep_good(docs: DataFrame, model: Trees, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, with all columns."""
+    """The rows of ``docs`` that the model accepts, with all columns, whatever their names.
+
+    Null and empty texts are judged by statistics of 0; texts are judged whole, however long; repeated rows and rows of equal texts stay or go
+    together; a score equal to ``accept`` stays; an empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge_of_task():
