@@ -255,7 +255,7 @@ def greedy_times(
 
 def cooldown(
     df: DataFrame,
-    key: str,
+    key: str | list[str],
     cooldown_us: int,
     forced: str | None = None,
     fold_rows: int = FOLD_ROWS,
@@ -269,20 +269,21 @@ def cooldown(
     """
     if cooldown_us == 0:
         return df
+    key = [key] if isinstance(key, str) else list(key)
     must = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
     if longest is not None and longest <= fold_rows:
         return _fold_rows(df, key, cooldown_us, must)
     rows = materialize(df)
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     if rows.count() <= fold_rows or (sizes.agg(F.max("_n")).first()[0] or 0) <= fold_rows:
         return _fold_rows(rows, key, cooldown_us, must)
-    long_keys = materialize(sizes.filter(F.col("_n") > fold_rows).select(key))
+    long_keys = materialize(sizes.filter(F.col("_n") > fold_rows).select(*key))
     short = _fold_rows(rows.join(long_keys, key, "left_anti"), key, cooldown_us, must)
     hot = rows.join(long_keys, key, "left_semi")
     return short.unionByName(_chain_rows(hot, key, cooldown_us, must, fold_rows, span_gaps).select(*rows.columns))
 
 
-def _fold_rows(rows: DataFrame, key: str, gap: int, must: Column) -> DataFrame:
+def _fold_rows(rows: DataFrame, key: list[str], gap: int, must: Column) -> DataFrame:
     """The cooldown as one pass over sorted rows, for keys of a checked size."""
 
     def arrays(batch: pa.RecordBatch) -> tuple:
@@ -290,41 +291,42 @@ def _fold_rows(rows: DataFrame, key: str, gap: int, must: Column) -> DataFrame:
         return u, u + gap, batch.column("_must").to_numpy(zero_copy_only=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, taken, _ in _walk(batches, [key], arrays):
+        for batch, taken, _ in _walk(batches, key, arrays):
             yield batch.drop_columns(["_must"]).take(pa.array(taken, pa.int64()))
 
-    return _dealt(rows.withColumn("_must", must), [key], "ts_us", "seq").mapInArrow(run, rows.schema)
+    return _dealt(rows.withColumn("_must", must), key, "ts_us", "seq").mapInArrow(run, rows.schema)
 
 
-def _few_steps(times: DataFrame, key: str, gap: int, steps: int) -> DataFrame:
+def _few_steps(times: DataFrame, key: list[str], gap: int, steps: int) -> DataFrame:
     """The chain of each key without forced times, one step after the other: rows ``key, u, opens``."""
     taken = []
-    now = materialize(times.groupBy(key).agg(F.min("u").alias("u")))
+    now = materialize(times.groupBy(*key).agg(F.min("u").alias("u")))
     for _ in range(steps):
         taken.append(now.withColumn("opens", F.lit(_NEVER)))
-        opens = now.select(F.col(key).alias("_key"), (F.col("u") + F.lit(gap)).alias("_opens"))
-        later = times.join(opens, F.col(key).eqNullSafe(F.col("_key")) & (F.col("u") >= F.col("_opens")))
-        now = materialize(later.groupBy(key).agg(F.min("u").alias("u")))
+        opens = now.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)], (F.col("u") + F.lit(gap)).alias("_opens"))
+        same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)]
+        later = times.join(opens, reduce(Column.__and__, same) & (F.col("u") >= F.col("_opens")))
+        now = materialize(later.groupBy(*key).agg(F.min("u").alias("u")))
     return reduce(DataFrame.unionByName, taken)
 
 
-def _chain_rows(rows: DataFrame, key: str, gap: int, must: Column, fold_rows: int, span_gaps: int) -> DataFrame:
+def _chain_rows(rows: DataFrame, key: list[str], gap: int, must: Column, fold_rows: int, span_gaps: int) -> DataFrame:
     """The cooldown for long keys: a chain over their distinct times, then back to the rows.
 
     At one time, the first row fires if the time is due; forced rows always fire.
     """
     any_forced = F.max(must).alias("forced")
-    times = materialize(rows.groupBy(key, F.col("ts_us").alias("u")).agg(any_forced, F.min("seq").alias("seq")))
-    extent = times.groupBy(key).agg((F.max("u") - F.min("u")).alias("_extent"), F.max("forced").alias("_forced"))
+    times = materialize(rows.groupBy(*key, F.col("ts_us").alias("u")).agg(any_forced, F.min("seq").alias("seq")))
+    extent = times.groupBy(*key).agg((F.max("u") - F.min("u")).alias("_extent"), F.max("forced").alias("_forced"))
     longest, any_forced = extent.agg(F.max("_extent"), F.max("_forced")).first()
     steps = (longest or 0) // gap + 1
     if steps <= FEW_STEPS and not any_forced:
-        taken = _few_steps(times.select(key, "u"), key, gap, steps)
+        taken = _few_steps(times.select(*key, "u"), key, gap, steps)
     else:
-        found = greedy_times(times.select(key, "u", "forced"), [key], gap, fold_rows=fold_rows, span_gaps=span_gaps)
+        found = greedy_times(times.select(*key, "u", "forced"), key, gap, fold_rows=fold_rows, span_gaps=span_gaps)
         taken = materialize(found)
-    due = taken.filter(F.col("u") >= F.col("opens")).select(key, "u")
-    heads = materialize(times.join(due, [key, "u"], "left_semi").select(key, F.col("u").alias("ts_us"), "seq"))
+    due = taken.filter(F.col("u") >= F.col("opens")).select(*key, "u")
+    heads = materialize(times.join(due, [*key, "u"], "left_semi").select(*key, F.col("u").alias("ts_us"), "seq"))
     # Repeated rows share the head's time and seq; one of them fires, as in the pass over sorted rows.
-    at_head = rows.filter(~must).join(heads, [key, "ts_us", "seq"], "left_semi").dropDuplicates([key, "ts_us", "seq"])
+    at_head = rows.filter(~must).join(heads, [*key, "ts_us", "seq"], "left_semi").dropDuplicates([*key, "ts_us", "seq"])
     return rows.filter(must).unionByName(at_head)

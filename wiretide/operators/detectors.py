@@ -28,6 +28,7 @@ def _alerts(
     threshold: float | Column,
     rate: Column | None = None,
     items: Column | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
     columns = {
         "seq": F.col("seq").cast("bigint"),
@@ -41,7 +42,7 @@ def _alerts(
         "rate": rate if rate is not None else F.lit(None).cast("double"),
         "items": items if items is not None else F.lit(None).cast("array<string>"),
     }
-    return fired.select(*[columns[name].alias(name) for name in ALERT_COLUMNS])
+    return fired.select(*[columns[name].alias(name) for name in ALERT_COLUMNS], *(by or []))
 
 
 def _arrived_by(ts: Column, seq: Column, at_ts: Column, at_seq: Column) -> Column:
@@ -54,30 +55,34 @@ def detect_port_scan(
     window_s: float = 10.0,
     cooldown_s: float = 30.0,
     slice_s: float | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
-    """Sources that reach ``port_threshold`` distinct destination ports within the window."""
-    window = window_us(window_s)
-    eligible = port_scan_eligible(timed(packets)).select("src_ip", "dst_port", "ts_us", "seq")
+    """Sources that reach ``port_threshold`` distinct destination ports within the window.
 
-    seen = materialize(ports_by_slice(eligible, window))
-    per_slice = seen.groupBy("src_ip", "_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_rows"))
-    suspects, longest = crowded_keys(per_slice, "src_ip", window, port_threshold)
-    watched = eligible.join(suspects, "src_ip", "left_semi")
+    ``by``, here and in the other detectors, names columns (such as the sensor) each value of which is watched by itself.
+    """
+    window, keys = window_us(window_s), [*(by or []), "src_ip"]
+    eligible = port_scan_eligible(timed(packets)).select(*keys, "dst_port", "ts_us", "seq")
+
+    seen = materialize(ports_by_slice(eligible, window, keys))
+    per_slice = seen.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_rows"))
+    suspects, longest = crowded_keys(per_slice, keys, window, port_threshold)
+    watched = eligible.join(suspects, keys, "left_semi")
 
-    counted = sliding_distinct_count(watched, "src_ip", "dst_port", window_s, slice_s, longest=longest)
-    over = counted.filter(F.col("observed") >= port_threshold).select("src_ip", "ts_us", "seq", "observed")
-    fired = materialize(cooldown(over, "src_ip", cooldown_us(cooldown_s), longest=longest))
-    return port_scan_alerts(with_live_ports(fired, seen, window), port_threshold, window_s)
+    counted = sliding_distinct_count(watched, keys, "dst_port", window_s, slice_s, longest=longest)
+    over = counted.filter(F.col("observed") >= port_threshold).select(*keys, "ts_us", "seq", "observed")
+    fired = materialize(cooldown(over, keys, cooldown_us(cooldown_s), longest=longest))
+    return port_scan_alerts(with_live_ports(fired, seen, window, keys), port_threshold, window_s, by)
 
 
-def ports_by_slice(rows: DataFrame, window: int) -> DataFrame:
+def ports_by_slice(rows: DataFrame, window: int, keys: list[str]) -> DataFrame:
     """The first and the last packet to each port in each slice of the window's length, and their number: a combining aggregate."""
     own = slice_start(F.col("ts_us"), window)
     first, last = F.min(F.struct("ts_us", "seq")).alias("_first"), F.max("ts_us").alias("_last")
-    return rows.groupBy("src_ip", own.alias("_slice"), "dst_port").agg(first, last, F.count(F.lit(1)).alias("_rows"))
+    return rows.groupBy(*keys, own.alias("_slice"), "dst_port").agg(first, last, F.count(F.lit(1)).alias("_rows"))
 
 
-def with_live_ports(fired: DataFrame, seen: DataFrame, window: int) -> DataFrame:
+def with_live_ports(fired: DataFrame, seen: DataFrame, window: int, keys: list[str]) -> DataFrame:
     """``fired`` and the live ports of each row as ``items``; ``seen`` is ``ports_by_slice``.
 
     These are the ports met early enough in the row's own slice, and those met late enough in the slice before. A slice's ports are put
@@ -85,49 +90,52 @@ def with_live_ports(fired: DataFrame, seen: DataFrame, window: int) -> DataFrame
     """
     fired = fired.withColumn("_slice", slice_start(F.col("ts_us"), window))
     target = F.explode(F.array(F.struct(F.col("_slice").alias("to"), F.lit(True).alias("own")), F.struct((F.col("_slice") + F.lit(window)).alias("to"), F.lit(False).alias("own"))))
-    sent = seen.select("src_ip", "dst_port", "_first", "_last", target.alias("_t"))
-    sent = sent.select("src_ip", F.col("_t.to").alias("_slice"), F.col("_t.own").alias("_own"), "dst_port", "_first", "_last")
-    needed = sent.join(fired.select("src_ip", "_slice"), ["src_ip", "_slice"], "left_semi")
+    sent = seen.select(*keys, "dst_port", "_first", "_last", target.alias("_t"))
+    sent = sent.select(*keys, F.col("_t.to").alias("_slice"), F.col("_t.own").alias("_own"), "dst_port", "_first", "_last")
+    needed = sent.join(fired.select(*keys, "_slice"), [*keys, "_slice"], "left_semi")
     here = F.when(F.col("_own"), F.struct("_first", "dst_port"))
     there = F.when(~F.col("_own"), F.struct("_last", "dst_port"))
-    ports = needed.groupBy("src_ip", "_slice").agg(F.collect_list(here).alias("_here"), F.collect_list(there).alias("_there"))
-    joined = fired.join(ports, ["src_ip", "_slice"])
+    ports = needed.groupBy(*keys, "_slice").agg(F.collect_list(here).alias("_here"), F.collect_list(there).alias("_there"))
+    joined = fired.join(ports, [*keys, "_slice"])
     early = F.filter("_here", lambda p: _arrived_by(p["_first"]["ts_us"], p["_first"]["seq"], F.col("ts_us"), F.col("seq")))
     late = F.filter("_there", lambda p: p["_last"] >= F.col("ts_us") - F.lit(window))
     live = F.array_sort(F.array_union(early["dst_port"], late["dst_port"])).cast("array<string>")
     return joined.withColumn("items", live).drop("_slice", "_here", "_there")
 
 
-def port_scan_alerts(fired: DataFrame, port_threshold: int, window_s: float) -> DataFrame:
+def port_scan_alerts(fired: DataFrame, port_threshold: int, window_s: float, by: list[str] | None = None) -> DataFrame:
     """Alerts from ``src_ip, ts_us, seq, observed, items``."""
     details = F.concat(
         F.col("observed").cast("string"),
         F.lit(f" distinct ports contacted within {window_s:.0f}s (threshold: {port_threshold}); recent ports: "),
         number_list(F.slice("items", 1, LISTED_PORTS)),
     )
-    return _alerts(fired, PORT_SCAN, details, port_threshold, items=F.col("items"))
+    return _alerts(fired, PORT_SCAN, details, port_threshold, items=F.col("items"), by=by)
 
 
-def detect_arp_spoof(packets: DataFrame, cooldown_s: float = 60.0, slice_s: float | None = None) -> DataFrame:
+def detect_arp_spoof(
+    packets: DataFrame, cooldown_s: float = 60.0, slice_s: float | None = None, by: list[str] | None = None
+) -> DataFrame:
     """Addresses bound to two or more MACs; a MAC not seen before alerts at once."""
-    eligible = arp_eligible(timed(packets)).select("src_ip", "src_mac", "ts_us", "seq")
-    firsts = materialize(first_arrivals(eligible, "src_ip", "src_mac"))
+    keys = [*(by or []), "src_ip"]
+    eligible = arp_eligible(timed(packets)).select(*keys, "src_mac", "ts_us", "seq")
+    firsts = materialize(first_arrivals(eligible, keys, "src_mac"))
     # Only addresses with two MACs at some time can alert.
     order = F.struct("ts_us", "seq", "src_mac")
-    bound = firsts.groupBy("src_ip").agg(F.array_sort(F.collect_list(order)).alias("_bound")).filter(F.size("_bound") >= 2)
+    bound = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_bound")).filter(F.size("_bound") >= 2)
     bound = materialize(bound)
-    suspects = bound.select("src_ip")
+    suspects = bound.select(*keys)
     counted = cumulative_distinct(
-        eligible.join(suspects, "src_ip", "left_semi"), "src_ip", "src_mac", slice_s, firsts=firsts.join(suspects, "src_ip", "left_semi")
+        eligible.join(suspects, keys, "left_semi"), keys, "src_mac", slice_s, firsts=firsts.join(suspects, keys, "left_semi")
     )
     over = counted.filter(F.col("observed") >= 2).drop("src_mac")
-    fired = cooldown(over, "src_ip", cooldown_us(cooldown_s), forced="first_seen")
+    fired = cooldown(over, keys, cooldown_us(cooldown_s), forced="first_seen")
     # The MACs so far are the first ``observed`` in the order in which they were bound.
     so_far = F.slice("_bound", F.lit(1), F.col("observed").cast("int"))["src_mac"]
-    return arp_spoof_alerts(fired.join(bound, "src_ip").withColumn("items", F.array_sort(so_far)))
+    return arp_spoof_alerts(fired.join(bound, keys).withColumn("items", F.array_sort(so_far)), by)
 
 
-def arp_spoof_alerts(fired: DataFrame) -> DataFrame:
+def arp_spoof_alerts(fired: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Alerts from ``src_ip, ts_us, seq, observed, items``."""
     details = F.concat(
         F.lit("IP "),
@@ -137,7 +145,7 @@ def arp_spoof_alerts(fired: DataFrame) -> DataFrame:
         F.lit(" MAC addresses: "),
         quoted_list(F.col("items")),
     )
-    return _alerts(fired, ARP_SPOOF, details, 2, items=F.col("items"))
+    return _alerts(fired, ARP_SPOOF, details, 2, items=F.col("items"), by=by)
 
 
 def detect_syn_flood(
@@ -146,19 +154,20 @@ def detect_syn_flood(
     window_s: float = 5.0,
     cooldown_s: float = 30.0,
     slice_s: float | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Sources that send ``syn_threshold`` connection attempts within the window."""
-    window = window_us(window_s)
-    eligible = syn_packets(timed(packets)).select("src_ip", "ts_us", "seq")
+    window, keys = window_us(window_s), [*(by or []), "src_ip"]
+    eligible = syn_packets(timed(packets)).select(*keys, "ts_us", "seq")
     rows = F.count(F.lit(1))
-    per_slice = eligible.groupBy("src_ip", slice_start(F.col("ts_us"), window).alias("_slice")).agg(rows.alias("_n"), rows.alias("_rows"))
-    suspects, longest = crowded_keys(per_slice, "src_ip", window, syn_threshold)
-    counted = sliding_count(eligible.join(suspects, "src_ip", "left_semi"), "src_ip", window_s, slice_s, longest=longest)
-    fired = cooldown(counted.filter(F.col("observed") >= syn_threshold), "src_ip", cooldown_us(cooldown_s), longest=longest)
-    return syn_flood_alerts(fired, syn_threshold, window_s)
+    per_slice = eligible.groupBy(*keys, slice_start(F.col("ts_us"), window).alias("_slice")).agg(rows.alias("_n"), rows.alias("_rows"))
+    suspects, longest = crowded_keys(per_slice, keys, window, syn_threshold)
+    counted = sliding_count(eligible.join(suspects, keys, "left_semi"), keys, window_s, slice_s, longest=longest)
+    fired = cooldown(counted.filter(F.col("observed") >= syn_threshold), keys, cooldown_us(cooldown_s), longest=longest)
+    return syn_flood_alerts(fired, syn_threshold, window_s, by)
 
 
-def syn_flood_alerts(fired: DataFrame, syn_threshold: int, window_s: float) -> DataFrame:
+def syn_flood_alerts(fired: DataFrame, syn_threshold: int, window_s: float, by: list[str] | None = None) -> DataFrame:
     """Alerts from ``src_ip, ts_us, seq, observed``."""
     rate = F.col("observed").cast("double") / F.lit(float(window_s))
     details = F.concat(
@@ -167,7 +176,7 @@ def syn_flood_alerts(fired: DataFrame, syn_threshold: int, window_s: float) -> D
         one_decimal(rate),
         F.lit(f" SYN/s, threshold: {syn_threshold})"),
     )
-    return _alerts(fired, SYN_FLOOD, details, syn_threshold, rate=rate)
+    return _alerts(fired, SYN_FLOOD, details, syn_threshold, rate=rate, by=by)
 
 
 def detect_traffic_anomaly(
@@ -176,21 +185,29 @@ def detect_traffic_anomaly(
     baseline_windows: int = 6,
     multiplier: float = 3.0,
     min_samples: int = 3,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Closed windows with more than ``multiplier`` times the packets of the windows before them.
 
     The alert carries the time and ``seq`` of the packet that closed the window.
     """
     packets = timed(packets)
-    starts = window_starts(packets, window_s)
-    windows = rolling_baseline(anchored_windows(packets, window_s, starts), baseline_windows)
-    return spike_alerts(packets, windows, window_s, multiplier, min_samples)
+    starts = window_starts(packets, window_s, by=by)
+    windows = rolling_baseline(anchored_windows(packets, window_s, starts, by=by), baseline_windows, by)
+    return spike_alerts(packets, windows, window_s, multiplier, min_samples, by=by)
 
 
 def spike_alerts(
-    packets: DataFrame, windows: DataFrame, window_s: float, multiplier: float, min_samples: int, weight: str | None = None
+    packets: DataFrame,
+    windows: DataFrame,
+    window_s: float,
+    multiplier: float,
+    min_samples: int,
+    weight: str | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Alerts for the windows that exceed their baseline. A row counts as ``weight`` packets, or as one."""
+    by = by or []
     limit = F.lit(float(multiplier)) * F.col("baseline_avg")
     spikes = materialize(
         windows.filter(
@@ -202,10 +219,11 @@ def spike_alerts(
     )
     # Sources are ranked in the spikes only: the start table of the spikes places just their packets.
     placed = assign_windows(
-        packets.select("ts_us", "seq", "src_ip", *([weight] if weight else [])), spikes.select("window_start", "close_us"), window_s, close="close_us"
+        packets.select(*by, "ts_us", "seq", "src_ip", *([weight] if weight else [])), spikes.select(*by, "window_start", "close_us"), window_s, close="close_us", by=by
     )
-    top = top_source_per_window(placed, weight=weight)
-    fired = spikes.join(top, "window_start").select(
+    top = top_source_per_window(placed, weight=weight, by=by)
+    fired = spikes.join(top, [*by, "window_start"]).select(
+        *by,
         F.col("close_seq").alias("seq"),
         F.col("close_us").alias("ts_us"),
         F.col("top_ip").alias("src_ip"),
@@ -224,4 +242,4 @@ def spike_alerts(
         F.lit(" packets)"),
     )
     threshold = F.lit(float(multiplier)) * F.col("baseline_avg")
-    return _alerts(fired, TRAFFIC_ANOMALY, details, threshold, rate=F.col("baseline_avg"))
+    return _alerts(fired, TRAFFIC_ANOMALY, details, threshold, rate=F.col("baseline_avg"), by=by)

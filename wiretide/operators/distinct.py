@@ -12,15 +12,16 @@ HOUR_US = 3_600_000_000
 _SLICE = "_slice"
 
 
-def first_arrivals(df: DataFrame, key: str, value: str) -> DataFrame:
+def first_arrivals(df: DataFrame, key: str | list[str], value: str) -> DataFrame:
     """One row per (key, value) with the ``ts_us`` and ``seq`` of its first arrival."""
+    keys = [key] if isinstance(key, str) else key
     first = F.min(F.struct("ts_us", "seq")).alias("_first")
-    return df.groupBy(key, value).agg(first).select(key, value, "_first.ts_us", "_first.seq")
+    return df.groupBy(*keys, value).agg(first).select(*keys, value, "_first.ts_us", "_first.seq")
 
 
 def cumulative_distinct(
     df: DataFrame,
-    key: str,
+    key: str | list[str],
     value: str,
     slice_s: float | None = None,
     out: str = "observed",
@@ -34,16 +35,17 @@ def cumulative_distinct(
     (key, value) pair has to fit in one task. ``firsts`` gives the first arrivals
     where they are already known. A slice is an hour, or less where a key is dense.
     """
-    length = window_us(slice_s, "slice_s") if slice_s is not None else dense_slice(df, [key], HOUR_US)
+    keys = [key] if isinstance(key, str) else key
+    length = window_us(slice_s, "slice_s") if slice_s is not None else dense_slice(df, keys, HOUR_US)
     start = slice_start(F.col("ts_us"), length).alias(_SLICE)
     marker = F.col("_kind") == 0
-    firsts = first_arrivals(df, key, value) if firsts is None else firsts
+    firsts = first_arrivals(df, keys, value) if firsts is None else firsts
     markers = firsts.select(
         "*", start, F.lit(0).alias("_kind"), F.lit(1).cast("bigint").alias("_new")
     )
     rows = df.select("*", start, F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_new"))
     order = ["ts_us", "seq", "_kind"]
-    counted = running_sum(rows.unionByName(markers, allowMissingColumns=True), [key], _SLICE, order, "_new", out)
-    at = Window.partitionBy(key, _SLICE).orderBy(F.desc("_is_carry"), *order)
+    counted = running_sum(rows.unionByName(markers, allowMissingColumns=True), keys, _SLICE, order, "_new", out)
+    at = Window.partitionBy(*keys, _SLICE).orderBy(F.desc("_is_carry"), *order)
     flagged = counted.withColumn(first_seen, F.coalesce(F.lag(marker).over(at), F.lit(False)))
     return drop_carry(flagged.filter(F.col("_kind") == 1)).drop(_SLICE, "_kind", "_new")

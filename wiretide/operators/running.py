@@ -45,13 +45,13 @@ def drop_carry(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(_CARRY)).drop(_CARRY)
 
 
-def dense_index(df: DataFrame, order: list[str], chunk: Column, out: str, start: int = 0) -> DataFrame:
-    """Adds ``out``: ``start``, ``start + 1``, ... in ``order``, numbered chunk by chunk.
+def dense_index(df: DataFrame, order: list[str], chunk: Column, out: str, start: int = 0, by: list[str] | None = None) -> DataFrame:
+    """Adds ``out``: ``start``, ``start + 1``, ... in ``order`` (for each value of ``by``), numbered chunk by chunk.
 
     ``chunk`` must not decrease along ``order``. No task sees more than one chunk.
     """
     flagged = df.withColumn("_chunk", chunk).withColumn("_one", F.lit(1).cast("bigint"))
-    numbered = drop_carry(running_sum(flagged, [], "_chunk", order, "_one", out))
+    numbered = drop_carry(running_sum(flagged, by or [], "_chunk", order, "_one", out))
     return numbered.withColumn(out, F.col(out) + F.lit(start - 1)).drop("_chunk", "_one")
 
 

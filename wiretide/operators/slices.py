@@ -29,17 +29,17 @@ def dense_keys(df: DataFrame, keys: list[str], length: int, most: int, longest:
     return None if found.isEmpty() else found
 
 
-def crowded_keys(per_slice: DataFrame, key: str, window: int, least: int) -> tuple[DataFrame, int]:
-    """The keys that may hold ``least`` things in a window: (key, ``_rows``), written out, and the most rows of any of them.
+def crowded_keys(per_slice: DataFrame, keys: list[str], window: int, least: int) -> tuple[DataFrame, int]:
+    """The keys that may hold ``least`` things in a window: (keys, ``_rows``), written out, and the most rows of any of them.
 
     ``per_slice`` has a row per key and slice of the window's length: ``_slice``, ``_n`` things and ``_rows`` rows. A window
     touches two adjacent slices.
     """
-    in_order = Window.partitionBy(key).orderBy(SLICE)
+    in_order = Window.partitionBy(*keys).orderBy(SLICE)
     adjacent = F.lag(SLICE).over(in_order) == F.col(SLICE) - F.lit(window)
     both = F.col("_n") + F.when(adjacent, F.lag("_n").over(in_order)).otherwise(0)
-    found = per_slice.withColumn("_both", both).groupBy(key).agg(F.max("_both").alias("_both"), F.sum("_rows").alias("_rows"))
-    found = materialize(found.filter(F.col("_both") >= least).select(key, "_rows"))
+    found = per_slice.withColumn("_both", both).groupBy(*keys).agg(F.max("_both").alias("_both"), F.sum("_rows").alias("_rows"))
+    found = materialize(found.filter(F.col("_both") >= least).select(*keys, "_rows"))
     first = found.select("_rows").sort(F.desc("_rows")).head()
     return found, first[0] if first else 0
 

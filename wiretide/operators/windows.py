@@ -21,20 +21,20 @@ _CHUNK = 65_536
 _SPAN = "struct<start: bigint, end: bigint>"
 
 
-def window_starts(packets: DataFrame, window_s: float, span_gaps: int = SPAN_GAPS) -> DataFrame:
-    """Start times ``window_start`` of all windows, in the scratch folder."""
-    window = window_us(window_s)
-    times = packets.select(F.col("ts_us").alias("u"))
-    densest = times.groupBy(slice_start(F.col("u"), window)).count().agg(F.max("count")).first()[0] or 0
+def window_starts(packets: DataFrame, window_s: float, span_gaps: int = SPAN_GAPS, by: list[str] | None = None) -> DataFrame:
+    """Start times ``window_start`` of all windows (one chain for each value of ``by``), in the scratch folder."""
+    window, by = window_us(window_s), by or []
+    times = packets.select(*by, F.col("ts_us").alias("u"))
+    densest = times.groupBy(*by, slice_start(F.col("u"), window)).count().agg(F.max("count")).first()[0] or 0
     gaps = span_gaps_for(densest, span_gaps)
     if densest * gaps > SPAN_ROWS:
         # A burst: then a span is bounded by its microseconds. Otherwise equal times do no harm and save a shuffle.
         times = times.distinct()
-    starts = greedy_times(times, [], window, lift_first=True, span_gaps=gaps)
-    return materialize(starts.select(F.col("u").alias("window_start")))
+    starts = greedy_times(times, by, window, lift_first=True, span_gaps=gaps)
+    return materialize(starts.select(*by, F.col("u").alias("window_start")))
 
 
-def assign_windows(packets: DataFrame, starts: DataFrame, window_s: float, close: str | None = None) -> DataFrame:
+def assign_windows(packets: DataFrame, starts: DataFrame, window_s: float, close: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Adds ``window_start`` to each packet by an equi-join on time slices of the window's length.
 
     Starts are at least ``W`` apart, so a slice of length ``W`` holds at most
@@ -42,7 +42,7 @@ def assign_windows(packets: DataFrame, starts: DataFrame, window_s: float, close
     starts must be given, or a selection with the column ``close``, the time of
     the packet that closed the window; packets outside the selection are dropped.
     """
-    window = window_us(window_s)
+    window, by = window_us(window_s), by or []
     own = slice_start(F.col("window_start"), window)
     end = F.col(close) if close else F.lit(None).cast("bigint")
     span = F.struct(F.col("window_start").alias("start"), end.alias("end"))
@@ -50,9 +50,9 @@ def assign_windows(packets: DataFrame, starts: DataFrame, window_s: float, close
         F.struct(own.alias("_slice"), span.alias("_own"), F.lit(None).cast(_SPAN).alias("_prior")),
         F.struct((own + F.lit(window)).alias("_slice"), F.lit(None).cast(_SPAN).alias("_own"), span.alias("_prior")),
     )
-    lookup = starts.select(F.inline(slots)).groupBy("_slice")
+    lookup = starts.select(*by, F.inline(slots)).groupBy(*by, "_slice")
     lookup = lookup.agg(F.max("_own").alias("_own"), F.max("_prior").alias("_prior"))
-    placed = packets.withColumn("_slice", slice_start(F.col("ts_us"), window)).join(lookup, "_slice")
+    placed = packets.withColumn("_slice", slice_start(F.col("ts_us"), window)).join(lookup, [*by, "_slice"])
     chosen = F.when(F.col("ts_us") >= F.col("_own.start"), F.col("_own")).otherwise(F.col("_prior"))
     placed = placed.withColumn("_span", chosen).drop("_slice", "_own", "_prior")
     if close:
@@ -61,25 +61,26 @@ def assign_windows(packets: DataFrame, starts: DataFrame, window_s: float, close
 
 
 def anchored_windows(
-    packets: DataFrame, window_s: float, starts: DataFrame | None = None, weight: str | None = None
+    packets: DataFrame, window_s: float, starts: DataFrame | None = None, weight: str | None = None, by: list[str] | None = None
 ) -> DataFrame:
-    """One row per window, the last open one included. A row counts as ``weight`` packets, or as one.
+    """One row per window, the last open one included. A row counts as ``weight`` packets, or as one. ``by``: a chain for each value.
 
     Columns: ``window_id`` (0, 1, ...), ``window_start``, ``n``, ``first_seq``
     and, NULL for the open window, ``close_us`` and ``close_seq`` of the packet
     that closed it.
     """
-    starts = window_starts(packets, window_s) if starts is None else starts
+    by = by or []
+    starts = window_starts(packets, window_s, by=by) if starts is None else starts
     number = F.col(weight) if weight else F.lit(1).cast("bigint")
-    members = assign_windows(packets.select("ts_us", "seq", number.alias("_weight")), starts, window_s)
+    members = assign_windows(packets.select(*by, "ts_us", "seq", number.alias("_weight")), starts, window_s, by=by)
     # One row per window, read several times below; the packets are read once.
     counted = materialize(
-        members.groupBy("window_start").agg(
+        members.groupBy(*by, "window_start").agg(
             F.sum("_weight").alias("n"), F.min(F.struct("ts_us", "seq"))["seq"].alias("first_seq")
         )
     )
     chunk = slice_start(F.col("window_start"), _CHUNK * window_us(window_s))
-    numbered = dense_index(counted, ["window_start"], chunk, "window_id")
+    numbered = dense_index(counted, ["window_start"], chunk, "window_id", by=by)
     return _neighbours(
         numbered,
         behind=0,
@@ -87,10 +88,11 @@ def anchored_windows(
             "close_us": F.lead("window_start").over(at),
             "close_seq": F.lead("first_seq").over(at),
         },
-    ).select("window_id", "window_start", "n", "first_seq", "close_us", "close_seq")
+        by=by,
+    ).select(*by, "window_id", "window_start", "n", "first_seq", "close_us", "close_seq")
 
 
-def _neighbours(windows: DataFrame, behind: int, add) -> DataFrame:
+def _neighbours(windows: DataFrame, behind: int, add, by: list[str] | None = None) -> DataFrame:
     """Window expressions over dense ids in bounded chunks.
 
     Each chunk also gets the ``behind`` ids before it and the one after it.
@@ -100,35 +102,37 @@ def _neighbours(windows: DataFrame, behind: int, add) -> DataFrame:
     from_chunk = slice_start(F.col("window_id") - F.lit(1), size)
     to_chunk = slice_start(F.col("window_id") + F.lit(behind), size)
     spread = windows.select("*", F.explode(F.array_distinct(F.array(from_chunk, own, to_chunk))).alias("_chunk"))
-    at = Window.partitionBy("_chunk").orderBy("window_id")
+    at = Window.partitionBy(*(by or []), "_chunk").orderBy("window_id")
     return spread.select("*", *[c.alias(n) for n, c in add(at).items()]).filter(F.col("_chunk") == own).drop("_chunk")
 
 
-def rolling_baseline(windows: DataFrame, baseline_windows: int = 6) -> DataFrame:
+def rolling_baseline(windows: DataFrame, baseline_windows: int = 6, by: list[str] | None = None) -> DataFrame:
     """Adds ``baseline_avg`` and ``baseline_n`` over the ``baseline_windows`` windows before each one."""
 
     def trailing(at):
         before = at.rowsBetween(-baseline_windows, -1)
         return {"baseline_avg": F.avg("n").over(before), "baseline_n": F.count("n").over(before)}
 
-    return _neighbours(windows, baseline_windows, trailing)
+    return _neighbours(windows, baseline_windows, trailing, by)
 
 
-def top_source_per_window(members: DataFrame, window: str = "window_start", weight: str | None = None) -> DataFrame:
+def top_source_per_window(members: DataFrame, window: str = "window_start", weight: str | None = None, by: list[str] | None = None) -> DataFrame:
     """``window, top_ip, top_count``: most packets, then first seen; ``unknown`` and 0 without any source.
 
     Takes packets with their window. Counting per source combines before the
     shuffle, and the maximum is a plain aggregate, so a busy window or source
     is never collected.
     """
+    by = by or []
     arrival = F.min(F.struct("ts_us", "seq"))
     number = F.sum(weight) if weight else F.count(F.lit(1))
-    per_source = members.groupBy(window, "src_ip").agg(number.alias("_n"), arrival.alias("_first"))
+    per_source = members.groupBy(*by, window, "src_ip").agg(number.alias("_n"), arrival.alias("_first"))
     rank = F.struct(
         F.col("_n"), (-F.col("_first.ts_us")).alias("_ts"), (-F.col("_first.seq")).alias("_seq"), F.col("src_ip").alias("_ip")
     )
     best = F.max(F.when(has_text(F.col("src_ip")), rank)).alias("_best")
-    return per_source.groupBy(window).agg(best).select(
+    return per_source.groupBy(*by, window).agg(best).select(
+        *by,
         window,
         F.coalesce("_best._ip", F.lit("unknown")).alias("top_ip"),
         F.coalesce("_best._n", F.lit(0).cast("bigint")).alias("top_count"),

@@ -36,11 +36,11 @@ Detector = Callable[[DataFrame, Mapping[str, Any]], DataFrame]
 _ID_CHUNK = 1 << 20
 
 _REGISTRY: dict[str, Detector] = {
-    "port_scan": lambda packets, p: detect_port_scan(packets, p["port_threshold"], p["time_window"], p["cooldown"]),
-    "arp_spoof": lambda packets, p: detect_arp_spoof(packets, p["cooldown"]),
-    "dos": lambda packets, p: detect_syn_flood(packets, p["syn_threshold"], p["time_window"], p["cooldown"]),
+    "port_scan": lambda packets, p: detect_port_scan(packets, p["port_threshold"], p["time_window"], p["cooldown"], by=p.get("by")),
+    "arp_spoof": lambda packets, p: detect_arp_spoof(packets, p["cooldown"], by=p.get("by")),
+    "dos": lambda packets, p: detect_syn_flood(packets, p["syn_threshold"], p["time_window"], p["cooldown"], by=p.get("by")),
     "traffic_anomaly": lambda packets, p: detect_traffic_anomaly(
-        packets, p["window_seconds"], p["baseline_windows"], p["multiplier"], p["min_baseline_samples"]
+        packets, p["window_seconds"], p["baseline_windows"], p["multiplier"], p["min_baseline_samples"], p.get("by")
     ),
 }
 
@@ -110,9 +110,10 @@ def all_sections(params: Mapping[str, Any] | None) -> dict[str, Any]:
     return {**extra, **settings(params)}
 
 
-def _build(name: str, packets: DataFrame, sections: Mapping[str, Any]) -> DataFrame:
-    alerts = _REGISTRY[name](packets, sections.get(name, {}))
-    return alerts.select(*ALERT_SCHEMA.names).withColumn("detector_ordinal", F.lit(detector_names().index(name)))
+def _build(name: str, packets: DataFrame, sections: Mapping[str, Any], by: list[str] | None = None) -> DataFrame:
+    section = {**sections.get(name, {}), "by": by} if by else sections.get(name, {})
+    alerts = _REGISTRY[name](packets, section)
+    return alerts.select(*ALERT_SCHEMA.names, *(by or [])).withColumn("detector_ordinal", F.lit(detector_names().index(name)))
 
 
 def detect_all(
@@ -120,22 +121,31 @@ def detect_all(
     params: Mapping[str, Any] | None = None,
     enabled: Iterable[str] | str | None = None,
     whitelist: Iterable[str] = (),
+    sensor: str | None = None,
 ) -> DataFrame:
     """Alerts of all selected detectors, with ``detector_ordinal``.
 
+    ``sensor`` names a column of the packets each value of which is watched by itself, as by an engine of its own; the alerts have it, too. It
+    takes built-in detectors only, and fails on a packet without a sensor.
     Whitelisted packets enter no detector. If only the built-in detectors run, the columns they use are written to the scratch
     folder first, so the packets themselves are read once. The detectors' intermediate jobs are independent and run side by side.
     """
     sections = all_sections(params)
     names = select_detectors(params, enabled)
     watched = exclude_whitelisted(packets, list(whitelist) or sections["whitelist"])
+    by = [sensor] if sensor else None
     if not names:
         return _no_alerts(packets.sparkSession)
     if all(is_built_in(name) for name in names):
-        watched = materialize(timed(watched).select(*WATCHED_COLUMNS))
+        if sensor:
+            known = F.when(F.col(sensor).isNull(), F.raise_error(F.lit("packet without a sensor")).cast("boolean")).otherwise(True)
+            watched = watched.filter(known)
+        watched = materialize(timed(watched).select(*WATCHED_COLUMNS, *(by or [])))
+    elif by:
+        raise ValueError("only built-in detectors know sensors")
     with ThreadPoolExecutor(max_workers=len(names)) as pool:
         build = inheritable_thread_target(packets.sparkSession)(_build)
-        parts = list(pool.map(lambda name: build(name, watched, sections), names))
+        parts = list(pool.map(lambda name: build(name, watched, sections, by), names))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -75,17 +75,17 @@ def _frame(window: int) -> str:
     return f"PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN {window} PRECEDING AND CURRENT ROW"
 
 
-def _port_scan(source: str = "packets", p: str = "") -> str:
+def _port_scan(source: str = "packets", p: str = "", least: int = 8) -> str:
     return f"""
 {p}scan_rows AS MATERIALIZED (SELECT seq, ts_us, src_ip, dst_port FROM {source} WHERE {SCAN_ROW}),
 {p}scan_over AS MATERIALIZED (
   SELECT * FROM (SELECT seq, ts_us, src_ip, count(DISTINCT dst_port) OVER ({_frame(WINDOW_3D)}) AS observed FROM {p}scan_rows)
-  WHERE observed >= 8
+  WHERE observed >= {least}
 ),
 {_debounced(p + "scan", p + "scan_over", COOLDOWN)},
 {p}scan_alerts AS MATERIALIZED (
   SELECT a.seq, a.ts_us, a.src_ip AS source_ip, 'PORT_SCAN' AS event_type, a.observed,
-         a.observed || ' distinct ports contacted within 259200s (threshold: 8); recent ports: ['
+         a.observed || ' distinct ports contacted within 259200s (threshold: {least}); recent ports: ['
          || array_to_string(list_sort(list(DISTINCT r.dst_port))[1:20], ', ') || ']' AS details
   FROM {p}scan a JOIN {p}scan_rows r ON r.src_ip = a.src_ip AND r.ts_us BETWEEN a.ts_us - {WINDOW_3D} AND a.ts_us
   GROUP BY a.seq, a.ts_us, a.src_ip, a.observed
@@ -112,16 +112,16 @@ def _arp_spoof(source: str = "packets", p: str = "") -> str:
 )"""
 
 
-def _syn_flood(source: str = "packets", p: str = "") -> str:
+def _syn_flood(source: str = "packets", p: str = "", least: int = 6) -> str:
     return f"""
 {p}syn_rows AS MATERIALIZED (SELECT seq, ts_us, src_ip FROM {source} WHERE {SYN_ROW}),
 {p}syn_over AS MATERIALIZED (
-  SELECT * FROM (SELECT *, count(*) OVER ({_frame(WINDOW_3D)}) AS observed FROM {p}syn_rows) WHERE observed >= 6
+  SELECT * FROM (SELECT *, count(*) OVER ({_frame(WINDOW_3D)}) AS observed FROM {p}syn_rows) WHERE observed >= {least}
 ),
 {_debounced(p + "syn", p + "syn_over", COOLDOWN)},
 {p}syn_alerts AS MATERIALIZED (
   SELECT seq, ts_us, src_ip AS source_ip, 'SYN_FLOOD' AS event_type, observed,
-         observed || ' SYN packets within 259200s (~' || printf('%.1f', observed / 259200.0) || ' SYN/s, threshold: 6)' AS details,
+         observed || ' SYN packets within 259200s (~' || printf('%.1f', observed / 259200.0) || ' SYN/s, threshold: {least})' AS details,
          CAST(observed AS DOUBLE) / 259200.0::DOUBLE AS rate
   FROM {p}syn
 )"""
@@ -177,11 +177,11 @@ def _traffic_anomaly(source: str = "packets", p: str = "") -> str:
 VIEW = "seq, ts_us, source_ip, event_type, observed, details"
 
 
-def _all(source: str = "packets", p: str = "") -> str:
+def _all(source: str = "packets", p: str = "", ports: int = 8, syns: int = 6) -> str:
     return f"""
-{_port_scan(source, p)},
+{_port_scan(source, p, ports)},
 {_arp_spoof(source, p)},
-{_syn_flood(source, p)},
+{_syn_flood(source, p, syns)},
 {_traffic_anomaly(source, p)},
 {p}alerts AS MATERIALIZED (
   SELECT {VIEW}, 0 AS detector_ordinal, 0 AS batch FROM {p}scan_alerts
@@ -355,5 +355,13 @@ hourly_over AS MATERIALIZED (
 {_debounced("hourly_scan", "hourly_over", COOLDOWN)}""",
         "SELECT src_ip AS source_ip, ts_us, true AS listed FROM hourly_scan",
     ),
+    # A run for each sensor.
+    "detect_by_sensor": _sql(
+        "".join(
+            f"{',' if k else ''}sensor{k} AS MATERIALIZED (SELECT * FROM packets WHERE dst_port % 2 = {k}),{_all(f'sensor{k}', f's{k}_', 5, 4)}"
+            for k in (0, 1)
+        ),
+        f"SELECT {VIEW}, 0 AS sensor_id FROM s0_alerts UNION ALL SELECT {VIEW}, 1 FROM s1_alerts",
+    ),
     "packets_in_range": _sql("", f"SELECT seq, ts_us, src_ip FROM packets WHERE ts_us >= {RANGE[0]} AND ts_us < {RANGE[1]}"),
 }

@@ -73,7 +73,7 @@ def _step(new: DataFrame, memory: StreamMemory, rule: PerSourceProcessor) -> Dat
     closed = fired.groupBy("src_ip").agg((F.max("ts_us") + F.lit(rule.gap)).alias("opens"))
     still = _still_live(rows, rule)
     if rule.value:
-        fired = with_live_ports(fired, ports_by_slice(rows, rule.window), rule.window)
+        fired = with_live_ports(fired, ports_by_slice(rows, rule.window, ["src_ip"]), rule.window, ["src_ip"])
     else:
         fired = fired.withColumn("items", F.lit(None).cast("array<string>"))
     if folded is not None:
