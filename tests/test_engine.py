@@ -149,6 +149,29 @@ def log_of(spark, path, *batches):
     return store.read_alerts(spark, str(path))
 
 
+def test_newest_events_open_the_last_batches_only(spark, tmp_path):
+    path = str(tmp_path / "log")
+    batches = [[alert(10 * k + j, f"10.0.0.{k % 4}", "ARP_SPOOF" if k == 1 else "PORT_SCAN") for j in range(3)] for k in range(10)]
+    log = log_of(spark, path, *batches)
+    ids = lambda df: [r.id for r in df.collect()]
+    found = store.newest_events(spark, path, 5)
+    assert ids(found) == ids(store.recent_events(log, 5)) == [30, 29, 28, 27, 26]
+    assert len({f.split("writer=")[1].split("/")[0] for f in found.inputFiles()}) == 2
+    for options in [(4, "ARP_SPOOF"), (2, "ARP_SPOOF"), (7, None, "10.0.0.2"), (3, "PORT_SCAN", "10.0.0.1"), (0,), (100,)]:
+        found = store.newest_events(spark, path, *options)
+        assert ids(found) == ids(store.recent_events(log, *options))
+        assert found.columns == log.columns
+    # A reservation whose batch was never written, and a batch written again.
+    store._Ids(spark, path).reserve("gone", 0, 4)
+    df = spark.createDataFrame([tuple(alert(1).get(f.name) for f in ALERT_SCHEMA)], ALERT_SCHEMA).withColumn("detector_ordinal", F.lit(0))
+    for _ in range(2):
+        store.append_alerts(df, path, 3, "stream")
+    assert ids(store.newest_events(spark, path, 3)) == [35, 30, 29]
+    assert ids(store.newest_events(spark, f"{tmp_path}/none", 3)) == []
+    with pytest.raises(ValueError, match="negative"):
+        store.newest_events(spark, path, -1)
+
+
 def test_log_reads(spark, tmp_path):
     assert store.event_count(store.read_alerts(spark, f"{tmp_path}/none")).first()[0] == 0
     log = log_of(

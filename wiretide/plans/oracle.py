@@ -295,6 +295,11 @@ ORACLE: dict[str, str] = {
         f"SELECT id, {VIEW} FROM log WHERE event_type = 'ARP_SPOOF' AND source_ip = '10.0.0.7' ORDER BY id DESC LIMIT 5",
     ),
     "recent_events_capped": _sql(_all(), f"SELECT id, {VIEW} FROM log ORDER BY id DESC LIMIT 1000"),
+    "newest_events": _sql(_all(), f"SELECT id, {VIEW} FROM log ORDER BY id DESC LIMIT 100"),
+    "newest_events_filtered": _sql(
+        _all(),
+        f"SELECT id, {VIEW} FROM log WHERE event_type = 'ARP_SPOOF' AND source_ip = '10.0.0.7' ORDER BY id DESC LIMIT 5",
+    ),
     "event_count": _sql(_all(), "SELECT count(*) AS total_events FROM log"),
     "events_per_type": _sql(_all(), "SELECT event_type, count(*) AS n FROM log GROUP BY event_type"),
     "stats": _sql(

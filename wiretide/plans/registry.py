@@ -204,6 +204,11 @@ def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_alerts(spark, _LOGS[known])
 
 
+def newest(spark: SparkSession, sf_dir: str, *options) -> DataFrame:
+    alert_log(spark, sf_dir)
+    return _log_view(store.newest_events(spark, _LOGS[spark.sparkContext.applicationId, sf_dir], *options))
+
+
 def _log_view(log: DataFrame) -> DataFrame:
     return log.select("id", *ALERT_VIEW)
 
@@ -403,6 +408,8 @@ QUERIES: dict[str, Query] = {
     "recent_events": lambda s, d: _log_view(store.recent_events(alert_log(s, d))),
     "recent_events_filtered": lambda s, d: _log_view(store.recent_events(alert_log(s, d), 5, "ARP_SPOOF", "10.0.0.7")),
     "recent_events_capped": lambda s, d: _log_view(store.recent_events(alert_log(s, d), 5000, capped=True)),
+    "newest_events": newest,
+    "newest_events_filtered": lambda s, d: newest(s, d, 5, "ARP_SPOOF", "10.0.0.7"),
     "event_count": lambda s, d: store.event_count(alert_log(s, d)),
     "events_per_type": lambda s, d: store.events_per_type(alert_log(s, d)),
     "stats": _stats,
