@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wiretide.llm import lm_scoring
 from wiretide.llm.common import id_remainder
-from wiretide.llm.lm_scoring import END, STRENGTH, Chunk, ChunkBuilder, Model, far_ratio, lm_scores, merge_bucket, sampled, seat, stirling_ratios
+from wiretide.llm.lm_scoring import END, STRENGTH, Chunk, ChunkBuilder, Model, far_ratio, lm_scores, merge_bucket, ratios_of, sampled, seat, stirling_ratios
 
 
 def tokens(text):
@@ -233,14 +233,16 @@ def test_seating_has_the_law_of_its_customers(monkeypatch, law):
     draw = lambda: seat(np.full(n, customers), np.full(n, strength), np.full(n, per_table), discount, rng).mean()
     expected = mean_tables(*law)
     assert draw() == pytest.approx(expected, rel=0.01)
-    # By the saddle point, as for dishes of many customers.
+    # The same by logarithms, and by the saddle point, as for dishes of many customers.
+    monkeypatch.setattr(lm_scoring, "FEW", 2)
+    assert draw() == pytest.approx(expected, rel=0.01)
     monkeypatch.setattr(lm_scoring, "EXACT", 30)
     assert draw() == pytest.approx(expected, rel=0.05)
 
 
 def test_ratios_of_many_customers():
     for discount, error in ((0.3, 0.05), (0.5, 0.002), (0.8, 0.01)):
-        exact = stirling_ratios(discount, np.array([900]))[900]
+        exact = ratios_of(stirling_ratios(discount, 900), 900)
         t = np.arange(1, 900)
         about = far_ratio(np.full(899, 900.0), t.astype(float), discount)
         assert (np.abs(about / exact - 1)[:800] < error).all()

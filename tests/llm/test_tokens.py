@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import json
 import random
 import zlib
 
@@ -86,6 +87,35 @@ def test_packer(monkeypatch, most):
     assert check_pieces(packer.rows, ids) == 0
 
 
+def test_the_fuller_half_is_cut_at_the_bound(monkeypatch):
+    """Windows that nothing fits into any more: at the bound the fullest are cut, and the others stay open."""
+    monkeypatch.setattr(packing, "MAX_OPEN", 40)
+    packer, ids = Packer(0), {}
+    for k in range(41):
+        ids[k] = np.arange(1100 + k, dtype=np.uint32)
+        packer.add(k, ids[k])
+    assert packer.n_open == packer.counts.sum() == 20
+    assert max(np.flatnonzero(packer.counts)) < 1100 + 20
+    packer.drain()
+    assert packer.n_open == packer.counts.sum() == 0 and check_pieces(packer.rows, ids) == 0
+
+
+def test_the_shortcut_needs_its_rules():
+    encoder = Encoder(None)
+    settings = json.loads(encoder.library.to_str())
+    assert encoder.proven and Encoder.proved(settings)
+    for key, value in [("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("truncation", {"max_length": 5}), ("padding", {"x": 1})]:
+        assert not Encoder.proved(settings | {key: value})
+    assert not Encoder.proved(settings | {"model": settings["model"] | {"type": "Unigram"}})
+    assert not Encoder.proved(settings | {"added_tokens": [{"content": "a b"}]})
+    import public_tokenizers
+
+    other = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["One two  three", "É\n\n ß, 12 <|endoftext|>", ""]
+    assert not other.proven
+    assert [other.ids(t).tolist() for t in texts] == [other.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_level_minimises_the_sum_of_squares():
     rng = random.Random(2)
     for _ in range(200):

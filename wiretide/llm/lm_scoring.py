@@ -37,17 +37,20 @@ SWEEPS, BURN_IN = 5, 2
 #: Customers of a dish up to which the numbers behind its law are exact; beyond, they come from a saddle point (within 1 % for discounts
 #: of 0.5 or more, within 5 % from 0.3 on, at fewest tables).
 EXACT = 1024
+#: Customers up to which weights are multiplied as they are, without logarithms; results agree.
+FEW = 16
 SEED = 3
 END = b""
 
 CHUNKS = "chunk long, n_docs int, doc_ids binary, lengths binary, train binary, tokens binary, hashes binary"
 REQUESTS = "bucket int, chunk long, n_words int, words binary, per_word binary, keys binary, contexts binary, counts binary"
-BUCKETS = "bucket int, keys binary, tables binary, customers binary, per_word binary, contexts binary, counts binary, chunks binary, n_words binary, n_pairs binary, word_at binary, pair_at binary, sums array<bigint>"
+BUCKETS = "bucket int, keys binary, cut binary, tables binary, customers binary, per_word binary, contexts binary, counts binary, chunks binary, n_words binary, n_pairs binary, word_at binary, pair_at binary, sums array<bigint>"
 REPLIES = "chunk long, bucket int, word_counts binary, chances binary"
-STATES = "bucket int, keys binary, tables binary, pair_tables binary, parent_tables binary, in_context binary, kept_pairs binary, kept_parents binary, kept_contexts binary, kept_totals binary, sums array<double>"
+STATES = "bucket int, cut binary, tables binary, pair_tables binary, parent_tables binary, in_context binary, kept_pairs binary, kept_parents binary, kept_contexts binary, kept_totals binary, sums array<double>"
 SEATING = ["pair_tables", "parent_tables", "in_context", "kept_pairs", "kept_parents", "kept_contexts", "kept_totals"]
-PARTS = "asker long, shard int, keys binary, tables binary, customers binary"
-TOTALS = "asker long, shard int, tables binary, customers binary"
+ASKED = "asker int, shard int, keys binary, customers binary"
+PLACES = "shard int, askers binary, sizes binary, places binary, asker int, customers binary"
+PARTS = "asker int, shard int, tables binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -248,73 +251,81 @@ def with_keys(request: dict, model: Model) -> dict:
     return {**request, "keys": model.keys[used].tobytes(), "contexts": packed(at.astype(np.int32))}
 
 
-def merge_by_keys(requests: list[dict]) -> dict:
-    """``merge_bucket`` for requests that have their own contexts each; tables and customers are of the bucket's contexts."""
+def merge_by_keys(requests: list[dict], n_shards: int) -> dict:
+    """``merge_bucket`` for requests that have their own contexts each; tables and customers are of the bucket's contexts.
+
+    The contexts are in the order of (shard, key), and ``cut`` has their number per shard.
+    """
     each = [np.frombuffer(r["keys"], np.int64) for r in requests]
-    keys = np.unique(np.concatenate(each))
-    same = [packed(np.searchsorted(keys, own)[unpacked(r["contexts"], np.int32)].astype(np.int32)) for own, r in zip(each, requests, strict=True)]
-    n = len(keys)
+    ascending = np.unique(np.concatenate(each))
+    shards = bucket_of(ascending, n_shards)
+    order = np.argsort(shards, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    same = [packed(place[np.searchsorted(ascending, own)][unpacked(r["contexts"], np.int32)]) for own, r in zip(each, requests, strict=True)]
+    n = len(order)
     merged = merge_bucket([{**r, "contexts": c} for r, c in zip(requests, same, strict=True)], n)
-    tables, customers = (np.array(merged["sums"][a : a + n], np.float64) for a in (0, n))
-    return {**merged, "keys": keys.tobytes(), "tables": packed(tables), "customers": packed(customers), "sums": [*merged["sums"][2 * n :], int(tables.sum())]}
+    tables, customers = (np.array(merged["sums"][a : a + n], np.int64) for a in (0, n))
+    cut = np.bincount(shards, minlength=n_shards).astype(np.int32)
+    own = {"keys": ascending[order].tobytes(), "cut": packed(cut), "tables": packed(tables), "customers": packed(customers)}
+    return {**merged, **own, "sums": [*merged["sums"][2 * n :], int(tables.sum())]}
 
 
-def in_shards(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the keys by shard, the shards there are, and where each starts in that order (and the end)."""
-    shards = bucket_of(keys, n_shards)
-    order = np.argsort(shards, kind="stable")
-    present, first = np.unique(shards[order], return_index=True)
-    return order, present, np.append(first, len(keys))
+def by_shard(cut: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(shard, its part of each column) for the shards that a bucket has contexts in."""
+    ends = np.cumsum(cut)
+    for shard in np.flatnonzero(cut).tolist():
+        yield shard, *[c[ends[shard] - cut[shard] : ends[shard]] for c in columns]
+
 
+def places_of_shard(asked: list[dict]) -> list[dict]:
+    """Where each asker's contexts are among all of a shard's, written down once; and, for each asker, the customers over all askers."""
+    each = [np.frombuffer(a["keys"], np.int64) for a in asked]
+    _, at = np.unique(np.concatenate(each), return_inverse=True)
+    sizes = np.array([len(k) for k in each], np.int64)
+    customers = np.bincount(at, np.concatenate([unpacked(a["customers"], np.int64) for a in asked])).astype(np.int64)
+    parts = np.split(at, np.cumsum(sizes)[:-1])
+    askers = np.array([a["asker"] for a in asked], np.int32)
+    first = {"shard": asked[0]["shard"], "askers": askers.tobytes(), "sizes": sizes.tobytes(), "places": packed(np.concatenate([steps(p) for p in parts]))}
+    return [first, *({"shard": a["shard"], "asker": a["asker"], "customers": packed(customers[p])} for a, p in zip(asked, parts, strict=True))]
 
-def to_shards(asker: int, keys: np.ndarray, tables: np.ndarray, customers: np.ndarray, n_shards: int) -> list[dict]:
-    order, present, cut = in_shards(keys, n_shards)
-    at = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return [
-        {"asker": asker, "shard": shard, "keys": keys[i].tobytes(), "tables": packed(tables[i]), "customers": packed(customers[i])}
-        for shard, i in zip(present.tolist(), at, strict=True)
-    ]
 
+def add_shard(places: dict, parts: list[dict]) -> list[dict]:
+    """For each asker, the tables of its contexts over all askers."""
+    askers, sizes = np.frombuffer(places["askers"], np.int32).tolist(), np.frombuffer(places["sizes"], np.int64)
+    moves = np.split(unpacked(places["places"], np.int32), np.cumsum(sizes)[:-1])
+    at = {asker: m.cumsum() for asker, m in zip(askers, moves, strict=True)}
+    here = np.concatenate([at[p["asker"]] for p in parts])
+    sums = np.bincount(here, np.concatenate([unpacked(p["tables"], np.int64) for p in parts])).astype(np.int64)
+    return [{"asker": p["asker"], "shard": p["shard"], "tables": packed(sums[at[p["asker"]]])} for p in parts]
 
-def add_shard(parts: list[dict]) -> list[dict]:
-    """For each asker, the sums over all askers of its keys."""
-    each = [np.frombuffer(p["keys"], np.int64) for p in parts]
-    _, at = np.unique(np.concatenate(each), return_inverse=True)
-    sums = [np.bincount(at, np.concatenate([unpacked(p[c], np.float64) for p in parts])) for c in ("tables", "customers")]
-    cut = np.append(0, np.cumsum([len(k) for k in each]))
-    return [
-        {"asker": p["asker"], "shard": p["shard"], "tables": packed(sums[0][at[a:b]]), "customers": packed(sums[1][at[a:b]])}
-        for p, a, b in zip(parts, cut[:-1], cut[1:], strict=True)
-    ]
-
-
-def from_shards(replies: list[dict], keys: np.ndarray, n_shards: int, columns: tuple[str, ...] = ("tables", "customers")) -> np.ndarray:
-    """Tables and customers of ``keys``, over all buckets."""
-    order, _, _ = in_shards(keys, n_shards)
-    replies = sorted(replies, key=lambda r: r["shard"])
-    out = np.zeros((len(columns), len(keys)))
-    for k, column in enumerate(columns):
-        out[k, order] = np.concatenate([unpacked(r[column], np.float64) for r in replies])
-    return out
 
+def from_shards(replies: list[dict], column: str) -> np.ndarray:
+    """A bucket's contexts lie in the order of shards, as do the replies."""
+    found = [unpacked(r[column], np.int64) for r in sorted(replies, key=lambda r: r["shard"]) if r[column] is not None]
+    return np.concatenate(found).astype(np.float64)
 
-def stirling_ratios(discount: float, wanted: np.ndarray) -> dict[int, np.ndarray]:
-    """For each wanted number of customers c, S(c, t + 1) / S(c, t) for t = 1 ... c - 1.
+
+def stirling_ratios(discount: float, upto: int) -> np.ndarray:
+    """S(c, t + 1) / S(c, t) for c = 2 ... upto customers and t = 1 ... c - 1, one after the other.
 
     S(c, t) is the weight of all ways to seat c customers of one dish at t tables: S(c + 1, t) = S(c, t - 1) + (c - discount t) S(c, t).
     """
-    kept, out = set(wanted.tolist()), {}
+    out = np.zeros(upto * (upto - 1) // 2)
     ratio = np.zeros(0)  # of one customer: nothing after the first table
-    for c in range(1, int(wanted.max(initial=0)) + 1):
-        if c in kept:
-            out[c] = ratio
+    for c in range(1, upto):
         t = np.arange(1, c + 1)
         after = np.append(ratio, 0.0)
         before = np.divide(1.0, ratio, out=np.zeros(c - 1), where=ratio > 0)
         ratio = (1 + (c - discount * (t + 1)) * after) / (np.concatenate([[0.0], before]) + c - discount * t)
+        out[c * (c - 1) // 2 : c * (c + 1) // 2] = ratio
     return out
 
 
+def ratios_of(table: np.ndarray, c: int) -> np.ndarray:
+    return table[(c - 1) * (c - 2) // 2 : c * (c - 1) // 2]
+
+
 def far_ratio(customers: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
     """About S(c, t + 1) / S(c, t) for many customers: the saddle point of (1 - (1 - z)^discount)^t / z^c, by bisection on log(1 - z)."""
     low, high = np.full(len(t), -700.0), np.zeros(len(t))
@@ -331,7 +342,13 @@ def far_ratio(customers: np.ndarray, t: np.ndarray, discount: float) -> np.ndarr
 
 
 def seat(
-    customers: np.ndarray, strength: np.ndarray, per_table: np.ndarray, discount: float, rng, parent: tuple[np.ndarray, np.ndarray] | None = None
+    customers: np.ndarray,
+    strength: np.ndarray,
+    per_table: np.ndarray,
+    discount: float,
+    rng,
+    parent: tuple[np.ndarray, np.ndarray] | None = None,
+    ratios: np.ndarray | None = None,
 ) -> np.ndarray:
     """Numbers of tables of dishes with so many customers, drawn anew given all else.
 
@@ -339,41 +356,42 @@ def seat(
     of customers seated less the discount per table for one that joins. So t tables have the weight S(c, t) (see ``stirling_ratios``) times the
     product of the first factor over 1 ... t - 1 tables, and t is drawn from these weights themselves. With ``parent`` (mass, total) a customer that
     opens a table also sits down in the parent restaurant, which draws the next one there: a factor (mass + tables) / (total + tables).
+    ``ratios`` is ``stirling_ratios`` up to ``EXACT`` customers, where it is known.
     """
-    none = np.broadcast_to(np.inf, customers.shape)
-    mass, total = parent if parent else (none, none)
 
-    def log_opening(rows: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            out = np.log(np.maximum(strength[rows] + per_table[rows] * tables, 1e-300))
+    def opening(rows: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        out = np.maximum(strength[rows] + per_table[rows] * tables, 1e-300)
         if parent:
-            out += np.log(np.maximum(mass[rows] + tables, 1e-300)) - np.log(total[rows] + tables)
+            mass, total = parent
+            out = out * np.maximum(mass[rows] + tables, 1e-300) / (total[rows] + tables)
         return out
 
     tables = np.minimum(customers, 1).astype(np.float64)
     exact = np.flatnonzero((customers > 1) & (customers <= EXACT))
     order = exact[np.argsort(customers[exact], kind="stable")]
     sizes, first = np.unique(customers[order], return_index=True)
-    ratios = stirling_ratios(discount, sizes)
+    if ratios is None and len(sizes):
+        ratios = stirling_ratios(discount, int(sizes[-1]))
     for c, a, b in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)][: len(sizes)], strict=True):
-        rows = order[a:b]
-        j, step = np.arange(1, c), max(1, (1 << 21) // c)
-        with np.errstate(divide="ignore"):
-            log_ratio = np.log(ratios[c])
-        for a in range(0, len(rows), step):
-            part = rows[a : a + step]
-            gain = log_opening(part[:, None], j) + log_ratio
-            weight = np.concatenate([np.zeros((len(part), 1)), np.cumsum(gain, axis=1)], axis=1)
+        j, step, ratio = np.arange(1, c), max(1, (1 << 20) // c), ratios_of(ratios, c)
+        for low in range(a, b, step):
+            part = order[low : min(b, low + step)]
+            rates = opening(part[:, None], j) * ratio
+            if c <= FEW:
+                weight = np.concatenate([np.ones((len(part), 1)), np.cumprod(rates, axis=1)], axis=1)
+            else:
+                gain = np.concatenate([np.zeros((len(part), 1)), np.cumsum(np.log(rates), axis=1)], axis=1)
+                weight = np.exp(gain - gain.max(axis=1, keepdims=True))
             tables[part] = 1 + _drawn(weight, rng)
     far = np.flatnonzero(customers > EXACT)
     if len(far):
-        tables[far] = _seat_many(customers[far].astype(np.float64), lambda rows, t: log_opening(far[rows], t), discount, rng)
+        tables[far] = _seat_many(customers[far].astype(np.float64), lambda rows, t: np.log(opening(far[rows], t)), discount, rng)
     return tables
 
 
 def _drawn(weight: np.ndarray, rng) -> np.ndarray:
-    """A column of each row, by its logarithmic weights."""
-    mass = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+    """A column of each row, by its weights."""
+    mass = np.cumsum(weight, axis=1)
     return np.minimum((mass < rng.random((len(mass), 1)) * mass[:, -1:]).sum(axis=1), weight.shape[1] - 1)
 
 
@@ -398,7 +416,7 @@ def _seat_many(c: np.ndarray, log_opening, discount: float, rng) -> np.ndarray:
     rates = log_opening(rows, t) + np.log(np.maximum(far_ratio(c[rows], t, discount), 1e-300))
     weight = np.concatenate([np.zeros((len(c), 1)), np.cumsum(rates.reshape(len(c), 256) * between, axis=1)], axis=1)
     weight[:, 1:][between == 0] = -np.inf
-    return places[each, _drawn(weight, rng)]
+    return places[each, _drawn(np.exp(weight - weight.max(axis=1, keepdims=True)), rng)]
 
 
 class Seating:
@@ -445,19 +463,19 @@ class Seating:
         }
         self.kept = {c: np.concatenate([self.kept[c], np.round(values).astype(np.int64)]) for c, values in found.items()}
 
-    def sweep(self, number: int, model: Model) -> None:
-        """``model`` has the totals over all buckets as they are now."""
+    def sweep(self, number: int, model: Model, ratios: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """``model`` has the totals over all buckets as they are now; ``ratios`` of its two discounts, where they are known."""
         d, d0, many = model.discount, model.parent_discount, self.many
         rng = np.random.default_rng([SEED, self.bucket, number])
         w, k, own = self.word[many], self.context[many], self.tables[many]
         rest = np.maximum(self.parent_customers[w] - own - d0 * np.minimum(self.parent_tables[w], self.parent_customers[w] - own), 0)
         mass = rest + (STRENGTH + d0 * model.parent_tables) * model.uniform
         others = STRENGTH + d * (model.tables[k] - own)
-        self.tables[many] = seat(self.counts[many], others, np.full(len(many), d), d, rng, (mass, STRENGTH + model.parent_customers - own))
+        self.tables[many] = seat(self.counts[many], others, np.full(len(many), d), d, rng, (mass, STRENGTH + model.parent_customers - own), ratios[0] if ratios else None)
         self.parent_customers = np.bincount(self.word, self.tables, self.n_words)
         elsewhere = model.parent_tables - self.parent_tables
         full = np.full(self.n_words, model.uniform)
-        self.parent_tables = seat(self.parent_customers.astype(np.int64), (STRENGTH + d0 * elsewhere) * model.uniform, d0 * full, d0, rng)
+        self.parent_tables = seat(self.parent_customers.astype(np.int64), (STRENGTH + d0 * elsewhere) * model.uniform, d0 * full, d0, rng, None, ratios[1] if ratios else None)
 
     def chances(self, model: Model) -> np.ndarray:
         """The probability of each pair's word in its context, averaged over the kept samples."""
@@ -551,8 +569,8 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
     table. Without training rows every token is unknown, and its probability is 1.
     """
     spark: SparkSession = docs.sparkSession
-    chunk_schema, request_schema, bucket_schema, state_schema, reply_schema, part_schema, total_schema, score_schema = map(
-        _schema, (CHUNKS, REQUESTS, BUCKETS, STATES, REPLIES, PARTS, TOTALS, SCORES)
+    chunk_schema, request_schema, bucket_schema, state_schema, reply_schema, asked_schema, place_schema, part_schema, score_schema = map(
+        _schema, (CHUNKS, REQUESTS, BUCKETS, STATES, REPLIES, ASKED, PLACES, PARTS, SCORES)
     )
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"),
@@ -582,21 +600,28 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
 
     def merge(group: pa.Table) -> pa.Table:
         requests = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-        return pa.Table.from_batches([_batch([merge_by_keys(requests)], bucket_schema)])
+        return pa.Table.from_batches([_batch([merge_by_keys(requests, n_buckets)], bucket_schema)])
+
+    def ask_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts = by_shard(unpacked(row["cut"], np.int32), np.frombuffer(row["keys"], np.int64), unpacked(row["customers"], np.int64))
+                asked = [{"asker": row["bucket"], "shard": s, "keys": k.tobytes(), "customers": packed(c)} for s, k, c in parts]
+                yield _batch(asked, asked_schema)
+
+    def place(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_batch(places_of_shard(sorted(group.to_pylist(), key=lambda r: r["asker"])), place_schema)])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tables = unpacked(row["tables"], np.float64)
-                # Only the first round asks for customers.
-                customers = unpacked(row["customers"], np.float64) if "customers" in row else np.zeros(len(tables))
-                yield _batch(to_shards(row["bucket"], np.frombuffer(row["keys"], np.int64), tables, customers, n_buckets), part_schema)
+                parts = by_shard(unpacked(row["cut"], np.int32), unpacked(row["tables"], np.int64))
+                yield _batch([{"asker": row["bucket"], "shard": s, "tables": packed(t)} for s, t in parts], part_schema)
 
     def add(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_batch(add_shard(sorted(group.to_pylist(), key=lambda r: r["asker"])), total_schema)])
-
-    def added_up(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("shard").applyInArrow(add, TOTALS)
+        rows = group.to_pylist()
+        places = next(r for r in rows if r["askers"] is not None)
+        return pa.Table.from_batches([_batch(add_shard(places, [r for r in rows if r["asker"] is not None]), part_schema)])
 
     own = chunks.drop("doc_ids", "n_docs")
     buckets = _written(own.mapInArrow(ask, REQUESTS).groupBy("bucket").applyInArrow(merge, BUCKETS))
@@ -610,18 +635,27 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
         # One table per pair, so as many customers of the parent as words in contexts.
         model.parent_customers, model.parent_tables = float(first[6]), float(model.words)
 
+    exact = min(EXACT, max(2, model.tokens))
+    ratios = spark.sparkContext.broadcast((stirling_ratios(model.discount, exact), stirling_ratios(model.parent_discount, exact)))
+    # Where contexts are in their shards, and the customers of contexts over all buckets, never change.
+    shards = _written(buckets.select("bucket", "cut", "keys", "customers").mapInArrow(ask_shards, ASKED).groupBy("shard").applyInArrow(place, PLACES))
+    places = shards.where("askers IS NOT NULL").select("shard", "askers", "sizes", "places")
+    in_contexts = shards.where("asker IS NOT NULL").select(F.col("asker").alias("bucket"), "shard", "customers")
+
+    def added_up(states: DataFrame) -> DataFrame:
+        parts = states.select("bucket", "cut", "tables").mapInArrow(send, PARTS)
+        return parts.unionByName(places, allowMissingColumns=True).groupBy("shard").applyInArrow(add, PARTS)
+
     def seating_of(group: pa.Table, model: Model) -> tuple[dict, Seating, Model]:
         """A bucket, its seating after the last sweep, and the model with the totals that are then."""
         rows = group.to_pylist()
         row = next(r for r in rows if r["counts"] is not None)
-        keys = np.frombuffer(row["keys"], np.int64)
         state = next((r for r in rows if r["pair_tables"] is not None), None)
         answers = [r for r in rows if r["shard"] is not None]
-        tables = from_shards(answers, keys, n_buckets, ("tables",))[0]
-        seating = Seating(row, len(keys), state)
+        tables = from_shards(answers, "tables")
+        seating = Seating(row, len(tables), state)
         if not state:
-            # Customers never change.
-            seating.in_context = from_shards(answers, keys, n_buckets, ("customers",))[0]
+            seating.in_context = from_shards(answers, "customers")
         return row, seating, replace(model, tables=tables)
 
     def sweeper(number: int, model: Model):
@@ -629,9 +663,10 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
             row, seating, now = seating_of(group, model)
             if number > burn_in:
                 seating.keep(now)
-            seating.sweep(number, now)
+            seating.sweep(number, now, ratios.value)
             sums = [float(seating.parent_customers.sum()), float(seating.parent_tables.sum())]
-            state = {"bucket": row["bucket"], "keys": row["keys"], "tables": packed(seating.of_context()), "sums": sums, **seating.state()}
+            tables = packed(seating.of_context().astype(np.int64))
+            state = {"bucket": row["bucket"], "cut": row["cut"], "tables": tables, "sums": sums, **seating.state()}
             return pa.Table.from_batches([_batch([state], state_schema)])
 
         return sweep
@@ -645,19 +680,19 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
         return reply
 
     # Each sweep starts from the totals over all buckets after the one before; after the last one, its totals go with it.
-    to_sweep = ["bucket", "keys", "per_word", "contexts", "counts"]
+    to_sweep = ["bucket", "cut", "per_word", "contexts", "counts"]
     to_reply = [*to_sweep, "chunks", "n_words", "n_pairs", "word_at", "pair_at"]
-    states = buckets.select("bucket", "keys", "tables", "customers")
+    states = buckets.select("bucket", "cut", "tables")
     for number in range(sweeps + 1):
         is_last = number == sweeps
-        totals = added_up(states.select("bucket", "keys", "tables", *([] if number else ["customers"])).mapInArrow(send, PARTS))
+        told = added_up(states).withColumnRenamed("asker", "bucket")
         rows = buckets.select(to_reply if is_last else to_sweep)
         if number:
             rows = rows.unionByName(states.select("bucket", *SEATING), allowMissingColumns=True)
         else:
             rows = rows.withColumns({c: F.lit(None).cast("binary") for c in SEATING})
-        told = totals.select(F.col("asker").cast("int").alias("bucket"), "shard", "tables", "customers")
-        groups = rows.unionByName(told.drop("customers") if number else told, allowMissingColumns=True).groupBy("bucket")
+            told = told.unionByName(in_contexts, allowMissingColumns=True)
+        groups = rows.unionByName(told, allowMissingColumns=True).groupBy("bucket")
         if is_last:
             replies = _written(groups.applyInArrow(replier(model), REPLIES))
         else:
@@ -667,6 +702,7 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
             after = _by_position(states)
             if len(after):
                 model = replace(model, parent_customers=float(after[0]), parent_tables=float(after[1]))
+    _drop(shards)
     _drop(states)
     _drop(buckets)
 

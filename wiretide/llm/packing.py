@@ -9,6 +9,7 @@ full windows, and the last rest is cut into powers of two. So there is no paddin
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +24,11 @@ from .common import pieces
 MODEL = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
-#: Open windows of one task (8 KB each at most); with more, they are all cut as at the end of the task.
+#: Open windows of one task (8 KB each at most); with more, the fuller half is cut as all are at the end of the task.
 MAX_OPEN = 8192
+# The rules of the tokenizer under which chunks between white space can be encoded by themselves.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Chunks whose ids one worker keeps; results don't depend on it.
 CACHED_CHUNKS = 200_000
 LONGEST_CACHED = 64
@@ -44,7 +48,8 @@ class Encoder:
     """Ids of whole texts, by white-space chunk; the same as the library's on the whole text.
 
     Pre-tokens never hold white space, so a text's ids are its chunks' ids. A chunk of letters up to U+00FF and closing ASCII
-    punctuation is two pre-tokens, which go straight to the merges; any other chunk goes through the library whole.
+    punctuation is two pre-tokens, which go straight to the merges; any other chunk goes through the library whole. ``proved`` reads from the
+    tokenizer's own file that its rules are those; without it every text goes through the library whole.
     """
 
     def __init__(self, path: str | None):
@@ -52,12 +57,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or public_tokenizers.path(MODEL))
+        self.proven = self.proved(json.loads(self.library.to_str()))
         self.merge = self.library.model.tokenize
         self.letters = byte_letters()
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    @staticmethod
+    def proved(settings: dict) -> bool:
+        normalizer, before, model = (settings.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+        split, to_bytes = (before.get("pretokenizers") or [{}, {}])[:2] if len(before.get("pretokenizers") or []) == 2 else ({}, {})
+        by_split = split.get("pattern") == {"Regex": SPLIT} and split.get("behavior") == "Removed" and split.get("invert")
+        by_bytes = to_bytes.get("type") == "ByteLevel" and not to_bytes.get("add_prefix_space") and not to_bytes.get("use_regex", True)
+        plain = not settings.get("truncation") and not settings.get("padding") and not model.get("dropout")
+        # No string of an added token reaches over white space.
+        apart = not any(c.isspace() for t in settings.get("added_tokens") or [] for c in t["content"])
+        return bool(normalizer.get("normalizers") == NORMALIZERS and by_split and by_bytes and model.get("type") == "BPE" and plain and apart)
+
     def ids(self, text: str) -> np.ndarray:
+        if not self.proven:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
         found = list(map(self.chunks.get, chunks))
         if None in found:
@@ -126,7 +145,7 @@ class Packer:
         self.counts[level + size] += 1
         self.n_open += 1
         if self.n_open > MAX_OPEN:
-            self.drain()
+            self.drain(MAX_OPEN // 2)
 
     def best_level(self, size: int) -> int:
         """The level whose choice changes the sum of squares least; the fullest of equals. 0 is a new window."""
@@ -146,17 +165,19 @@ class Packer:
             offset += len(ids)
         self.sequence += 1
 
-    def drain(self) -> None:
+    def drain(self, keep: int = 0) -> None:
+        """Cuts the open windows, the fullest first, until ``keep`` are left."""
         line = []
-        for level, windows in enumerate(self.open):
-            for pieces in windows:
+        for level in range(self.window - 1, 0, -1):
+            windows = self.open[level]
+            while windows and self.n_open > keep:
+                pieces = windows.pop()
+                self.counts[level] -= 1
+                self.n_open -= 1
                 if level & (level - 1) == 0:
                     self.close(pieces)
                 else:
                     line += pieces
-            windows.clear()
-        self.counts[:] = 0
-        self.n_open = 0
         total = sum(len(p[2]) for p in line)
         cuts = [self.window] * (total // self.window)
         cuts += [1 << b for b in range(self.window.bit_length(), -1, -1) if total % self.window >> b & 1]
