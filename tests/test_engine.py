@@ -149,6 +149,17 @@ def log_of(spark, path, *batches):
     return store.read_alerts(spark, str(path))
 
 
+def test_lines_are_written_in_the_order_of_ids(spark, tmp_path):
+    path, lines = str(tmp_path / "log"), str(tmp_path / "lines")
+    rows = [alert(seq, f"10.0.0.{seq}") for seq in (7, 3, 9, 1, 5)]
+    df = spark.createDataFrame([tuple(a.get(f.name) for f in ALERT_SCHEMA) for a in rows], ALERT_SCHEMA).withColumn("detector_ordinal", F.lit(0))
+    for _ in range(2):  # run again, the batch replaces its lines
+        assert store.append_alerts(df, path, 4, "stream", lines) == 5
+    files = sorted((tmp_path / "lines" / "writer=stream" / "batch_id=4").glob("part-*"))
+    written = [line for f in files for line in f.read_text().splitlines()]
+    assert written == [f"ALERT [PORT_SCAN] source=10.0.0.{seq} :: d" for seq in (1, 3, 5, 7, 9)]
+
+
 def test_newest_events_open_the_last_batches_only(spark, tmp_path):
     path = str(tmp_path / "log")
     batches = [[alert(10 * k + j, f"10.0.0.{k % 4}", "ARP_SPOOF" if k == 1 else "PORT_SCAN") for j in range(3)] for k in range(10)]

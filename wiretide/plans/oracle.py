@@ -287,6 +287,7 @@ ORACLE: dict[str, str] = {
     ),
     "alert_log": _sql(_all(), f"SELECT id, {VIEW} FROM log"),
     "alert_lines": _sql(_all(), "SELECT id, 'ALERT [' || event_type || '] source=' || source_ip || ' :: ' || details AS line FROM log"),
+    "alert_text": _sql(_all(), "SELECT 'ALERT [' || event_type || '] source=' || source_ip || ' :: ' || details AS line FROM alerts"),
     "events_by_type": _sql(_all(), f"SELECT id, {VIEW} FROM log WHERE event_type = 'SYN_FLOOD'"),
     "events_by_source": _sql(_all(), f"SELECT id, {VIEW} FROM log WHERE source_ip = '10.0.0.7'"),
     "recent_events": _sql(_all(), f"SELECT id, {VIEW} FROM log ORDER BY id DESC LIMIT 100"),

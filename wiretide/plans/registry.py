@@ -204,6 +204,13 @@ def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_alerts(spark, _LOGS[known])
 
 
+def alert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lines of a full run, read back from the text files."""
+    path = scratch_path(spark)
+    store.append_alerts(detect_all(event_packets(spark, sf_dir), DETECTOR_SETTINGS), f"{path}/log", lines_path=f"{path}/lines")
+    return spark.read.text(f"{path}/lines").select(F.col("value").alias("line"))
+
+
 def newest(spark: SparkSession, sf_dir: str, *options) -> DataFrame:
     alert_log(spark, sf_dir)
     return _log_view(store.newest_events(spark, _LOGS[spark.sparkContext.applicationId, sf_dir], *options))
@@ -403,6 +410,7 @@ QUERIES: dict[str, Query] = {
     "session_summary": summary,
     "alert_log": lambda s, d: _log_view(alert_log(s, d)),
     "alert_lines": lambda s, d: store.alert_lines(alert_log(s, d)).select("id", "line"),
+    "alert_text": alert_text,
     "events_by_type": lambda s, d: _log_view(store.filter_alerts(alert_log(s, d), event_type="SYN_FLOOD")),
     "events_by_source": lambda s, d: _log_view(store.filter_alerts(alert_log(s, d), source_ip="10.0.0.7")),
     "recent_events": lambda s, d: _log_view(store.recent_events(alert_log(s, d))),

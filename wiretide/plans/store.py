@@ -53,11 +53,14 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LOG_SCHEMA)
 
 
-def append_alerts(alerts: DataFrame, path: str, batch_id: int | None = None, writer: str | None = None) -> int:
+def append_alerts(
+    alerts: DataFrame, path: str, batch_id: int | None = None, writer: str | None = None, lines_path: str | None = None
+) -> int:
     """Numbers the alerts after all that were appended before and appends them, partitioned by writer, batch and date; returns their number.
 
     Writing the same ``batch_id`` of the same ``writer`` again replaces just that, with the same ids, so a replayed
-    streaming batch leaves no duplicates. Without a ``batch_id`` each call is a writer of its own. A failure between reserving ids and
+    streaming batch leaves no duplicates. With ``lines_path`` the log lines are written there as text, in the order of ids, in a folder of the
+    same name. Without a ``batch_id`` each call is a writer of its own. A failure between reserving ids and
     writing leaves a gap in the ids, and never a repeated one.
     """
     if batch_id is None:
@@ -72,7 +75,11 @@ def append_alerts(alerts: DataFrame, path: str, batch_id: int | None = None, wri
     ids = _Ids(alerts.sparkSession, path)
     numbered = assign_ids(alerts, ids.reserve(writer, batch_id, n)).select("id", *ALERT_SCHEMA.names)
     dated = numbered.withColumn("event_date", F.date_add(F.lit("1970-01-01").cast("date"), _utc_day()))
-    dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/writer={writer}/batch_id={batch_id}")
+    folder = f"writer={writer}/batch_id={batch_id}"
+    dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/{folder}")
+    if lines_path:
+        written = alerts.sparkSession.read.schema(LOG_SCHEMA).parquet(f"{path}/{folder}")
+        alert_lines(written).orderBy("id").select("line").write.mode("overwrite").text(f"{lines_path}/{folder}")
     return n
 
 

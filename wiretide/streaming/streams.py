@@ -160,8 +160,9 @@ def start_detect_all(
     whitelist: Iterable[str] = (),
     available_now: bool = False,
     lateness_s: float | None = None,
+    lines_path: str | None = None,
 ) -> StreamingQuery:
-    """All selected detectors over one stream into one log, as ``detect_all`` on a table.
+    """All selected detectors over one stream into one log, as ``detect_all`` on a table, and with ``lines_path`` as lines of text, too.
 
     Each micro-batch goes to every detector in turn, and their alerts are appended together, numbered by (arrival, detector).
     Whitelisted packets enter no detector. With ``lateness_s`` packets are held back that long and given on in the order of time; later ones are
@@ -211,7 +212,7 @@ def start_detect_all(
                 logger.exception("detector %s failed in micro-batch %s", name, batch_id)
                 own.set_aside(rows)
                 failures.append((batch_id, name, f"{type(error).__name__}: {error}"))
-        raised = append_alerts(reduce(DataFrame.unionByName, found), path, batch_id, stream_writer(spark, checkpoint))
+        raised = append_alerts(reduce(DataFrame.unionByName, found), path, batch_id, stream_writer(spark, checkpoint), lines_path)
         if failures:
             table = spark.createDataFrame(failures, _FAILURES).drop("batch_id").coalesce(1)
             table.write.mode("overwrite").parquet(f"{state_path}/failures/batch={batch_id}")
