@@ -122,17 +122,19 @@ def detect_arp_spoof(
     firsts = materialize(first_arrivals(eligible, keys, "src_mac"))
     # Only addresses with two MACs at some time can alert.
     order = F.struct("ts_us", "seq", "src_mac")
-    bound = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_bound")).filter(F.size("_bound") >= 2)
-    bound = materialize(bound)
+    bound = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_bound"), F.sum("_rows").alias("_rows"))
+    bound = materialize(bound.filter(F.size("_bound") >= 2))
+    most = bound.select("_rows").sort(F.desc("_rows")).head()
+    longest = most[0] if most else 0
     suspects = bound.select(*keys)
     counted = cumulative_distinct(
-        eligible.join(suspects, keys, "left_semi"), keys, "src_mac", slice_s, firsts=firsts.join(suspects, keys, "left_semi")
+        eligible.join(suspects, keys, "left_semi"), keys, "src_mac", slice_s, firsts=firsts.join(suspects, keys, "left_semi"), longest=longest
     )
     over = counted.filter(F.col("observed") >= 2).drop("src_mac")
-    fired = cooldown(over, keys, cooldown_us(cooldown_s), forced="first_seen")
+    fired = cooldown(over, keys, cooldown_us(cooldown_s), forced="first_seen", longest=longest)
     # The MACs so far are the first ``observed`` in the order in which they were bound.
     so_far = F.slice("_bound", F.lit(1), F.col("observed").cast("int"))["src_mac"]
-    return arp_spoof_alerts(fired.join(bound, keys).withColumn("items", F.array_sort(so_far)), by)
+    return arp_spoof_alerts(fired.join(bound.drop("_rows"), keys).withColumn("items", F.array_sort(so_far)), by)
 
 
 def arp_spoof_alerts(fired: DataFrame, by: list[str] | None = None) -> DataFrame:
