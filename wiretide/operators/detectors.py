@@ -210,20 +210,24 @@ def spike_alerts(
 ) -> DataFrame:
     """Alerts for the windows that exceed their baseline. A row counts as ``weight`` packets, or as one."""
     by = by or []
-    limit = F.lit(float(multiplier)) * F.col("baseline_avg")
-    spikes = materialize(
-        windows.filter(
-            F.col("close_us").isNotNull()
-            & (F.col("baseline_n") >= min_samples)
-            & (F.col("baseline_avg") > 0)
-            & (F.col("n") > limit)
-        )
-    )
+    spikes = materialize(spikes_of(windows, multiplier, min_samples))
     # Sources are ranked in the spikes only: the start table of the spikes places just their packets.
     placed = assign_windows(
         packets.select(*by, "ts_us", "seq", "src_ip", *([weight] if weight else [])), spikes.select(*by, "window_start", "close_us"), window_s, close="close_us", by=by
     )
-    top = top_source_per_window(placed, weight=weight, by=by)
+    return spike_texts(spikes, top_source_per_window(placed, weight=weight, by=by), window_s, multiplier, by)
+
+
+def spikes_of(windows: DataFrame, multiplier: float, min_samples: int) -> DataFrame:
+    """The closed windows that exceed their baseline."""
+    over = F.col("n") > F.lit(float(multiplier)) * F.col("baseline_avg")
+    judged = (F.col("baseline_n") >= min_samples) & (F.col("baseline_avg") > 0)
+    return windows.filter(F.col("close_us").isNotNull() & judged & over)
+
+
+def spike_texts(spikes: DataFrame, top: DataFrame, window_s: float, multiplier: float, by: list[str] | None = None) -> DataFrame:
+    """Alerts from ``spikes_of`` and ``top_source_per_window``."""
+    by = by or []
     fired = spikes.join(top, [*by, "window_start"]).select(
         *by,
         F.col("close_seq").alias("seq"),

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import slice_start
-from ..operators.detectors import spike_alerts
-from ..operators.windows import anchored_windows, assign_windows, rolling_baseline, window_starts
+from ..operators.detectors import spike_texts, spikes_of
+from ..operators.windows import assign_windows, top_source_per_window, window_starts
 from ..scratch import materialize
 from .memory import StreamMemory
 
@@ -44,20 +44,42 @@ def hold_back(rows: DataFrame, lateness: int, memory: StreamMemory) -> DataFrame
 
 
 def traffic_step(rows: DataFrame, p: Mapping[str, Any], memory: StreamMemory) -> DataFrame:
-    rows = materialize(rows.select("src_ip", "ts_us", "seq", F.lit(1).cast("bigint").alias("weight")))
+    """The alerts of a micro-batch. Its packets are placed once; what follows works on the packets per window and source."""
+    rows = rows.select("src_ip", "ts_us", "seq", F.lit(1).cast("bigint").alias("weight"))
+    last = None if memory.ordered else memory.read("latest", "taken_us bigint").first()
     if not memory.ordered:
-        last = memory.read("latest", "taken_us bigint").first()
-        rows = materialize(_by_arrival(rows, last.taken_us if last else None))
-        newest = rows.agg(F.greatest(F.max("ts_us"), F.lit(last.taken_us if last else None).cast("bigint")).alias("taken_us"))
-        memory.write("latest", newest)
+        rows = _by_arrival(rows, last.taken_us if last else None)
     rows = materialize(memory.read("open", _CARRIED).unionByName(rows))
-    history = memory.read("closed", "window_id bigint, n bigint")
+    if not memory.ordered:
+        newest = F.greatest(F.max("ts_us"), F.lit(last.taken_us if last else None).cast("bigint"))
+        memory.write("latest", rows.agg(newest.alias("taken_us")))
     starts = window_starts(rows, p["window_seconds"])
-    windows = materialize(anchored_windows(rows, p["window_seconds"], starts, "weight"))
-    sizes = windows.unionByName(history, allowMissingColumns=True)
-    judged = rolling_baseline(sizes, p["baseline_windows"]).filter(F.col("window_id") >= 0)
-    alerts = materialize(spike_alerts(rows, judged, p["window_seconds"], p["multiplier"], p["min_baseline_samples"], "weight"))
-    _save(rows, starts, windows, history, p, memory)
+    first = F.min(F.struct("ts_us", "seq")).alias("first")
+    held = assign_windows(rows, starts, p["window_seconds"]).groupBy("window_start", "src_ip").agg(first, F.sum("weight").alias("weight"))
+    held = materialize(held.select("window_start", "src_ip", "first.ts_us", "first.seq", "weight"))
+    # One row per window of the micro-batch, and the last windows before it.
+    in_order = Window.orderBy("window_start")
+    windows = held.groupBy("window_start").agg(F.sum("weight").alias("n"), F.min(F.struct("ts_us", "seq"))["seq"].alias("first_seq"))
+    windows = windows.select(
+        (F.row_number().over(in_order) - 1).cast("bigint").alias("window_id"),
+        "window_start",
+        "n",
+        F.lead("window_start").over(in_order).alias("close_us"),
+        F.lead("first_seq").over(in_order).alias("close_seq"),
+    )
+    history = memory.read("closed", "window_id bigint, n bigint")
+    before = Window.orderBy("window_id").rowsBetween(-p["baseline_windows"], -1)
+    judged = windows.unionByName(history, allowMissingColumns=True)
+    judged = materialize(judged.withColumns({"baseline_avg": F.avg("n").over(before), "baseline_n": F.count("n").over(before)}))
+    spikes = spikes_of(judged, p["multiplier"], p["min_baseline_samples"])
+    top = top_source_per_window(held.join(spikes.select("window_start"), "window_start", "left_semi"), weight="weight")
+    alerts = materialize(spike_texts(spikes, top, p["window_seconds"], p["multiplier"]))
+    open_window = judged.filter("window_start IS NOT NULL AND close_us IS NULL").select("window_start")
+    memory.write("open", held.join(open_window, "window_start", "left_semi").select("src_ip", "ts_us", "seq", "weight"))
+    closed = judged.filter("window_start IS NULL OR close_us IS NOT NULL").select("window_id", "n")
+    newest_first = Window.orderBy(F.desc("window_id"))  # over at most ``baseline_windows`` rows
+    kept = closed.orderBy(F.desc("window_id")).limit(p["baseline_windows"])
+    memory.write("closed", kept.select((-F.row_number().over(newest_first)).cast("bigint").alias("window_id"), "n"))
     return alerts
 
 
@@ -70,16 +92,3 @@ def _by_arrival(rows: DataFrame, taken_us: int | None) -> DataFrame:
     placed = rows.withColumn("_chunk", chunk).join(floors.select("_chunk", "_floor"), "_chunk")
     raised = F.greatest(F.max("ts_us").over(at), F.col("_floor"), F.lit(taken_us).cast("bigint"))
     return placed.withColumn("ts_us", raised).drop("_chunk", "_floor")
-
-
-def _save(rows, starts, windows, history, p: Mapping[str, Any], memory: StreamMemory) -> None:
-    """What the open window holds, and the last closed windows renumbered to end at -1."""
-    open_window = starts.agg(F.max("window_start").alias("window_start"))
-    members = assign_windows(rows, starts, p["window_seconds"]).join(F.broadcast(open_window), "window_start")
-    first = F.min(F.struct("ts_us", "seq")).alias("first")
-    carried = members.groupBy("src_ip").agg(first, F.sum("weight").alias("weight"))
-    memory.write("open", carried.select("src_ip", "first.ts_us", "first.seq", "weight"))
-    closed = windows.filter(F.col("close_us").isNotNull()).select("window_id", "n").unionByName(history)
-    newest_first = Window.orderBy(F.desc("window_id"))  # over at most ``baseline_windows`` rows
-    last = closed.orderBy(F.desc("window_id")).limit(p["baseline_windows"])
-    memory.write("closed", last.select((-F.row_number().over(newest_first)).cast("bigint").alias("window_id"), "n"))
