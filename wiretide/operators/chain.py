@@ -211,6 +211,12 @@ def _sizes(items: DataFrame, key: list[str], length: int) -> tuple[int, int, int
     return tuple(value or 0 for value in row)
 
 
+def fold_times(times: DataFrame, key: list[str], gap_us: int) -> DataFrame:
+    """``greedy_times`` in one pass, for keys of a checked size."""
+    forced = F.col("forced") if "forced" in times.columns else F.lit(False)
+    return _fold(times.select(*key, "u", (F.col("u") + F.lit(gap_us)).alias("x"), forced.alias("forced")), key)
+
+
 def greedy_times(
     times: DataFrame,
     key: list[str],
@@ -244,10 +250,7 @@ def greedy_times(
             length *= span_gaps
         levels.append((items, length))
         items = materialize(_lift(items, key, gap_us, length))
-    if not levels:
-        forced = F.col("forced") if "forced" in items.columns else F.lit(False)
-        items = items.select(*key, "u", (F.col("u") + F.lit(gap_us)).alias("x"), forced.alias("forced"))
-    chosen = _fold(items, key)
+    chosen = _fold(items, key) if levels else fold_times(items, key, gap_us)
     for below, span in reversed(levels):
         chosen = _expand(below, chosen, key, gap_us, span)
     return chosen

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.flags import has_text
 from ..functions.timing import slice_start, window_us
 from ..scratch import materialize
-from .chain import SPAN_GAPS, SPAN_ROWS, greedy_times, span_gaps_for
+from .chain import FOLD_ROWS, SPAN_GAPS, SPAN_ROWS, fold_times, greedy_times, span_gaps_for
 from .running import dense_index
 
 # Consecutive windows that one task numbers or averages over.
@@ -21,10 +21,15 @@ _CHUNK = 65_536
 _SPAN = "struct<start: bigint, end: bigint>"
 
 
-def window_starts(packets: DataFrame, window_s: float, span_gaps: int = SPAN_GAPS, by: list[str] | None = None) -> DataFrame:
-    """Start times ``window_start`` of all windows (one chain for each value of ``by``), in the scratch folder."""
+def window_starts(packets: DataFrame, window_s: float, span_gaps: int = SPAN_GAPS, by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Start times ``window_start`` of all windows (one chain for each value of ``by``), in the scratch folder.
+
+    ``rows`` is a bound of the packets, where one is known: few are passed over once.
+    """
     window, by = window_us(window_s), by or []
     times = packets.select(*by, F.col("ts_us").alias("u"))
+    if rows is not None and rows <= FOLD_ROWS:
+        return materialize(fold_times(times, by, window).select(*by, F.col("u").alias("window_start")))
     densest = times.groupBy(*by, slice_start(F.col("u"), window)).count().agg(F.max("count")).first()[0] or 0
     gaps = span_gaps_for(densest, span_gaps)
     if densest * gaps > SPAN_ROWS:

@@ -53,7 +53,7 @@ def traffic_step(rows: DataFrame, p: Mapping[str, Any], memory: StreamMemory) ->
     if not memory.ordered:
         newest = F.greatest(F.max("ts_us"), F.lit(last.taken_us if last else None).cast("bigint"))
         memory.write("latest", rows.agg(newest.alias("taken_us")))
-    starts = window_starts(rows, p["window_seconds"])
+    starts = window_starts(rows, p["window_seconds"], rows=rows.count())
     first = F.min(F.struct("ts_us", "seq")).alias("first")
     held = assign_windows(rows, starts, p["window_seconds"]).groupBy("window_start", "src_ip").agg(first, F.sum("weight").alias("weight"))
     held = materialize(held.select("window_start", "src_ip", "first.ts_us", "first.seq", "weight"))
