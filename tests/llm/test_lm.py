@@ -233,13 +233,21 @@ def test_seating_has_the_law_of_its_customers(monkeypatch, law):
     draw = lambda: seat(np.full(n, customers), np.full(n, strength), np.full(n, per_table), discount, rng).mean()
     expected = mean_tables(*law)
     assert draw() == pytest.approx(expected, rel=0.01)
-    # The same by logarithms, and by the saddle point, as for dishes of many customers.
-    monkeypatch.setattr(lm_scoring, "FEW", 2)
-    assert draw() == pytest.approx(expected, rel=0.01)
+    # By the saddle point, as for dishes of many customers.
     monkeypatch.setattr(lm_scoring, "EXACT", 30)
     assert draw() == pytest.approx(expected, rel=0.05)
 
 
+def test_weights_beyond_a_double():
+    """So strong a restaurant that the weights can't be written down without logarithms."""
+    n, rng = 4000, np.random.default_rng(3)
+    drawn = seat(np.full(n, 200), np.full(n, 1e5), np.full(n, 0.0), 0.5, rng)
+    # Nearly every customer opens a table: 200 less the pairs that join.
+    log_weights = np.concatenate([[0], np.cumsum(np.log(ratios_of(stirling_ratios(0.5, 200), 200) * 1e5))])
+    p = np.exp(log_weights - log_weights.max())
+    assert drawn.mean() == pytest.approx((p * np.arange(1, 201)).sum() / p.sum(), rel=0.002) and log_weights.max() > 710
+
+
 def test_ratios_of_many_customers():
     for discount, error in ((0.3, 0.05), (0.5, 0.002), (0.8, 0.01)):
         exact = ratios_of(stirling_ratios(discount, 900), 900)

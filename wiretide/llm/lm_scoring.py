@@ -37,8 +37,6 @@ SWEEPS, BURN_IN = 5, 2
 #: Customers of a dish up to which the numbers behind its law are exact; beyond, they come from a saddle point (within 1 % for discounts
 #: of 0.5 or more, within 5 % from 0.3 on, at fewest tables).
 EXACT = 1024
-#: Customers up to which weights are multiplied as they are, without logarithms; results agree.
-FEW = 16
 SEED = 3
 END = b""
 
@@ -377,11 +375,14 @@ def seat(
         for low in range(a, b, step):
             part = order[low : min(b, low + step)]
             rates = opening(part[:, None], j) * ratio
-            if c <= FEW:
-                weight = np.concatenate([np.ones((len(part), 1)), np.cumprod(rates, axis=1)], axis=1)
-            else:
-                gain = np.concatenate([np.zeros((len(part), 1)), np.cumsum(np.log(rates), axis=1)], axis=1)
-                weight = np.exp(gain - gain.max(axis=1, keepdims=True))
+            weight = np.ones((len(part), c))
+            # Weights rise to one top and fall, so what gets too small to write down has no part in the draw.
+            with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                np.cumprod(rates, axis=1, out=weight[:, 1:])
+                beyond = np.flatnonzero(~np.isfinite(weight.sum(axis=1)))
+            if len(beyond):
+                gain = np.concatenate([np.zeros((len(beyond), 1)), np.cumsum(np.log(rates[beyond]), axis=1)], axis=1)
+                weight[beyond] = np.exp(gain - gain.max(axis=1, keepdims=True))
             tables[part] = 1 + _drawn(weight, rng)
     far = np.flatnonzero(customers > EXACT)
     if len(far):
