@@ -371,7 +371,7 @@ def seat(
     if ratios is None and len(sizes):
         ratios = stirling_ratios(discount, int(sizes[-1]))
     for c, a, b in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)][: len(sizes)], strict=True):
-        j, step, ratio = np.arange(1, c), max(1, (1 << 20) // c), ratios_of(ratios, c)
+        j, step, ratio = np.arange(1, c), max(1, (1 << 18) // c), ratios_of(ratios, c)
         for low in range(a, b, step):
             part = order[low : min(b, low + step)]
             rates = opening(part[:, None], j) * ratio
