@@ -260,6 +260,70 @@ def test_forgotten_addresses_are_not_counted():
     assert again[0]["observed"].tolist() == [2] and again[0]["items"].tolist() == [["c", "d"]]
 
 
+class Entries:
+    """A map state in memory, which counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.rows)
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.rows.get(key[0])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.rows[key[0]] = value
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.ms
+
+
+def arp_rows(rows):
+    return pd.DataFrame(rows, columns=["src_ip", "src_mac", "ts_us", "seq"])
+
+
+def test_a_group_holds_many_sources():
+    """A bucket of sources is one group: each source by itself, with two calls of the state for those that have rows."""
+    rng = random.Random(5)
+    rows = [(f"s{rng.randrange(40)}", f"m{rng.randrange(3)}", 1000 * k, k) for k in range(600)]
+    processor, found = ArpSpoofProcessor(20_000), []
+    processor.sources = Entries()
+    for a, b in [(0, 250), (250, 251), (251, 600)]:
+        batch = rows[a:b]
+        rng.shuffle(batch)
+        processor.sources.calls = 0
+        for part in processor.handleInputRows((7,), iter([arp_rows(batch)]), None):
+            found += list(part.itertuples(index=False, name=None))
+        assert processor.sources.calls <= 1 + 2 * len({r[0] for r in batch})
+    expected, macs, opens = [], {}, {}
+    for source, mac, t, seq in rows:
+        known = macs.setdefault(source, set())
+        forced = mac not in known
+        known.add(mac)
+        if len(known) > 1 and (forced or t >= opens.get(source, 0)):
+            expected.append((source, t, seq, len(known), sorted(known)))
+            opens[source] = t + 20_000
+    assert sorted(found) == sorted(expected) and len(expected) > 40
+
+
+def test_a_mac_is_forgotten_when_its_time_is_over():
+    processor = ArpSpoofProcessor(0, ttl_ms=1000)
+    processor.sources = Entries()
+    run = lambda now, *rows: [list(p["items"]) for p in processor.handleInputRows((0,), iter([arp_rows(list(rows))]), Now(now))]
+    assert run(0, ("x", "a", 1, 1), ("y", "a", 2, 2)) == []
+    assert run(600, ("x", "b", 3, 3)) == [[["a", "b"]]]
+    assert run(1200, ("x", "c", 4, 4), ("y", "b", 5, 5)) == [[["b", "c"]]]
+
+
 def test_folds_in_the_order_of_arrival():
     """Late rows, one after the other: what is before the window goes from the front, an expired port stays out."""
     rng = random.Random(6)

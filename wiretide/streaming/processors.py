@@ -3,10 +3,14 @@
 Each source keeps only what its window still needs. Without a watermark, rows count when they arrive, in the order of their arrival
 numbers. With one, rows are held back until the watermark has passed them and then folded in the order of time, so the
 alerts are those of the batch operators on the rows that weren't too late.
+
+A group of the stateful operator costs milliseconds, whatever its rows, so groups are buckets of sources and a source is an entry of its
+bucket's map, which is read and written only when the source has rows. A bucket's held rows are kept in packs.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .folds import arrival_counts, arrival_distinct, fired_positions, in_time_order, live_counts, live_distinct_counts
 
 _NEVER = -(2**62)
+# Alerts handed over at a time, and held rows in one pack.
+_PACK = 10_000
 
 FIRED_SCHEMA = T.StructType(
     [
@@ -29,58 +35,141 @@ FIRED_SCHEMA = T.StructType(
 )
 
 
-def _fired(source: str, batch: pd.DataFrame, at: list[int], observed, items) -> pd.DataFrame:
-    hit = batch.iloc[at]
+def _fired(source: list[str], ts_us: list[int], seq: list[int], observed: list[int], items: list) -> pd.DataFrame:
     return pd.DataFrame(
         {
-            "src_ip": [source] * len(at),
-            "ts_us": hit["ts_us"].to_numpy(),
-            "seq": hit["seq"].to_numpy(),
+            "src_ip": source,
+            "ts_us": np.asarray(ts_us, dtype="int64"),
+            "seq": np.asarray(seq, dtype="int64"),
             "observed": np.asarray(observed, dtype="int64"),
             "items": items,
         }
     )
 
 
+class Kept:
+    """A value of one source, with the calls of a state handle."""
+
+    def __init__(self, value: tuple | None) -> None:
+        self.value, self.changed = value, False
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value, self.changed = value, True
+
+
+class KeptMap:
+    """Values by key of one source, with the calls of a state handle; ``now`` is noted for each key that is written."""
+
+    def __init__(self, keys: list[str], noted: list[int], now: int) -> None:
+        self.noted, self.now, self.changed = dict(zip(keys, noted, strict=True)), now, False
+
+    def keys(self) -> list[tuple]:
+        return [(k,) for k in self.noted]
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        self.noted[key[0]] = self.now
+        self.changed = True
+
+
 class PerSourceProcessor(StatefulProcessor):
-    """Brings a source's rows into order for ``fold``, which yields what fires. ``value`` names the column that is counted."""
+    """Brings the rows of a bucket's sources into order for ``found``, source by source. ``value`` names the column that is counted.
+
+    ``state_type`` is what is kept of a source; ``load`` and ``saved`` bring it into the handles that ``found`` uses and back.
+    """
 
     value: str | None = None
+    state_type: str
     event_time = False
+    ttl_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.sources = handle.getMapState("sources", "src_ip string", self.state_type, self.ttl_ms)
         if self.event_time:
-            self.held = handle.getListState("held", "ts_us bigint, seq bigint, value string")
-        self.open_state(handle)
+            packs = "src_ip array<string>, ts_us array<bigint>, seq array<bigint>, value array<string>"
+            self.held = handle.getListState("held", packs)
+
+    def load(self, value: tuple | None, now: int) -> None:
+        self.state = Kept(value)
 
-    def open_state(self, handle: StatefulProcessorHandle) -> None:
+    def saved(self) -> tuple | None:
+        """What is to be written; None if nothing has changed."""
+        return self.state.get() if self.state.changed else None
+
+    def found(self, ts: np.ndarray, value: np.ndarray | None) -> tuple[list[int], list[int], list]:
+        """Of a source's rows in their order: the places of those that fire, their ``observed`` and ``items``."""
         raise NotImplementedError
 
     def fold(self, source: str, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        raise NotImplementedError
+        """What fires of one source's rows, which come in their order."""
+        ts, seq = batch["ts_us"].to_numpy(), batch["seq"].to_numpy()
+        at, observed, items = self.found(ts, batch[self.value].to_numpy() if self.value else None)
+        if at:
+            yield _fired([source] * len(at), ts[at], seq[at], observed, items)
+
+    def _fold_sources(self, rows: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
+        """Rows of several sources, each source's in their order."""
+        codes, names = pd.factorize(rows["src_ip"])
+        order = np.argsort(codes, kind="stable")
+        ts, seq = rows["ts_us"].to_numpy()[order], rows["seq"].to_numpy()[order]
+        value = rows[self.value].to_numpy()[order] if self.value else None
+        ends = np.cumsum(np.bincount(codes, minlength=len(names))).tolist()
+        known = self.sources.exists()
+        columns: tuple[list, ...] = ([], [], [], [], [])
+        first = 0
+        for name, end in zip(names, ends, strict=True):
+            kept = self.sources.getValue((name,)) if known else None
+            self.load(None if kept is None else tuple(kept), now)
+            at, observed, items = self.found(ts[first:end], None if value is None else value[first:end])
+            saved = self.saved()
+            if saved is not None:
+                self.sources.updateValue((name,), saved)
+            if at:
+                places = np.asarray(at) + first
+                parts = ([name] * len(at), ts[places].tolist(), seq[places].tolist(), observed, items)
+                for column, part in zip(columns, parts, strict=True):
+                    column.extend(part)
+            if len(columns[0]) >= _PACK:
+                yield _fired(*columns)
+                columns = ([], [], [], [], [])
+            first = end
+        if columns[0]:
+            yield _fired(*columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows))
         if not self.event_time:
-            yield from self.fold(key[0], batch.sort_values("seq", kind="stable", ignore_index=True))
+            now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms is not None else 0
+            yield from self._fold_sources(batch.sort_values("seq", kind="stable", ignore_index=True), now)
             return
-        values = batch[self.value].astype(str).tolist() if self.value else [None] * len(batch)
-        self.held.appendList(list(zip(batch["ts_us"].tolist(), batch["seq"].tolist(), values, strict=True)))
+        values = batch[self.value].astype(str) if self.value else pd.Series([None] * len(batch), dtype=object)
+        self._hold(*[c.tolist() for c in (batch["src_ip"], batch["ts_us"], batch["seq"], values)])
         self._wake(batch["ts_us"].min())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.held.get(), key=lambda r: (r[0], r[1]))
-        due = [r for r in held if r[0] < passed]
-        rest = held[len(due) :]
+        packs = list(self.held.get()) if self.held.exists() else []
+        columns = [[x for pack in packs for x in pack[k]] for k in range(4)]
+        held = pd.DataFrame(dict(zip(["src_ip", "ts_us", "seq", self.value or "value"], columns, strict=True)))
+        due = held[held["ts_us"] < passed] if len(held) else held
+        if not len(due):
+            return  # another timer of this bucket has taken them
+        rest = held[held["ts_us"] >= passed]
         self.held.clear()
-        if rest:
-            self.held.put(rest)
-            self._wake(rest[0][0])
-        if due:
-            batch = pd.DataFrame(due, columns=["ts_us", "seq", self.value or "value"])
-            yield from self.fold(key[0], batch)
+        if len(rest):
+            self._hold(*[rest[c].tolist() for c in rest.columns])
+            self._wake(rest["ts_us"].min())
+        yield from self._fold_sources(due.sort_values(["ts_us", "seq"], kind="stable", ignore_index=True), 0)
+
+    def _hold(self, *columns: list) -> None:
+        n = len(columns[0])
+        self.held.appendList([tuple(c[a : a + _PACK] for c in columns) for a in range(0, n, _PACK)])
 
     def _wake(self, ts_us: int) -> None:
         """A timer for when the watermark has passed this time."""
@@ -93,16 +182,14 @@ class PerSourceProcessor(StatefulProcessor):
 class SynFloodProcessor(PerSourceProcessor):
     """State: the times still in the window and the end of the cooldown."""
 
+    state_type = "times array<bigint>, opens bigint"
+
     def __init__(self, threshold: int, window: int, gap: int) -> None:
         self.threshold, self.window, self.gap = threshold, window, gap
 
-    def open_state(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "times array<bigint>, opens bigint")
-
-    def fold(self, source: str, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def found(self, ts: np.ndarray, value: np.ndarray | None) -> tuple[list[int], list[int], list]:
         times, opens = self.state.get() if self.state.exists() else ([], _NEVER)
-        new = batch["ts_us"].to_numpy()
-        ts = np.concatenate([np.asarray(times, dtype="int64"), new])
+        new, ts = ts, np.concatenate([np.asarray(times, dtype="int64"), ts])
         if in_time_order(ts):
             observed = live_counts(ts, self.window)[len(times) :]
             times = ts[ts >= ts[-1] - self.window].tolist()
@@ -113,30 +200,28 @@ class SynFloodProcessor(PerSourceProcessor):
         hits, opens = fired_positions(new[over], opens, self.gap)
         self.state.update((times, opens))
         at = over[hits].tolist()
-        if at:
-            yield _fired(source, batch, at, observed[at], [None] * len(at))
+        return at, observed[at].tolist(), [None] * len(at)
 
 
 class PortScanProcessor(PerSourceProcessor):
     """State: the live ports with their latest time, and the end of the cooldown."""
 
     value = "dst_port"
+    state_type = "ports array<int>, seen array<bigint>, opens bigint"
 
     def __init__(self, threshold: int, window: int, gap: int) -> None:
         self.threshold, self.window, self.gap = threshold, window, gap
 
-    def open_state(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "ports array<int>, seen array<bigint>, opens bigint")
-
-    def fold(self, source: str, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def found(self, ts: np.ndarray, value: np.ndarray | None) -> tuple[list[int], list[int], list]:
         ports, seen, opens = self.state.get() if self.state.exists() else ([], [], _NEVER)
-        new, new_port = batch["ts_us"].to_numpy(), batch["dst_port"].to_numpy(dtype="int64")
+        new, new_port = ts, value.astype("int64")
         ts = np.concatenate([np.asarray(seen, dtype="int64"), new])
         if in_time_order(ts):
             port = np.concatenate([np.asarray(ports, dtype="int64"), new_port])
             at, observed, items, opens = self._in_order(ts, port, len(ports), opens)
-            latest = pd.Series(ts, index=port).groupby(level=0).max()
-            latest = latest[latest >= ts[-1] - self.window].to_dict()
+            # The last time of each port, as times ascend.
+            inside = ts >= ts[-1] - self.window
+            latest = dict(zip(port[inside].tolist(), ts[inside].tolist(), strict=True))
         else:
             latest = dict(zip(ports, seen, strict=True))
             at, observed, items = [], [], []
@@ -148,8 +233,7 @@ class PortScanProcessor(PerSourceProcessor):
                     opens = int(new[i]) + self.gap
         latest = sorted(latest.items(), key=lambda x: x[1])
         self.state.update(([int(p) for p, _ in latest], [int(t) for _, t in latest], opens))
-        if at:
-            yield _fired(source, batch, at, observed, items)
+        return at, observed, items
 
     def _in_order(self, ts: np.ndarray, port: np.ndarray, old: int, opens: int):
         observed = live_distinct_counts(ts, port, self.window)[old:]
@@ -160,7 +244,7 @@ class PortScanProcessor(PerSourceProcessor):
         for i in at:
             first = int(np.searchsorted(ts, ts[old + i] - self.window, side="left"))
             items.append([str(p) for p in np.unique(port[first : old + i + 1])])
-        return at, observed[at], items, opens
+        return at, observed[at].tolist(), items, opens
 
 
 class ArpSpoofProcessor(PerSourceProcessor):
@@ -170,27 +254,42 @@ class ArpSpoofProcessor(PerSourceProcessor):
     """
 
     value = "src_mac"
+    state_type = "macs array<string>, bound_ms array<bigint>, opens bigint, opened_ms bigint"
 
     def __init__(self, gap: int, ttl_ms: int | None = None) -> None:
         self.gap, self.ttl_ms = gap, ttl_ms
 
-    def open_state(self, handle: StatefulProcessorHandle) -> None:
-        self.macs = handle.getMapState("macs", "mac string", "ts_us bigint", self.ttl_ms)
-        self.state = handle.getValueState("cooldown", "opens bigint", self.ttl_ms)
-
-    def fold(self, source: str, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def load(self, value: tuple | None, now: int) -> None:
+        macs, bound, opens, self.opened = value or ([], [], None, 0)
+        if self.ttl_ms is not None:
+            left = [k for k, at in enumerate(bound) if at + self.ttl_ms > now]
+            macs, bound = [macs[k] for k in left], [bound[k] for k in left]
+            opens = opens if self.opened + self.ttl_ms > now else None
+        self.macs, self.state = KeptMap(macs, bound, now), Kept(None if opens is None else (opens,))
+
+    def saved(self) -> tuple | None:
+        if not (self.macs.changed or self.state.changed):
+            return None
+        opens = self.state.get()[0] if self.state.exists() else None
+        opened = self.macs.now if self.state.changed else self.opened
+        return list(self.macs.noted), list(self.macs.noted.values()), opens, opened
+
+    def found(self, ts: np.ndarray, value: np.ndarray | None) -> tuple[list[int], list[int], list]:
         opens = self.state.get()[0] if self.state.exists() else _NEVER
-        before = {m for (m,) in self.macs.keys()}
-        ts, mac = batch["ts_us"].to_numpy(), batch["src_mac"]
-        new = ~mac.duplicated().to_numpy() & ~mac.isin(before).to_numpy()
-        observed = len(before) + np.cumsum(new)
-        over = np.flatnonzero(observed >= 2)
-        hits, opens = fired_positions(ts[over], opens, self.gap, new[over])
-        at = over[hits].tolist()
-        for i in np.flatnonzero(new):
-            self.macs.updateValue((mac[i],), (int(ts[i]),))
+        known = {m for (m,) in self.macs.keys()}
+        listed = sorted(known)
+        at, observed, items = [], [], []
+        for i, (t, mac) in enumerate(zip(ts.tolist(), value.tolist(), strict=True)):
+            new = mac not in known
+            if new:
+                known.add(mac)
+                insort(listed, mac)
+                self.macs.updateValue((mac,), (t,))
+            if len(listed) >= 2 and (new or t >= opens):
+                at.append(i)
+                observed.append(len(listed))
+                items.append(listed.copy())
+                opens = t + self.gap
         if at:
             self.state.update((opens,))
-            added = mac.where(pd.Series(new))
-            items = [sorted([*before, *added[: i + 1].dropna()]) for i in at]
-            yield _fired(source, batch, at, observed[at], items)
+        return at, observed, items

@@ -26,7 +26,7 @@ from ..operators.predicates import port_scan_eligible, syn_packets
 from ..operators.sliding import sliding_count, sliding_distinct_count
 from ..scratch import materialize
 from .memory import StreamMemory
-from .processors import FIRED_SCHEMA, PerSourceProcessor, PortScanProcessor, SynFloodProcessor
+from .processors import FIRED_SCHEMA, Kept, PerSourceProcessor, PortScanProcessor, SynFloodProcessor
 
 _LIVE = "src_ip string, ts_us bigint, seq bigint, dst_port int"
 _OPENS = "src_ip string, opens bigint"
@@ -116,22 +116,6 @@ def _out_of_order(rows: DataFrame) -> DataFrame:
     return chunks.withColumn("_before", before).filter("_back OR _min < _before").select("src_ip").distinct()
 
 
-class _Kept:
-    """A value that stands in for a state handle."""
-
-    def __init__(self, value: tuple) -> None:
-        self.value = value
-
-    def exists(self) -> bool:
-        return True
-
-    def get(self) -> tuple:
-        return self.value
-
-    def update(self, value: tuple) -> None:
-        self.value = value
-
-
 def _fold(rows: DataFrame, opens: DataFrame, rule: PerSourceProcessor) -> DataFrame:
     """Sources one by one, in the order of arrival: rows of kind fired, live and opens."""
 
@@ -140,7 +124,7 @@ def _fold(rows: DataFrame, opens: DataFrame, rule: PerSourceProcessor) -> DataFr
         old, new = group[group["_old"]], group[~group["_old"]].reset_index(drop=True)
         open_from = int(group["_opens"].iloc[0])
         times = old["ts_us"].tolist()
-        rule.state = _Kept((old["dst_port"].tolist(), times, open_from) if rule.value else (times, open_from))
+        rule.state = Kept((old["dst_port"].tolist(), times, open_from) if rule.value else (times, open_from))
         parts: Iterator[pd.DataFrame] = rule.fold(key[0], new) if len(new) else iter(())
         found = [part.assign(kind="fired") for part in parts]
         *_, times, open_from = rule.state.get()

@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timing import cooldown_us, window_us
 from ..operators.detectors import (
@@ -24,13 +24,15 @@ from ..plans.store import append_alerts, stream_writer
 from ..schema import ALERT_SCHEMA, PACKET_COLUMNS
 from ..scratch import materialize, scratch_scope
 from .memory import Folder, StreamMemory
-from .processors import FIRED_SCHEMA, ArpSpoofProcessor, PortScanProcessor, SynFloodProcessor
+from .processors import FIRED_SCHEMA, ArpSpoofProcessor, PerSourceProcessor, PortScanProcessor, SynFloodProcessor
 from .steps import port_scan_step, syn_flood_step
 from .traffic import hold_back, traffic_step
 
 logger = logging.getLogger("wiretide")
 
 KEYED_DETECTORS = ("port_scan", "arp_spoof", "dos")
+# Groups of sources in keyed state; part of a stream's checkpoint.
+SOURCE_BUCKETS = 512
 
 
 def stream_detect(packets: DataFrame, detector: str, watermark: str | None = None, **params) -> DataFrame:
@@ -66,9 +68,10 @@ def stream_detect(packets: DataFrame, detector: str, watermark: str | None = Non
     raise ValueError(f"{detector!r} is not keyed by source; expected one of {list(KEYED_DETECTORS)}")
 
 
-def _fold_per_source(rows: DataFrame, processor: StatefulProcessor, time_mode: str) -> DataFrame:
+def _fold_per_source(rows: DataFrame, processor: PerSourceProcessor, time_mode: str) -> DataFrame:
     processor.event_time = time_mode == "EventTime"
-    return rows.groupBy("src_ip").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("src_ip"), F.lit(SOURCE_BUCKETS)).cast("int").alias("_bucket")
+    return rows.select("*", bucket).groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=FIRED_SCHEMA, outputMode="Append", timeMode=time_mode
     )
 
