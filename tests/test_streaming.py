@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from wiretide.operators.detectors import (
 from wiretide.operators import sliding
 from wiretide.operators.detectors import syn_flood_alerts
 from wiretide.operators.whitelist import exclude_whitelisted
+from wiretide.plans import registry
 from wiretide.plans.engine import assign_ids, detect_all, register_detector, unregister_detector
 from wiretide.plans.store import append_alerts, read_alerts
 from wiretide.sources.packets import load_packets
@@ -324,6 +326,23 @@ def test_a_mac_is_forgotten_when_its_time_is_over():
     assert run(1200, ("x", "c", 4, 4), ("y", "b", 5, 5)) == [[["b", "c"]]]
 
 
+def test_large_micro_batches_come_in_more_files(spark, monkeypatch):
+    rows = packets_df(spark, random_packets(21))
+    part = lambda: F.floor(F.col("seq") * registry.BATCHES / F.lit(rows.count()))
+    sizes, written = [], []
+    fresh = registry.scratch_path
+    monkeypatch.setattr(registry, "scratch_path", lambda s: written.append(fresh(s).removeprefix("file:")) or written[-1])
+    for worth in (registry.FILE_ROWS, 5):
+        monkeypatch.setattr(registry, "FILE_ROWS", worth)
+        stream = registry._in_batches(rows, part())
+        seen = []
+        query = stream.writeStream.foreachBatch(lambda batch, _, seen=seen: seen.append(sorted(r.seq for r in batch.collect())))
+        query.trigger(availableNow=True).option("checkpointLocation", fresh(spark)).start().awaitTermination()
+        assert [len(seen), sum(seen, [])] == [registry.BATCHES, sorted(r.seq for r in rows.collect())]
+        sizes.append(len(list(Path(written[-1]).glob("*.parquet"))))
+    assert sizes == [registry.BATCHES * registry.FILES, registry.BATCHES * 2 * spark.sparkContext.defaultParallelism]
+
+
 def test_folds_in_the_order_of_arrival():
     """Late rows, one after the other: what is before the window goes from the front, an expired port stays out."""
     rng = random.Random(6)

@@ -186,12 +186,18 @@ def detect_isolated(
 def assign_ids(alerts: DataFrame, start: int = 1) -> DataFrame:
     """Adds the dense ``id`` in the order (packet arrival, detector), from ``start`` on.
 
-    Numbered in chunks of arrival numbers: a chunk holds at most one alert per
-    packet and detector, whatever the total. Numbering reads the alerts twice,
-    so they are written out first and the packets are not read again.
+    Numbering reads the alerts twice, so they are written out first and the packets are not read again.
+    """
+    return number_written(materialize(alerts), start)
+
+
+def number_written(alerts: DataFrame, start: int = 1) -> DataFrame:
+    """``assign_ids`` for alerts that are a written table.
+
+    Numbered in chunks of arrival numbers: a chunk holds at most one alert per packet and detector, whatever the total.
     """
     chunk = slice_start(F.col("seq"), _ID_CHUNK)
-    return dense_index(materialize(alerts), ["seq", "detector_ordinal"], chunk, "id", start)
+    return dense_index(alerts, ["seq", "detector_ordinal"], chunk, "id", start)
 
 
 def session_summary(packets: DataFrame, alerts: DataFrame) -> DataFrame:

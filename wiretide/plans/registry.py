@@ -221,15 +221,23 @@ def _log_view(log: DataFrame) -> DataFrame:
 
 
 BATCHES, FILES = 3, 4
+# Packets of a micro-batch that are worth a file of their own beyond the first ``FILES``.
+FILE_ROWS = 50_000
 
 
-def _in_batches(rows: DataFrame, part: Column) -> str:
-    """Files in ``BATCHES`` groups of ``FILES``, one group per micro-batch, dealt by ``part`` (0, 1, ...)."""
-    path = scratch_path(rows.sparkSession)
+def _in_batches(rows: DataFrame, part: Column) -> DataFrame:
+    """A stream over files in ``BATCHES`` groups, one group per micro-batch, dealt by ``part`` (0, 1, ...).
+
+    A group has ``FILES`` files, or as many as the session has cores if all groups are large, so that they are written and read side by side.
+    """
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession)
     rows = materialize(rows.withColumn("_part", part))
+    sizes = rows.groupBy("_part").count().select(F.min("count"), F.count(F.lit(1))).first()
+    smallest = sizes[0] if sizes[1] >= BATCHES else 0
+    files = max(FILES, min(2 * spark.sparkContext.defaultParallelism, smallest // FILE_ROWS))
     for i in range(BATCHES):
-        rows.filter(F.col("_part") == i).drop("_part").repartition(FILES).write.mode("append").parquet(path)
-    return path
+        rows.filter(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(path)
+    return load_packets(spark, path, streaming=True, maxFilesPerTrigger=str(files))
 
 
 def _stream_session(spark: SparkSession) -> SparkSession:
@@ -241,15 +249,11 @@ def _stream_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def _stream(spark: SparkSession, path: str) -> DataFrame:
-    return load_packets(spark, path, streaming=True, maxFilesPerTrigger=str(FILES))
-
-
 def _stream_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All packets in the order of arrival."""
     rows = event_packets(spark, sf_dir)
     last = rows.agg(F.max("seq")).first()[0]
-    return _stream(spark, _in_batches(rows, F.floor(F.col("seq") * BATCHES / F.lit(last + 1))))
+    return _in_batches(rows, F.floor(F.col("seq") * BATCHES / F.lit(last + 1)))
 
 
 def _late_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +267,7 @@ def _late_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = {"protocol": F.lit("TCP"), "dst_port": F.lit(1), "tcp_flags": F.lit("S"), "is_arp": F.lit(True), "src_mac": F.lit("m")}
     closing = rows.orderBy(F.desc("seq")).limit(1).withColumns({**last, **flags})
     dealt = rows.withColumn("_at", part).unionByName(closing.withColumn("_at", F.lit(BATCHES - 1).cast("bigint")))
-    return _stream(spark, _in_batches(dealt, F.col("_at")))
+    return _in_batches(dealt, F.col("_at"))
 
 
 def _replay(spark: SparkSession, sf_dir: str, detector: str, late: bool = False, **params) -> DataFrame:

@@ -22,7 +22,7 @@ from ..functions.timing import iso_utc
 from ..operators.predicates import filter_alerts
 from ..schema import ALERT_SCHEMA, EVENT_TYPES
 from ..scratch import materialize
-from .engine import assign_ids
+from .engine import number_written
 
 # Rows returned by default and at most, and the four known types in display order.
 DEFAULT_LIMIT = 100
@@ -73,7 +73,7 @@ def append_alerts(
     if not n:
         return 0
     ids = _Ids(alerts.sparkSession, path)
-    numbered = assign_ids(alerts, ids.reserve(writer, batch_id, n)).select("id", *ALERT_SCHEMA.names)
+    numbered = number_written(alerts, ids.reserve(writer, batch_id, n)).select("id", *ALERT_SCHEMA.names)
     dated = numbered.withColumn("event_date", F.date_add(F.lit("1970-01-01").cast("date"), _utc_day()))
     folder = f"writer={writer}/batch_id={batch_id}"
     dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/{folder}")

@@ -184,26 +184,29 @@ def start_detect_all(
     entries = list(whitelist) or sections["whitelist"]
     columns = WATCHED_COLUMNS if all(forms[n] in (None, _STEPS.get(n)) for n in names) else PACKET_COLUMNS
     alert_type = ALERT_SCHEMA.simpleString()
-    row = F.struct(*columns)
-    row_type = packets.select(row.alias("packet")).schema["packet"].dataType.simpleString()
-    parts = [packets.select(F.lit(None).cast(alert_type).alias("alert"), row.cast(row_type).alias("packet"))]
+    parts = [packets.select(F.lit(None).cast(alert_type).alias("alert"), *columns)]
     if stateful:
         watermark = None if lateness_s is None else f"{lateness_s} seconds"
         found = stream_detect(exclude_whitelisted(packets, entries), "arp_spoof", watermark, cooldown_s=sections["arp_spoof"]["cooldown"])
         alert = F.struct(*ALERT_SCHEMA.names).cast(alert_type).alias("alert")
-        parts.append(found.select(alert, F.lit(None).cast(row_type).alias("packet")))
+        no_packet = [F.lit(None).cast(packets.schema[c].dataType).alias(c) for c in columns]
+        parts.append(found.select(alert, *no_packet))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, batch = batch.sparkSession, materialize(batch)
         ordinal = lambda name: F.lit(detector_names().index(name)).alias("detector_ordinal")
         found = [batch.filter("alert IS NOT NULL").select("alert.*", ordinal("arp_spoof") if stateful else F.lit(0).alias("detector_ordinal"))]
-        rows = batch.filter("packet IS NOT NULL").select("packet.*")
+        rows = batch.filter("alert IS NULL").select(*columns)
         memory = StreamMemory(spark, f"{state_path}/stream", batch_id, lateness_s is not None)
         arrived = rows.count()
-        rows = exclude_whitelisted(rows, entries)
+        # What is read below is one scan of a written table: the micro-batch, its rows held back, or those left of a whitelist.
+        if entries:
+            rows = exclude_whitelisted(rows, entries)
         if lateness_s is not None:
             rows = hold_back(rows, cooldown_us(lateness_s), memory)
-        rows, failures = materialize(rows), []
+        elif entries:
+            rows = materialize(rows)
+        failures = []
         for name in names:
             if forms[name] is None:
                 continue
