@@ -3,7 +3,8 @@
 Frequent pairs of neighbouring symbols are replaced by new symbols, round after round. A round counts all pairs and takes those that
 come at least a ``SPREAD``-th as often as the most frequent one, in falling order of counts, as long as no symbol is the
 left part of one pair and the right part of another. Such pairs share no place, so replacing them together is replacing
-them one by one. It ends when no pair comes ``LEAST`` times.
+them one by one. It ends when no pair comes ``LEAST`` times. A pair of older symbols never comes more often than before, so a round
+looks only at the places of pairs that came ``LEAST`` times in the last one and beside the symbols that it made.
 
 A symbol below the number of terminals stands for one id; symbol ``terminals + r`` stands for the two symbols of rule ``r``. Expansion
 lengths of rules let a stretch be decoded without what lies before or after it.
@@ -18,6 +19,8 @@ import numpy as np
 
 LEAST = 8
 SPREAD = 8
+#: Slots by which places of rare pairs are told; one that shares its slot with a frequent pair is only looked at again.
+SLOT_BITS = 18
 #: Compressed symbols between two stored offsets.
 STEP = 256
 _HEAD = "<4sBxxxIIQQQ"
@@ -45,34 +48,51 @@ def compress(ids: np.ndarray, least: int = LEAST) -> Grammar:
         symbols = symbols.astype(np.uint32)
     rules: list[np.ndarray] = []
     n = len(terminals)
+    live = np.ones(len(symbols), bool)
     while len(symbols) > 1:
-        chosen = frequent_pairs(symbols, n, least)
+        chosen = frequent_pairs(symbols, n, least, live)
         if not len(chosen):
             break
-        symbols = replace(symbols, chosen, n)
+        symbols = replace(symbols, chosen, n, live)
+        live = live[: len(symbols)]
         rules.append(np.stack([chosen // n, chosen % n], axis=1))
         n += len(chosen)
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return Grammar(terminals, made, symbols, rule_lengths(len(terminals), made))
 
 
-def frequent_pairs(symbols: np.ndarray, n: int, least: int) -> np.ndarray:
-    """The pairs of a round as left * n + right, most frequent first; empty when no pair comes ``least`` times."""
-    keys = pair_keys(symbols, slice(len(symbols) - 1), n)
-    keys.sort()
-    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-    counts = np.diff(np.append(starts, len(keys)))
-    pairs = keys[starts].astype(np.int64)
+def frequent_pairs(symbols: np.ndarray, n: int, least: int, live: np.ndarray | None = None) -> np.ndarray:
+    """The pairs of a round as left * n + right, most frequent first; empty when no pair comes ``least`` times.
+
+    ``live`` marks the places, by their left symbol, of all pairs that come ``least`` times, and others; most of the others are unmarked.
+    """
+    at = np.arange(len(symbols) - 1) if live is None else np.flatnonzero(live[:-1])
+    left, right = symbols.take(at), symbols.take(at + 1)
+    keys = pair_keys(left, right, n)
+    ordered = np.sort(keys)
+    # The first place of each key that is the same ``least`` - 1 places on.
+    often = ordered[least - 1 :] == ordered[: max(0, len(keys) - least + 1)]
+    often[1:] &= ordered[1 : len(often)] != ordered[: max(0, len(often) - 1)]
+    starts = np.flatnonzero(often)
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    pairs = ordered[starts]
+    counts = np.searchsorted(ordered, pairs, side="right") - starts
+    if live is not None:
+        seen = np.zeros(1 << SLOT_BITS, bool)
+        seen[_slots(pairs)] = True
+        live[at] = seen.take(_slots(keys))
+    pairs = pairs.astype(np.int64)
     # A stretch of one symbol holds half as many pairs of it that don't overlap.
-    apart = np.bincount(symbols[_every_second(np.flatnonzero(symbols[1:] == symbols[:-1]))], minlength=n)
     double = np.flatnonzero(pairs % (n + 1) == 0)
-    counts[double] = apart[pairs[double] // (n + 1)]
+    if len(double):
+        apart = np.bincount(symbols[_every_second(at[left == right])], minlength=n)
+        counts[double] = apart[pairs[double] // (n + 1)]
     level = max(least, int(counts.max()) // SPREAD)
     enough = np.flatnonzero(counts >= level)
     pairs = pairs[enough][np.lexsort((pairs[enough], -counts[enough]))]
     chosen, role = [], {}
-    for pair in pairs.tolist():
-        left, right = divmod(pair, n)
+    for pair, left, right in zip(pairs.tolist(), (pairs // n).tolist(), (pairs % n).tolist(), strict=True):
         if left == right:
             if left not in role:
                 role[left] = "both"
@@ -83,10 +103,15 @@ def frequent_pairs(symbols: np.ndarray, n: int, least: int) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
-def pair_keys(symbols: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
-    """left * n + right of the pairs at some places, in 32 bits where they fit, which sort twice as fast."""
+def pair_keys(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """left * n + right, in 32 bits where they fit, which sort twice as fast."""
     kind = np.uint32 if n * n <= 1 << 32 else np.uint64
-    return symbols[at].astype(kind) * kind(n) + symbols[1:][at]
+    return left.astype(kind, copy=False) * kind(n) + right.astype(kind, copy=False)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    odd = 0x9E3779B1 if keys.dtype == np.uint32 else 0x9E3779B97F4A7C15
+    return keys * keys.dtype.type(odd) >> keys.dtype.type(8 * keys.dtype.itemsize - SLOT_BITS)
 
 
 def _every_second(at: np.ndarray) -> np.ndarray:
@@ -98,18 +123,25 @@ def _every_second(at: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - first) % 2 == 0]
 
 
-def replace(symbols: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
-    """The sequence with every place of pair ``chosen[r]`` replaced by symbol ``n + r``."""
-    is_left, is_right = np.zeros(n, bool), np.zeros(n, bool)
-    is_left[chosen // n] = True
-    is_right[chosen % n] = True
-    at = np.flatnonzero(is_left[symbols[:-1]] & is_right[symbols[1:]])
-    keys = pair_keys(symbols, at, n).astype(np.int64)
+def replace(symbols: np.ndarray, chosen: np.ndarray, n: int, live: np.ndarray | None = None) -> np.ndarray:
+    """The sequence with every place of pair ``chosen[r]`` replaced by symbol ``n + r``.
+
+    ``live`` marks places that hold those of the chosen pairs; its start becomes the marks for the new sequence.
+    """
+    at = np.arange(len(symbols) - 1) if live is None else np.flatnonzero(live[:-1])
+    keys = pair_keys(symbols.take(at), symbols.take(at + 1), n)
+    wanted = chosen.astype(keys.dtype)
+    table = np.full(1 << SLOT_BITS, -1, np.int32)
+    table[_slots(wanted)] = np.arange(len(chosen))
+    rule = table.take(_slots(keys))
+    near = np.flatnonzero(rule >= 0)
+    at, keys, rule = at.take(near), keys.take(near), rule.take(near)
+    # A slot holds one of its pairs only.
+    other = np.flatnonzero(wanted.take(rule) != keys)
     order = np.argsort(chosen)
-    place = np.minimum(np.searchsorted(chosen[order], keys), len(chosen) - 1)
-    rule = order[place]
-    hit = chosen[rule] == keys
-    at, rule = at[hit], rule[hit]
+    rule[other] = order[np.minimum(np.searchsorted(wanted[order], keys[other]), len(chosen) - 1)]
+    hit = np.flatnonzero(wanted.take(rule) == keys)
+    at, rule = at.take(hit), rule.take(hit)
     # Only pairs of one symbol overlap, and only with themselves.
     kept = _every_second(at)
     rule = rule[np.searchsorted(at, kept)] if len(kept) < len(at) else rule
@@ -117,7 +149,12 @@ def replace(symbols: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
     out[kept] = n + rule
     stays = np.ones(len(symbols), bool)
     stays[kept + 1] = False
-    return out[stays]
+    out = out[stays]
+    if live is not None:
+        live[: len(out)] = live[stays]
+        made = np.flatnonzero(out >= n)
+        live[made] = live[np.maximum(made - 1, 0)] = True
+    return out
 
 
 def rule_lengths(n_terminals: int, rules: np.ndarray) -> np.ndarray:
