@@ -12,7 +12,8 @@ from helpers import awkward, documents, sentence
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wiretide.llm.re_pair import LEAST, Shard, compress, expand, frequent_pairs, replace, write_shard
+from wiretide.llm import token_files
+from wiretide.llm.re_pair import LEAST, Shard, _bits, _from_bits, compress, expand, frequent_pairs, replace, write_shard
 from wiretide.llm.token_files import Encoder, prove_ranks, read_stretch, read_tokens, rewrite_and_digest, token_digests, token_shards, write_token_files
 from wiretide.scratch import scratch_path
 
@@ -73,6 +74,48 @@ def test_no_frequent_pair_is_left_and_repeats_get_short():
     assert len(write_shard(same, [1], [len(same)])) < 400
 
 
+@given(st.lists(st.integers(0, 6), min_size=2, max_size=400), st.integers(2, 4))
+@settings(max_examples=200, deadline=None)
+def test_rounds_over_marked_places_make_the_same_grammar(ids, least):
+    symbols, n, rules = np.array(ids, np.int64), 7, []
+    live = np.ones(len(symbols), bool)
+    marked = symbols
+    while len(symbols) > 1 and len(chosen := frequent_pairs(symbols, n, least)):
+        assert frequent_pairs(marked, n, least, live).tolist() == chosen.tolist()
+        places_of = {}
+        for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+            places_of.setdefault(pair, []).append(i)
+        assert all(live[places].all() for places in places_of.values() if len(places) >= least)
+        symbols, marked = replace(symbols, chosen, n), replace(marked, chosen, n, live)
+        live = live[: len(marked)]
+        assert marked.tolist() == symbols.tolist()
+        rules, n = rules + [divmod(c, n) for c in chosen.tolist()], n + len(chosen)
+    named = {t: k for k, t in enumerate(sorted(set(ids)))}
+    g = compress(np.array(ids, np.uint32), least)
+    assert len(g.rules) == len(rules) and len(g.symbols) == len(symbols)
+    assert expand(g, g.symbols).tolist() == ids and len(g.terminals) == len(named)
+
+
+def test_places_of_rare_pairs_are_left_out():
+    rng = random.Random(8)
+    ids = np.array([rng.randrange(1000, 30_000) for _ in range(20_000)] + [1, 2] * 50, np.uint32)
+    live = np.ones(len(ids), bool)
+    assert frequent_pairs(ids, 30_000, LEAST, live).tolist()[0] == 30_002
+    assert live[20_000:-2].all() and live[:20_000].sum() < 200
+
+
+@pytest.mark.parametrize("width", [1, 7, 13, 16, 31, 32])
+def test_bits_lie_lowest_first(width):
+    rng = random.Random(width)
+    for n in (0, 1, 63, 64, 65, 1000):
+        values = [rng.randrange(1 << width) for _ in range(n)]
+        whole = sum(v << (k * width) for k, v in enumerate(values))
+        data = _bits(np.array(values, np.int64), width)
+        assert data == whole.to_bytes((n * width + 7) // 8, "little")
+        assert _from_bits(memoryview(data), 0, n, width).tolist() == values
+        assert _from_bits(memoryview(data), 64, max(0, n - 64), width).tolist() == values[64:]
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return Encoder(None)
@@ -89,6 +132,37 @@ def test_ids_equal_the_librarys(encoder):
     assert [encoder.ids(t).tolist() for t in texts] == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_many_texts_in_small_blocks_equal_the_librarys(encoder, monkeypatch):
+    rng = random.Random(9)
+    words = ["the", " end", "'s", "'ll", "'", "don't", "  ", " ", "\n", "\n\n", "\t", "É", " ß", "12", " 7", "!?", "\u3000", "<|endoftext|>", "\U0001fae0", "x" * 70]
+    texts = ["".join(rng.choice(words[:-3]) for _ in range(rng.randrange(300))) for _ in range(60)]
+    texts += ["".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(60)] + [""] * 30
+    rng.shuffle(texts)
+    monkeypatch.setattr(token_files, "BLOCK_CHARS", 150)
+    monkeypatch.setattr(token_files, "HELD_CHARS", 2000)
+    assert max(len(encoder.parts(t)) for t in texts) > 3
+    assert [i.tolist() for i in encoder.many(texts)] == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_the_library_merges_each_chunk_once():
+    rng = random.Random(10)
+    words = ["".join(rng.choice("qxzjkv") for _ in range(9)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(200)]
+    encoder = token_files.Encoder(None)
+    library, merged = encoder.library, []
+
+    class Counting:
+        class model:  # noqa: N801
+            @staticmethod
+            def tokenize(letters):
+                merged.append(letters)
+                return library.model.tokenize(letters)
+
+    encoder.library = Counting
+    assert [i.tolist() for i in encoder.many(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(merged) == len(set(merged)) <= 80
+
+
 def test_ranks_need_their_proof(encoder):
     settings = json.loads(encoder.library.to_str())
     alone = lambda t: len(encoder.library.model.tokenize(t))

@@ -145,14 +145,12 @@ def replace(symbols: np.ndarray, chosen: np.ndarray, n: int, live: np.ndarray |
     # Only pairs of one symbol overlap, and only with themselves.
     kept = _every_second(at)
     rule = rule[np.searchsorted(at, kept)] if len(kept) < len(at) else rule
-    out = symbols.copy()
-    out[kept] = n + rule
-    stays = np.ones(len(symbols), bool)
-    stays[kept + 1] = False
-    out = out[stays]
+    made = kept - np.arange(len(kept))
+    if live is not None:
+        live[: len(symbols) - len(kept)] = np.delete(live, kept + 1)
+    out = np.delete(symbols, kept + 1)
+    out[made] = n + rule
     if live is not None:
-        live[: len(out)] = live[stays]
-        made = np.flatnonzero(out >= n)
         live[made] = live[np.maximum(made - 1, 0)] = True
     return out
 
@@ -169,9 +167,25 @@ def rule_lengths(n_terminals: int, rules: np.ndarray) -> np.ndarray:
 
 
 def expand(grammar: Grammar, symbols: np.ndarray) -> np.ndarray:
-    """The ids of a sequence of symbols. Each pass splits every rule once, so it takes as many passes as the grammar is deep."""
+    """The ids of a sequence of symbols. Each different symbol is expanded once."""
+    length = np.concatenate([np.ones(len(grammar.terminals), np.int64), grammar.lengths])
+    used = np.zeros(len(length), bool)
+    used[symbols] = True
+    different = np.flatnonzero(used)
+    ids = expand_each(grammar, different, length)
+    sizes = length[different]
+    place = np.empty(len(length), np.int64)
+    place[different] = np.cumsum(sizes) - sizes
+    sizes = length.take(symbols)
+    ends = np.cumsum(sizes)
+    at = np.repeat(place.take(symbols) - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return ids.take(at)
+
+
+def expand_each(grammar: Grammar, symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The ids of symbols, one after the other. Each pass splits every rule once, so it takes as many passes as the grammar is deep."""
     n = len(grammar.terminals)
-    length = np.concatenate([np.ones(n, np.int64), grammar.lengths])
     sizes = length[symbols]
     at = np.cumsum(sizes) - sizes
     out = np.empty(int(sizes.sum()), np.uint32)
@@ -186,22 +200,33 @@ def expand(grammar: Grammar, symbols: np.ndarray) -> np.ndarray:
 
 
 def _bits(values: np.ndarray, width: int) -> bytes:
-    """Unsigned values of ``width`` bits each, lowest bit first."""
-    out = []
-    for start in range(0, len(values), 1 << 16):
-        part = values[start : start + (1 << 16)].astype("<u4").view(np.uint8).reshape(-1, 4)
-        out.append(np.unpackbits(part, axis=1, bitorder="little")[:, :width].reshape(-1))
-    return np.packbits(np.concatenate(out) if out else np.zeros(0, np.uint8), bitorder="little").tobytes()
+    """Unsigned values of ``width`` bits each, lowest bit first. Every 64 values fill ``width`` words of 64 bits."""
+    padded = np.zeros((-(-len(values) // 64), 64), np.uint64)
+    padded.reshape(-1)[: len(values)] = values
+    columns = np.ascontiguousarray(padded.T)
+    words = np.zeros((width, len(padded)), np.uint64)
+    for k, column in enumerate(columns):
+        word, shift = divmod(k * width, 64)
+        words[word] |= column << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= column >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").tobytes()[: (len(values) * width + 7) // 8]
 
 
 def _from_bits(data: memoryview, first: int, count: int, width: int) -> np.ndarray:
-    """``count`` values from number ``first`` on."""
-    low, high = first * width, (first + count) * width
-    raw = np.frombuffer(data[low // 8 : (high + 7) // 8], np.uint8)
-    bits = np.unpackbits(raw, bitorder="little")[low % 8 : low % 8 + count * width].reshape(count, width)
-    padded = np.zeros((count, 32), np.uint8)
-    padded[:, :width] = bits
-    return np.packbits(padded, axis=1, bitorder="little").view("<u4").reshape(-1).astype(np.int64)
+    """``count`` values from number ``first`` on, a multiple of 64."""
+    rows = -(-count // 64)
+    raw = bytes(data[first * width // 8 : ((first + count) * width + 7) // 8])
+    words = np.ascontiguousarray(np.frombuffer(raw.ljust(8 * width * rows, b"\0"), "<u8").reshape(rows, width).T)
+    columns = np.empty((64, rows), np.uint64)
+    mask = np.uint64((1 << width) - 1)
+    for k in range(64):
+        word, shift = divmod(k * width, 64)
+        column = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            column |= words[word + 1] << np.uint64(64 - shift)
+        columns[k] = column & mask
+    return columns.T.reshape(-1)[:count].astype(np.int64)
 
 
 def write_shard(ids: np.ndarray, doc_ids: list[int | None], doc_lengths: list[int], least: int = LEAST) -> bytes:

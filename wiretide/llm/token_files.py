@@ -222,7 +222,9 @@ class Encoder:
             numbers = chunks.indices.to_numpy()
             sizes = counts[numbers]
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            ids = kept[np.repeat(places[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
+            at = np.repeat(places[numbers] - ends[:-1], sizes)
+            at += np.arange(len(at))
+            ids = kept.take(at)
             cuts = ends[coded.cuts].tolist()
             rest = zip(cuts, cuts[1:], strict=False)
             for k in range(coded.size):
