@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wiretide.llm import lm_scoring
 from wiretide.llm.common import id_remainder
-from wiretide.llm.lm_scoring import END, STRENGTH, Chunk, ChunkBuilder, Model, far_ratio, lm_scores, merge_bucket, ratios_of, sampled, seat, stirling_ratios
+from wiretide.llm.lm_scoring import END, STRENGTH, Chunk, ChunkBuilder, Model, far_ratio, lm_scores, merge_bucket, numbered, ratios_of, sampled, seat, stirling_ratios
 
 
 def tokens(text):
@@ -300,3 +301,26 @@ def test_sweeps_see_all_buckets(spark, monkeypatch):
     assert many == pytest.approx(one, rel=0.003)
     after_sweeps = [x[0] for x in seen[-lm_scoring.SWEEPS :]]
     assert len(seen) == 2 * (lm_scoring.SWEEPS + 1) and all(x == pytest.approx(many, rel=0.02) for x in after_sweeps)
+
+
+def test_executors_keep_no_arrow_buffers(spark):
+    """What Spark's side of the grouped functions allocates is free when they end, however many tasks there were."""
+    docs = documents(spark, [(k, f"a{k % 7} b{k % 5} c{k}", "en", "s") for k in range(60)])
+    allocator = spark.sparkContext._jvm.org.apache.spark.sql.util.ArrowUtils.rootAllocator()
+    before = allocator.getAllocatedMemory()
+    assert lm_scores(docs, F.lit(True), chunk_bytes=100).count() == 60
+    assert allocator.getAllocatedMemory() <= before
+
+
+def test_numbered_is_unique_in_less_memory():
+    rng = np.random.default_rng(7)
+    for n, most in ((0, 1), (1, 1), (1000, 5), (1_000_000, 1 << 40)):
+        code = rng.integers(0, most, n)
+        values, at = np.unique(code, return_inverse=True)
+        tracemalloc.start()
+        found = numbered(code.copy())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.array_equal(found[0], values) and np.array_equal(found[1], at)
+    # The copy, its order, the sorted values, the numbers: four arrays of eight bytes an element at most.
+    assert peak < 4.5 * code.nbytes

@@ -76,6 +76,20 @@ def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return (mixed % np.uint64(n_buckets)).astype(np.int32)
 
 
+def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, ascending, and where each element's is among them: ``np.unique`` in half its memory. Sorts ``code`` in place."""
+    order = np.argsort(code)
+    code[:] = code[order]
+    new = np.ones(len(code), bool)
+    np.not_equal(code[1:], code[:-1], out=new[1:])
+    values = code[new]
+    number = new.cumsum(dtype=np.int32)
+    number -= 1
+    at = np.empty(len(code), np.int32)
+    at[order] = number
+    return values, at
+
+
 @dataclass
 class Model:
     """What a task needs besides its own bucket or chunk: the totals, and of the contexts those of the bucket or chunk."""
@@ -167,11 +181,13 @@ class Chunk:
             at = np.minimum(np.searchsorted(model.context_hashes, hashes), n_own - 1)
             contexts = np.where(model.context_hashes[at] == hashes, at, contexts)
         self.starts = np.concatenate([[0], self.lengths.cumsum()[:-1]]).astype(np.int64)
-        before = np.empty(len(tokens), np.int64)
-        before[1:] = contexts[tokens[:-1]]
-        before[self.starts] = model.n_contexts - 1
-        self.token_word = rank[tokens]
-        pairs, self.token_pair = np.unique(self.token_word * model.n_contexts + before, return_inverse=True)
+        self.token_word = rank.astype(np.int32)[tokens]
+        code = rank[tokens]
+        code *= model.n_contexts
+        code[1:] += contexts[tokens[:-1]]
+        code[self.starts] = self.token_word[self.starts].astype(np.int64) * model.n_contexts + model.n_contexts - 1
+        del tokens
+        pairs, self.token_pair = numbered(code)
         self.pair_word, self.pair_context = np.divmod(pairs, model.n_contexts)
 
     def requests(self, chunk: int, model: Model) -> Iterator[dict]:
@@ -214,7 +230,7 @@ def merge_bucket(requests: list[dict], n_contexts: int) -> dict:
     n_pairs = np.array([len(c) for c in contexts], np.int64)
     words, word_at = np.unique(np.concatenate([np.frombuffer(r["words"], np.int64) for r in requests]), return_inverse=True)
     code = np.repeat(word_at, np.concatenate(per_word)).astype(np.int64) * n_contexts + np.concatenate(contexts)
-    pairs, pair_at = np.unique(code, return_inverse=True)
+    pairs, pair_at = numbered(code)
     counts = np.bincount(pair_at, np.concatenate([unpacked(r["counts"], np.int32) for r in requests]), len(pairs)).astype(np.int64)
     pair_word, pair_context = np.divmod(pairs, n_contexts)
     seen = counts > 0
@@ -553,6 +569,16 @@ def _drop(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
+def _by_group(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
+    """A function of each group of ``key``, an int, from one Arrow table to another.
+
+    It cogroups with no rows: every task of ``applyInArrow`` on the groups of one table leaves the buffers of its last batch, tens of KB a
+    column, allocated in its executor for good (Spark 4.1), and a task of cogroups doesn't.
+    """
+    none = df.sparkSession.range(0).select(F.col("id").cast("int").alias(key))
+    return df.groupBy(key).cogroup(none.groupBy(key)).applyInArrow(lambda rows, _: fn(rows), schema)
+
+
 def _by_position(df: DataFrame) -> np.ndarray:
     """The element-wise sum of the column ``sums``; as many rows as elements come to the driver."""
     rows = df.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
@@ -619,13 +645,11 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
                 parts = by_shard(unpacked(row["cut"], np.int32), unpacked(row["tables"], np.int64))
                 yield _batch([{"asker": row["bucket"], "shard": s, "tables": packed(t)} for s, t in parts], part_schema)
 
-    def add(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        places = next(r for r in rows if r["askers"] is not None)
-        return pa.Table.from_batches([_batch(add_shard(places, [r for r in rows if r["asker"] is not None]), part_schema)])
+    def add(parts: pa.Table, places: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_batch(add_shard(places.to_pylist()[0], parts.to_pylist()), part_schema)])
 
     own = chunks.drop("doc_ids", "n_docs")
-    buckets = _written(own.mapInArrow(ask, REQUESTS).groupBy("bucket").applyInArrow(merge, BUCKETS))
+    buckets = _written(_by_group(own.mapInArrow(ask, REQUESTS), "bucket", merge, BUCKETS))
     first = _by_position(buckets)
     if len(first):
         model.tokens, model.words = int(first[0]), int(first[1])
@@ -639,20 +663,19 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
     exact = min(EXACT, max(2, model.tokens))
     ratios = spark.sparkContext.broadcast((stirling_ratios(model.discount, exact), stirling_ratios(model.parent_discount, exact)))
     # Where contexts are in their shards, and the customers of contexts over all buckets, never change.
-    shards = _written(buckets.select("bucket", "cut", "keys", "customers").mapInArrow(ask_shards, ASKED).groupBy("shard").applyInArrow(place, PLACES))
+    shards = _written(_by_group(buckets.select("bucket", "cut", "keys", "customers").mapInArrow(ask_shards, ASKED), "shard", place, PLACES))
     places = shards.where("askers IS NOT NULL").select("shard", "askers", "sizes", "places")
     in_contexts = shards.where("asker IS NOT NULL").select(F.col("asker").alias("bucket"), "shard", "customers")
 
     def added_up(states: DataFrame) -> DataFrame:
         parts = states.select("bucket", "cut", "tables").mapInArrow(send, PARTS)
-        return parts.unionByName(places, allowMissingColumns=True).groupBy("shard").applyInArrow(add, PARTS)
+        return parts.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(add, PARTS)
 
-    def seating_of(group: pa.Table, model: Model) -> tuple[dict, Seating, Model]:
+    def seating_of(own: pa.Table, told: pa.Table, model: Model) -> tuple[dict, Seating, Model]:
         """A bucket, its seating after the last sweep, and the model with the totals that are then."""
-        rows = group.to_pylist()
+        rows, answers = own.to_pylist(), told.to_pylist()
         row = next(r for r in rows if r["counts"] is not None)
         state = next((r for r in rows if r["pair_tables"] is not None), None)
-        answers = [r for r in rows if r["shard"] is not None]
         tables = from_shards(answers, "tables")
         seating = Seating(row, len(tables), state)
         if not state:
@@ -660,8 +683,8 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
         return row, seating, replace(model, tables=tables)
 
     def sweeper(number: int, model: Model):
-        def sweep(group: pa.Table) -> pa.Table:
-            row, seating, now = seating_of(group, model)
+        def sweep(own: pa.Table, told: pa.Table) -> pa.Table:
+            row, seating, now = seating_of(own, told, model)
             if number > burn_in:
                 seating.keep(now)
             seating.sweep(number, now, ratios.value)
@@ -673,8 +696,8 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
         return sweep
 
     def replier(model: Model):
-        def reply(group: pa.Table) -> pa.Table:
-            row, seating, now = seating_of(group, model)
+        def reply(own: pa.Table, told: pa.Table) -> pa.Table:
+            row, seating, now = seating_of(own, told, model)
             seating.keep(now)
             return pa.Table.from_batches([_batch(list(seating.replies(row, now)), reply_schema)])
 
@@ -693,7 +716,7 @@ def lm_scores(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, sw
         else:
             rows = rows.withColumns({c: F.lit(None).cast("binary") for c in SEATING})
             told = told.unionByName(in_contexts, allowMissingColumns=True)
-        groups = rows.unionByName(told, allowMissingColumns=True).groupBy("bucket")
+        groups = rows.groupBy("bucket").cogroup(told.groupBy("bucket"))
         if is_last:
             replies = _written(groups.applyInArrow(replier(model), REPLIES))
         else:
