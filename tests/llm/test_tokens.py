@@ -40,6 +40,25 @@ def test_ids_equal_the_library(monkeypatch, cache):
         assert encoder.ids(text).tolist() == encoder.library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_chunks_that_come_again_stay_when_the_cache_is_full(monkeypatch):
+    """Frequent words among ever new ones are merged once, and the cache has its bound."""
+    monkeypatch.setattr(packing, "CACHED_CHUNKS", 60)
+    encoder = Encoder(None)
+    merged, merge = [], encoder.merge
+    encoder.merge = lambda letters: merged.append(letters) or merge(letters)
+    names = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(600)]
+    common, new = names[:10], iter(names[10:])
+    for _ in range(50):
+        text = " ".join([*common, *(next(new) for _ in range(10)), "Aaaa,"])
+        assert encoder.ids(text).tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.chunks) + len(encoder.chunks.old) <= 2 * 60
+    assert all(merged.count(word) == 1 for word in common) and len(set(merged)) == 511
+
+
+def test_tasks_of_a_worker_share_the_encoder():
+    assert packing.encoder_of(None) is packing.encoder_of(None)
+
+
 def test_counts_of_awkward_rows(spark):
     docs = awkward(spark)
     whole = TokenCounter(None, None)

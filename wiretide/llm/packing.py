@@ -10,8 +10,12 @@ full windows, and the last rest is cut into powers of two. So there is no paddin
 from __future__ import annotations
 
 import json
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,10 @@ MAX_OPEN = 8192
 # The rules of the tokenizer under which chunks between white space can be encoded by themselves.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Chunks whose ids one worker keeps; results don't depend on it.
-CACHED_CHUNKS = 200_000
+#: Chunks whose ids one worker keeps, and as many older ones; results don't depend on it.
+CACHED_CHUNKS = 400_000
 LONGEST_CACHED = 64
+TOKEN_ID = attrgetter("id")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,6 +49,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class Chunks(dict):
+    """Ids, as bytes, of white-space chunks: those met lately, and by ``encode`` all others."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.encode(chunk)
+        if len(chunk) <= LONGEST_CACHED and len(self) < CACHED_CHUNKS:
+            self[chunk] = found
+        return found
+
+    def age(self) -> None:
+        """Makes room when full: of the chunks kept, those that come again stay."""
+        if len(self) >= CACHED_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of whole texts, by white-space chunk; the same as the library's on the whole text.
 
@@ -60,8 +87,7 @@ class Encoder:
         self.proven = self.proved(json.loads(self.library.to_str()))
         self.merge = self.library.model.tokenize
         self.letters = byte_letters()
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks = Chunks(self.chunk)
 
     @staticmethod
     def proved(settings: dict) -> bool:
@@ -78,40 +104,38 @@ class Encoder:
         if not self.proven:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
-        found = list(map(self.chunks.get, chunks))
-        if None in found:
-            found = [self.chunk(c) if f is None else f for c, f in zip(chunks, found, strict=True)]
-        return np.frombuffer(b"".join(found), "<u4")
+        found = b"".join(map(self.chunks.__getitem__, chunks))
+        self.chunks.age()
+        return np.frombuffer(found, "<u4")
 
     def chunk(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk)
-        if found is None:
-            core = chunk.rstrip(PUNCTUATION)
-            if not core or core.isalpha() and max(core) <= "\xff":
-                found = self.word(core.lower()) + self.word(chunk[len(core) :])
-            else:
-                found = self.pack(self.library.encode(chunk, add_special_tokens=False).ids)
-            self.keep(self.chunks, chunk, found)
-        return found
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            written = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            found = self.pack([t.id for t in self.merge(written)]) if word else b""
-            self.keep(self.words, word, found)
-        return found
+        if chunk.isalpha() and chunk.isascii() and chunk.islower():
+            return self.merged(chunk)
+        core = chunk.rstrip(PUNCTUATION)
+        if not core:
+            return self.merged(chunk) if chunk else b""
+        if not (core.isalpha() and (core.isascii() or max(core) <= "\xff")):
+            return self.pack(self.library.encode(chunk, add_special_tokens=False).ids)
+        word = core.lower()
+        if word == chunk:
+            return self.merged("".join(map(self.letters.__getitem__, word.encode())))
+        return self.chunks[word] + self.chunks[chunk[len(core) :]]
+
+    def merged(self, letters: str) -> bytes:
+        return self.pack(map(TOKEN_ID, self.merge(letters)))
 
     @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def pack(ids: Iterable[int]) -> bytes:
+        packed = array("I", ids)
+        if sys.byteorder != "little":
+            packed.byteswap()
+        return packed.tobytes()
 
-    @staticmethod
-    def keep(cache: dict, key: str, ids: bytes) -> None:
-        if len(key) <= LONGEST_CACHED:
-            if len(cache) >= CACHED_CHUNKS:
-                cache.clear()
-            cache[key] = ids
+
+@cache
+def encoder_of(path: str | None) -> Encoder:
+    """One for all tasks of a worker: reading the tokenizer's file takes as long as encoding a megabyte."""
+    return Encoder(path)
 
 
 class Packer:
@@ -212,7 +236,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = None, Packer(TaskContext.get().partitionId() << 40)
         for batch in pieces(batches):
-            encoder = encoder or Encoder(path)
+            encoder = encoder or encoder_of(path)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 packer.add(doc_id, np.concatenate([encoder.ids(text), end]))
             yield packer.take()
