@@ -208,3 +208,11 @@ def test_one_of_each_group_keeps_columns_of_any_name(spark):
     kept = one_of_each_group(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[6], rows[9], rows[13]], key=str)
+
+
+def test_the_stage_stores_each_text_once(spark, monkeypatch):
+    stored, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df: stored.append(df.dtypes) or write(df))
+    docs = documents(spark, [(k, sentence(random.Random(k % 5), 30), "en", "s") for k in range(20)])
+    assert jaccard_join.one_of_each_group(docs).count() == 5
+    assert all(sum(kind in ("string", "binary") for _, kind in kinds) <= sum(kind == "string" for _, kind in docs.dtypes) for kinds in stored)

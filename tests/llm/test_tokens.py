@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents, sentence
 
@@ -59,6 +60,20 @@ def test_tasks_of_a_worker_share_the_encoder():
     assert packing.encoder_of(None) is packing.encoder_of(None)
 
 
+def test_no_chunks_are_kept_after_a_task(spark):
+    """A worker goes on to other operators, whose memory its chunks would take."""
+    texts = [" ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(k, k + 40)) for k in range(300)]
+    docs = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+
+    def kept(batches):
+        for _ in batches:
+            chunks = packing.encoder_of(None).chunks
+            yield pa.RecordBatch.from_arrays([pa.array([len(chunks) + len(chunks.old)])], names=["n"])
+
+    assert len(pack_documents(docs.coalesce(1)).collect()) >= 300
+    assert {r.n for r in spark.range(8).coalesce(1).mapInArrow(kept, "n long").collect()} == {0}
+
+
 def test_counts_of_awkward_rows(spark):
     docs = awkward(spark)
     whole = TokenCounter(None, None)

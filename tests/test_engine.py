@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 from pathlib import Path
 
 import pytest
@@ -238,6 +239,23 @@ def test_request_limit():
             store.request_limit(bad)
 
 
+def test_no_shuffle_files_stay_behind_a_scratch_table(spark):
+    def shuffle_files():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in files.mkString("\n").split("\n") if "shuffle_" in name}
+
+    before = shuffle_files()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = scratch.materialize(rows.join(rows.withColumnRenamed("count", "n"), "k").orderBy("k"))
+    until = time.time() + 20
+    while (left := shuffle_files() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and kept.count() == 7
+    assert spark.conf.get(name, None) == setting
+
+
 def test_scratch_tables_go(spark):
     """A scope takes its own tables with it, and the application can drop all of its."""
     rows = spark.range(3)

@@ -209,11 +209,12 @@ def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
     at = {c: F.col(f"in_{i}") for i, c in enumerate(docs.columns)}
     text = F.coalesce(at["text"], F.lit("")).cast("binary")
     doc_id = at["doc_id"].cast("long")
-    hashed = own.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text), "id": doc_id, "t": text.cast("string")})
+    hashed = own.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text), "id": doc_id})
     # Each text once, under a number of its own, so that no two texts are taken for one document.
     numbered = materialize(hashed.withColumn("class", F.col("h1").bitwiseXOR(F.col("h2"))))
     classes = materialize(numbered.groupBy("h1", "h2", "class").agg(F.min("id").alias("id")))
-    texts = numbered.select("h1", "h2", F.col("class").alias("doc_id"), F.col("t").alias("text")).dropDuplicates(["h1", "h2"]).select("doc_id", "text")
+    # The text is stored once, as the input's own column.
+    texts = numbered.select("h1", "h2", F.col("class").alias("doc_id"), text.cast("string").alias("text")).dropDuplicates(["h1", "h2"]).select("doc_id", "text")
     alike = jaccard_groups(texts, **settings).select(F.col("doc_id").alias("a"), F.col("group_id").alias("b"))
     ids = numbered.where("id IS NOT NULL").select("class", "id").distinct()
     least = ids.groupBy("id").agg(F.min("class").alias("b"), F.count("*").alias("n")).where("n > 1")

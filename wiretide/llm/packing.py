@@ -33,7 +33,7 @@ MAX_OPEN = 8192
 # The rules of the tokenizer under which chunks between white space can be encoded by themselves.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Chunks whose ids one worker keeps, and as many older ones; results don't depend on it.
+#: Chunks whose ids one task keeps, and as many older ones; results don't depend on it.
 CACHED_CHUNKS = 400_000
 LONGEST_CACHED = 64
 TOKEN_ID = attrgetter("id")
@@ -70,6 +70,11 @@ class Chunks(dict):
             self.old = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        """Drops all chunks: a worker outlives its task, and other stages need its memory."""
+        self.clear()
+        self.old = {}
+
 
 class Encoder:
     """Ids of whole texts, by white-space chunk; the same as the library's on the whole text.
@@ -134,7 +139,7 @@ class Encoder:
 
 @cache
 def encoder_of(path: str | None) -> Encoder:
-    """One for all tasks of a worker: reading the tokenizer's file takes as long as encoding a megabyte."""
+    """One for all tasks of a worker: reading the tokenizer's file takes as long as encoding a megabyte. Tasks forget its chunks at their end."""
     return Encoder(path)
 
 
@@ -235,11 +240,15 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = None, Packer(TaskContext.get().partitionId() << 40)
-        for batch in pieces(batches):
-            encoder = encoder or encoder_of(path)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packer.add(doc_id, np.concatenate([encoder.ids(text), end]))
-            yield packer.take()
+        try:
+            for batch in pieces(batches):
+                encoder = encoder or encoder_of(path)
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    packer.add(doc_id, np.concatenate([encoder.ids(text), end]))
+                yield packer.take()
+        finally:
+            if encoder:
+                encoder.chunks.forget()
         packer.drain()
         yield packer.take()
 
