@@ -3,17 +3,19 @@ from __future__ import annotations
 import collections
 import math
 import random
+import time
 import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents
 from pyspark.sql import functions as F
 
 from wiretide.llm import lm_scoring
 from wiretide.llm.common import id_remainder
-from wiretide.llm.lm_scoring import END, STRENGTH, Chunk, ChunkBuilder, Model, far_ratio, lm_scores, merge_bucket, numbered, ratios_of, sampled, seat, stirling_ratios
+from wiretide.llm.lm_scoring import END, STRENGTH, Chunk, ChunkBuilder, Model, far_ratio, lm_scores, merge_bucket, numbered, packed, ratios_of, sampled, seat, stirling_ratios, unpacked
 
 
 def tokens(text):
@@ -312,6 +314,35 @@ def test_executors_keep_no_arrow_buffers(spark):
     assert allocator.getAllocatedMemory() <= before
 
 
+def test_packed_numbers_come_back_and_take_less_room():
+    rng = np.random.default_rng(11)
+    for dtype in (np.int32, np.int64, np.float32):
+        for n in (0, 1, 7, 5000):
+            values = (rng.random(n) * 1e6 - 5e5).astype(dtype)
+            back = unpacked(packed(values), dtype)
+            assert back.dtype == dtype and np.array_equal(back, values)
+    places = np.arange(60_000, dtype=np.int32)[::2]
+    assert np.array_equal(unpacked(packed(places), np.int32), places)
+    # Numbers of words as a chunk has them: few bits each, in no order.
+    numbers = np.minimum(rng.zipf(1.2, 200_000), 300_000).astype(np.int32)
+    as_they_are = len(pa.Codec("zstd", compression_level=1).compress(numbers.tobytes(), asbytes=True))
+    assert len(packed(numbers)) < 0.95 * as_they_are
+
+
+def test_no_shuffle_files_stay_behind_a_step(spark):
+    def shuffle_files():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in files.mkString("\n").split("\n") if "shuffle_" in name}
+
+    before = shuffle_files()
+    rows = spark.range(1000).select((F.col("id") % 7).cast("int").alias("k"))
+    written = lm_scoring._written(lm_scoring._by_group(rows, "k", lambda group: group.slice(0, 1), "k int"))
+    until = time.time() + 20
+    while (left := shuffle_files() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and written.count() == 7
+
+
 def test_numbered_is_unique_in_less_memory():
     rng = np.random.default_rng(7)
     for n, most in ((0, 1), (1, 1), (1000, 5), (1_000_000, 1 << 40)):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import _delete, scratch_path
+from ..scratch import _delete, scratch_path, shuffles_dropped
 from .common import pieces
 
 #: Keys, among the hashes of words, of the context of all words that a model doesn't name, and of the start of a text.
@@ -53,13 +53,16 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def packed(values: np.ndarray) -> bytes:
-    data = np.ascontiguousarray(values).tobytes()
+    """Compressed with the lowest bytes of all values first, then the next ones: the high bytes of small numbers are long runs of zeros."""
+    values = np.ascontiguousarray(values)
+    data = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
     return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
 
 
 def unpacked(data: bytes, dtype) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True), dtype)
+    size, width = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size // width).T).reshape(-1).view(dtype)
 
 
 def steps(ascending: np.ndarray) -> np.ndarray:
@@ -212,7 +215,7 @@ class Chunk:
     def scores(self, replies: list[dict], model: Model) -> dict[str, np.ndarray]:
         """``replies`` in the order of buckets."""
         word_counts = np.concatenate([unpacked(r["word_counts"], np.int64) for r in replies])
-        chances = np.concatenate([np.frombuffer(r["chances"], np.float32) for r in replies]).astype(np.float64)
+        chances = np.concatenate([unpacked(r["chances"], np.float32) for r in replies]).astype(np.float64)
         base = np.log10((word_counts + 1) / (model.tokens + model.words + 1))
         add = lambda per_token: np.add.reduceat(per_token, self.starts)
         return {
@@ -519,7 +522,7 @@ class Seating:
         word_at, pair_at = unpacked(row["word_at"], np.int32), unpacked(row["pair_at"], np.int32)
         for j, chunk in enumerate(np.frombuffer(row["chunks"], np.int64).tolist()):
             words, pairs = word_at[word_cut[j] : word_cut[j + 1]].cumsum(), pair_at[pair_cut[j] : pair_cut[j + 1]].cumsum()
-            yield {"chunk": chunk, "bucket": self.bucket, "word_counts": packed(word_counts[words]), "chances": chances[pairs].tobytes()}
+            yield {"chunk": chunk, "bucket": self.bucket, "word_counts": packed(word_counts[words]), "chances": packed(chances[pairs])}
 
 
 def sampled(row: dict, model: Model, sweeps: int, burn_in: int) -> tuple[Seating, Model]:
@@ -559,7 +562,8 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 def _written(df: DataFrame) -> DataFrame:
     """Written to the shared folder in small row groups, as a row holds megabytes."""
     path = scratch_path(df.sparkSession)
-    df.write.option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
